@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 MIN_COMPARED_CHARS = 4
@@ -25,7 +26,7 @@ _ASCII_DROPPED = r"[\s\x0B\x1C-\x1F\p{Punct}]"
 _ASCII_SPACE = r"[\s\x0B\x1C-\x1F]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _normalize_unicode(texts: pd.Series) -> pd.Series:
     def one(text):
         if text is None:
@@ -36,7 +37,7 @@ def _normalize_unicode(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _strip_unicode(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: "".join(t.split()).casefold(), na_action="ignore")
 
@@ -80,7 +81,7 @@ def multiset_bound(left: Column, right: Column) -> Column:
     return 2.0 * shared / (F.length(left) + F.length(right))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     known: dict[tuple[str, str], float] = {}
 

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annolake.functions.geometry import box_iou, decimal_round
 from annolake.operators.segments import min_label_components
@@ -97,7 +98,7 @@ def box_lists(boxes: DataFrame, by: list[str], name: str) -> DataFrame:
     return unique.groupBy(*by).agg(F.flatten(F.array_sort(F.collect_list("_b"))).alias(name))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _merged(lists: pd.Series) -> pd.Series:
     return lists.map(lambda b: merge_adjacent(b).ravel())
 
@@ -153,7 +154,7 @@ def merge_candidate_groups(
     """
     shape = ["x", "y", "width", "height"]
     unit = rects.filter("height > 0").groupBy("image_id", *shape).agg(F.min("line_index").alias("id"), F.count(F.lit(1)).alias("copies"))
-    spread = (1 + height_tolerance / 2) / (1 - height_tolerance / 2)
+    spread = (1 + height_tolerance / 2) / (1 - height_tolerance / 2) * (1 + 1e-9)
     band = F.floor(F.log("height") / math.log(spread))
     reach = lambda b: F.pow(F.lit(spread), b + 2)
     center = F.col("y") + F.col("height") / 2
@@ -218,7 +219,7 @@ def reading_positions(boxes: np.ndarray) -> np.ndarray:
     return np.array([i for _, members in rows for i in sorted(members, key=lambda k: boxes[k, 0])])
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def reading_order(lists: pd.Series) -> pd.Series:
     """Reading order of flat box arrays, as positions in the array."""
     return lists.map(reading_positions)
