@@ -141,31 +141,32 @@ def aligned_resize_size(width, height, scale) -> Column:
     )
 
 
-def mapped_short_edge(boxes: Column, width, height, size: Column) -> Column:
-    """Smallest box edge after mapping the source onto ``size``; null without boxes."""
-    w, h = _c(width), _c(height)
-    return F.array_min(
-        F.transform(boxes, lambda b: F.least(box_width(b) * size["width"] / w, box_height(b) * size["height"] / h))
-    )
+def protection_geometry(boxes: Column, width, height, scale, min_short_edge: float) -> Column:
+    """Standard size, and the smallest larger scale at which every box keeps ``min_short_edge``.
 
+    Every bound is monotone in the box sides, so the narrowest and the lowest box decide alone.
+    """
+    w, h, s, need = _c(width), _c(height), _c(scale), F.lit(float(min_short_edge))
+    mapped = lambda e, size: F.least(e["w"] * size["width"] / w, e["h"] * size["height"] / h)
+    fit = lambda side, src: (F.ceil(need * src / side / ALIGNMENT) * ALIGNMENT - ALIGNMENT / 2) / src + F.lit(1e-12)
+
+    def report(e: Column, standard: Column, short: Column) -> Column:
+        enough = short.isNull() | (short >= need)
+        raised = F.least(F.lit(1.0), F.greatest(s, fit(e["w"], w), fit(e["h"], h)))
+        sized = lambda used: F.struct(used.alias("scale"), aligned_resize_size(w, h, used).alias("size"))
+        return bound(
+            bound(F.when(enough, s).otherwise(raised), sized),
+            lambda p: F.struct(
+                p["scale"].alias("scale"), standard.alias("standard"), p["size"].alias("protected"), short.alias("short_edge"),
+                F.when(enough, F.lit(True)).otherwise(mapped(e, p["size"]) + F.lit(1e-6) >= need).alias("satisfied"),
+            ),
+        )
 
-def protection_geometry(boxes: Column, width, height, scale, min_short_edge: float) -> Column:
-    """Standard size, and the smallest larger scale at which every box keeps ``min_short_edge``."""
-    w, h, s, edge = _c(width), _c(height), _c(scale), F.lit(float(min_short_edge))
-    standard = aligned_resize_size(w, h, s)
-    short = mapped_short_edge(boxes, w, h, standard)
-    need_w = F.array_max(F.transform(boxes, lambda b: edge * w / box_width(b)))
-    need_h = F.array_max(F.transform(boxes, lambda b: edge * h / box_height(b)))
-    fit = lambda need, src: (F.ceil(need / ALIGNMENT) * ALIGNMENT - ALIGNMENT / 2) / src + F.lit(1e-12)
-    raised = F.least(F.lit(1.0), F.greatest(s, fit(need_w, w), fit(need_h, h)))
-    enough = short.isNull() | (short >= edge)
-    used = F.when(enough, s).otherwise(raised)
-    protected = aligned_resize_size(w, h, used)
-    kept = mapped_short_edge(boxes, w, h, protected)
-    return F.struct(
-        used.alias("scale"), standard.alias("standard"), protected.alias("protected"), short.alias("short_edge"),
-        F.when(enough, F.lit(True)).otherwise(kept + F.lit(1e-6) >= edge).alias("satisfied"),
+    edges = F.struct(
+        F.array_min(F.transform(boxes, box_width)).alias("w"), F.array_min(F.transform(boxes, box_height)).alias("h"),
+        aligned_resize_size(w, h, s).alias("standard"),
     )
+    return bound(edges, lambda e: bound(mapped(e, e["standard"]), lambda short: report(e, e["standard"], short)))
 
 
 def quad_points(points: Column, width, height) -> Column:

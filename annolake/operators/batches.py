@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from annolake.operators.ordered import with_rank
 from annolake.operators.pairs import hash_block, hash_key, sample_with_refill
+from annolake.session import checkpointed
 
 REQUIRED_TYPES = ("full_frame", "roi", "random_crop")
 
@@ -38,7 +39,7 @@ def _into_batches(draws: DataFrame, slots: int, base: int = 0) -> DataFrame:
 
 
 def _counts(samples: DataFrame) -> tuple[int, int]:
-    row = samples.agg(F.count_if("has_subtitle"), F.count_if("not has_subtitle")).first()
+    row = samples.agg(F.count_if("has_subtitle"), F.count_if(~F.col("has_subtitle"))).first()
     return row[0], row[1]
 
 
@@ -121,6 +122,7 @@ def mixed_macro_batches(items: DataFrame, batch_size: int, seed: int, epoch: int
     """Every item once; each batch holds all six (type, label) groups and at least two output sizes."""
     if batch_size < 2 * len(REQUIRED_TYPES):
         raise ValueError("macro batch_size must be at least 6 to mix all domains and labels")
+    items = checkpointed(items)
     sizes = {(r["sample_type"], r["has_subtitle"]): r["n"] for r in
              items.filter(F.col("sample_type").isin(*REQUIRED_TYPES)).groupBy("sample_type", "has_subtitle").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = items.count()

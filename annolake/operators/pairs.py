@@ -209,7 +209,7 @@ def select_pairs(
         raise ValueError("OCR negative max similarity must be in [0, 1]")
     local = positive_pairs(samples).unionByName(local_negative_pairs(samples))
     local = checkpointed(local)
-    n_same, n_diff = local.agg(F.count_if("same"), F.count_if("not same")).first()
+    n_same, n_diff = local.agg(F.count_if("same"), F.count_if(~F.col("same"))).first()
     n_all, n_positive = samples.agg(F.count(F.lit(1)), F.count_if("has_subtitle")).first()
     limit = 0
     if ocr_enabled:

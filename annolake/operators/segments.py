@@ -95,6 +95,7 @@ def min_label_components(edges: DataFrame, vertices: DataFrame, by: list[str], m
     """
     both = edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = checkpointed(both)
+    vertices = checkpointed(vertices)
     labels = checkpointed(vertices.select(*by, "id", F.col("rank").alias("label")))
     for _ in range(max_rounds):
         reached = both.join(labels.withColumnRenamed("id", "b"), [*by, "b"]).select(*by, F.col("a").alias("id"), "label")
@@ -136,6 +137,7 @@ def resolve_merges(events: DataFrame) -> DataFrame:
     Merging unions two classes and names the union after the current name of the earlier side, so the final classes
     are connected components, and the replay of one component never touches another one.
     """
+    events = checkpointed(events)
     vertices = (
         events.select("root", F.col("into").alias("id")).unionByName(events.select("root", F.col("source").alias("id")))
         .distinct().withColumn("rank", F.col("id"))
@@ -197,15 +199,14 @@ def split_segments(items: DataFrame, cuts: DataFrame) -> DataFrame:
     named = named.withColumn("fresh", F.when(own, F.col("base")).otherwise(F.concat("base", F.lit("__split_"), free)))
     spans = named.withColumn(
         "next_idx", F.lead("cut_idx").over(W.partitionBy("root", "segment_id").orderBy("cut_idx"))
-    ).select("root", "segment_id", "cut_idx", "next_idx", "fresh")
+    ).select(F.col("root").alias("_root"), F.col("segment_id").alias("_segment"), "cut_idx", "next_idx", "fresh")
     hit = (
-        (items["root"] == spans["root"]) & (items["segment_id"] == spans["segment_id"]) & items[POSITIVE]
-        & (items["sample_idx"] >= spans["cut_idx"])
-        & (spans["next_idx"].isNull() | (items["sample_idx"] < spans["next_idx"]))
-    )
-    return items.join(spans, hit, "left").select(
-        *[items[c] if c != "segment_id" else F.coalesce(spans["fresh"], items["segment_id"]).alias("segment_id") for c in items.columns]
+        (F.col("root") == F.col("_root")) & (F.col("segment_id") == F.col("_segment")) & F.col(POSITIVE)
+        & (F.col("sample_idx") >= F.col("cut_idx"))
+        & (F.col("next_idx").isNull() | (F.col("sample_idx") < F.col("next_idx")))
     )
+    cut = items.join(spans, hit, "left").withColumn("segment_id", F.coalesce("fresh", "segment_id"))
+    return cut.drop("_root", "_segment", "cut_idx", "next_idx", "fresh")
 
 
 def merge_to_previous(items: DataFrame, chosen: DataFrame) -> DataFrame:

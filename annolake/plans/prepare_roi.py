@@ -56,6 +56,6 @@ def prepare_roi(
     samples = samples.drop("drop_image", "has_label", "anchor_x", "anchor_y")
     summary = samples.agg(
         F.max("roi_width").alias("roi_width"), F.max("roi_height").alias("roi_height"), F.count(F.lit(1)).alias("samples"),
-        F.count_if("has_subtitle").alias("positive"), F.count_if("not has_subtitle").alias("empty"),
+        F.count_if("has_subtitle").alias("positive"), F.count_if(~F.col("has_subtitle")).alias("empty"),
     )
     return {"samples": samples, "summary": summary}
