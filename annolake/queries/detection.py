@@ -168,11 +168,11 @@ _PROB = """with {boxes}, {corners}, cover as (select distinct image_id, cast(lea
  arg_max(target::int, (case when ok then prob else -1 end) * 1000 - idx / 1000) as pointing from cells group by image_id having sum((ok and target)::int) > 0)"""
 
 
-@query("region_localization", "AG-18", _PROB + """ select image_id, round(inter / un, 6) as iou, round(2 * inter / greatest(1, nh + nt), 6) as dice, round(inside, 6) as inside,
- round(outside, 6) as outside, round(inside - outside, 6) as contrast, pointing::double as pointing from rec""")
+@query("region_localization", "AG-18", _PROB + """ select image_id, round(inter / un, 12) as iou, round(2 * inter / greatest(1, nh + nt), 12) as dice, round(inside, 12) as inside,
+ round(outside, 12) as outside, round(inside - outside, 12) as contrast, pointing::double as pointing from rec""")
 def _(t):
     rec = mp.region_localization(_prob_cells(t), "image_id")
-    return rec.select("image_id", *[F.round(c, 6).alias(c) for c in rec.columns if c != "image_id"])
+    return rec.select("image_id", *[F.round(c, 12).alias(c) for c in rec.columns if c != "image_id"])
 
 
 @query("localization_metrics", "AG-18", _PROB + """ select count(*)::double as localizable_count, round(avg(inter / un), 6) as iou, round(avg(2 * inter / greatest(1, nh + nt)), 6) as dice,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from annolake.functions.geometry import parse_video_frame
 from annolake.functions.text import first_text
-from annolake.sources.lines import read_lines, root_of, stem
+from annolake.sources.lines import read_lines, root_of, stem, strip
 
 _NESTED = "struct<video_id:string,sequence_id:string,source_video:string,frame_index:string>"
 ANNOTATION = (
@@ -24,7 +24,7 @@ def parse_annotations(lines: DataFrame) -> DataFrame:
     """Lines (root, line_index, value) to typed rows; blank lines are skipped, ids count the kept ones."""
     from annolake.operators.ordered import index_block, with_rank
 
-    kept = lines.filter(F.trim("value") != "")
+    kept = lines.filter(strip("value") != "")
     numbered = with_rank(kept, ["line_index"], index_block(F.col("line_index")), ["root"], "item_index")
     rows = numbered.select("root", "line_index", "item_index", F.from_json("value", ANNOTATION).alias("a")).select(
         "root", "line_index", "item_index", "a.*"
@@ -48,13 +48,13 @@ def last_per_stem(annotations: DataFrame) -> DataFrame:
 
 def review_item_id() -> Column:
     """Review id: the source sample id when given, else the image stem."""
-    given = F.nullif(F.trim(F.coalesce("source_sample_id", F.lit(""))), F.lit(""))
+    given = F.nullif(strip(F.coalesce("source_sample_id", F.lit(""))), F.lit(""))
     named = F.nullif(stem(F.coalesce("image", F.lit(""))), F.lit(""))
     return F.coalesce(given, named, F.concat(F.lit("sample_"), F.col("line_index")))
 
 
 def _present(value: Column) -> Column:
-    return F.nullif(F.trim(value), F.lit(""))
+    return F.nullif(strip(value), F.lit(""))
 
 
 def resolve_video_id(sample_id: str = "sample_id") -> Column:
@@ -67,7 +67,7 @@ def resolve_video_id(sample_id: str = "sample_id") -> Column:
 
 def _frame(value: Column) -> Column:
     """Integer text only; booleans and blanks are rejected."""
-    return F.when(~F.lower(value).isin("true", "false"), F.trim(value).try_cast("long"))
+    return F.when(~F.lower(value).isin("true", "false"), strip(value).try_cast("long"))
 
 
 def resolve_frame_index(sample_id: str = "sample_id") -> Column:

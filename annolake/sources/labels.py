@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from annolake.functions.geometry import rect_to_yolo, yolo_to_box, yolo_to_rect
 from annolake.operators.filters import usable_box
 from annolake.operators.ordered import index_block, with_rank
-from annolake.sources.lines import file_name, read_lines, root_of, stem
+from annolake.sources.lines import read_lines, root_of, stem, strip
 
 _RECORD = (
     "struct<masked:boolean,deleted:boolean,unreliable:boolean,exclude_from_loss:boolean,drop_image:boolean,"
@@ -34,7 +34,7 @@ def _numbers(tokens: Column) -> list[Column]:
 
 def parse_labels_lenient(lines: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
     """Usable boxes with both indexes: the physical line and the place among usable boxes. Bad lines are skipped."""
-    tokens = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    tokens = F.split(strip(F.regexp_replace("value", r"\s+", " ")), " ")
     rows = lines.withColumn("_t", tokens).filter(F.size("_t") == 5)
     numbers = rows.select(*by, "line_index", *[c.alias(n) for c, n in zip(_numbers(F.col("_t")), ("class", "cx", "cy", "w", "h"))]).dropna()
     boxed = numbers.join(sizes, by).withColumn("box", yolo_to_box("cx", "cy", "w", "h", "width", "height"))
@@ -44,7 +44,7 @@ def parse_labels_lenient(lines: DataFrame, sizes: DataFrame, by: list[str]) -> D
 
 def parse_labels_strict(lines: DataFrame, by: list[str]) -> DataFrame:
     """Typed label lines; comments and blanks are skipped, a wrong number of fields is an error."""
-    rows = lines.withColumn("raw", F.trim("value")).filter((F.col("raw") != "") & ~F.col("raw").startswith("#"))
+    rows = lines.withColumn("raw", strip("value")).filter((F.col("raw") != "") & ~F.col("raw").startswith("#"))
     tokens = F.split(F.regexp_replace("raw", r"\s+", " "), " ")
     bad = F.raise_error(F.concat(F.lit("invalid label line: "), F.col("raw"))).cast("array<string>")
     rows = rows.withColumn("_t", F.when(F.size(tokens) == 5, tokens).otherwise(bad))
@@ -57,7 +57,7 @@ def parse_labels_strict(lines: DataFrame, by: list[str]) -> DataFrame:
 
 def rejected_labels(lines: DataFrame) -> DataFrame:
     """Lines that the strict reader would refuse."""
-    raw = F.trim("value")
+    raw = strip("value")
     count = F.size(F.split(F.regexp_replace(raw, r"\s+", " "), " "))
     return lines.filter((raw != "") & ~raw.startswith("#") & (count != 5))
 

@@ -19,6 +19,11 @@ def read_lines(spark: SparkSession, paths: str | list[str], glob: str | None = N
     return with_rank(raw, ["_split", "_seq"], F.col("_split"), ["path"], "line_index").drop("_split", "_seq")
 
 
+def strip(text: Column | str) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def stem(path: Column) -> Column:
     """File name without folder and last suffix."""
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annolake.sources.lines import strip
+
 
 def cue_texts(text: Column, is_srt: Column) -> Column:
     """Cue texts of a subtitle file, or its non-blank lines when it is plain text."""
-    plain_lines = lambda t: F.filter(F.transform(F.split(t, r"\r\n|\r|\n"), lambda s: F.trim(s)), lambda s: s != "")
+    plain_lines = lambda t: F.filter(F.transform(F.split(t, r"\r\n|\r|\n"), lambda s: strip(s)), lambda s: s != "")
     unix = F.regexp_replace(text, r"\r\n?", "\n")
     blocks = F.split(unix, r"\n\s*\n")
     kept = lambda block: F.filter(plain_lines(block), lambda s: ~s.rlike(r"^\d+$") & ~s.contains("-->"))
@@ -44,7 +46,7 @@ def normalize_detections(results: DataFrame, key: list[str]) -> DataFrame:
     level = forms(results.select(*key, "result", F.array().cast("array<int>").alias("at")))
     found = []
     for _ in range(4):  # nesting depth of known outputs: batch, page, list, pair
-        is_object = F.trim("result").startswith("{")
+        is_object = strip("result").startswith("{")
         parallel = level.filter(is_object & F.col("o.dt_polys").isNotNull())
         found.append(parallel.select(*key, "at", F.posexplode("o.dt_polys").alias("n", "polygon"), "o").select(
             *key, "at", "n", "polygon", F.get("o.dt_scores", F.col("n")).alias("score")))
@@ -79,5 +81,5 @@ def extract_text(result: Column, depth: int = 3) -> Column:
         nested_list = F.array_join(F.transform(F.from_json(result, "array<string>"), lambda v: extract_text(as_json(v), depth - 1)), "")
         values = F.transform(F.map_values(F.from_json(result, "map<string,string>")), lambda v: F.when(v.rlike(r"^\s*[\[{]"), extract_text(v, depth - 1)).when(v.try_cast("double").isNull(), v))
         nested_object = F.coalesce(F.get(F.filter(values, lambda v: v != ""), F.lit(0)), F.lit(""))
-    is_object, is_list = F.trim(result).startswith("{"), F.trim(result).startswith("[")
+    is_object, is_list = strip(result).startswith("{"), strip(result).startswith("[")
     return F.coalesce(F.when(is_object, F.coalesce(named, nested_object)).when(is_list, nested_list).otherwise(plain), F.lit(""))
