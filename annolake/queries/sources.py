@@ -154,12 +154,12 @@ def _quad_json(x):
     return F.concat(F.lit("[["), x, F.lit(",1],["), x, F.lit("5,2],["), x, F.lit("6,9],["), x, F.lit(",8]]"))
 
 
-@query("normalize_detections", "AR-01", """with k as (select l_orderkey, l_linenumber % 6 as kind, l_partkey as x, l_discount as s from lineitem),
+@query("normalize_detections", "AR-01", """with k as (select l_orderkey, l_linenumber % 6 as kind, l_partkey + 1 as x, l_discount as s from lineitem),
  e as (select l_orderkey, x, case when kind in (0, 1, 3) then s end as score from k where kind < 5 union all select l_orderkey, x, s from k where kind = 4
  union all select l_orderkey, x, null from k where kind = 0)
  select l_orderkey as image_id, count(*) as detections, count(score) as scored, sum(x)::bigint as sum_x, round(sum(score), 6) as sum_score from e group by l_orderkey""")
 def _(t):
-    q, s = _quad_json(F.col("l_partkey")), F.col("l_discount").cast("string")
+    q, s = _quad_json(F.col("l_partkey") + 1), F.col("l_discount").cast("string")
     kind = F.col("l_linenumber") % 6
     result = (
         F.when(kind == 0, F.concat(F.lit('{"dt_polys":['), q, F.lit(","), q, F.lit('],"dt_scores":['), s, F.lit("]}")))

@@ -35,36 +35,43 @@ def normalize_detections(results: DataFrame, key: list[str]) -> DataFrame:
     (polygon, score) pair, and lists of any of these. Each pass opens one level of lists and the forms are told apart
     by what the text parses to.
     """
-    whole = F.from_json("result", f"struct<dt_polys:array<{_QUAD}>,dt_scores:array<double>,points:{_QUAD},poly:{_QUAD},bbox:{_QUAD},score:double>")
+    shape = f"struct<dt_polys:array<{_QUAD}>,dt_scores:array<double>,points:{_QUAD},poly:{_QUAD},bbox:{_QUAD},score:double>"
+    entry = f"struct<result:string,polygon:{_QUAD},score:double>"
 
-    def forms(df: DataFrame) -> DataFrame:
-        return df.select(
-            *key, "at", "result", whole.alias("o"), F.from_json("result", _QUAD).alias("q"),
-            F.from_json("result", "array<string>").alias("items"),
-        )
+    def found(polygon: Column, score: Column) -> Column:
+        return F.struct(F.lit(None).cast("string").alias("result"), polygon.alias("polygon"), score.alias("score"))
 
-    level = forms(results.select(*key, "result", F.array().cast("array<int>").alias("at")))
-    found = []
-    for _ in range(4):  # nesting depth of known outputs: batch, page, list, pair
+    def unopened(text: Column) -> Column:
+        return F.struct(text.alias("result"), F.lit(None).cast(_QUAD).alias("polygon"), F.lit(None).cast("double").alias("score"))
+
+    def open_level(df: DataFrame) -> DataFrame:
         is_object = strip("result").startswith("{")
-        parallel = level.filter(is_object & F.col("o.dt_polys").isNotNull())
-        found.append(parallel.select(*key, "at", F.posexplode("o.dt_polys").alias("n", "polygon"), "o").select(
-            *key, "at", "n", "polygon", F.get("o.dt_scores", F.col("n")).alias("score")))
-        single = level.filter(is_object & F.col("o.dt_polys").isNull())
-        found.append(single.select(*key, "at", F.lit(0).alias("n"), F.coalesce("o.points", "o.poly", "o.bbox").alias("polygon"), F.col("o.score").alias("score")))
-        lists = level.filter(~is_object)
-        quad = F.coalesce((F.size("q") == 4) & F.forall("q", lambda p: F.coalesce(F.size(p) == 2, F.lit(False))), F.lit(False))
-        found.append(lists.filter(quad).select(*key, "at", F.lit(0).alias("n"), F.col("q").alias("polygon"), F.lit(None).cast("double").alias("score")))
-        first = F.from_json(F.get("items", F.lit(0)), _QUAD)
-        number = F.get("items", F.lit(1)).try_cast("double")
-        pair = ~quad & F.coalesce((F.size("items") >= 2) & (F.size(first) == 4) & number.isNotNull(), F.lit(False))
-        found.append(lists.filter(pair).select(*key, "at", F.lit(0).alias("n"), first.alias("polygon"), number.alias("score")))
-        deeper = lists.filter(~quad & ~pair).select(*key, "at", F.posexplode("items").alias("n", "result"))
-        level = forms(deeper.select(*key, "result", F.concat("at", F.array("n")).alias("at")))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out.filter("polygon is not null").select(*key, F.concat("at", F.array("n")).alias("position"), "polygon", "score")
+        parsed = df.withColumn("_o", F.when(is_object, F.from_json("result", shape))).withColumn(
+            "_q", F.when(~is_object, F.from_json("result", _QUAD))
+        ).withColumn("_i", F.when(~is_object, F.from_json("result", "array<string>")))
+        o, q, items = F.col("_o"), F.col("_q"), F.col("_i")
+        quad = F.coalesce((F.size(q) == 4) & F.forall(q, lambda p: F.coalesce(F.size(p) == 2, F.lit(False))), F.lit(False))
+        first, number = F.from_json(F.get(items, F.lit(0)), _QUAD), F.get(items, F.lit(1)).try_cast("double")
+        pair = F.coalesce((F.size(items) >= 2) & (F.size(first) == 4) & number.isNotNull(), F.lit(False))
+        entries = (
+            F.when(F.col("result").isNull(), F.array(found(F.col("polygon"), F.col("score"))).cast(f"array<{entry}>"))
+            .when(o["dt_polys"].isNotNull(), F.transform(o["dt_polys"], lambda p, i: found(p, F.get(o["dt_scores"], i))).cast(f"array<{entry}>"))
+            .when(o.isNotNull(), F.array(found(F.coalesce(o["points"], o["poly"], o["bbox"]), o["score"])).cast(f"array<{entry}>"))
+            .when(quad, F.array(found(q, F.lit(None).cast("double"))).cast(f"array<{entry}>"))
+            .when(pair, F.array(found(first, number)).cast(f"array<{entry}>"))
+            .otherwise(F.transform(items, unopened).cast(f"array<{entry}>"))
+        )
+        opened = parsed.select(*key, "at", F.posexplode(entries).alias("n", "e"))
+        # Nothing without text or polygon goes on.
+        alive = opened.filter(F.col("e.result").isNotNull() | F.col("e.polygon").isNotNull())
+        return alive.select(*key, F.concat("at", F.array("n")).alias("at"), "e.*")
+
+    level = results.select(
+        *key, F.array().cast("array<int>").alias("at"), "result", F.lit(None).cast(_QUAD).alias("polygon"), F.lit(None).cast("double").alias("score")
+    )
+    for _ in range(4):  # nesting depth of known outputs: batch, page, list, pair
+        level = open_level(level)
+    return level.filter("polygon is not null").select(*key, F.col("at").alias("position"), "polygon", "score")
 
 
 def extract_text(result: Column, depth: int = 3) -> Column:
