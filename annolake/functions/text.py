@@ -78,7 +78,7 @@ def multiset_bound(left: Column, right: Column) -> Column:
         F.lit(0),
         lambda acc, c: acc + (F.least(count(left, c), count(right, c)) / units(c)).cast("int"),
     )
-    return 2.0 * shared / (F.length(left) + F.length(right))
+    return 2.0 * shared / F.greatest(F.lit(1), F.length(left) + F.length(right))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -155,6 +155,13 @@ def _qualifying(candidates: DataFrame, adjacency: DataFrame, maximum: float) ->
 _FIELDS = ["segment_id", "video_id", "norm_text"]
 
 
+def _comparable(samples: DataFrame) -> DataFrame:
+    """Positives long enough to compare. A sample outside every timeline has no neighbours: its video is left out."""
+    pos = positives(samples).filter(F.length("norm_text") >= tx.MIN_COMPARED_CHARS)
+    timed = F.when(F.col("frame_index").isNotNull(), F.col("video_id"))
+    return pos.withColumn("video_id", timed).select("root", "sample_idx", *_FIELDS)
+
+
 def _side(prefix: str) -> list[Column]:
     return [F.col("sample_idx").alias(f"{prefix}_idx"), *[F.col(c).alias(f"{prefix}_{c}") for c in _FIELDS]]
 
@@ -168,8 +175,7 @@ def ocr_negatives_in_order(samples: DataFrame, limit: int, maximum: float, first
     if limit <= 0:
         return samples.sparkSession.createDataFrame([], "i long, j long, same boolean, source string")
     # Texts below the compared length never qualify; leaving them out keeps the order of the others.
-    pos = positives(samples).filter(F.length("norm_text") >= tx.MIN_COMPARED_CHARS)
-    ranked = with_member(pos.select("root", "sample_idx", *_FIELDS), ["root"])
+    ranked = with_member(_comparable(samples), ["root"])
     ranked = running_sums(
         ranked.withColumn("later", (F.col("members") - F.col("member") - 1).cast("decimal(38,0)")),
         ["sample_idx"], {"start": F.col("later")}, (), index_block(F.col("sample_idx")),
@@ -326,8 +332,7 @@ def ocr_negative_sample(
     empty = samples.sparkSession.createDataFrame([], "i long, j long, same boolean, source string")
     if count <= 0:
         return empty
-    pos = positives(samples).filter(F.length("norm_text") >= tx.MIN_COMPARED_CHARS)
-    ranked = checkpointed(with_member(pos.select("root", "sample_idx", *_FIELDS), ["root"]))
+    ranked = checkpointed(with_member(_comparable(samples), ["root"]))
     roots = ranked.groupBy("root").agg(F.max("members").cast("double").alias("n")).withColumn("w", F.col("n") * (F.col("n") - 1) / 2)
     total = roots.agg(F.sum("w")).first()[0] or 0.0
     adjacency = checkpointed(adjacency_edges(samples))

@@ -11,6 +11,6 @@ from annolake.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session()
-    session.sparkContext.setLogLevel("ERROR")
+    session = build_session(shuffle_partitions=4)
+    session.sparkContext.setLogLevel("OFF")
     return session
