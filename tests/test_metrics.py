@@ -58,7 +58,7 @@ def test_report_against_definitions(spark):
 
 
 def test_rankings(spark):
-    rows = [("a", 1, 0, 0, 0.1), ("a", 2, 0, 0, 0.3), ("a", 3, 1, 0, 0.9), ("a", 4, 0, 0, 0.3)]
+    rows = [("a", 1, 0.0, 0.0, 0.1), ("a", 2, 0.0, 0.0, 0.3), ("a", 3, 1.0, 0.0, 0.9), ("a", 4, 0.0, 0.0, 0.3)]
     runs = spark.createDataFrame(rows, "run string, epoch int, pair_false_positive_count double, pair_false_negative_count double, pair_gap double")
     assert m.best_run(runs, m.matcher_rank(runs.columns)).first().epoch == 2
     runs = spark.createDataFrame([("a", 1, 0.9, 0.2), ("a", 2, 0.8, 0.9)], "run string, epoch int, presence_f1 double, embedding_pair_accuracy double")
