@@ -81,11 +81,18 @@ def transform_box(box: Column, sx, sy, dx=0.0, dy=0.0) -> Column:
 
 
 def yolo_to_box(cx, cy, w, h, width, height) -> Column:
-    """Normalised centre/size to clipped pixel corners."""
+    """Normalised centre/size to clipped, ordered pixel corners.
+
+    Clamping keeps order, so the absolute half size orders the corners at once; small expressions matter here, because
+    filters on boxes are copied below the projection.
+    """
     cx, cy, w, h, width, height = map(_c, (cx, cy, w, h, width, height))
-    px, py, pw, ph = cx * width, cy * height, w * width, h * height
-    half = F.lit(0.5)
-    return clip_box(make_box(px - pw * half, py - ph * half, px + pw * half, py + ph * half), width, height)
+    px, py, half = cx * width, cy * height, F.lit(0.5)
+    hx, hy = F.abs(w * width * half), F.abs(h * height * half)
+    right, bottom, zero = width.cast("double"), height.cast("double"), F.lit(0.0)
+    return make_box(
+        clamp(px - hx, zero, right), clamp(py - hy, zero, bottom), clamp(px + hx, zero, right), clamp(py + hy, zero, bottom)
+    )
 
 
 def box_iou(a: Column, b: Column) -> Column:

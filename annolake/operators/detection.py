@@ -44,12 +44,11 @@ def _belongs(a, b) -> bool:
     return stacked and _gap(a[1], a[3], b[1], b[3]) <= tall * STACK_GAP_HEIGHTS
 
 
-def merge_adjacent(boxes: np.ndarray) -> np.ndarray:
+def merge_adjacent(boxes) -> list[tuple]:
     """Repeat top-down passes, each box swallowing later ones that belong to it, until nothing changes."""
-    arrange = lambda b: b[np.lexsort((b[:, 0], b[:, 1]))]
-    rows = np.asarray(boxes, dtype="float64").reshape(-1, 4)
+    rows = [tuple(b) for b in boxes]
     while len(rows) > 1:
-        waiting, settled = [tuple(r) for r in arrange(rows)], []
+        waiting, settled = sorted(rows, key=lambda b: (b[1], b[0])), []
         while waiting:
             grown, kept = waiting[0], []
             for other in waiting[1:]:
@@ -60,47 +59,48 @@ def merge_adjacent(boxes: np.ndarray) -> np.ndarray:
             settled.append(grown)
             waiting = kept
         done = len(settled) == len(rows)
-        rows = arrange(np.array(settled))
+        rows = sorted(settled, key=lambda b: (b[1], b[0]))
         if done:
             break
     return rows
 
 
-def match_counts(predictions: np.ndarray, targets: np.ndarray, threshold: float) -> tuple[int, int, int]:
+def _iou(a, b) -> float:
+    shared = _overlap(a[0], a[2], b[0], b[2]) * _overlap(a[1], a[3], b[1], b[3])
+    area = lambda c: max(0.0, c[2] - c[0]) * max(0.0, c[3] - c[1])
+    union = area(a) + area(b) - shared
+    return shared / union if union > 0 else 0.0
+
+
+def match_counts(predictions, targets, threshold: float) -> tuple[int, int, int]:
     """(tp, fp, fn) after merging both sides; predictions claim the best free target in their order."""
-    predictions, targets = merge_adjacent(predictions), merge_adjacent(targets)
-    if not len(predictions) or not len(targets):
-        return 0, len(predictions), len(targets)
-    size = lambda b: np.maximum(b[..., 2:] - b[..., :2], 0.0)
-    low = np.maximum(predictions[:, None, :2], targets[None, :, :2])
-    high = np.minimum(predictions[:, None, 2:], targets[None, :, 2:])
-    shared = np.maximum(high - low, 0.0).prod(axis=2)
-    union = size(predictions).prod(axis=1)[:, None] + size(targets).prod(axis=1)[None] - shared
-    iou = np.where(union > 0, shared / np.where(union > 0, union, 1.0), 0.0)
+    predictions, free = merge_adjacent(predictions), merge_adjacent(targets)
     hits = 0
-    for row in iou:
-        best = int(row.argmax())
-        if row[best] > 0 and row[best] >= threshold:
+    for box in predictions:
+        best = max(range(len(free)), key=lambda k: _iou(box, free[k]), default=None)
+        overlap = 0.0 if best is None else _iou(box, free[best])
+        if overlap > 0 and overlap >= threshold:
             hits += 1
-            iou[:, best] = -1.0
-    return hits, len(predictions) - hits, len(targets) - hits
-
-
-def _flat(box: Column) -> Column:
-    return F.array(box["x1"], box["y1"], box["x2"], box["y2"])
+            del free[best]
+    return hits, len(predictions) - hits, len(free)
 
 
 def box_lists(boxes: DataFrame, by: list[str], name: str) -> DataFrame:
     """Distinct boxes of each group as one flat array. Copies below half a pixel of height are kept."""
-    flat = boxes.select(*by, _flat(F.col("box")).alias("_b"))
-    thin = F.col("_b")[3] - F.col("_b")[1] < 0.5
-    unique = flat.filter(~thin).distinct().unionByName(flat.filter(thin))
-    return unique.groupBy(*by).agg(F.flatten(F.array_sort(F.collect_list("_b"))).alias(name))
+    sides = ["x1", "y1", "x2", "y2"]
+    unique = boxes.select(*by, *[F.col("box")[k].alias(k) for k in sides]).groupBy(*by, *sides).agg(F.count(F.lit(1)).alias("_n"))
+    times = F.when(F.col("y2") - F.col("y1") < 0.5, F.col("_n")).otherwise(1).cast("int")
+    copies = F.array_repeat(F.array(*sides), times)
+    return unique.groupBy(*by).agg(F.flatten(F.array_sort(F.flatten(F.collect_list(copies)))).alias(name))
+
+
+def _rows(flat) -> list[list[float]]:
+    return [] if flat is None else np.asarray(flat).reshape(-1, 4).tolist()
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _merged(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda b: merge_adjacent(b).ravel())
+    return lists.map(lambda b: [v for box in merge_adjacent(_rows(b)) for v in box])
 
 
 def merge_adjacent_boxes(boxes: DataFrame, by: list[str]) -> DataFrame:
@@ -117,8 +117,7 @@ def evaluate_images(predictions: DataFrame, targets: DataFrame, by: list[str], t
 
     @F.pandas_udf("tp long, fp long, fn long")
     def score(p: pd.Series, t: pd.Series) -> pd.DataFrame:
-        as_rows = lambda v: np.empty((0, 4)) if v is None else np.asarray(v).reshape(-1, 4)
-        counts = [match_counts(as_rows(a), as_rows(b), threshold) for a, b in zip(p, t)]
+        counts = [match_counts(_rows(a), _rows(b), threshold) for a, b in zip(p, t)]
         return pd.DataFrame(counts, columns=["tp", "fp", "fn"], dtype="int64")
 
     both = box_lists(predictions, by, "_p").join(box_lists(targets, by, "_t"), by, "full")

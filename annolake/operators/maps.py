@@ -31,10 +31,34 @@ def rasterize_boxes(boxes: DataFrame, key: str, in_size: tuple[int, int], out_si
     top = clamp(F.floor(b["y1"] * oh / ih), F.lit(0), F.lit(oh))
     right = F.greatest(left + 1, F.least(F.lit(ow), F.ceil(b["x2"] * ow / iw)))
     bottom = F.greatest(top + 1, F.least(F.lit(oh), F.ceil(b["y2"] * oh / ih)))
-    # Many boxes share a cover; equal covers unfold once.
-    covers = boxes.select(key, left.alias("l"), top.alias("t"), right.alias("r"), bottom.alias("b")).distinct()
-    cells = _cells(covers, [F.col(key)], F.col("l"), F.col("t"), F.col("r"), F.col("b"))
-    return cells.filter((F.col("x") < ow) & (F.col("y") < oh)).distinct()
+    # Right and bottom always pass left and top, so only a start beyond the map leaves nothing.
+    spans = boxes.filter((left < ow) & (top < oh)).select(
+        key, left.alias("l"), top.alias("t"), F.least(right, F.lit(ow)).alias("r"), F.least(bottom, F.lit(oh)).alias("b")
+    )
+    return _distinct_cells(spans, key)
+
+
+_WORD = 32
+
+
+def _distinct_cells(spans: DataFrame, key: str) -> DataFrame:
+    """Distinct cells of non-empty integer spans (l, t, r, b). Rows of cells travel as 32-bit words joined by ``bit_or``, so what
+    is shuffled is up to 32 times smaller than the cells."""
+    words = F.sequence(F.floor(F.col("l") / _WORD).cast("int"), F.floor((F.col("r") - 1) / _WORD).cast("int"))
+    rows = spans.select(
+        key, "l", "r", F.explode(words).alias("word"), F.col("t").cast("int").alias("t"), F.col("b").cast("int").alias("b")
+    )
+    first = F.greatest(F.col("l") - F.col("word") * _WORD, F.lit(0)).cast("int")
+    last = F.least(F.col("r") - F.col("word") * _WORD, F.lit(_WORD)).cast("int")
+    mask = F.expr("shiftleft(1L, _last) - shiftleft(1L, _first)")
+    rows = rows.withColumn("_first", first).withColumn("_last", last).select(
+        key, "word", mask.alias("mask"), F.explode(F.sequence(F.col("t"), F.col("b") - 1)).alias("y")
+    )
+    joined = rows.groupBy(key, "y", "word").agg(F.bit_or("mask").alias("mask"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(_WORD - 1)), lambda i: F.getbit("mask", i) == 1)
+    return joined.select(key, "y", "word", F.explode(bits).alias("bit")).select(
+        key, "y", (F.col("word") * _WORD + F.col("bit")).cast("int").alias("x")
+    )
 
 
 def _cover(b: Column, width: int, height: int) -> list[Column]:

@@ -79,10 +79,13 @@ def assemble_samples(images: DataFrame, labels: DataFrame, annotations: DataFram
 
 def union_boxes(pixel_boxes: DataFrame, by: list[str]) -> DataFrame:
     """Union of the positive-area boxes per group."""
-    positive = pixel_boxes.filter((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
-    return positive.groupBy(*by).agg(
-        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")
+    positive = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    kept = lambda c: F.when(positive, F.col(c))
+    # Conditional aggregates instead of a filter: a filter would compute the boxes a second time below the projection.
+    unions = pixel_boxes.groupBy(*by).agg(
+        F.min(kept("x1")).alias("x1"), F.min(kept("y1")).alias("y1"), F.max(kept("x2")).alias("x2"), F.max(kept("y2")).alias("y2")
     )
+    return unions.filter("x1 is not null")
 
 
 def common_roi(unions: DataFrame) -> DataFrame:

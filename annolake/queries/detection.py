@@ -147,12 +147,12 @@ def _(t):
 def _prob_cells(t):
     """Dense 16 x 9 cell table: target from the box cover, probability from a fixed pattern."""
     images = t.flat_boxes.select("image_id").distinct()
-    grid = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(143))).alias("idx"))
     cover = mp.rasterize_boxes(_detections(t)[1].filter("box_id < 2"), "image_id", (1280, 720), (16, 9))
-    cover = cover.select("image_id", (F.col("y") * 16 + F.col("x")).alias("idx"), F.lit(1.0).alias("hit"))
+    hit = cover.groupBy("image_id").agg(F.collect_set(F.col("y") * 16 + F.col("x")).alias("hit"))
+    grid = images.join(hit, "image_id", "left").select("image_id", "hit", F.explode(F.sequence(F.lit(0), F.lit(143))).alias("idx"))
     prob = ((F.col("idx") * 7 + F.col("image_id") * 13) % 101 / 100).alias("prob")
-    return grid.join(cover, ["image_id", "idx"], "left").select(
-        "image_id", "idx", F.coalesce("hit", F.lit(0.0)).alias("target"), prob, F.when(F.col("idx") % 17 == 0, 0.0).otherwise(1.0).alias("valid"))
+    target = F.coalesce(F.array_contains("hit", F.col("idx")), F.lit(False)).cast("double").alias("target")
+    return grid.select("image_id", "idx", target, prob, F.when(F.col("idx") % 17 == 0, 0.0).otherwise(1.0).alias("valid"))
 
 
 _PROB = """with {boxes}, {corners}, cover as (select distinct image_id, cast(least(greatest(floor(x1 * 16 / 1280), 0), 16) as int) as l, cast(least(greatest(floor(y1 * 9 / 720), 0), 9) as int) as t,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolake.functions.geometry import rect_to_yolo, yolo_to_box, yolo_to_rect
+from annolake.functions.geometry import bound, rect_to_yolo, yolo_to_box, yolo_to_rect
 from annolake.operators.filters import usable_box
 from annolake.operators.ordered import index_block, with_rank
 from annolake.sources.lines import read_lines, root_of, stem, strip
@@ -28,17 +28,13 @@ def read_label_lines(spark: SparkSession, roots: list[str]) -> DataFrame:
     return lines.select(root_of(F.col("path"), 2).alias("root"), stem(F.col("path")).alias("sample_id"), "line_index", "value")
 
 
-def _numbers(tokens: Column) -> list[Column]:
-    return [F.get(tokens, F.lit(i)).try_cast("double") for i in range(5)]
-
-
 def parse_labels_lenient(lines: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
     """Usable boxes with both indexes: the physical line and the place among usable boxes. Bad lines are skipped."""
-    tokens = F.split(strip(F.regexp_replace("value", r"\s+", " ")), " ")
-    rows = lines.withColumn("_t", tokens).filter(F.size("_t") == 5)
-    numbers = rows.select(*by, "line_index", *[c.alias(n) for c, n in zip(_numbers(F.col("_t")), ("class", "cx", "cy", "w", "h"))]).dropna()
-    boxed = numbers.join(sizes, by).withColumn("box", yolo_to_box("cx", "cy", "w", "h", "width", "height"))
-    usable = boxed.filter(usable_box(F.col("box"))).select(*by, "line_index", "box")
+    tokens = F.split(strip("value"), r"\s+")
+    numbers = bound(tokens, lambda t: F.when(F.size(t) == 5, F.transform(t, lambda v: v.try_cast("double"))))
+    rows = lines.select(*by, "line_index", numbers.alias("_v")).filter(F.col("_v").isNotNull() & ~F.exists("_v", lambda v: v.isNull()))
+    box = yolo_to_box(*[F.col("_v")[i] for i in range(1, 5)], "width", "height")
+    usable = rows.join(sizes, by).select(*by, "line_index", box.alias("box")).filter(usable_box(F.col("box")))
     return with_rank(usable, ["line_index"], index_block(F.col("line_index"), 4096), by, "valid_index")
 
 
