@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolake.functions.geometry import box_height, box_width, clip_box, make_box
+from annolake.functions.geometry import clip_box, make_box
 from annolake.operators.filters import label_is_masked, usable_box
+from annolake.operators.ordered import index_block, with_rank
 
 
 def apply_review(items: DataFrame, review: DataFrame) -> DataFrame:
@@ -114,7 +115,8 @@ def labelled(samples: DataFrame, label_lines: DataFrame, added: DataFrame) -> Da
 def skip_existing(rows: DataFrame, done: DataFrame, key: str, order: str, max_samples: int | None = None) -> DataFrame:
     """Rows without output; the head is taken before the skip."""
     if max_samples is not None:
-        rows = rows.orderBy(order).limit(max_samples)
+        ranked = with_rank(rows, [order], index_block(F.col(order)), (), "_at")
+        rows = ranked.filter(F.col("_at") < max_samples).drop("_at")
     return rows.join(done.select(key), key, "left_anti")
 
 

@@ -10,11 +10,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annolake.functions import text as tx
-from annolake.operators.ordered import crc_block, exploded_range, index_block, running_sums, with_rank
+from annolake.operators.ordered import exploded_range, index_block, running_sums, with_rank
 from annolake.operators.segments import adjacency_edges, adjacent_segments
 from annolake.session import checkpointed
 
@@ -27,6 +26,12 @@ def positives(samples: DataFrame) -> DataFrame:
     return kept if "norm_text" in kept.columns else kept.withColumn("norm_text", tx.normalize_text(F.col("ocr_text")))
 
 
+def prepared(samples: DataFrame) -> DataFrame:
+    """What mining needs, with texts normalised once and written down for the many reads that follow."""
+    text = F.when(F.col("has_subtitle"), tx.normalize_text(F.col("ocr_text"))).otherwise("")
+    return checkpointed(samples.select("root", "sample_idx", "has_subtitle", "segment_id", "video_id", "frame_index", text.alias("norm_text")))
+
+
 def with_member(df: DataFrame, by: list[str]) -> DataFrame:
     """Position and size within a group, in sample order."""
     ranked = with_rank(df, ["sample_idx"], index_block(F.col("sample_idx")), by, "member", totals=True)
@@ -213,6 +218,7 @@ def select_pairs(
     """All positives and local negatives plus budgeted text negatives; also a one-row count frame."""
     if not 0.0 <= maximum <= 1.0:
         raise ValueError("OCR negative max similarity must be in [0, 1]")
+    samples = prepared(samples)
     local = positive_pairs(samples).unionByName(local_negative_pairs(samples))
     local = checkpointed(local)
     n_same, n_diff = local.agg(F.count_if("same"), F.count_if(~F.col("same"))).first()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from annolake.operators.ordered import exploded_range, index_block, with_rank
 from annolake.operators.pairs import (
-    hash_block, hash_key, local_negative_pairs, ocr_negative_sample, positives_only,
+    hash_block, hash_key, local_negative_pairs, ocr_negative_sample, positives_only, prepared,
     rank_local_negatives, top_local_negatives,
 )
 from annolake.session import checkpointed
@@ -111,7 +111,7 @@ def schedule_stats(schedule: DataFrame, samples: DataFrame) -> DataFrame:
 
 def pair_epoch_schedule(
     samples: DataFrame, batch_size: int, seed: int, epoch: int, negative_ratio: float = 0.5, ocr_enabled: bool = True,
-    maximum: float = 0.2, ocr_ratio: float = 0.3, shards: int = 8, negative_source=local_negative_pairs,
+    maximum: float = 0.2, ocr_ratio: float = 0.3, shards: int | None = None, negative_source=local_negative_pairs,
 ) -> DataFrame:
     """Pairs of one epoch with their batch: i, j, same, source, shard, batch_id.
 
@@ -121,6 +121,8 @@ def pair_epoch_schedule(
     for name, value in (("negative_ratio", negative_ratio), ("maximum", maximum), ("ocr_ratio", ocr_ratio)):
         if not 0.0 <= value <= 1.0:
             raise ValueError(f"{name} must be in [0, 1]")
+    shards = shards or int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    samples = prepared(samples)
     positive = checkpointed(
         select_positive_pairs(samples, seed, epoch).select("i", "j", F.lit(True).alias("same"), F.lit("local").alias("source"))
     )

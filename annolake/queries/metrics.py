@@ -15,6 +15,11 @@ def _r6(df):
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _r9(df):
+    """Doubles rounded to nine decimals: percentiles of six-decimal scores have ties at six."""
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def _pair_scores(t):
     scored = pair_scores(
         t.pairs.select("left_id", "right_id", "same", "source"), t.table("embeddings").select("vec_id", "embedding"), 0.5
@@ -79,12 +84,12 @@ _PAIR_STATS = """q as (select avg(score) as same_score, quantile_cont(score, 0.0
  sum((score >= 0.5 and not same)::int)::double as false_positive, sum((score < 0.5 and same)::int)::double as false_negative,
  sum((same and source = 'local')::int)::double as local_positive, sum((not same and source = 'local')::int)::double as local_negative,
  sum((not same and source = 'ocr')::int)::double as ocr_negative from pair_scores)"""
-_PAIR_SELECT = """round(accuracy, 6) as accuracy, pairs, round(same_score, 6) as same_score, round(diff_score, 6) as diff_score,
- round(roc_auc, 6) as roc_auc, round(positive_p05, 6) as positive_p05, round(positive_p10, 6) as positive_p10,
- round(positive_p25, 6) as positive_p25, round(positive_p50, 6) as positive_p50, round(negative_p90, 6) as negative_p90,
- round(negative_p95, 6) as negative_p95, round(negative_p99, 6) as negative_p99, false_positive, false_negative,
- round(min_positive, 6) as min_positive, round(max_negative, 6) as max_negative, round(min_positive - max_negative, 6) as gap,
- round(best_f1_threshold, 6) as best_f1_threshold, round(best_f1, 6) as best_f1,
+_PAIR_SELECT = """round(accuracy, 9) as accuracy, pairs, round(same_score, 9) as same_score, round(diff_score, 9) as diff_score,
+ round(roc_auc, 9) as roc_auc, round(positive_p05, 9) as positive_p05, round(positive_p10, 9) as positive_p10,
+ round(positive_p25, 9) as positive_p25, round(positive_p50, 9) as positive_p50, round(negative_p90, 9) as negative_p90,
+ round(negative_p95, 9) as negative_p95, round(negative_p99, 9) as negative_p99, false_positive, false_negative,
+ round(min_positive, 9) as min_positive, round(max_negative, 9) as max_negative, round(min_positive - max_negative, 9) as gap,
+ round(best_f1_threshold, 9) as best_f1_threshold, round(best_f1, 9) as best_f1,
  (min_positive > max_negative)::int::double as zero_error_threshold_exists"""
 
 
@@ -92,7 +97,7 @@ _PAIR_SELECT = """round(accuracy, 6) as accuracy, pairs, round(same_score, 6) as
        + _AUC.format(by="", t="same", pt="", pp="partition by", src="pair_scores", gb="") + ", " + _SWEEP.format(t="same", src="pair_scores")
        + " select " + _PAIR_SELECT + ", local_positive, local_negative, ocr_negative, cast(0 as double) as skipped from q, w, c, auc, best")
 def _(t):
-    return _r6(m.pair_metrics(_pair_scores(t), 0.5))
+    return _r9(m.pair_metrics(_pair_scores(t), 0.5))
 
 
 @query("roc_auc", "AG-09", "with {scores}, " + _AUC.format(by="sample_type,", t="target", pt="partition by sample_type", pp="partition by sample_type,", src="scores", gb="group by sample_type")
@@ -256,18 +261,18 @@ def _(t):
 
 @query("hard_negative_metrics", "AG-25", """with {pairs}, {pair_scores}, p as (select *, (left_id % 9 = 0 or right_id % 9 = 0) as short,
  (score >= 0.1) = same as ok, not same and source = 'local' as hard from pair_scores)
- select round(avg(case when not short then ok::int end), 6) as normal_accuracy,
- round(avg(case when hard then ok::int end), 6) as hard_negative_accuracy,
- round(avg(case when hard then score end), 6) as hard_negative_sim, sum(hard::int)::double as hard_negative_pairs,
- round(quantile_cont(case when hard then score end, 0.5), 6) as hard_negative_sim_p50,
- round(quantile_cont(case when hard then score end, 0.9), 6) as hard_negative_sim_p90,
- round(quantile_cont(case when hard then score end, 0.95), 6) as hard_negative_sim_p95,
- round(quantile_cont(case when same then score end, 0.5), 6) as same_sim_p50,
- round(quantile_cont(case when same then score end, 0.1), 6) as same_sim_p10,
- round(quantile_cont(case when same then score end, 0.1) - quantile_cont(case when hard then score end, 0.9), 6) as hard_margin from p""")
+ select round(avg(case when not short then ok::int end), 9) as normal_accuracy,
+ round(avg(case when hard then ok::int end), 9) as hard_negative_accuracy,
+ round(avg(case when hard then score end), 9) as hard_negative_sim, sum(hard::int)::double as hard_negative_pairs,
+ round(quantile_cont(case when hard then score end, 0.5), 9) as hard_negative_sim_p50,
+ round(quantile_cont(case when hard then score end, 0.9), 9) as hard_negative_sim_p90,
+ round(quantile_cont(case when hard then score end, 0.95), 9) as hard_negative_sim_p95,
+ round(quantile_cont(case when same then score end, 0.5), 9) as same_sim_p50,
+ round(quantile_cont(case when same then score end, 0.1), 9) as same_sim_p10,
+ round(quantile_cont(case when same then score end, 0.1) - quantile_cont(case when hard then score end, 0.9), 9) as hard_margin from p""")
 def _(t):
     scored = _pair_scores(t).withColumn("short", (F.col("left_id") % 9 == 0) | (F.col("right_id") % 9 == 0))
-    return _r6(m.hard_negative_metrics(scored, 0.1))
+    return _r9(m.hard_negative_metrics(scored, 0.1))
 
 
 @query("acceptance_gates", "AG-31", """with {scores}, c as (select """ + _CONF.format(t=0.5) + """, min(case when target then score end) as lo,

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from annolake.operators.ordered import with_rank
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 COVERS: dict[str, str] = {}
@@ -65,8 +67,8 @@ class Tables:
             F.lit(1280).alias("width"),
             F.lit(720).alias("height"),
             line.cast("long").alias("line_index"),
-            ((c("l_partkey") % 1000).cast("double") / 1000).alias("cx"),
-            ((c("l_suppkey") % 100).cast("double") / 100).alias("cy"),
+            ((c("l_partkey") * 7919 % 1000).cast("double") / 1000).alias("cx"),
+            (((c("l_suppkey") * 31 + c("l_partkey")) % 100).cast("double") / 100).alias("cy"),
             (c("l_quantity") / 100).alias("w"),
             ((1 + c("l_linenumber")).cast("double") / 40).alias("h"),
             F.when(c("l_returnflag") != "A", 1 - 5 * c("l_discount")).alias("score"),
@@ -83,8 +85,8 @@ class Tables:
             c("l_orderkey").alias("image_id"),
             F.lit(1280).alias("width"),
             F.lit(720).alias("height"),
-            ((c("l_partkey") % 1000).cast("double") / 1000).alias("cx"),
-            ((c("l_suppkey") % 100).cast("double") / 100).alias("cy"),
+            ((c("l_partkey") * 7919 % 1000).cast("double") / 1000).alias("cx"),
+            (((c("l_suppkey") * 31 + c("l_partkey")) % 100).cast("double") / 100).alias("cy"),
             (c("l_quantity") / 100).alias("w"),
             ((1 + c("l_linenumber")).cast("double") / 40).alias("h"),
             F.when(c("l_returnflag") != "A", 1 - 5 * c("l_discount")).alias("score"),
@@ -130,11 +132,12 @@ class Tables:
     @cached_property
     def frame_events(self) -> DataFrame:
         c = F.col
-        frame = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-        return self.table("events").select(
+        day = F.floor(F.unix_seconds(c("ts").cast("timestamp")) / 86_400)
+        ranked = with_rank(self.table("events"), ["ts", "event_id"], day, ["user_id"], "at")
+        return ranked.select(
             F.concat(F.lit("u"), c("user_id") % 4).alias("root"),
             c("user_id").cast("string").alias("video_id"),
-            frame.cast("long").alias("frame_index"),
+            (c("at") + 1).alias("frame_index"),
             c("event_id").alias("sample_idx"),
             c("event_id").cast("string").alias("sample_id"),
             c("event_type").alias("segment_id"),
@@ -151,7 +154,7 @@ VIEWS = {
     "boxes": """boxes as (select 'r' || (l_orderkey % 4) as root, l_orderkey as image_id, 1280 as width, 720 as height,
  row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity,
  l_shipdate, l_discount, l_tax, l_returnflag, l_linestatus) - 1 as line_index,
- cast(l_partkey % 1000 as double) / 1000 as cx, cast(l_suppkey % 100 as double) / 100 as cy, l_quantity / 100 as w,
+ cast(l_partkey * 7919 % 1000 as double) / 1000 as cx, cast((l_suppkey * 31 + l_partkey) % 100 as double) / 100 as cy, l_quantity / 100 as w,
  cast(1 + l_linenumber as double) / 40 as h,
  case when l_returnflag <> 'A' then 1 - 5 * l_discount end as score, 200 * l_tax as jitter_px, l_linestatus as status
  from lineitem)""",
