@@ -67,12 +67,12 @@ def ordered_box(x1, y1, x2, y2) -> Column:
     return make_box(F.least(x1, x2), F.least(y1, y2), F.greatest(x1, x2), F.greatest(y1, y2))
 
 
-def clip_box(box: Column, width, height) -> Column:
+def clip_box(box: Column, width, height, ordered: bool = False) -> Column:
+    """Clamp into the image and order the corners. ``ordered``: the corners are in order, which clamping keeps."""
     w, h = _c(width).cast("double"), _c(height).cast("double")
     zero = F.lit(0.0)
-    return ordered_box(
-        clamp(box["x1"], zero, w), clamp(box["y1"], zero, h), clamp(box["x2"], zero, w), clamp(box["y2"], zero, h)
-    )
+    corners = (clamp(box["x1"], zero, w), clamp(box["y1"], zero, h), clamp(box["x2"], zero, w), clamp(box["y2"], zero, h))
+    return make_box(*corners) if ordered else ordered_box(*corners)
 
 
 def transform_box(box: Column, sx, sy, dx=0.0, dy=0.0) -> Column:
@@ -135,12 +135,12 @@ def align_dimension(value) -> Column:
     """Half-up to a multiple of 16, at least 16; a non-positive size is an error."""
     value = _c(value)
     aligned = F.greatest(F.floor(value / ALIGNMENT + 0.5) * ALIGNMENT, F.lit(ALIGNMENT)).cast("long")
-    return F.when(value > 0, aligned).otherwise(F.raise_error(F.lit("scaled image dimension must be positive")))
+    return F.when(value > 0, aligned).otherwise(F.raise_error(F.lit("an image side must stay above zero after scaling")))
 
 
 def aligned_resize_size(width, height, scale) -> Column:
     w, h, s = _c(width), _c(height), _c(scale)
-    bad = F.raise_error(F.lit("resize scale must be above 0 and at most 1"))
+    bad = F.raise_error(F.lit("resize scale outside (0, 1]"))
     ok = (s > 0) & (s <= 1)
     return F.struct(
         F.when(ok, align_dimension(w * s)).otherwise(bad).alias("width"),
@@ -182,7 +182,7 @@ def quad_points(points: Column, width, height) -> Column:
     my = F.greatest(_c(height) - 1, F.lit(0)).cast("double")
     fixed = F.transform(points, lambda p: F.array(clamp(p[0], F.lit(0.0), mx), clamp(p[1], F.lit(0.0), my)))
     return F.when(F.size(points) == 4, fixed).otherwise(
-        F.raise_error(F.lit("detection polygon must contain exactly four points"))
+        F.raise_error(F.lit("a polygon needs four points"))
     )
 
 
@@ -294,7 +294,7 @@ def crop_boxes(boxes: Column, crop: Column) -> Column:
 
 
 def scale_boxes(boxes: Column, sx, sy, width, height) -> Column:
-    return F.transform(boxes, lambda b: clip_box(transform_box(b, sx, sy), width, height))
+    return F.transform(boxes, lambda b: clip_box(transform_box(b, sx, sy), width, height, ordered=True))
 
 
 def clamp_edit_rect(x, y, width, height, image_width, image_height) -> Column:

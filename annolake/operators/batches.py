@@ -16,9 +16,9 @@ REQUIRED_TYPES = ("full_frame", "roi", "random_crop")
 def class_slots(batch_size: int, negative_ratio: float, n_pos: int, n_neg: int) -> tuple[int, int]:
     """(positive, negative) slots of a batch."""
     if batch_size <= 0:
-        raise ValueError("batch_size must be positive")
+        raise ValueError("batch_size must be at least 1")
     if not 0.0 <= negative_ratio <= 1.0:
-        raise ValueError("negative_ratio must be in [0, 1]")
+        raise ValueError("negative_ratio outside [0, 1]")
     if n_pos and n_neg:
         negative = round(batch_size * negative_ratio)
         return batch_size - negative, negative
@@ -48,7 +48,7 @@ def balanced_batches(samples: DataFrame, batch_size: int, negative_ratio: float,
     n_pos, n_neg = _counts(samples)
     pos, neg = class_slots(batch_size, negative_ratio, n_pos, n_neg)
     if n_pos and n_neg and ((negative_ratio > 0 and neg == 0) or (negative_ratio < 1 and pos == 0)):
-        raise ValueError("batch_size is too small to realize the requested ratio")
+        raise ValueError("batch too small for this ratio")
     batches = -(-(n_pos + n_neg) // batch_size)
     keyed = samples.select("root", "sample_id", "sample_idx", "has_subtitle")
     parts = []
@@ -69,7 +69,7 @@ def segment_paired_batches(samples: DataFrame, batch_size: int, negative_ratio:
     n_pos, n_neg = _counts(samples)
     pos, neg = class_slots(batch_size, negative_ratio, n_pos, n_neg)
     if n_pos and n_neg and (pos < 2 or (negative_ratio > 0 and neg < 1)):
-        raise ValueError("balanced batches need two subtitle slots and one empty slot when both classes exist")
+        raise ValueError("a batch needs two subtitle places and one empty place")
     needs = [-(-n // s) for n, s in ((n_pos, pos), (n_neg, neg)) if n and s]
     batches = max(needs, default=0)
     keyed = samples.select("root", "sample_id", "sample_idx", "segment_id", "has_subtitle")
@@ -121,7 +121,7 @@ def segment_paired_batches(samples: DataFrame, batch_size: int, negative_ratio:
 def mixed_macro_batches(items: DataFrame, batch_size: int, seed: int, epoch: int) -> DataFrame:
     """Every item once; each batch holds all six (type, label) groups and at least two output sizes."""
     if batch_size < 2 * len(REQUIRED_TYPES):
-        raise ValueError("macro batch_size must be at least 6 to mix all domains and labels")
+        raise ValueError("a mixed batch needs at least six places")
     items = checkpointed(items)
     sizes = {(r["sample_type"], r["has_subtitle"]): r["n"] for r in
              items.filter(F.col("sample_type").isin(*REQUIRED_TYPES)).groupBy("sample_type", "has_subtitle").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -130,7 +130,7 @@ def mixed_macro_batches(items: DataFrame, batch_size: int, seed: int, epoch: int
     for kind in REQUIRED_TYPES:
         for label in (False, True):
             if sizes.get((kind, label), 0) < batches:
-                raise RuntimeError(f"cannot mix macro batches: {kind}, {label} has {sizes.get((kind, label), 0)} of {batches}")
+                raise RuntimeError(f"too few samples to mix: {kind}, {label} has {sizes.get((kind, label), 0)} of {batches}")
     keyed = items.withColumn("_h", hash_key(seed, epoch, "item"))
     grouped = with_rank(keyed, ["_h", "item"], hash_block(F.col("_h")), ["sample_type", "has_subtitle"], "_g")
     grouped = grouped.withColumn("_seed", F.col("_g") < batches)
@@ -144,7 +144,7 @@ def mixed_macro_batches(items: DataFrame, batch_size: int, seed: int, epoch: int
     out = ranked.withColumn("batch", batch).drop("_h", "_g", "_seed", "_r")
     checks = out.groupBy("batch").agg(F.count_distinct("output_width", "output_height").alias("sizes"))
     enough = checks.agg((F.min("sizes") >= 2).alias("ok")).scalar()
-    error = F.raise_error(F.lit("macro batch must contain at least two execution sizes")).cast("boolean")
+    error = F.raise_error(F.lit("a mixed batch came out with one output size only")).cast("boolean")
     return out.withColumn("_ok", enough).filter(F.when(F.col("_ok"), F.lit(True)).otherwise(error)).drop("_ok")
 
 

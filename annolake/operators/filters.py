@@ -13,7 +13,7 @@ from annolake.functions.geometry import box_height, box_width, intersects_region
 def select_frames(frames: DataFrame, stride: int, start: int = 0, column: str = "frame_index") -> DataFrame:
     """Frames whose absolute index is a multiple of the stride, from ``start`` on."""
     if stride <= 0:
-        raise ValueError("frame stride must be greater than 0")
+        raise ValueError("stride must be at least 1")
     return frames.filter((F.col(column) >= start) & (F.col(column) % stride == 0))
 
 

@@ -91,7 +91,7 @@ def union_boxes(pixel_boxes: DataFrame, by: list[str]) -> DataFrame:
 
 def common_roi(unions: DataFrame) -> DataFrame:
     """Size and integer centre of the union over all samples; an error when there is none."""
-    none = F.raise_error(F.lit("no subtitle labels found"))
+    none = F.raise_error(F.lit("no label box to take a region from"))
     one = unions.agg(
         F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")
     )
@@ -145,7 +145,7 @@ def assert_disjoint(train: DataFrame, val: DataFrame) -> DataFrame:
 def require_disjoint(train: DataFrame, val: DataFrame) -> None:
     leaks = {k: v for k, v in assert_disjoint(train, val).first().asDict().items() if v}
     if leaks:
-        raise ValueError(f"validation overlaps training: {leaks}")
+        raise ValueError(f"training data leaks into validation: {leaks}")
 
 
 def union_roots(roots: list[DataFrame], resize: tuple[int, int] | None = None) -> DataFrame:
@@ -157,5 +157,5 @@ def union_roots(roots: list[DataFrame], resize: tuple[int, int] | None = None) -
         return merged.withColumn("roi_width", F.lit(resize[0])).withColumn("roi_height", F.lit(resize[1]))
     size = F.struct("roi_width", "roi_height")
     agree = merged.agg((F.min(size) == F.max(size)).alias("ok")).scalar()
-    error = F.raise_error(F.lit("ROI size mismatch; give an explicit resize"))
+    error = F.raise_error(F.lit("roots differ in ROI size; give an explicit resize"))
     return merged.filter(F.when(F.coalesce(agree, F.lit(True)), F.lit(True)).otherwise(error.cast("boolean")))

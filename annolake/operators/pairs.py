@@ -122,7 +122,7 @@ def local_negative_pairs(samples: DataFrame) -> DataFrame:
 def max_ocr_negatives(local_negatives: Column, positive: Column, ratio: float) -> Column:
     """Budget of text negatives."""
     if not 0.0 <= ratio <= 1.0:
-        raise ValueError("OCR negative ratio must be in [0, 1]")
+        raise ValueError("ratio outside [0, 1]")
     if ratio <= 0.0:
         return F.lit(0).cast("long")
     if ratio >= 1.0:
@@ -217,7 +217,7 @@ def select_pairs(
 ) -> tuple[DataFrame, DataFrame]:
     """All positives and local negatives plus budgeted text negatives; also a one-row count frame."""
     if not 0.0 <= maximum <= 1.0:
-        raise ValueError("OCR negative max similarity must be in [0, 1]")
+        raise ValueError("maximum similarity outside [0, 1]")
     samples = prepared(samples)
     local = positive_pairs(samples).unionByName(local_negative_pairs(samples))
     local = checkpointed(local)
@@ -250,9 +250,9 @@ def _limit(local_negatives: int, positive: int, ratio: float) -> int:
 def require_pair_classes(counts: DataFrame, name: str) -> None:
     row = counts.first()
     if row["local_positive_pairs"] <= 0:
-        raise ValueError(f"{name} has no positive same-subtitle pairs")
+        raise ValueError(f"{name} holds no positive pair")
     if row["local_negative_pairs"] + row["ocr_negative_pairs"] <= 0:
-        raise ValueError(f"{name} has no negative different-subtitle pairs")
+        raise ValueError(f"{name} holds no negative pair")
 
 
 def distinct_pairs(pairs: DataFrame) -> DataFrame:
@@ -368,7 +368,7 @@ def ocr_negative_sample(
 def balance_pairs(scored: DataFrame, ratio: float) -> DataFrame:
     """All positives and the hardest negatives; ``scored`` has same, similarity and a unique (left_id, right_id)."""
     if not 0.0 <= ratio <= 1.0:
-        raise ValueError("negative_ratio must be in [0, 1]")
+        raise ValueError("negative_ratio outside [0, 1]")
     n_pos = scored.agg(F.count_if("same").alias("n")).scalar()
     block = F.floor((1.0 - F.col("similarity")) * 2048).cast("long")
     ranked = with_rank(

@@ -234,7 +234,7 @@ def merge_pairs(items: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def rename_segments(items: DataFrame, names: DataFrame) -> DataFrame:
     """Rename (root, old, new); an empty new name is an error."""
-    new = F.when(F.trim("new") == "", F.raise_error(F.lit("segment_id cannot be empty"))).otherwise(F.trim("new"))
+    new = F.when(F.trim("new") == "", F.raise_error(F.lit("the new segment name is blank"))).otherwise(F.trim("new"))
     return relabel(items, names.select("root", F.col("old").alias("segment_id"), new.cast("string").alias("merged")))
 
 

@@ -69,7 +69,7 @@ def select_positive_pairs(samples: DataFrame, seed: int, epoch: int) -> DataFram
 def pack_pair_batches(pairs: DataFrame, batch_size: int, shards: int, seed: int, epoch: int) -> DataFrame:
     """Consecutive pairs share a batch while their distinct members fit. Packing runs per shard of the shuffle."""
     if batch_size < 2:
-        raise ValueError("batch size must be at least 2 for pair scheduling")
+        raise ValueError("a batch must hold at least one pair")
     keyed = pairs.withColumn("_h", hash_key(seed, epoch, "i", "j", "source"))
     sharded = keyed.withColumn("shard", F.pmod(F.col("_h"), F.lit(shards)).cast("int"))
     schema = sharded.drop("_h").schema.add("batch_id", "string")

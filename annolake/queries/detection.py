@@ -20,7 +20,7 @@ def _detections(t):
     """Targets and predictions: the same boxes, shifted right by their jitter and clipped; a few are not predicted."""
     rows = t.boxes.withColumn("target", g.yolo_to_box(*BOX)).filter(usable_box(F.col("target")))
     b, j = F.col("target"), F.col("jitter_px")
-    moved = g.clip_box(g.make_box(b["x1"] + j, b["y1"], b["x2"] + j, b["y2"]), "width", "height")
+    moved = g.clip_box(g.make_box(b["x1"] + j, b["y1"], b["x2"] + j, b["y2"]), "width", "height", ordered=True)
     targets = rows.select("image_id", F.col("line_index").alias("box_id"), b.alias("box"))
     predictions = rows.filter(F.coalesce("score", F.lit(1.0)) >= 0.6).withColumn("box", moved).filter(usable_box(F.col("box")))
     return predictions.select("image_id", F.col("line_index").alias("box_id"), "box"), targets
@@ -91,7 +91,7 @@ def _(t):
 
 
 def _scaled(t):
-    b = t.boxes.withColumn("box", g.clip_box(g.transform_box(g.yolo_to_box(*BOX), 0.05, 0.05), 64, 36))
+    b = t.boxes.withColumn("box", g.clip_box(g.transform_box(g.yolo_to_box(*BOX), 0.05, 0.05), 64, 36, ordered=True))
     return b.select("image_id", (F.col("line_index") + 1).alias("instance"), "box", "status")
 
 

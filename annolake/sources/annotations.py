@@ -89,7 +89,7 @@ def parse_review(documents: DataFrame) -> DataFrame:
     parsed = documents.select("root", F.from_json("value", REVIEW).alias("d"))
     right = F.coalesce(F.col("d.version"), F.lit(-1)) == 2
     items = F.when(right, F.col("d.items")).otherwise(
-        F.raise_error(F.lit("unsupported ROI review version")).cast(
+        F.raise_error(F.lit("review document is not version 2")).cast(
             "map<string,struct<has_subtitle:boolean,segment_id:string,note:string,updated_at:bigint>>"
         )
     )
@@ -124,7 +124,7 @@ def read_summary(spark: SparkSession, roots: list[str], name: str = "summary.jso
 
 
 def require_roi_size(summaries: DataFrame) -> DataFrame:
-    error = F.raise_error(F.concat(F.lit("ROI summary missing roi_size: "), F.col("root"))).cast("boolean")
+    error = F.raise_error(F.concat(F.lit("summary without a usable roi_size: "), F.col("root"))).cast("boolean")
     return summaries.filter(F.when(F.col("is_roi"), F.lit(True)).otherwise(error))
 
 

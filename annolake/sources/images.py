@@ -75,7 +75,7 @@ def resolve_dimensions(
     by_header = headers.select("filename", F.struct("width", "height").alias("_header"))
     joined = wanted.join(by_name, "filename", "left").join(by_stem, "sample_id", "left").join(by_header, "filename", "left")
     kind = "struct<width:bigint,height:bigint>"
-    error = F.raise_error(F.concat(F.lit("missing dimensions for "), F.col("filename"))).cast(kind)
+    error = F.raise_error(F.concat(F.lit("size unknown for "), F.col("filename"))).cast(kind)
     rest = error if default is None else F.struct(F.lit(default[0]).alias("width"), F.lit(default[1]).alias("height")).cast(kind)
     usable = F.when(F.col("_header.width").isNotNull(), F.col("_header").cast(kind))
     found = F.coalesce(F.col("_name").cast(kind), F.col("_stem").cast(kind), usable, rest)

@@ -42,7 +42,7 @@ def parse_labels_strict(lines: DataFrame, by: list[str]) -> DataFrame:
     """Typed label lines; comments and blanks are skipped, a wrong number of fields is an error."""
     rows = lines.withColumn("raw", strip("value")).filter((F.col("raw") != "") & ~F.col("raw").startswith("#"))
     tokens = F.split(F.regexp_replace("raw", r"\s+", " "), " ")
-    bad = F.raise_error(F.concat(F.lit("invalid label line: "), F.col("raw"))).cast("array<string>")
+    bad = F.raise_error(F.concat(F.lit("label line needs five fields: "), F.col("raw"))).cast("array<string>")
     rows = rows.withColumn("_t", F.when(F.size(tokens) == 5, tokens).otherwise(bad))
     parts = [F.get("_t", F.lit(i)) for i in range(5)]
     return rows.select(
@@ -106,7 +106,7 @@ def via_to_labels(entries: DataFrame) -> DataFrame:
     """
     item = entries.select(F.from_json("item", VIA_ITEM).alias("v")).select("v.*")
     w, h = (F.coalesce(F.col(f"file_attributes.{n}"), F.lit(0)) for n in ("width", "height"))
-    error = F.raise_error(F.concat(F.lit("missing width/height for "), F.col("filename"))).cast("boolean")
+    error = F.raise_error(F.concat(F.lit("no image size for "), F.col("filename"))).cast("boolean")
     sized = item.select("filename", "regions", w.alias("width"), h.alias("height")).filter(
         F.when((F.col("width") > 0) & (F.col("height") > 0), F.lit(True)).otherwise(error)
     )

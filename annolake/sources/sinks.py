@@ -68,7 +68,7 @@ def masks_documents(records: DataFrame) -> DataFrame:
     per_stem = records.groupBy("root", "sample_id").agg(
         F.map_from_entries(F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["key"], e["value"]))).alias("r")
     )
-    note = "Manual subtitle label suppression markers. Original label txt files are not modified."
+    note = "Mask records over label files; the label files stay as they are."
     return per_stem.select("root", "sample_id", F.to_json("r").alias("r")).groupBy("root").agg(
         F.concat(
             F.lit('{"version":1,"description":"' + note + '","items":{'),
@@ -82,5 +82,5 @@ def review_documents(review: DataFrame) -> DataFrame:
     """Review decisions back to one version-2 document per root."""
     entry = F.struct("sample_id", F.struct("has_subtitle", "segment_id", "note", "updated_at"))
     items = F.map_from_entries(F.array_sort(F.collect_list(entry)))
-    document = F.struct(F.lit(2).alias("version"), F.lit("Manual ROI subtitle presence and segment identity labeling.").alias("description"), items.alias("items"))
+    document = F.struct(F.lit(2).alias("version"), F.lit("Reviewed presence and segment of each sample.").alias("description"), items.alias("items"))
     return review.groupBy("root").agg(F.to_json(document).alias("value"))

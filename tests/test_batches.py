@@ -62,5 +62,5 @@ def test_macro_and_micro(spark):
     assert sum(r["items"] for r in micro) == 75 and all(len(r.members) == r["items"] for r in micro)
     with pytest.raises(RuntimeError):
         bt.mixed_macro_batches(df.filter("not (sample_type = 'roi' and has_subtitle) or item < 'i010'"), 12, 1, 0)
-    with pytest.raises(Exception, match="two execution sizes"):
+    with pytest.raises(Exception, match="one output size"):
         bt.mixed_macro_batches(df.withColumn("output_width", F.lit(64)), 12, 1, 0).collect()
