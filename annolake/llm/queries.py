@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from annolake.llm import sql
 from annolake.llm.common import text_of
 from annolake.llm.exact import exact_duplicates
+from annolake.llm.minhash import near_duplicates
 from annolake.llm.mixing import mix_sources
 from annolake.llm.topk import scaled_floor, top_k_products
 
@@ -23,6 +24,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = scaled_floor(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return top_k_products(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -34,11 +39,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_near_dedup": op2_near_dedup,
     "op7_top_k": op7_top_k,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": sql.MIX_SOURCES,
+    "op2_near_dedup": sql.NEAR_DEDUP,
     "op7_top_k": sql.TOP_K,
     "op10_exact_dedup": sql.EXACT_DEDUP,
 }

@@ -35,3 +35,17 @@ select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_siz
   doc_id is not distinct from max(doc_id) over same as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window same as (partition by coalesce(text, ''))
 """
+
+NEAR_DEDUP = r"""
+with recursive rows as materialized (select doc_id, list_filter(string_split_regex(
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents),
+sets as materialized (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from rows),
+items as materialized (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+shared as (select a.doc_id as a, b.doc_id as b, a.n + b.n - count(*) as n_union, count(*) as n_both
+  from items a join items b on a.shingle = b.shingle and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n),
+links as materialized (select a, b from shared where 100 * n_both >= 80 * n_union union all select b, a from shared where 100 * n_both >= 80 * n_union),
+reach as (select doc_id, doc_id as seen from sets union select r.doc_id, l.b from reach r join links l on r.seen = l.a),
+parts as (select doc_id, min(seen) as component_id from reach group by doc_id)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, p.component_id, s.doc_id = p.component_id as kept from sets s join parts p using (doc_id)
+"""
