@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolake.llm import bpe, sql
+from annolake.llm import bpe, langid, sql, toxicity
 from annolake.llm.common import text_of
 from annolake.llm.exact import exact_duplicates
+from annolake.llm.labelled import remainder
 from annolake.llm.minhash import near_duplicates
 from annolake.llm.mixing import mix_sources
 from annolake.llm.topk import scaled_floor, top_k_products
@@ -40,11 +41,24 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = scaled_floor(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return top_k_products(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = _table(spark, sf_dir, "documents"), F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    found = langid.identify(docs, langid.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language").alias("lang_pred"), "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2(text_of("text"), 256)})
 
@@ -53,7 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_near_dedup": op2_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_toxicity": op6_toxicity,
     "op7_top_k": op7_top_k,
+    "op8_language": op8_language,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES: dict[str, str] = {
