@@ -45,6 +45,13 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def renamed(table: DataFrame, *names: str) -> DataFrame:
+    """A ``materialized`` table under other column names."""
+    other = table.toDF(*names)
+    other._scratch_path = table._scratch_path
+    return other
+
+
 def salted_join(rows: DataFrame, keyed: DataFrame, on: Sequence[str], how: str, spread: Sequence[str], salts: int = SALTS) -> DataFrame:
     """Join ``rows`` to ``keyed`` (one narrow row per key) so that no key's rows meet in one task.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolake.llm.common import discard, materialized
+from annolake.llm.common import discard, materialized, renamed
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -39,5 +39,5 @@ def connected_components(links: DataFrame) -> DataFrame:
         discard(now)
         now = after
         if seen == state:
-            return now.toDF("node", "component")
+            return renamed(now, "node", "component")
         state = seen

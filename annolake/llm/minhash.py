@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from annolake.llm.common import discard, keyed_join, materialized, salted_join, text_of
 from annolake.llm.components import connected_components
+from annolake.llm.setjoin import can_match, prefixes, rarity, similar
 from annolake.llm.words import mix64, shingle_sets, slices
 
 #: 64 bands of 6 minima: a pair at similarity 0.8 shares no band with probability 4e-9.
 BANDS, BAND_ROWS = 64, 6
 #: A pair goes on to its sets if so large a share of the minima agree; 0.8 lies six standard deviations above.
 AGREEMENT = 0.68
-#: Rounds in which each bucket is compared with one member only; what is then still apart is compared in full.
-HUB_ROUNDS = 3
+#: Rounds in which each bucket is compared with one member only; what is then still apart goes through an exact join.
+HUB_ROUNDS = 2
 
 
 def minima(hashes: np.ndarray, count: int) -> np.ndarray:
@@ -94,19 +95,22 @@ def _confirmed(pairs: DataFrame, marks: DataFrame, sets: DataFrame, percent: int
     def by_signature(x: bytes, y: bytes) -> bool:
         return int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= least
 
-    def by_set(x: bytes, y: bytes) -> bool:
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-            return False
-        both = np.sort(np.concatenate((a, b)))
-        shared = int((both[1:] == both[:-1]).sum())
-        return 100 * shared >= percent * (len(both) - shared)
-
     def beside(df: DataFrame, table: DataFrame, value: str, node: str) -> DataFrame:
         return df.join(table.select(F.col("_id").alias(node), F.col(value).alias(f"{value}_{node}")), node)
 
     likely = _filtered(beside(beside(pairs, marks, "_signature", "b"), marks, "_signature", "a"), "_signature_a", "_signature_b", by_signature)
-    return _filtered(beside(beside(likely, sets, "_set", "b"), sets, "_set", "a"), "_set_a", "_set_b", by_set)
+    return _filtered(beside(beside(likely, sets, "_set", "b"), sets, "_set", "a"), "_set_a", "_set_b", lambda x, y: similar(x, y, percent))
+
+
+def _pairs_apart(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of classes in different parts whose sets may be similar, from the prefixes of the sets."""
+    own = materialized(sets.withColumnRenamed("_id", "_class").join(open_, "_class"), "open")
+    rows = materialized(prefixes(own, rarity(own), percent, ["_class", "_part"]), "prefixes")
+    x, y = rows.alias("x"), rows.alias("y")
+    near = can_match(F.col("x._size"), F.col("x._at"), F.col("y._size"), F.col("y._at"), percent)
+    apart = (F.col("x._part") != F.col("y._part")) & (F.col("x._class") < F.col("y._class"))
+    joined = x.join(y, (F.col("x._token") == F.col("y._token")) & apart & near)
+    return joined.select(F.col("x._class").alias("a"), F.col("y._class").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -114,9 +118,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
 
     A text's set holds its distinct runs of ``words`` lower-cased words; two texts are linked if their intersection is at least
     ``percent`` hundredths of their union, and components are what links reach. Equal sets are one class from the start.
-    Classes that share a band bucket are candidates. A bucket is first compared with one member at a time, and what this
-    joins needs no more comparing; members of a bucket that are still in different components after some
-    rounds are compared with each other, so that no link between components is lost. Every link is confirmed on full sets.
+    Classes that share a band bucket are candidates. Each round compares a bucket with one member, its hub (the one that
+    meets most others in all buckets); what a hub joins needs no more comparing among itself, the hub leaves the bucket,
+    and buckets within one component are done. Classes that are then still apart from others of a bucket go through an exact
+    prefix join of their sets, so no link between components is lost and no bucket is ever unfolded into its pairs. Every
+    link is confirmed on full sets.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Equal texts are always linked. Rows that repeat an id are one node.
     Rows with a null id join only the component of their equal sets. Other columns are ignored; an empty table gives an empty result.
@@ -131,47 +137,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     rows = classes.where("_class is not null").select(F.explode("_bands").alias("_bucket"), F.col("_class"))
     shared = rows.groupBy("_bucket").agg(F.min("_class").alias("_low"), F.max("_class").alias("_high")).where("_low < _high")
     members = materialized(rows.join(shared.select("_bucket"), "_bucket", "left_semi").distinct(), "members")
+    sizes = members.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    degrees = members.join(sizes, "_bucket").groupBy("_class").agg(F.sum("_n").alias("_degree"))
+    members = materialized(members.join(degrees, "_class"), "members")
     nodes = materialized(members.select(F.col("_class").alias("_id")).distinct(), "nodes")
     sets = materialized(_sets(keyed_join(source, nodes, ["_id"], "left_semi", ["_id"]).dropDuplicates(["_id"]), words), "sets")
     marks_of = classes.select(F.col("_class").alias("_id"), "_signature")
 
     links, component, tested = None, None, None
     for turn in range(HUB_ROUNDS + 1):
-        placed = members
+        placed = members.withColumn("_part", F.col("_class"))
         if component is not None:
             placed = members.join(component.withColumnRenamed("node", "_class"), "_class", "left")
-            placed = placed.select("_bucket", "_class", F.coalesce("component", "_class").alias("_part"))
-        else:
-            placed = members.withColumn("_part", F.col("_class"))
-        hub = F.min(F.struct(F.xxhash64(F.col("_class"), F.lit(turn)).alias("_draw"), "_class", "_part")).alias("_hub")
+            placed = placed.select("_bucket", "_class", "_degree", F.coalesce("component", "_class").alias("_part"))
+        hub = F.max(F.struct("_degree", F.negative("_class").alias("_other"), "_part")).alias("_hub")
         apart = placed.groupBy("_bucket").agg(hub, F.min("_part").alias("_low"), F.max("_part").alias("_high")).where("_low < _high")
+        apart = apart.select("_bucket", F.negative("_hub._other").alias("_other"), F.col("_hub._part").alias("_there"))
+        joined = materialized(placed.join(apart, "_bucket").where("_class <> _other"), "apart")
         if turn < HUB_ROUNDS:
-            other = apart.select("_bucket", F.col("_hub._class").alias("_other"), F.col("_hub._part").alias("_there"))
+            pairs = joined.where("_part <> _there").select(F.least("_class", "_other").alias("a"), F.greatest("_class", "_other").alias("b")).distinct()
         else:
-            other = placed.join(apart.select("_bucket"), "_bucket", "left_semi").toDF("_bucket", "_other", "_there")
-        pairs = placed.join(other, "_bucket").where("_part <> _there")
-        if turn == HUB_ROUNDS:
-            pairs = pairs.where("_class < _other")
-        pairs = pairs.select(F.least("_class", "_other").alias("a"), F.greatest("_class", "_other").alias("b")).distinct()
+            open_ = joined.select("_class", "_part").union(joined.select("_other", "_there")).distinct()
+            pairs = _pairs_apart(open_, sets, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialized(pairs, "pairs")
-        if pairs.isEmpty():
-            break
         tested = pairs if tested is None else tested.union(pairs)
         found = materialized(_confirmed(pairs, marks_of, sets, percent), "found")
-        if found.isEmpty():
-            continue
         links = found if links is None else links.union(found)
         if component is not None:
             discard(component)
-        component = materialized(connected_components(links), "components")
+        component = connected_components(links)
+        members = joined.select("_bucket", "_class", "_degree")
 
     placed = classes.select("_key", F.col("_class").alias("_node"))
-    if component is not None:
-        placed = placed.join(component.withColumnRenamed("node", "_node"), "_node", "left")
-    else:
-        placed = placed.withColumn("component", F.lit(None).cast("long"))
+    placed = placed.join(component.withColumnRenamed("node", "_node"), "_node", "left")
     placed = placed.select("_key", F.coalesce("component", "_node").alias("component_id"))
     joined = salted_join(marks.select("_id", "n_shingles", "_key"), placed, ["_key"], "left", ["_id"])
     component_id = F.coalesce("component_id", "_id")
