@@ -12,6 +12,7 @@ from annolake.llm import bpe, langid, quality, sql, toxicity
 from annolake.llm.common import text_of
 from annolake.llm.exact import exact_duplicates
 from annolake.llm.labelled import remainder
+from annolake.llm.linededup import without_repeats
 from annolake.llm.minhash import near_duplicates
 from annolake.llm.mixing import mix_sources
 from annolake.llm.topk import scaled_floor, top_k_products
@@ -34,6 +35,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), percent=80)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), vocabulary, offsets=False)
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality": op3_quality,
+    "op4_line_dedup": op4_line_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_top_k": op7_top_k,
