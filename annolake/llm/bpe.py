@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import pairwise
@@ -17,11 +18,14 @@ from annolake.llm.pretokens import pretoken_begins
 from annolake.llm.words import slices
 
 #: Merged pieces that a worker remembers; when full it starts afresh. Pieces over so many bytes are merged by a heap.
-CACHE_PIECES, SHORT_BYTES = 500_000, 48
+CACHE_PIECES, SHORT_BYTES = 400_000, 48
 
 
 class RankedMerges(dict):
-    """Cached pair merging: a piece's bytes to its token ids as little-endian 32-bit bytes."""
+    """Cached pair merging: a piece's bytes to its token ids as native 32-bit integers.
+
+    A token's id is its rank, so the least id among the merges of neighbouring tokens says which merge comes next.
+    """
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -31,6 +35,14 @@ class RankedMerges(dict):
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.lengths = np.fromiter(map(len, self.tokens), np.int32, len(self.tokens))
+        self.single = [self.ranks[bytes([k])] for k in range(256)]
+        #: ``left << 32 | right`` to the token that both make.
+        self.pairs: dict[int, int] = {}
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = rank
         self[b""] = b""
 
     def __missing__(self, piece: bytes) -> bytes:
@@ -39,53 +51,56 @@ class RankedMerges(dict):
             self[b""] = b""
         whole = self.ranks.get(piece)
         if whole is not None:
-            parts = [piece]
+            ids = [whole]
         elif len(piece) <= SHORT_BYTES:
-            parts = self._short(piece)
+            ids = self._short(piece)
         else:
-            parts = self._long(piece)
-        ids = np.fromiter(map(self.ranks.__getitem__, parts), np.int32, len(parts)).tobytes()
-        self[piece] = ids
-        return ids
-
-    def _short(self, piece: bytes) -> list[bytes]:
-        parts, rank = [piece[k : k + 1] for k in range(len(piece))], self.ranks.get
-        never = len(self.tokens)
-        costs = [rank(a + b, never) for a, b in pairwise(parts)]
+            ids = self._long(piece)
+        packed = array("i", ids).tobytes()
+        self[piece] = packed
+        return packed
+
+    def _short(self, piece: bytes) -> list[int]:
+        ids, made, never = list(map(self.single.__getitem__, piece)), self.pairs.get, len(self.tokens)
+        costs = [made(a << 32 | b, never) for a, b in pairwise(ids)]
         while costs:
             least = min(costs)
             if least == never:
                 break
             at = costs.index(least)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del costs[at]
+            ids[at] = least
+            del ids[at + 1], costs[at]
             if at < len(costs):
-                costs[at] = rank(parts[at] + parts[at + 1], never)
+                costs[at] = made(least << 32 | ids[at + 1], never)
             if at:
-                costs[at - 1] = rank(parts[at - 1] + parts[at], never)
-        return parts
+                costs[at - 1] = made(ids[at - 1] << 32 | least, never)
+        return ids
 
-    def _long(self, piece: bytes) -> list[bytes]:
-        """The same with a heap of pairs over a linked list, for pieces without bound."""
-        n, rank = len(piece), self.ranks.get
-        parts: list[bytes | None] = [piece[k : k + 1] for k in range(n)]
+    def _long(self, piece: bytes) -> list[int]:
+        """The same with a heap of merges over a linked list, for pieces without bound."""
+        n, made = len(piece), self.pairs.get
+        ids = list(map(self.single.__getitem__, piece))
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(cost, k, 2) for k in range(n - 1) if (cost := rank(piece[k : k + 2])) is not None]
+        heap = [(cost, k, ids[k], ids[k + 1]) for k in range(n - 1) if (cost := made(ids[k] << 32 | ids[k + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, left, size = heapq.heappop(heap)
+            cost, left, a, b = heapq.heappop(heap)
             right = after[left]
-            if parts[left] is None or right == n or len(parts[left]) + len(parts[right]) != size:
+            if right == n or ids[left] != a or ids[right] != b:
                 continue  # one of the two has been merged meanwhile
-            parts[left] += parts[right]
-            parts[right] = None
+            ids[left], ids[right] = cost, -1
             after[left] = after[right]
             if after[left] < n:
                 before[after[left]] = left
-            for a, b in ((before[left], left), (left, after[left])):
-                if a >= 0 and b < n and (cost := rank(parts[a] + parts[b])) is not None:
-                    heapq.heappush(heap, (cost, a, len(parts[a]) + len(parts[b])))
-        return [p for p in parts if p is not None]
+            for x, y in ((before[left], left), (left, after[left])):
+                if x >= 0 and y < n and (cost := made(ids[x] << 32 | ids[y])) is not None:
+                    heapq.heappush(heap, (cost, x, ids[x], ids[y]))
+        return [k for k in ids if k >= 0]
+
+    def text_of(self, ids: np.ndarray, rows: np.ndarray) -> pa.Array:
+        """The bytes of each run of ids that ``rows`` (offsets) cut out."""
+        parts, edges = list(map(self.tokens.__getitem__, ids.tolist())), rows.tolist()
+        return pa.array([b"".join(parts[a:b]) for a, b in pairwise(edges)], pa.binary())
 
 
 @cache
@@ -105,14 +120,15 @@ def split_pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return pieces, stops
 
 
-def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", offsets: bool = True) -> DataFrame:
-    """Per row: id, ``ids`` and, if wanted, ``ends``: the byte offset in the text where each token ends.
+def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", offsets: bool = True, decoded: bool = False) -> DataFrame:
+    """Per row: id, ``ids``, if wanted ``ends``, the byte offset in the text where each token ends, and ``decoded``, the bytes
+    that the ids give back (as ``decode`` would, without a second pass).
 
     ``vocabulary`` is the path of a rank file that every executor has. Pre-tokens are merged apart from each other, special
     tokens are ordinary text. Null and empty texts give empty arrays; a text of any length is encoded whole. Other columns are ignored,
     repeated rows stay, an empty table gives an empty result.
     """
-    fields = [("_ids", pa.list_(pa.int32()))] + [("_ends", pa.list_(pa.int32()))] * offsets
+    names = ["ids", *["ends"] * offsets, *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = merges(vocabulary)
@@ -129,12 +145,15 @@ def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_col
                     base = np.concatenate(([0], ends))[rows[:-1]]
                     ends = (ends - np.repeat(base, np.diff(rows))).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(rows, ends))
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", *(name for name, _ in fields)])
+                if decoded:
+                    columns.append(table.text_of(ids, rows))
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", *names])
 
     kind = dict(docs.dtypes)[id_column]
     rows = docs.selectExpr(f"`{id_column}` as _id", f"coalesce(`{text_column}`, '') as _text")
-    found = rows.mapInArrow(run, f"_id {kind}, _ids array<int>" + ", _ends array<int>" * offsets)
-    return found.toDF(id_column, "ids", *["ends"] * offsets)
+    kinds = {"ids": "array<int>", "ends": "array<int>", "decoded": "binary"}
+    found = rows.mapInArrow(run, ", ".join([f"_id {kind}", *(f"{name} {kinds[name]}" for name in names)]))
+    return found.withColumnRenamed("_id", id_column)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_column: str = "ids", into: str = "decoded") -> DataFrame:
@@ -142,13 +161,12 @@ def decode(encoded: DataFrame, vocabulary: str, ids_column: str = "ids", into: s
     names = [c for c in encoded.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = merges(vocabulary).tokens.__getitem__
+        table = merges(vocabulary)
         for batch in batches:
             ids = pc.fill_null(batch.column(ids_column), pa.scalar([], batch.column(ids_column).type))
-            parts = list(map(token, ids.flatten().to_numpy().tolist()))
-            edges = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(ids))))).tolist()
-            values = [b"".join(parts[a:b]) for a, b in pairwise(edges)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary())], names=[*names, into])
+            rows = np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(ids)))))
+            values = table.text_of(ids.flatten().to_numpy(), rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*names, into])
 
     frame = encoded.select(*names)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
