@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from annolake.llm.pretokens import OTHER, class_table
-from annolake.llm.pretokens import GAP
+from annolake.llm.pretokens import GAP, OTHER, class_table
 
 #: Known states at most; beyond that the automaton is built anew from its start.
 STATES = 100_000
@@ -13,8 +12,8 @@ DEAD, START = 0, 1
 
 
 def edits_allowed(term: str) -> int:
-    """Misspellings that still count: none in short terms, one from five letters on, two from nine on."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    """Misspellings that still count: none in short terms, one from five letters on, two from twelve on."""
+    return 0 if len(term) < 5 else 1 if len(term) < 12 else 2
 
 
 class Lexicon:

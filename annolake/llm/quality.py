@@ -17,6 +17,9 @@ BUCKET_BITS, SMOOTHING = 16, 1.0
 BUCKETS = 1 << BUCKET_BITS
 #: Losing a good document counts as much as keeping so many bad ones (as shares of their kind).
 GOOD_WEIGHT = 5.0
+FOLDS = 3
+#: Longer texts weigh as if they had so many n-grams; otherwise the model's small errors add up over long texts.
+LENGTH = 64
 
 
 def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +67,7 @@ def gumbel(id_column: str) -> Column:
 
 
 def weigh(docs: DataFrame, ratios: np.ndarray, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: id, ``n_grams``, ``log_weight`` (sum of log ratios) and ``key`` (with Gumbel noise)."""
+    """Per row: id, ``n_grams``, ``log_weight`` (sum of log ratios) and ``key`` (tempered by length, with Gumbel noise)."""
     kind = dict(docs.dtypes)[id_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +80,8 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_column: str = "doc_id", text_c
 
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
     found = rows.mapInArrow(run, f"_id {kind}, n_grams long, log_weight double")
-    return found.withColumn("key", F.col("log_weight") + gumbel("_id")).withColumnRenamed("_id", id_column)
+    tempered = F.col("log_weight") * F.least(F.lit(1.0), F.lit(float(LENGTH)) / F.greatest("n_grams", F.lit(1)))
+    return found.withColumn("key", tempered + gumbel("_id")).withColumnRenamed("_id", id_column)
 
 
 def best_cut(keys: np.ndarray, good: np.ndarray) -> float:
@@ -104,15 +108,17 @@ def resample(
     The weight of a document is the ratio of its probability under the n-gram model of good labelled documents to that
     under the model of all documents. Adding Gumbel noise to log weights and taking the k highest keys samples k documents
     without replacement in proportion to the weights. Here k is the number of documents whose key reaches the cut that
-    tells good from bad labelled documents best, so the selection is a comparison and no sort.
+    tells good from bad labelled documents best, so the selection is a comparison and no sort. One labelled document in
+    ``FOLDS`` finds the cut and is not in the model, so that its weight is like that of a document without a label.
 
     ``rows`` bounds the labelled sample. Texts without words weigh 1 (log weight 0). Null and empty texts are such; repeated rows get the same
     key; without labels of both kinds all documents are kept; other columns are ignored; an empty table gives an empty result.
     """
     picked = sample(labels, label, F.lit(True), id_column, rows)
-    ratios = fit(docs, picked.where("_label = 1"), id_column, text_column)
-    known = docs.join(F.broadcast(picked.withColumnRenamed("_id", id_column)), id_column).select(id_column, text_column, "_label")
-    judged = weigh(known, ratios, id_column, text_column).join(F.broadcast(picked.withColumnRenamed("_id", id_column)), id_column)
+    judges = F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS)) == 0
+    ratios = fit(docs, picked.where(~judges & (F.col("_label") == 1)), id_column, text_column)
+    judging = F.broadcast(picked.where(judges).withColumnRenamed("_id", id_column))
+    judged = weigh(docs.join(judging, id_column, "left_semi"), ratios, id_column, text_column).join(judging, id_column)
     judged = judged.where("n_grams > 0").select("key", "_label").toPandas()
     cut = best_cut(judged["key"].to_numpy(np.float64), judged["_label"].to_numpy() == 1)
     return weigh(docs, ratios, id_column, text_column).withColumn("kept", F.col("key") >= F.lit(cut))

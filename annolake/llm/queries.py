@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from annolake.llm import bpe, langid, quality, sql, toxicity
 from annolake.llm.common import text_of
 from annolake.llm.exact import exact_duplicates
@@ -81,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_top_k": op7_top_k,
     "op8_language": op8_language,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": sql.MIX_SOURCES,

@@ -65,34 +65,39 @@ def matches(texts: list[bytes], terms: tuple[str, ...]) -> list[dict[int, int]]:
     A match is quoted if a quotation mark opens or closes within the window on both sides, or a reporting word stands
     in it, addressed if it is not quoted and a word that addresses someone is near, else plain.
     """
-    found: list[dict[int, int]] = []
-    for text in texts:
-        points = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        kinds: dict[int, int] = {}
-        found.append(kinds)
-        if not len(points) or not terms:
-            continue
-        starts, ends, raw = lettered_words(points)
-        hit = _lexicon(terms).match(points, starts, ends)
-        at = np.flatnonzero(hit >= 0)
-        if not len(at):
-            continue
-        near = _context_words().match(points, starts, ends)
-        near[near % 3 != 0] = -1
-        marks = np.flatnonzero(np.isin(points, [ord(c) for c in QUOTE_MARKS]))
-        for k in at.tolist():
-            low, high = max(0, k - CONTEXT_WORDS), min(len(raw), k + CONTEXT_WORDS + 1)
-            window = near[low:high] // 3
-            end = int(raw[high]) if high < len(raw) else len(points)
-            before = np.searchsorted(marks, (raw[low], starts[k]))
-            behind = np.searchsorted(marks, (ends[k], end))
-            open_, close = before[1] > before[0], behind[1] > behind[0]
-            if open_ and close or (near[low:high] >= 0).any() and (window[near[low:high] >= 0] < len(REPORTING)).any():
-                context = QUOTED
-            else:
-                context = ADDRESSED if (window >= len(REPORTING)).any() else PLAIN
-            kind = int(hit[k]) * 3 + context
-            kinds[kind] = kinds.get(kind, 0) + 1
+    found: list[dict[int, int]] = [{} for _ in texts]
+    if not terms:
+        return found
+    lowered = [t.decode("utf-8", "replace").lower() for t in texts]
+    points = np.frombuffer("".join(t + "\n" for t in lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    text_ends = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1)
+    starts, ends, raw = lettered_words(points)
+    hit = _lexicon(terms).match(points, starts, ends)
+    at = np.flatnonzero(hit >= 0)
+    if not len(at):
+        return found
+    owner = np.searchsorted(text_ends, raw[at], side="right")
+    first = np.searchsorted(raw, np.concatenate(([0], text_ends)))  # words of a text: first[k] to first[k + 1]
+    low, high = np.maximum(first[owner], at - CONTEXT_WORDS), np.minimum(first[owner + 1], at + CONTEXT_WORDS + 1)
+    around = np.zeros(len(raw) + 1, np.int64)
+    np.add.at(around, low, 1)
+    np.add.at(around, high, -1)
+    around = np.flatnonzero(np.cumsum(around)[:-1])
+    near = np.full(len(raw), -1, np.int64)
+    context = _context_words().match(points, starts[around], ends[around])
+    near[around] = np.where(context % 3 == 0, context // 3, -1)
+    marks = np.flatnonzero(np.isin(points, [ord(c) for c in QUOTE_MARKS]))
+    window_end = np.where(high < len(raw), raw[np.minimum(high, len(raw) - 1)], len(points))
+    opened = np.searchsorted(marks, starts[at]) > np.searchsorted(marks, raw[low])
+    closed = np.searchsorted(marks, window_end) > np.searchsorted(marks, ends[at])
+    for k in range(len(at)):
+        words = near[low[k] : high[k]]
+        if (opened[k] and closed[k]) or ((words >= 0) & (words < len(REPORTING))).any():
+            context = QUOTED
+        else:
+            context = ADDRESSED if (words >= len(REPORTING)).any() else PLAIN
+        kinds, kind = found[owner[k]], int(hit[at[k]]) * 3 + context
+        kinds[kind] = kinds.get(kind, 0) + 1
     return found
 
 
