@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -16,7 +17,9 @@ from annolake.llm.labelled import remainder
 from annolake.llm.linededup import without_repeats
 from annolake.llm.minhash import near_duplicates
 from annolake.llm.mixing import mix_sources
+from annolake.llm.tokenfile import read_tokens, write_tokens
 from annolake.llm.topk import scaled_floor, top_k_products
+from annolake.session import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +71,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("language").alias("lang_pred"), "score")
 
 
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/annolake-token-file-{uuid.uuid4().hex}"
+    write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2(text_of("text"), 256)})
 
@@ -81,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_top_k": op7_top_k,
     "op8_language": op8_language,
+    "op9_token_file": op9_token_file,
     "op10_exact_dedup": op10_exact_dedup,
     "pipeline": corpus_pipeline.run,
 }
