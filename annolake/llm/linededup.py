@@ -9,11 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolake.llm.common import keyed_join, materialized, salted_join, text_of
+from annolake.llm.common import discard, keyed_join, materialized, salted_join, text_of
 from annolake.llm.setjoin import SKETCH_BITS, buckets_of, can_match, similar, sketch_of
 from annolake.llm.words import Words, mix64, slices
 
 NEWLINE = 10
+#: A line is told by its document and its number with so many bits of its set's hash, for documents that share an id.
+REF_BITS = 20
+#: What a null id counts as: it comes before all others.
+NULL_ID = -(1 << 63)
 
 
 def _token_counts(docs: DataFrame) -> np.ndarray:
@@ -56,13 +60,16 @@ class LineSets:
         first = np.searchsorted(self.text, np.arange(len(texts)))
         self.number = np.arange(self.count) - first[self.text]
 
+    def refs(self, rows: np.ndarray) -> np.ndarray:
+        """Line number and some bits of the key, in the order of the lines."""
+        return self.number[rows] << REF_BITS | (self.keys[rows, 0] >> np.uint64(64 - REF_BITS)).astype(np.int64)
+
     def key_column(self, rows: np.ndarray) -> pa.Array:
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(np.ascontiguousarray(self.keys[rows]))]).cast(pa.binary())
 
 
 def _lines(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """A row per line with tokens: ``_doc, _line, _key`` (a 128-bit hash of its token set), ``_size``, ``_prefix``."""
-    kind = dict(docs.dtypes)["_doc"]
+    """A row per line with tokens: ``_doc, _ref, _key`` (a 128-bit hash of its token set), ``_size``, ``_prefix``."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2^SKETCH_BITS numbers of four bytes, always
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,45 +82,52 @@ def _lines(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], take)
                 prefix = sets.tokens[np.repeat(sets.start[rows], take) + place].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_doc").take(pa.array(sets.text[rows])), pa.array(sets.number[rows].astype(np.int32)), sets.key_column(rows),
+                    [part.column("_doc").take(pa.array(sets.text[rows])), pa.array(sets.refs(rows)), sets.key_column(rows),
                      pa.array(sets.size[rows].astype(np.int32)), pa.ListArray.from_arrays(offsets.astype(np.int32), prefix)],
-                    names=["_doc", "_line", "_key", "_size", "_prefix"],
+                    names=["_doc", "_ref", "_key", "_size", "_prefix"],
                 )
 
-    return docs.mapInArrow(run, f"_doc {kind}, _line int, _key binary, _size int, _prefix array<long>")
+    return docs.mapInArrow(run, "_doc long, _ref long, _key binary, _size int, _prefix array<long>")
 
 
 def _line_sets(docs: DataFrame) -> DataFrame:
-    """``_key, _set`` of all lines with tokens."""
+    """``_doc, _ref, _set`` of all lines with tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in slices(batch, "_text"):
+            for part, texts in slices(batch, "_text"):
                 sets = LineSets(texts, None)
                 rows = np.flatnonzero(sets.size)
                 ends = (sets.start + sets.size)[rows]
                 own = [sets.tokens[a:b].tobytes() for a, b in zip(sets.start[rows].tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([sets.key_column(rows), pa.array(own, pa.binary())], names=["_key", "_set"])
+                columns = [part.column("_doc").take(pa.array(sets.text[rows])), pa.array(sets.refs(rows)), pa.array(own, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_doc", "_ref", "_set"])
+
+    return docs.mapInArrow(run, "_doc long, _ref long, _set binary")
+
 
-    return docs.select("_text").mapInArrow(run, "_key binary, _set binary")
+LATER, EARLIER = ["_doc", "_ref"], ["_other_doc", "_other_ref"]
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Keys (``_key``) of later lines that are similar to the earlier line of their pair, by full token sets."""
-    wanted = pairs.select("_key", "_doc").union(pairs.select("_other", "_other_doc"))
-    keys = materialized(wanted.select("_key").distinct(), "keys")
+    """The later lines (``_doc, _ref``) that are similar to the earlier line of their pair, by full token sets."""
+    wanted = materialized(pairs.select(*LATER).union(pairs.select(*EARLIER)).distinct(), "wanted")
     homes = materialized(wanted.select("_doc").distinct(), "homes")
     sets = _line_sets(keyed_join(docs, homes, ["_doc"], "left_semi", ["_text"]))
-    sets = materialized(sets.join(keys, "_key", "left_semi").groupBy("_key").agg(F.first("_set").alias("_set")), "sets")
+    sets = materialized(sets.join(wanted, LATER, "left_semi").dropDuplicates(LATER), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mine, other = batch.column("_set").to_pylist(), batch.column("_other_set").to_pylist()
             keep = pa.array([similar(x, y, percent) for x, y in zip(mine, other, strict=True)], pa.bool_())
-            yield batch.select(["_key"]).filter(keep)
+            yield batch.select(LATER).filter(keep)
 
-    both = pairs.select("_key", "_other").join(sets, "_key").join(sets.toDF("_other", "_other_set"), "_other")
-    return both.select("_key", "_set", "_other_set").mapInArrow(run, "_key binary").distinct()
+    both = pairs.join(sets, LATER).join(sets.toDF(*EARLIER, "_other_set"), EARLIER)
+    found = both.select(*LATER, "_set", "_other_set").mapInArrow(run, "_doc long, _ref long").distinct()
+    found = materialized(found, "gone")
+    for table in (wanted, homes, sets):
+        discard(table)
+    return found
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -125,39 +139,39 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id"
     their prefixes, filtered by length and position. A token's classes are first compared with its earliest one only; classes
     that find no match there are then compared with all earlier ones that pass the filters. Matches are verified on full sets.
 
-    Blank lines, and so null and empty texts, have no rows. Rows that repeat an id share their fate; a null id comes first. Other
-    columns are ignored; an empty table gives an empty result.
+    Ids are integers. Blank lines, and so null and empty texts, have no rows. Rows that repeat an id and text share their fate; null
+    ids come first and are one. Other columns are ignored; an empty table gives an empty result.
     """
-    source = docs.select(F.col(id_column).alias("_doc"), text_of(text_column).alias("_text"))
+    source = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("_doc"), text_of(text_column).alias("_text"))
     lines = materialized(_lines(source, _token_counts(source), percent), "lines")
-    place = F.struct("_doc", "_line")
-    classes = lines.groupBy("_key").agg(F.min(place).alias("_first"), F.first("_size").alias("_size"), F.first("_prefix").alias("_prefix"))
-    rows = classes.where("_size > 3").select("_key", "_first", "_size", F.posexplode("_prefix").alias("_at", "_token"))
-    rows = materialized(rows.repartition("_token"), "prefixes")
-    hubs = rows.groupBy("_token").agg(F.min(F.struct("_first", "_key", "_at", "_size")).alias("_hub"), F.count("*").alias("_n")).where("_n > 1")
-    met = materialized(rows.join(hubs, "_token").drop("_n"), "met")
-
-    near = can_match(F.col("_size"), F.col("_at"), F.col("_hub._size"), F.col("_hub._at"), percent)
-    pairs = met.where((F.col("_key") != F.col("_hub._key")) & near)
-    pairs = pairs.select("_key", F.col("_first._doc").alias("_doc"), F.col("_hub._key").alias("_other"), F.col("_hub._first._doc").alias("_other_doc"))
-    pairs = materialized(pairs.distinct(), "pairs")
-    gone = materialized(_confirmed(pairs, source, percent), "gone")
-
-    x = met.join(gone, "_key", "left_anti").alias("x")
-    y = met.alias("y")
-    near = can_match(F.col("x._size"), F.col("x._at"), F.col("y._size"), F.col("y._at"), percent)
-    earlier = (F.col("y._first") < F.col("x._first")) & (F.col("x._key") != F.col("y._key")) & (F.col("y._key") != F.col("y._hub._key"))
-    more = x.join(y, (F.col("x._token") == F.col("y._token")) & earlier & near)
-    more = more.select(
-        F.col("x._key").alias("_key"), F.col("x._first._doc").alias("_doc"), F.col("y._key").alias("_other"), F.col("y._first._doc").alias("_other_doc")
-    )
-    more = materialized(more.distinct().join(pairs, ["_key", "_other"], "left_anti"), "pairs")
-    gone = gone.union(_confirmed(more, source, percent))
-
-    firsts = lines.groupBy("_key").agg(F.min(place).alias("_first")).join(gone.distinct().withColumn("_gone", F.lit(True)), "_key", "left")
-    placed = salted_join(lines.select("_doc", "_line", "_key"), firsts, ["_key"], "left", ["_doc", "_line"])
-    kept = F.col("_gone").isNull() & F.col("_doc").eqNullSafe(F.col("_first._doc")) & (F.col("_line") == F.col("_first._line"))
-    return placed.select(F.col("_doc").alias(id_column), F.col("_line").alias("line"), kept.alias("kept"))
+    first = F.min(F.struct("_doc", "_ref")).alias("_first")
+    classes = lines.groupBy("_key").agg(first, F.first("_size").alias("_size"), F.first("_prefix").alias("_prefix")).where("_size > 3")
+    rows = classes.select(F.posexplode("_prefix").alias("_at", "_token"), "_size", "_first._doc", "_first._ref").repartition("_token")
+    met = rows.groupBy("_token").agg(F.count("*").alias("_n")).where("_n > 1").select("_token")
+    met = materialized(rows.join(met, "_token"), "met")
+
+    # The earliest class of each token against the others.
+    hub = F.min(F.struct(F.col("_doc").alias("_other_doc"), F.col("_ref").alias("_other_ref"), F.col("_at").alias("_other_at"), F.col("_size").alias("_other_size")))
+    hubs = met.groupBy("_token").agg(hub.alias("_hub")).select("_token", "_hub.*")
+    later = (F.col("_doc") > F.col("_other_doc")) | ((F.col("_doc") == F.col("_other_doc")) & (F.col("_ref") > F.col("_other_ref")))
+    near = can_match(F.col("_size"), F.col("_at"), F.col("_other_size"), F.col("_other_at"), percent)
+    pairs = materialized(met.join(hubs, "_token").where(later & near).select(*LATER, *EARLIER).distinct(), "pairs")
+    gone = _confirmed(pairs, source, percent)
+
+    # What found no match there against all earlier classes.
+    others = met.select("_token", F.col("_doc").alias("_other_doc"), F.col("_ref").alias("_other_ref"), F.col("_at").alias("_other_at"), F.col("_size").alias("_other_size"))
+    left = met.join(gone, LATER, "left_anti")
+    more = left.join(others.withColumnRenamed("_token", "_same"), (F.col("_token") == F.col("_same")) & later & near)
+    more = materialized(more.select(*LATER, *EARLIER).distinct().join(pairs, [*LATER, *EARLIER], "left_anti"), "pairs")
+    discard(met)
+    gone = gone.union(_confirmed(more, source, percent)).distinct()
+
+    firsts = lines.groupBy("_key").agg(first).select("_key", F.col("_first._doc").alias("_doc"), F.col("_first._ref").alias("_ref"))
+    firsts = firsts.join(gone.withColumn("_gone", F.lit(True)), LATER, "left").withColumnRenamed("_doc", "_first_doc").withColumnRenamed("_ref", "_first_ref")
+    placed = salted_join(lines.select("_doc", "_ref", "_key"), firsts, ["_key"], "left", ["_doc", "_ref"])
+    kept = F.col("_gone").isNull() & (F.col("_doc") == F.col("_first_doc")) & (F.col("_ref") == F.col("_first_ref"))
+    name = F.when(F.col("_doc") != NULL_ID, F.col("_doc")).alias(id_column)
+    return placed.select(name, F.shiftright("_ref", REF_BITS).cast("int").alias("line"), kept.alias("kept"))
 
 
 def without_repeats(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
