@@ -169,8 +169,13 @@ def training_windows(docs: DataFrame, learn, id_column: str, text_column: str, l
     texts are open to it: windows lie at evenly spread places)."""
     rows = docs.where(learn & F.col(language_column).isNotNull() & F.col(text_column).rlike(r"\p{L}"))
     picked = rows.select(F.col(id_column).alias("_id"), F.col(language_column).cast("string").alias("_language"))
-    order = W.partitionBy("_language").orderBy(F.xxhash64("_id"), "_id")
-    picked = picked.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= DOCS_PER_LANGUAGE).select("_id", "_language").distinct()
+    # First within shares of a language, so that a frequent one is spread over tasks; of each share at most the bound goes on.
+    order = [F.xxhash64("_id"), F.col("_id")]
+    picked = picked.withColumn("_share", F.pmod(F.xxhash64("_id", F.lit("share")), F.lit(64)))
+    for group in (["_language", "_share"], ["_language"]):
+        rank = F.row_number().over(W.partitionBy(*group).orderBy(*order))
+        picked = picked.withColumn("_n", rank).where(F.col("_n") <= DOCS_PER_LANGUAGE)
+    picked = picked.select("_id", "_language").distinct()
     texts = rows.select(F.col(id_column).alias("_id"), F.col(language_column).cast("string").alias("_language"), F.col(text_column).alias("_text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
