@@ -269,15 +269,22 @@ def pair_frame_span(left: Column, right: Column) -> Column:
 
 
 def widest_pair_per_segment(samples: DataFrame) -> DataFrame:
-    """First and last frame of every segment with two or more members, without listing its pairs."""
-    timed = positives_only(samples).withColumn("_f", F.coalesce("frame_index", F.lit(0)))
-    low, high = F.struct("_f", "sample_idx"), F.struct("_f", F.col("sample_idx"))
-    spans = timed.groupBy("root", "segment_id").agg(
-        F.min(low).alias("a"), F.max(high).alias("b"), F.count(F.lit(1)).alias("members")
+    """First and last frame of every segment with two or more members, without listing its pairs.
+
+    A pair in which a frame is unknown has span 0, so members without a frame stand aside while two others have
+    one; else the first and last sample stand for the segment, with span 0.
+    """
+    members = positives_only(samples).withColumn("_at", F.when(F.col("frame_index").isNotNull(), F.struct("frame_index", "sample_idx")))
+    spans = members.groupBy("root", "segment_id").agg(
+        F.min("_at").alias("a"), F.max("_at").alias("b"), F.count("_at").alias("timed"),
+        F.min("sample_idx").alias("low"), F.max("sample_idx").alias("high"), F.count(F.lit(1)).alias("members"),
     ).filter("members > 1")
+    timed = F.col("timed") > 1
+    left = F.when(timed, F.col("a.sample_idx")).otherwise(F.col("low"))
+    right = F.when(timed, F.col("b.sample_idx")).otherwise(F.col("high"))
     return spans.select(
-        "root", "segment_id", F.least("a.sample_idx", "b.sample_idx").alias("i"),
-        F.greatest("a.sample_idx", "b.sample_idx").alias("j"), (F.col("b._f") - F.col("a._f")).alias("span"),
+        "root", "segment_id", F.least(left, right).alias("i"), F.greatest(left, right).alias("j"),
+        F.when(timed, F.col("b.frame_index") - F.col("a.frame_index")).otherwise(0).alias("span"),
     )
 
 
@@ -328,12 +335,13 @@ def sample_with_refill(pool: DataFrame, keys: list[str], count: int, seed: int,
 
 
 def ocr_negative_sample(
-    samples: DataFrame, count: int, maximum: float, seed: int, epoch: int, rounds: int = 12
+    samples: DataFrame, count: int, maximum: float, seed: int, epoch: int
 ) -> DataFrame:
-    """``count`` distinct text negatives from the virtual pool, in a seeded order.
+    """``count`` text negatives from the virtual pool, in a seeded order: distinct ones while there are any.
 
     Each root gets draws in proportion to its number of pairs; a draw is a pair of hashed positions. Rejected and
-    repeated draws are made up by doubling the draws; when they would exceed the pool it is read whole, in order.
+    repeated draws are made up by more draws until there are enough; once they would exceed the pool it is read
+    whole. A pool smaller than ``count`` is taken whole and then refilled in shuffled passes.
     """
     empty = samples.sparkSession.createDataFrame([], "i long, j long, same boolean, source string")
     if count <= 0:
@@ -342,11 +350,11 @@ def ocr_negative_sample(
     roots = ranked.groupBy("root").agg(F.max("members").cast("double").alias("n")).withColumn("w", F.col("n") * (F.col("n") - 1) / 2)
     total = roots.agg(F.sum("w")).first()[0] or 0.0
     adjacency = checkpointed(adjacency_edges(samples))
-    draws, hits, have = max(256, 2 * count), empty, 0
-    for _ in range(rounds):
+    draws = max(256, 2 * count)
+    while True:
         if draws * 2 >= total:
-            hits = checkpointed(ocr_negatives_in_order(samples, UNLIMITED, maximum))
-            break
+            pool = checkpointed(ocr_negatives_in_order(samples, UNLIMITED, maximum))
+            return sample_with_refill(pool, ["i", "j"], count, seed, epoch).drop("pass")
         wanted = roots.withColumn("draws", F.ceil(F.lit(float(draws)) * F.col("w") / F.lit(total)))
         flat = exploded_range(wanted, F.col("draws"), "draw", ["root"])
         spot = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.lit(salt), "root", "draw"), F.col("n").cast("long"))
@@ -356,8 +364,7 @@ def ocr_negative_sample(
         right = ranked.select("root", F.col("member").alias("r_member"), *_side("r"))
         both = spots.join(left, ["root", "l_member"]).join(right, ["root", "r_member"])
         hits = checkpointed(_qualifying(both, adjacency, maximum).select(*_pair_columns("l_idx", "r_idx", False, "ocr")))
-        have = hits.count()
-        if have >= count:
+        if hits.count() >= count:
             break
         draws *= 4
     shuffled = hits.withColumn("_h", hash_key(seed, epoch, "i", "j"))

@@ -88,7 +88,7 @@ def similar_candidates(items: DataFrame, ratio: float = tx.NEAR_RATIO, tolerance
     )
 
 
-def min_label_components(edges: DataFrame, vertices: DataFrame, by: list[str], max_rounds: int = 60) -> DataFrame:
+def min_label_components(edges: DataFrame, vertices: DataFrame, by: list[str]) -> DataFrame:
     """Connected components: each vertex gets the smallest ``rank`` it can reach (pointer doubling per round).
 
     ``edges``: by, a, b (ids); ``vertices``: by, id, rank. State is checkpointed each round so lineage stays short.
@@ -97,7 +97,7 @@ def min_label_components(edges: DataFrame, vertices: DataFrame, by: list[str], m
     both = checkpointed(both)
     vertices = checkpointed(vertices)
     labels = checkpointed(vertices.select(*by, "id", F.col("rank").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         reached = both.join(labels.withColumnRenamed("id", "b"), [*by, "b"]).select(*by, F.col("a").alias("id"), "label")
         lower = labels.unionByName(reached).groupBy(*by, "id").agg(F.min("label").alias("label"))
         # Jump to the label of the vertex that owns the current label.
@@ -111,7 +111,6 @@ def min_label_components(edges: DataFrame, vertices: DataFrame, by: list[str], m
         labels, done = jumped, changed.isEmpty()
         if done:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def merge_exact_text(items: DataFrame) -> DataFrame:

@@ -27,33 +27,46 @@ class AlignmentSettings:
     unmatched_penalty: float = 0.10
 
 
-def _directed(similarity, query_valid, key_valid, s: AlignmentSettings) -> np.ndarray:
-    """Scores of a batch in one direction; arrays are [pairs, tokens, tokens] and [pairs, tokens]."""
-    tokens = similarity.shape[1]
-    distance = np.abs(np.arange(tokens)[:, None] - np.arange(similarity.shape[2])[None, :])
-    usable = (distance <= s.bandwidth)[None] & key_valid[:, None, :]
-    best = np.where(usable, similarity - s.position_penalty * distance, -np.inf).max(axis=2)
-    matched = query_valid & usable.any(axis=2)
-    count = matched.sum(axis=1)
-    clean = np.where(matched, best, 0.0)
-    mean = clean.sum(axis=1) / np.maximum(count, 1)
-    ascending = np.sort(np.where(matched, best, np.inf), axis=1)
-    bottom_count = np.maximum(1, np.ceil(count * s.bottom_ratio)).astype(int)
-    running = np.cumsum(np.where(np.isinf(ascending), 0.0, ascending), axis=1)
-    bottom = running[np.arange(len(count)), bottom_count - 1] / bottom_count
-    unmatched = 1.0 - count / np.maximum(1, query_valid.sum(axis=1))
-    score = s.mean_weight * mean + s.bottom_weight * bottom - s.unmatched_penalty * unmatched
-    return np.where(count == 0, -1.0 - s.unmatched_penalty, score)
+def _band_best(left: np.ndarray, right: np.ndarray, reach: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's best partner within ``reach`` places, for both sequences at once.
+
+    A shift of the right sequence against the left one is a row-wise product, so ``2 * reach + 1`` of them see every
+    pair in the band, and each product raises the best value of both of its tokens. All-zero tokens are nobody's partner.
+    """
+    rows, n_left, n_right = left.shape[0], left.shape[1], right.shape[1]
+    best_left, best_right = np.full((rows, n_left), -np.inf), np.full((rows, n_right), -np.inf)
+    live_left, live_right = left.any(axis=2), right.any(axis=2)
+    for shift in range(-reach, reach + 1):
+        start, stop = max(0, -shift), min(n_left, n_right - shift)
+        if start >= stop:
+            continue
+        here, there = slice(start, stop), slice(start + shift, stop + shift)
+        value = np.einsum("rtd,rtd->rt", left[:, here], right[:, there]) - penalty * abs(shift)
+        np.maximum(best_left[:, here], np.where(live_right[:, there], value, -np.inf), out=best_left[:, here])
+        np.maximum(best_right[:, there], np.where(live_left[:, here], value, -np.inf), out=best_right[:, there])
+    best_left[~live_left] = -np.inf
+    best_right[~live_right] = -np.inf
+    return best_left, best_right
+
+
+def _blend(best: np.ndarray, tokens: np.ndarray, s: AlignmentSettings) -> np.ndarray:
+    """Mean, mean of the lowest part and share without partner, from each token's best value (minus infinity: none)."""
+    has = np.isfinite(best)
+    n = has.sum(axis=1)
+    place = np.where(has, best, np.inf).argsort(axis=1).argsort(axis=1)
+    lowest = place < np.maximum(1, np.ceil(n * s.bottom_ratio))[:, None]
+    value = np.where(has, best, 0.0)
+    average = lambda part: (value * part).sum(axis=1) / np.maximum(1, (has & part).sum(axis=1))
+    alone = s.unmatched_penalty * (1.0 - n / np.maximum(1, tokens))
+    blended = s.mean_weight * average(has) + s.bottom_weight * average(lowest) - alone
+    return np.where(n > 0, blended, -1.0 - s.unmatched_penalty)
 
 
 def align_batch(left: np.ndarray, right: np.ndarray, settings: AlignmentSettings = AlignmentSettings()) -> np.ndarray:
-    """Banded two-way best-match similarity of [pairs, tokens, dims] sequences."""
-    similarity = left @ right.transpose(0, 2, 1)
-    left_valid = (left**2).sum(axis=2) > 0
-    right_valid = (right**2).sum(axis=2) > 0
-    forward = _directed(similarity, left_valid, right_valid, settings)
-    backward = _directed(similarity.transpose(0, 2, 1), right_valid, left_valid, settings)
-    return 0.5 * (forward + backward)
+    """Mean of both directions' blended best matches, for arrays of (pairs, tokens, dims)."""
+    best = _band_best(left, right, settings.bandwidth, settings.position_penalty)
+    sides = (_blend(b, side.any(axis=2).sum(axis=1), settings) for b, side in zip(best, (left, right)))
+    return sum(sides) / 2
 
 
 def local_alignment(left: Column, right: Column, tokens: int, settings: AlignmentSettings = AlignmentSettings()) -> Column:

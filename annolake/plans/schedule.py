@@ -111,17 +111,17 @@ def schedule_stats(schedule: DataFrame, samples: DataFrame) -> DataFrame:
 
 def pair_epoch_schedule(
     samples: DataFrame, batch_size: int, seed: int, epoch: int, negative_ratio: float = 0.5, ocr_enabled: bool = True,
-    maximum: float = 0.2, ocr_ratio: float = 0.3, shards: int | None = None, negative_source=local_negative_pairs,
+    maximum: float = 0.2, ocr_ratio: float = 0.3, shards: int = 64, negative_source=local_negative_pairs,
 ) -> DataFrame:
     """Pairs of one epoch with their batch: i, j, same, source, shard, batch_id.
 
     Text negatives are drawn from the virtual pool only for what the budget asks, so the pool is never listed; the
-    share of the budget they may take is checked against what could be drawn.
+    share of the budget they may take is checked against what could be drawn. ``shards`` is part of the plan: the same
+    number gives the same batches on any cluster.
     """
     for name, value in (("negative_ratio", negative_ratio), ("maximum", maximum), ("ocr_ratio", ocr_ratio)):
         if not 0.0 <= value <= 1.0:
             raise ValueError(f"{name} must be in [0, 1]")
-    shards = shards or int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     samples = prepared(samples)
     positive = checkpointed(
         select_positive_pairs(samples, seed, epoch).select("i", "j", F.lit(True).alias("same"), F.lit("local").alias("source"))

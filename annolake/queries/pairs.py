@@ -98,10 +98,13 @@ def _(t):
     return pr.except_local(p.drop("source"), p.filter("source = 'local'"))
 
 
-@query("widest_pairs", "WN-13", """with {frame_events}, e as (select root, segment_id, min(frame_index) as lo, max(frame_index) as hi, count(*) as n
- from frame_events where has_subtitle group by all) select root, segment_id, hi - lo as span from e where n > 1""")
+@query("widest_pairs", "WN-13", """with {frame_events}, f as (select *, case when sample_idx % 5 <> 0 and root <> 'u3' then frame_index end as known from frame_events),
+ e as (select root, segment_id, min(known) as lo, max(known) as hi, count(known) as timed, count(*) as n from f where has_subtitle group by all)
+ select root, segment_id, cast(case when timed > 1 then hi - lo else 0 end as bigint) as span from e where n > 1""")
 def _(t):
-    return pr.widest_pair_per_segment(t.frame_events).select("root", "segment_id", "span")
+    unknown = (F.col("sample_idx") % 5 == 0) | (F.col("root") == "u3")
+    frames = t.frame_events.withColumn("frame_index", F.when(~unknown, F.col("frame_index")))
+    return pr.widest_pair_per_segment(frames).select("root", "segment_id", F.col("span").cast("long").alias("span"))
 
 
 @query("rank_local_negatives", "WN-14")

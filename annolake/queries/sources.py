@@ -154,32 +154,42 @@ def _quad_json(x):
     return F.concat(F.lit("[["), x, F.lit(",1],["), x, F.lit("5,2],["), x, F.lit("6,9],["), x, F.lit(",8]]"))
 
 
-@query("normalize_detections", "AR-01", """with k as (select l_orderkey, l_linenumber % 6 as kind, l_partkey + 1 as x, l_discount as s from lineitem),
- e as (select l_orderkey, x, case when kind in (0, 1, 3) then s end as score from k where kind < 5 union all select l_orderkey, x, s from k where kind = 4
+@query("normalize_detections", "AR-01", """with k as (select l_orderkey, l_linenumber % 7 as kind, l_partkey + 1 as x, l_discount as s from lineitem),
+ e as (select l_orderkey, x, case when kind in (0, 1, 3) then s end as score from k where kind < 5 or kind = 6 union all select l_orderkey, x, s from k where kind = 4
  union all select l_orderkey, x, null from k where kind = 0)
  select l_orderkey as image_id, count(*) as detections, count(score) as scored, sum(x)::bigint as sum_x, round(sum(score), 6) as sum_score from e group by l_orderkey""")
 def _(t):
     q, s = _quad_json(F.col("l_partkey") + 1), F.col("l_discount").cast("string")
-    kind = F.col("l_linenumber") % 6
+    kind = F.col("l_linenumber") % 7
     result = (
         F.when(kind == 0, F.concat(F.lit('{"dt_polys":['), q, F.lit(","), q, F.lit('],"dt_scores":['), s, F.lit("]}")))
         .when(kind == 1, F.concat(F.lit('[{"points":'), q, F.lit(',"score":'), s, F.lit("}]")))
         .when(kind == 2, q).when(kind == 3, F.concat(F.lit("["), q, F.lit(","), s, F.lit("]")))
-        .when(kind == 4, F.concat(F.lit('[{"poly":'), q, F.lit("},["), q, F.lit(","), s, F.lit("]]"))).otherwise(F.lit("[null]"))
+        .when(kind == 4, F.concat(F.lit('[{"poly":'), q, F.lit("},["), q, F.lit(","), s, F.lit("]]")))
+        .when(kind == 6, F.concat(F.lit("[[[[["), q, F.lit("]]]]]"))).otherwise(F.lit("[null]"))
     )
     found = tt.normalize_detections(t.table("lineitem").select(F.col("l_orderkey").alias("image_id"), result.alias("result")), ["image_id"])
     return found.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("detections"), F.count("score").alias("scored"), F.sum(F.col("polygon")[0][0]).cast("long").alias("sum_x"), F.round(F.sum("score"), 6).alias("sum_score"))
 
 
-@query("extract_text", "AR-04", """with {frames} select sample_id, case frame_index % 5 when 0 then video_id || segment_id when 1 then segment_id when 2 then sample_id when 3 then video_id || segment_id || 'x' else segment_id end as text from frames""")
+@query("extract_text", "AR-04", """with {frames} select sample_id, case sample_idx % 11 when 0 then video_id || segment_id when 2 then sample_id when 3 then video_id || segment_id || 'x'
+ when 5 then '[' || video_id || '] ' || segment_id when 6 then '[' || video_id || ']' || segment_id when 7 then '"' || video_id || '" line' when 8 then video_id
+ when 10 then '' else segment_id end as text from frames""")
 def _(t):
     js = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     v, s, i = js(F.col("video_id")), js(F.col("segment_id")), js(F.col("sample_id"))
-    kind = F.col("frame_index") % 5
+    kind = F.col("sample_idx") % 11
     result = (
         F.when(kind == 0, F.concat(F.lit('{"rec_texts":['), v, F.lit(',"",'), s, F.lit("]}"))).when(kind == 1, F.concat(F.lit('{"score":0.5,"rec_text":'), s, F.lit("}")))
         .when(kind == 2, i).when(kind == 3, F.concat(F.lit("["), v, F.lit(',[{"text":'), s, F.lit('}],"x",null]')))
-        .otherwise(F.concat(F.lit('{"score":1,"page":{"label":'), s, F.lit("}}")))
+        .when(kind == 4, F.concat(F.lit('{"score":1,"page":{"label":'), s, F.lit("}}")))
+        # strings that look like JSON or like numbers, a name with a number, nesting beyond any usual depth, nothing
+        .when(kind == 5, F.concat(F.lit('{"x":"['), "video_id", F.lit("] "), "segment_id", F.lit('"}')))
+        .when(kind == 6, F.concat(F.lit('["['), "video_id", F.lit(']",'), s, F.lit("]")))
+        .when(kind == 7, F.concat(F.lit('["\\"'), "video_id", F.lit('\\" line"]')))
+        .when(kind == 8, F.concat(F.lit('{"a":{"b":null},"x":'), v, F.lit("}")))
+        .when(kind == 9, F.concat(F.lit('[[[[{"rec_text":5,"text":{"text":7},"y":[[[[{"label":'), s, F.lit("}]]]]}]]]]")))
+        .otherwise(F.lit('{"a":[1,2.5,true,null]}'))
     )
     return t.frames.select("sample_id", tt.extract_text(result).alias("text"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annolake.session import checkpointed
 from annolake.sources.lines import strip
 
 
@@ -69,24 +73,73 @@ def normalize_detections(results: DataFrame, key: list[str]) -> DataFrame:
     level = results.select(
         *key, F.array().cast("array<int>").alias("at"), "result", F.lit(None).cast(_QUAD).alias("polygon"), F.lit(None).cast("double").alias("score")
     )
-    for _ in range(4):  # nesting depth of known outputs: batch, page, list, pair
+    for _ in range(4):  # the usual nesting: batch, page, list, pair
         level = open_level(level)
+    level = checkpointed(level)
+    while not level.filter("result is not null").isEmpty():
+        level = checkpointed(open_level(level))
     return level.filter("polygon is not null").select(*key, F.col("at").alias("position"), "polygon", "score")
 
 
-def extract_text(result: Column, depth: int = 3) -> Column:
-    """Recognised text of nested recogniser output (JSON): rec_texts joined, else rec_text, text or label; lists are
-    joined; other objects give their first value with text."""
-    shape = "struct<rec_texts:array<string>,rec_text:string,text:string,label:string>"
-    o = F.from_json(result, shape)
-    plain = F.when(result.startswith('"'), F.from_json(F.concat(F.lit("["), result, F.lit("]")), "array<string>")[0])
-    named = F.coalesce(F.array_join(o["rec_texts"], ""), o["rec_text"], o["text"], o["label"])
-    if depth == 0:
-        nested_list = nested_object = F.lit("")
-    else:
-        as_json = lambda v: F.when(v.rlike(r'^\s*[\[{"]'), v).otherwise(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2))
-        nested_list = F.array_join(F.transform(F.from_json(result, "array<string>"), lambda v: extract_text(as_json(v), depth - 1)), "")
-        values = F.transform(F.map_values(F.from_json(result, "map<string,string>")), lambda v: F.when(v.rlike(r"^\s*[\[{]"), extract_text(v, depth - 1)).when(v.try_cast("double").isNull(), v))
-        nested_object = F.coalesce(F.get(F.filter(values, lambda v: v != ""), F.lit(0)), F.lit(""))
-    is_object, is_list = strip(result).startswith("{"), strip(result).startswith("[")
-    return F.coalesce(F.when(is_object, F.coalesce(named, nested_object)).when(is_list, nested_list).otherwise(plain), F.lit(""))
+#: Keys that name the recognised text of an object, in this order.
+TEXT_KEYS = ("rec_text", "text", "label")
+
+
+def text_within(value: object) -> str:
+    """Text of one parsed result. Only strings count, whatever they look like; a walk with its own stack, to any depth.
+
+    A frame of the stack is [kind, parts, what is left]: a list joins the texts of its items, an object takes the first
+    text that its values give.
+    """
+    done: str | None = None
+    stack: list[list] = []
+    while True:
+        if done is None:
+            if isinstance(value, str):
+                done = value
+            elif isinstance(value, dict):
+                several = value.get("rec_texts")
+                named = next((value[k] for k in TEXT_KEYS if isinstance(value.get(k), str)), None)
+                if isinstance(several, list):
+                    done = "".join(map(str, several))
+                elif named is not None:
+                    done = named
+                else:
+                    stack.append(["first", [], iter(value.values())])
+            elif isinstance(value, list):
+                stack.append(["all", [], iter(value)])
+            else:
+                done = ""
+        if done is not None:
+            if not stack:
+                return done
+            kind, parts, _ = stack[-1]
+            if done:
+                parts.append(done)
+            if kind == "first" and done:
+                stack.pop()
+                continue
+            done = None
+        kind, parts, rest = stack[-1]
+        missing = object()
+        value = next(rest, missing)
+        if value is missing:
+            stack.pop()
+            done = "".join(parts)
+
+
+def extract_text(result: Column) -> Column:
+    """Recognised text of nested recogniser output (JSON): ``rec_texts`` joined, else the first of rec_text, text and label
+    that is a string; lists are joined; other objects give their first value with text. Text that is no JSON gives ''."""
+
+    @F.pandas_udf("string")
+    def walk(documents: pd.Series) -> pd.Series:
+        def one(document: str | None) -> str:
+            try:
+                return "" if document is None else text_within(json.loads(document))
+            except ValueError:
+                return ""
+
+        return documents.map(one, na_action=None)
+
+    return walk(result)

@@ -98,7 +98,9 @@ def test_rank_addressed_sample(spark):
     first = take(1)
     assert len(set(first)) == 20 and set(first) <= set(far)
     assert take(1) == first and take(2) != first
-    assert len(pr.ocr_negative_sample(samples, 10**6, 0.4, 3, 1).collect()) == len(far)
+    # More than exist: the pool whole, then shuffled passes of it.
+    refilled = [(r.i, r.j) for r in pr.ocr_negative_sample(samples, 2 * len(far) + 5, 0.4, 3, 1).collect()]
+    assert len(refilled) == 2 * len(far) + 5 and set(refilled) == set(far) and {refilled.count(p) for p in far} == {2, 3}
 
 
 def test_hot_segment_is_whole(spark):
