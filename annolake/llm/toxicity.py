@@ -38,15 +38,21 @@ class Model:
     base: float  # share of toxic texts among learned ones without a match
     prior: float  # share of toxic texts among all learned ones
     shares: dict[int, float]  # share of toxic texts by match kind: (3 * term + edits) * 3 + context
+    by_edits: list[float]  # the same by number of edits, over all terms: a bound for kinds that were never seen
+
+    def share(self, kind: int) -> float:
+        return self.shares.get(kind, min(PRIORS[kind % 3], self.by_edits[kind // 3 % 3]))
 
     def score(self, kinds: dict[int, int]) -> float:
-        """Odds of the base, times those of each kind of match as far as they exceed the prior's."""
-        level = math.log(self.base / (1 - self.base))
+        """Odds of the base, times those of each kind of match as far as they exceed the prior's; at least the share
+        supposed for a kind that was never seen."""
+        start = max(self.base, self.prior / 10) if kinds else self.base  # a base of hardly any toxic text would drown one sure match
+        level = math.log(start / (1 - start))
         usual = math.log(self.prior / (1 - self.prior))
-        shares = [self.shares.get(kind, PRIORS[kind % 3]) for kind in kinds]
+        shares = [self.share(kind) for kind in kinds]
         gains = sorted((math.log(p / (1 - p)) - usual for p in shares), reverse=True)
         level += sum(max(0.0, gain) for gain in gains[:STRONGEST])
-        return 1 / (1 + math.exp(-level))
+        return max([1 / (1 + math.exp(-level)), *(self.share(kind) for kind in kinds if kind not in self.shares)])
 
 
 @cache
@@ -142,7 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc
     good, bad = cells.pop(-1, (0, 0))
     prior = (toxic + 0.1) / (count + 2)
     shares = {k: (b + 2 * PRIORS[k % 3]) / (g + b + 2) for k, (g, b) in cells.items()}
-    return Model(list(terms), (bad + 0.1) / (good + bad + 2), prior, shares)
+    seen = [[n for k, n in cells.items() if k // 3 % 3 == e] for e in range(3)]
+    by_edits = [1.0, *((sum(b for _, b in own) + 1) / (sum(g + b for g, b in own) + 2) for own in seen[1:])]
+    return Model(list(terms), (bad + 0.1) / (good + bad + 2), prior, shares, by_edits)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -107,7 +107,10 @@ def test_language_held_out(spark):
 
 
 def test_language_edges(make_docs):
-    rows = [(k, "the cat and the dog " * 5 if k % 2 else "le chat et le chien " * 5, "en" if k % 2 else "fr", "a") for k in range(40)]
+    draw = random.Random(10)
+    say = lambda words: " ".join(draw.choice(words.split()) for _ in range(60))
+    english, french = "the cat and dog which with then that thing", "le chat et chien que dans une est aussi très"
+    rows = [(k, say(english if k % 2 else french), "en" if k % 2 else "fr", "a") for k in range(60)]
     network = langid.fit(make_docs(rows), F.coalesce(remainder("doc_id", 3) != 1, F.lit(False)))
     asked = [(1, None), (2, ""), (3, "12 ?!"), (4, "the dog and the cat"), (5, "le chien et le chat"), (None, "the cat " * 9000)]
     got = {r.doc_id: (r.language, r.score) for r in langid.identify(make_docs(asked), network).collect()}
