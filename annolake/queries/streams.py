@@ -1,6 +1,6 @@
 """Streaming operators, each driven to completion over a table read as a stream."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -8,20 +8,15 @@ from pyspark.sql import functions as F
 from annolake.functions import text as tx
 from annolake.operators.segments import adjacency_edges
 from annolake.queries.registry import query
-from annolake.session import checkpointed
+from annolake.session import checkpointed, shared_folder
 from annolake.streaming.bank import bank_step
 from annolake.streaming.ingest import append_to, ingest_annotations
 from annolake.streaming.segments import stream_segment_changes
 
 
 def _folder(t) -> str:
-    """Fresh folder for a stream's output: below the cluster's shared folder when it names one."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="spark-stream-")
-    import uuid
-
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """Fresh folder for a stream's output, below the session's shared folder."""
+    return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _event_stream(t) -> DataFrame:

@@ -30,10 +30,10 @@ def test_decimal_round_equals_python(spark):
 
 def test_boxes_and_sizes(spark):
     row = one(
-        spark, box=g.yolo_to_box(*lits(0.5, 0.5, 0.25, 0.5), F.lit(200), F.lit(100)), letter=g.letterbox_shape(F.lit(1920), F.lit(1080), 256),
+        spark, box=g.yolo_to_box(*lits(0.4, 0.25, 0.2, 0.3), F.lit(500), F.lit(400)), letter=g.letterbox_shape(F.lit(1920), F.lit(1080), 256),
         aligned=g.aligned_resize_size(F.lit(1920), F.lit(1080), F.lit(0.25)),
     )
-    assert corners(row.box) == (75, 25, 125, 75)
+    assert corners(row.box) == (150, 40, 250, 160)
     assert tuple(row.letter)[:4] == (256, 144, 256, 160)
     assert row.letter.scale_x == 256 / 1920 and row.letter.scale_y == 144 / 1080
     assert tuple(row.aligned) == (480, 272)
@@ -55,30 +55,30 @@ def test_protection(spark):
 
 
 def test_roi_crop(spark):
-    crop = g.crop_window(F.lit(100), F.lit(80), F.lit(55), F.lit(48), F.lit(42), F.lit(40))
-    assert tuple(one(spark, c=crop).c) == (15, 16, 70, 64)
-    wide = g.crop_window(F.lit(10), F.lit(0), F.lit(55), F.lit(48), F.lit(42), F.lit(40))
+    crop = g.crop_window(F.lit(90), F.lit(75), F.lit(40), F.lit(30), F.lit(51), F.lit(44))
+    assert tuple(one(spark, c=crop).c) == (31, 29, 71, 59)
+    wide = g.crop_window(F.lit(10), F.lit(0), F.lit(40), F.lit(30), F.lit(51), F.lit(44))
     assert one(spark, c=wide).c is None
 
 
 def test_crop_boxes(spark):
-    boxes = F.array(g.make_box(*lits(40.9, 70.7, 60.1, 80.2)), g.make_box(*lits(0, 0, 5, 5)))
+    boxes = F.array(g.make_box(*lits(33.5, 61.25, 52.5, 90.75)), g.make_box(*lits(0, 0, 5, 5)))
     row = one(spark, b=g.crop_boxes(boxes, g.make_box(20, 50, 70, 100)))
-    assert [corners(b) for b in row.b] == [(20.9, 20.7, 40.1, 30.2)]
+    assert [corners(b) for b in row.b] == [(13.5, 11.25, 32.5, 40.75)]
 
 
 def test_quads_and_regions(spark):
-    quad = F.array(*[F.array(*lits(*p)) for p in ((10, 20), (30, 20), (30, 40), (10, 40))])
+    quad = F.array(*[F.array(*lits(*p)) for p in ((12, 6), (48, 6), (48, 18), (12, 18))])
     box = g.quad_to_bbox(g.quad_points(quad, 100, 100))
-    row = one(spark, b=box, c=g.bbox_center(box), near=g.intersects_region(box, (0, 0, 15, 25)), far=g.intersects_region(box, (31, 41, 50, 60)))
-    assert corners(row.b) == (10, 20, 30, 40) and tuple(row.c) == (20, 30) and row.near and not row.far
+    row = one(spark, b=box, c=g.bbox_center(box), near=g.intersects_region(box, (40, 10, 90, 70)), far=g.intersects_region(box, (49, 19, 60, 30)))
+    assert corners(row.b) == (12, 6, 48, 18) and tuple(row.c) == (30, 12) and row.near and not row.far
     with pytest.raises(Exception, match="four points"):
         one(spark, q=g.quad_points(F.array(F.array(*lits(1, 2))), 10, 10))
 
 
 def test_stems(spark):
-    row = one(spark, s=g.sample_stem(F.lit("clip_a"), F.lit(42)), p=g.parse_video_frame(F.lit("clip_a_f00000042")), n=g.parse_video_frame(F.lit("plain")))
-    assert row.s == "clip_a_f00000042" and tuple(row.p) == ("clip_a", 42) and tuple(row.n) == (None, None)
+    row = one(spark, s=g.sample_stem(F.lit("film9"), F.lit(731)), p=g.parse_video_frame(F.lit("film9_f00000731")), n=g.parse_video_frame(F.lit("plain")))
+    assert row.s == "film9_f00000731" and tuple(row.p) == ("film9", 731) and tuple(row.n) == (None, None)
 
 
 def test_importance_weight_is_null_for_equal_priors(spark):

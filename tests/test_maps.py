@@ -14,9 +14,9 @@ def cells(df):
 
 
 def test_targets_small(spark):
-    got = cells(mp.region_kernel_targets(boxes(spark, [(4, 4, 20, 12)]), boxes(spark, [(0, 0, 4, 4)]), "s", 32, 16, kernel_scale=0.25))
-    assert got[1, 1].training_mask == 0 and got[6, 6].region == 1 and got[12, 8].kernel == 1
-    assert 0 < sum(r.kernel for r in got.values()) < sum(r.region for r in got.values()) == 128
+    got = cells(mp.region_kernel_targets(boxes(spark, [(6, 5, 26, 13)]), boxes(spark, [(0, 0, 4, 4)]), "s", 32, 16, kernel_scale=0.25))
+    assert got[1, 1].training_mask == 0 and got[8, 7].region == 1 and got[16, 9].kernel == 1
+    assert 0 < sum(r.kernel for r in got.values()) < sum(r.region for r in got.values()) == 160
 
 
 def test_targets_wide(spark):
@@ -41,8 +41,8 @@ def decode(spark, width, height, region, kernel, low=-8.0, high=8.0, **settings)
 
 
 def test_decode_grows_seed(spark):
-    (box,) = decode(spark, 32, 16, lambda x, y: 4 <= y < 12 and 4 <= x < 20, lambda x, y: 7 <= y < 9 and 10 <= x < 14)
-    assert box[:4] == (4, 4, 20, 12) and box[4] > 0.8
+    (box,) = decode(spark, 32, 16, lambda x, y: 5 <= y < 13 and 3 <= x < 27, lambda x, y: 8 <= y < 10 and 12 <= x < 17)
+    assert box[:4] == (3, 5, 27, 13) and box[4] > 0.8
 
 
 def test_decode_refines_to_the_core(spark):
@@ -54,9 +54,9 @@ def test_decode_refines_to_the_core(spark):
 
 
 def test_decode_prefers_the_bottom(spark):
-    inside = lambda x, y: (8 <= x < 12 and 4 <= y < 6) or (6 <= x < 14 and 17 <= y < 19)
+    inside = lambda x, y: (9 <= x < 14 and 3 <= y < 6) or (4 <= x < 15 and 16 <= y < 18)
     got = decode(spark, 20, 20, inside, inside, min_size=1.0)
-    assert [b[:4] for b in got] == [(6, 17, 14, 19)]
+    assert [b[:4] for b in got] == [(4, 16, 15, 18)]
 
 
 def test_decode_width_clamp(spark):

@@ -110,7 +110,7 @@ def test_hot_segment_is_whole(spark):
 
 
 def schedule_samples(spark):
-    texts = ["alpha caption", "bravo message", "charlie sentence"]
+    texts = ["winter harbour", "seven quiet owls", "red ticket office"]
     return frame(spark, [("r", f"s{k}_{o}", k * 4 + o, True, f"seg-{k}", "v", k * 100 + o, texts[k]) for k in range(3) for o in range(4)])
 
 

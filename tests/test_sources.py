@@ -12,7 +12,7 @@ from annolake.sources import lines as ln
 from annolake.sources import sinks
 from annolake.sources import texts as tt
 
-ROWS = [("a0", True, "seg-a", 0, "same subtitle"), ("a1", True, "seg-a", 30, "same subtitle"), ("b0", True, "seg-b", 60, "different subtitle"), ("e0", False, "empty", 90, "")]
+ROWS = [("k7", True, "part-one", 12, "hello there"), ("k8", True, "part-one", 24, "hello there"), ("m1", True, "part-two", 49, "good evening"), ("z9", False, "empty", 95, "")]
 
 
 def png(width, height):
@@ -30,23 +30,23 @@ def root(tmp_path):
     (home / "images").mkdir()
     with open(home / "annotations.jsonl", "w") as out:
         for name, has, segment, frame, text in ROWS:
-            out.write(json.dumps({"image": f"images/{name}.jpg", "source_annotation": {"source_video": "clip.mp4", "frame_index": frame}, "roi_size": [32, 16], "has_subtitle": has, "segment_marker": segment, "ocr_text": text}) + "\n\n")
-            (home / "labels" / f"{name}.txt").write_text("0 0.25 0.4375 0.25 0.375\nbad line\n# x\n0 0.1 0.1 0 0\n" if has else "")
-            (home / "images" / f"{name}.jpg").write_bytes(jpeg(32, 16))
+            out.write(json.dumps({"image": f"images/{name}.jpg", "source_annotation": {"source_video": "film9.mkv", "frame_index": frame}, "roi_size": [48, 24], "has_subtitle": has, "segment_marker": segment, "ocr_text": text}) + "\n\n")
+            (home / "labels" / f"{name}.txt").write_text("0 0.5 0.5 0.25 0.5\nbad line\n# x\n0 0.1 0.1 0 0\n" if has else "")
+            (home / "images" / f"{name}.jpg").write_bytes(jpeg(48, 24))
     (home / "images" / "z.png").write_bytes(png(200, 100))
-    (home / "summary.json").write_text(json.dumps({"version": 1, "roi_size": [32, 16], "samples": 4}))
-    (home / "segment_review.json").write_text(json.dumps({"version": 2, "items": {"e0": {"has_subtitle": True, "segment_id": "", "note": "seen"}, "b0": {"segment_id": "moved"}}}))
+    (home / "summary.json").write_text(json.dumps({"version": 1, "roi_size": [48, 24], "samples": 4}))
+    (home / "segment_review.json").write_text(json.dumps({"version": 2, "items": {"z9": {"has_subtitle": True, "segment_id": "", "note": "seen"}, "m1": {"segment_id": "moved"}}}))
     return str(home)
 
 
 def test_roi_samples(spark, root):
     got = {r.sample_id: r for r in an.read_roi_samples(spark, [root]).collect()}
-    assert set(got) == {"a0", "a1", "b0", "e0"} and got["a1"].root == root
-    assert (got["a1"].frame_index, got["a1"].video_id, got["a1"].ocr_text, got["a1"].sample_idx) == (30, "clip.mp4", "same subtitle", 1)
-    assert got["e0"].has_subtitle and got["e0"].segment_id == "empty" and not got["e0"].segment_changed and got["e0"].note == "seen"
-    assert got["b0"].segment_id == "moved" and got["b0"].segment_changed and got["b0"].has_subtitle
+    assert set(got) == {"k7", "k8", "m1", "z9"} and got["k8"].root == root
+    assert (got["k8"].frame_index, got["k8"].video_id, got["k8"].ocr_text, got["k8"].sample_idx) == (24, "film9.mkv", "hello there", 1)
+    assert got["z9"].has_subtitle and got["z9"].segment_id == "empty" and not got["z9"].segment_changed and got["z9"].note == "seen"
+    assert got["m1"].segment_id == "moved" and got["m1"].segment_changed and got["m1"].has_subtitle
     summary = an.require_roi_size(an.read_summary(spark, [root])).first()
-    assert (summary.roi_width, summary.roi_height, summary.is_roi) == (32, 16, True)
+    assert (summary.roi_width, summary.roi_height, summary.is_roi) == (48, 24, True)
 
 
 def test_missing_and_wrong_documents(spark, root, tmp_path):
@@ -66,18 +66,18 @@ def test_labels(spark, root):
     lines = lb.read_label_lines(spark, [root])
     sizes = im.discover_images(spark, [root]).select("root", "sample_id", "width", "height")
     got = lb.parse_labels_lenient(lines, sizes, ["root", "sample_id"]).collect()
-    assert sorted((r.sample_id, r.line_index, r.valid_index) for r in got) == [(n, 0, 0) for n in ("a0", "a1", "b0")]
-    assert tuple(got[0].box) == (4.0, 4.0, 12.0, 10.0)
+    assert sorted((r.sample_id, r.line_index, r.valid_index) for r in got) == [(n, 0, 0) for n in ("k7", "k8", "m1")]
+    assert tuple(got[0].box) == (18.0, 6.0, 30.0, 18.0)
     assert lb.rejected_labels(lines).count() == 3
     with pytest.raises(Exception, match="five fields"):
         lb.parse_labels_strict(lines, ["root", "sample_id"]).collect()
-    strict = lb.parse_labels_strict(lines.filter("value <> 'bad line'"), ["sample_id"]).filter("sample_id = 'a0'").orderBy("line_index").collect()
+    strict = lb.parse_labels_strict(lines.filter("value <> 'bad line'"), ["sample_id"]).filter("sample_id = 'k7'").orderBy("line_index").collect()
     assert [(r.line_index, r.w) for r in strict] == [(0, 0.25), (3, 0.0)]
 
 
 def test_images(spark, root):
     got = {r.filename: (r.width, r.height) for r in im.discover_images(spark, [root]).collect()}
-    assert got["a0.jpg"] == (32, 16) and got["z.png"] == (200, 100)
+    assert got["k7.jpg"] == (48, 24) and got["z.png"] == (200, 100)
     assert im.list_images(spark, [root], "jpg").count() == 4
     assert im.header_size(b"nothing") is None
 
@@ -114,23 +114,23 @@ def test_masks(spark):
 
 
 def test_via(spark):
-    files = spark.createDataFrame([("a", "a.jpg", 7, 200, 100), ("b", "b.jpg", 0, 10, 10)], "sample_id string, filename string, size long, width long, height long")
-    labels = spark.createDataFrame([("a", 0, 0.5, 0.5, 0.25, 0.4)], "sample_id string, line_index long, cx double, cy double, w double, h double")
+    files = spark.createDataFrame([("a", "a.jpg", 7, 400, 250), ("b", "b.jpg", 0, 10, 10)], "sample_id string, filename string, size long, width long, height long")
+    labels = spark.createDataFrame([("a", 0, 0.25, 0.6, 0.1, 0.2)], "sample_id string, line_index long, cx double, cy double, w double, h double")
     entries = lb.labels_to_via(files, labels)
     item = json.loads({r.entry_key: r.item for r in entries.collect()}["a.jpg7"])
-    assert item["regions"][0]["shape_attributes"] == {"name": "rect", "x": 75, "y": 30, "width": 50, "height": 40}
+    assert item["regions"][0]["shape_attributes"] == {"name": "rect", "x": 80, "y": 125, "width": 40, "height": 50}
     back = {r.sample_id: r.line for r in lb.via_to_labels(entries).collect()}
-    assert back == {"a": "0 0.500000 0.500000 0.250000 0.400000", "b": None}
+    assert back == {"a": "0 0.250000 0.600000 0.100000 0.200000", "b": None}
     odd = json.dumps({"filename": "c.jpg", "regions": [{"shape_attributes": {"name": "circle"}}], "file_attributes": {"width": 0}})
     with pytest.raises(Exception, match="no image size"):
         lb.via_to_labels(spark.createDataFrame([("c", odd)], "entry_key string, item string")).collect()
 
 
 def test_subtitles(spark):
-    srt = "﻿1\r\n00:00:01,000 --> 00:00:02,000\r\n第一行\r\n\r\n2\r\n00:00:03,000 --> 00:00:04,000\r\nsecond line\r\n"
+    srt = "﻿1\r\n00:00:01,000 --> 00:00:02,000\r\nGrüß Gott\r\n\r\n2\r\n00:00:03,000 --> 00:00:04,000\r\nauf Wiedersehen\r\n"
     files = spark.createDataFrame([("x.srt", srt), ("y.txt", " one \n\n2\n")], "path string, text string")
     got = tt.read_subtitles(files).orderBy("path", "cue").collect()
-    assert [r.subtitle for r in got] == ["第一行", "second line", "one", "2"]
+    assert [r.subtitle for r in got] == ["Grüß Gott", "auf Wiedersehen", "one", "2"]
 
 
 def test_sinks(spark, tmp_path):
