@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Sequence
 
@@ -33,6 +34,9 @@ def materialized(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/annolake-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Spark's cleaner removes shuffle files when the driver's JVM collects their handles; on a busy disk that comes too late by itself.
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     return table

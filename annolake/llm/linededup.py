@@ -64,19 +64,48 @@ class LineSets:
         """Line number and some bits of the key, in the order of the lines."""
         return self.number[rows] << REF_BITS | (self.keys[rows, 0] >> np.uint64(64 - REF_BITS)).astype(np.int64)
 
+    def parity(self, rows: np.ndarray) -> np.ndarray:
+        bits = np.uint64(1) << (self.tokens & np.uint64(63))
+        until = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)))
+        return (until[(self.start + self.size)[rows]] ^ until[self.start[rows]]).view(np.int64)
+
     def key_column(self, rows: np.ndarray) -> pa.Array:
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(np.ascontiguousarray(self.keys[rows]))]).cast(pa.binary())
 
 
-def _lines(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """A row per line with tokens: ``_doc, _ref, _key`` (a 128-bit hash of its token set), ``_size``, ``_prefix``."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """A row per line with tokens: ``_doc, _ref, _key`` (a 128-bit hash of its token set), ``_size``, ``_parity``.
+
+    Bit k of the parity says whether an odd number of tokens end in k (of 64). Two sets differ in at least as many tokens as
+    their parities differ in bits.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, "_text"):
+                sets = LineSets(texts, None)
+                rows = np.flatnonzero(sets.size)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_doc").take(pa.array(sets.text[rows])), pa.array(sets.refs(rows)), sets.key_column(rows),
+                     pa.array(sets.size[rows].astype(np.int32)), pa.array(sets.parity(rows))],
+                    names=["_doc", "_ref", "_key", "_size", "_parity"],
+                )
+
+    return docs.mapInArrow(run, "_doc long, _ref long, _key binary, _size int, _parity long")
+
+
+def _prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """The lines that can have similar ones: ``_doc, _ref, _key, _size, _prefix``.
+
+    Lines of up to three tokens are only similar to equal sets, which share their key.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2^SKETCH_BITS numbers of four bytes, always
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "_text"):
                 sets = LineSets(texts, shared.value)
-                rows = np.flatnonzero(sets.size)
+                rows = np.flatnonzero(sets.size > 3)
                 take = sets.size[rows] - -(-sets.size[rows] * percent // 100) + 1
                 offsets = np.concatenate(([0], np.cumsum(take)))
                 place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], take)
@@ -91,30 +120,44 @@ def _lines(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
 
 def _line_sets(docs: DataFrame) -> DataFrame:
-    """``_doc, _ref, _set`` of all lines with tokens."""
+    """``_doc, _ref, _set`` of the lines that each document's ``_refs`` ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "_text"):
                 sets = LineSets(texts, None)
                 rows = np.flatnonzero(sets.size)
-                ends = (sets.start + sets.size)[rows]
-                own = [sets.tokens[a:b].tobytes() for a, b in zip(sets.start[rows].tolist(), ends.tolist(), strict=True)]
-                columns = [part.column("_doc").take(pa.array(sets.text[rows])), pa.array(sets.refs(rows)), pa.array(own, pa.binary())]
+                refs, edges = sets.refs(rows), np.searchsorted(sets.text[rows], np.arange(len(texts) + 1))
+                asked = zip(part.column("_refs").to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+                chosen = np.concatenate([np.isin(refs[a:b], own) for own, a, b in asked] or [np.zeros(0, bool)])
+                rows, refs = rows[chosen], refs[chosen]
+                own = [sets.tokens[a : a + n].tobytes() for a, n in zip(sets.start[rows].tolist(), sets.size[rows].tolist(), strict=True)]
+                columns = [part.column("_doc").take(pa.array(sets.text[rows])), pa.array(refs), pa.array(own, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["_doc", "_ref", "_set"])
 
-    return docs.mapInArrow(run, "_doc long, _ref long, _set binary")
+    return docs.select("_doc", "_text", "_refs").mapInArrow(run, "_doc long, _ref long, _set binary")
 
 
 LATER, EARLIER = ["_doc", "_ref"], ["_other_doc", "_other_ref"]
 
 
+def _closer(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs whose parities do not differ in more bits than similar sets may differ in tokens."""
+    pairs = materialized(pairs.select(*LATER, *EARLIER).distinct(), "pairs")
+    side = lambda names, end: lines.select(
+        F.col("_doc").alias(names[0]), F.col("_ref").alias(names[1]), F.col("_size").alias(f"_size_{end}"), F.col("_parity").alias(f"_parity_{end}")
+    )
+    both = pairs.join(side(LATER, "x"), LATER).join(side(EARLIER, "y"), EARLIER)
+    differ = F.bit_count(F.col("_parity_x").bitwiseXOR(F.col("_parity_y")))
+    close = both.where((100 + percent) * differ <= (100 - percent) * (F.col("_size_x") + F.col("_size_y")))
+    return materialized(close.select(*LATER, *EARLIER).distinct(), "close")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The later lines (``_doc, _ref``) that are similar to the earlier line of their pair, by full token sets."""
     wanted = materialized(pairs.select(*LATER).union(pairs.select(*EARLIER)).distinct(), "wanted")
-    homes = materialized(wanted.select("_doc").distinct(), "homes")
-    sets = _line_sets(keyed_join(docs, homes, ["_doc"], "left_semi", ["_text"]))
-    sets = materialized(sets.join(wanted, LATER, "left_semi").dropDuplicates(LATER), "sets")
+    homes = materialized(wanted.groupBy("_doc").agg(F.collect_list("_ref").alias("_refs")), "homes")  # no more than a text has lines
+    sets = materialized(_line_sets(keyed_join(docs, homes, ["_doc"], "inner", ["_text"])).dropDuplicates(LATER), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,26 +186,35 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id"
     ids come first and are one. Other columns are ignored; an empty table gives an empty result.
     """
     source = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("_doc"), text_of(text_column).alias("_text"))
-    lines = materialized(_lines(source, _token_counts(source), percent), "lines")
+    lines = materialized(_lines(source), "lines")
     first = F.min(F.struct("_doc", "_ref")).alias("_first")
-    classes = lines.groupBy("_key").agg(first, F.first("_size").alias("_size"), F.first("_prefix").alias("_prefix")).where("_size > 3")
-    rows = classes.select(F.posexplode("_prefix").alias("_at", "_token"), "_size", "_first._doc", "_first._ref").repartition("_token")
+    prefixed = _prefixes(source, _token_counts(source), percent)
+    classes = prefixed.groupBy("_key").agg(first, F.first("_size").alias("_size"), F.first("_prefix").alias("_prefix"))
+    classes = materialized(classes.select("_first.*", "_size", "_prefix"), "classes")
+    mark = F.shiftleft(F.col("_at").cast("long"), 32).bitwiseOR(F.col("_size").cast("long")).alias("_mark")
+    rows = classes.select(F.posexplode("_prefix").alias("_at", "_token"), "_size", "_doc", "_ref")
+    rows = rows.select("_token", mark, "_doc", "_ref").repartition("_token")
     met = rows.groupBy("_token").agg(F.count("*").alias("_n")).where("_n > 1").select("_token")
     met = materialized(rows.join(met, "_token"), "met")
+    discard(classes)
 
-    # The earliest class of each token against the others.
-    hub = F.min(F.struct(F.col("_doc").alias("_other_doc"), F.col("_ref").alias("_other_ref"), F.col("_at").alias("_other_at"), F.col("_size").alias("_other_size")))
-    hubs = met.groupBy("_token").agg(hub.alias("_hub")).select("_token", "_hub.*")
+    fields = {"_doc": "_other_doc", "_ref": "_other_ref", "_mark": "_other_mark"}
     later = (F.col("_doc") > F.col("_other_doc")) | ((F.col("_doc") == F.col("_other_doc")) & (F.col("_ref") > F.col("_other_ref")))
-    near = can_match(F.col("_size"), F.col("_at"), F.col("_other_size"), F.col("_other_at"), percent)
-    pairs = materialized(met.join(hubs, "_token").where(later & near).select(*LATER, *EARLIER).distinct(), "pairs")
+    at, size = (lambda m: F.shiftright(m, 32)), (lambda m: m.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    own, other = F.col("_mark"), F.col("_other_mark")
+    near = later & can_match(size(own), at(own), size(other), at(other), percent)
+
+    # The earliest class of each token against the others.
+    hub = F.min(F.struct(*(F.col(a).alias(b) for a, b in fields.items()))).alias("_hub")
+    hubs = met.groupBy("_token").agg(hub).select("_token", "_hub.*")
+    pairs = _closer(met.join(hubs, "_token").where(near), lines, percent)
     gone = _confirmed(pairs, source, percent)
 
     # What found no match there against all earlier classes.
-    others = met.select("_token", F.col("_doc").alias("_other_doc"), F.col("_ref").alias("_other_ref"), F.col("_at").alias("_other_at"), F.col("_size").alias("_other_size"))
+    others = met.select(F.col("_token").alias("_same"), *(F.col(a).alias(b) for a, b in fields.items()))
     left = met.join(gone, LATER, "left_anti")
-    more = left.join(others.withColumnRenamed("_token", "_same"), (F.col("_token") == F.col("_same")) & later & near)
-    more = materialized(more.select(*LATER, *EARLIER).distinct().join(pairs, [*LATER, *EARLIER], "left_anti"), "pairs")
+    more = _closer(left.join(others, (F.col("_token") == F.col("_same")) & near), lines, percent)
+    more = materialized(more.join(pairs, [*LATER, *EARLIER], "left_anti"), "pairs")
     discard(met)
     gone = gone.union(_confirmed(more, source, percent)).distinct()
 
@@ -182,6 +234,7 @@ def without_repeats(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     found = repeated_lines(docs, percent, id_column, text_column)
     lost = F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line")))).alias("_lost")
     counts = found.groupBy(id_column).agg(F.count_distinct("line").alias("n_lines"), lost).withColumnRenamed(id_column, "_doc")
+    counts = materialized(counts, "lost")
     joined = docs.drop("n_lines", "n_removed").join(counts, F.col(id_column).eqNullSafe(F.col("_doc")), "left")
     left = F.filter(F.split(F.col(text_column), "\n"), lambda line, k: ~F.array_contains("_lost", k))
     text = F.when(F.size("_lost") > 0, F.array_join(left, "\n")).otherwise(F.col(text_column))
