@@ -23,6 +23,8 @@ LANES, LANE_IDS = 1024, 128
 SLOT_BITS, LIMIT = 18, 7
 #: Probabilities have 16 bits in the coder and 12 in the mixer; order-0 counts grow by GAIN.
 SCALE, MIXED, GAIN = 16, 12, 24
+#: Order-0 intervals are drawn anew after so many steps of all lanes.
+EVERY = 4
 U64 = np.uint64
 
 
@@ -45,7 +47,7 @@ class Models:
         self.right1 = np.full(2 * (LIMIT + 1), 1 << (MIXED - 1), np.int64)
         self.other = np.full(LIMIT + 1, 1 << (MIXED - 1), np.int64)  # the same for order 1 where order 2 was wrong
         self.weights = np.array([9, 9], np.int64) << 12  # in 1 / 2^16
-        self.counts = np.ones(vocabulary, np.int64)
+        self.counts, self.seen = np.ones(vocabulary, np.int64), []
         self.refresh()
 
     def refresh(self) -> None:
@@ -85,8 +87,11 @@ class Models:
             now = np.where(hit, np.minimum(sure[at] + 1, LIMIT), sure[at] >> 1)
             ids[at] = np.where(hit | (now > 0), ids[at], found)
             sure[at] = now
-        self.counts += GAIN * np.bincount(found, minlength=len(self.counts))
-        self.refresh()
+        self.seen.append(found)
+        if len(self.seen) == EVERY:
+            self.counts += GAIN * np.bincount(np.concatenate(self.seen), minlength=len(self.counts))
+            self.seen.clear()
+            self.refresh()
 
     @staticmethod
     def _toward(table: np.ndarray, kind: np.ndarray, hit: np.ndarray) -> None:
