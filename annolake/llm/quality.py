@@ -53,9 +53,10 @@ def fit(docs: DataFrame, target: DataFrame, id_column: str = "doc_id", text_colu
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(good[at])], names=["bucket", "raw", "good"])
 
-    counts = marked.mapInArrow(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw"), F.sum("good")).toPandas()
+    counts = marked.mapInArrow(count, "bucket long, raw long, good long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
     model = np.full((2, BUCKETS), SMOOTHING)
-    model[:, counts["bucket"].to_numpy(np.int64)] += counts.iloc[:, 1:].to_numpy(np.float64).T
+    for side, name in enumerate(("raw", "good")):
+        model[side, counts["bucket"].to_numpy()] += counts[name].to_numpy()
     model = np.log(model / model.sum(axis=1, keepdims=True))
     return (model[1] - model[0]).astype(np.float32)
 

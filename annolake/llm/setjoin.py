@@ -34,9 +34,9 @@ def rarity(sets: DataFrame, column: str = "_set") -> np.ndarray:
 
 def sketch_of(counts: DataFrame) -> np.ndarray:
     """Sum rows ``bucket, n`` into one array."""
-    rows = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(1 << SKETCH_BITS, np.uint32)
-    total[rows["bucket"].to_numpy(np.int64)] = np.minimum(rows["n"].to_numpy(np.int64), 0xFFFFFFFF)
+    total[rows["bucket"].to_numpy()] = np.minimum(rows["n"].to_numpy(), 0xFFFFFFFF)
     return total
 
 
