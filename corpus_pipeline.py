@@ -40,8 +40,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    plan = mixing.mix_sources(docs, WEIGHTS, SHARE, CAP).where("copies > 0").select("doc_id", "copies").distinct()
-    taken = docs.join(plan, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    plan = mixing.mix_sources(docs, WEIGHTS, SHARE, CAP).where("copies > 0")
+    plan = _named(plan).select("_name", F.col("copies").alias("_copies")).distinct()
+    taken = _named(docs).join(plan, "_name").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return taken.select(*docs.columns)
 
 
@@ -53,8 +54,14 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), sizes, exact.alias("exact"))
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """The id as text, so that documents without one are found again too."""
+    return docs.withColumn("_name", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+
+
 def _semi(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return keyed_join(docs, materialized(kept, "kept"), ["doc_id"], "left_semi", ["doc_id"])
+    names = materialized(_named(kept).select("_name"), "kept")
+    return keyed_join(_named(docs), names, ["_name"], "left_semi", ["_name"]).select(*docs.columns)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
