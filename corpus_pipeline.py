@@ -50,7 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document; ``exact`` says that they decode to its text."""
     encoded = bpe.encode(docs, VOCABULARY, decoded=True)
     sizes = F.octet_length("decoded").alias("n_bytes")
-    exact = F.coalesce(F.element_at("ends", -1), F.lit(0)) == F.octet_length("decoded")
+    exact = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)) == F.octet_length("decoded")
     return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), sizes, exact.alias("exact"))
 
 
