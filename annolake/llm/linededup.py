@@ -212,7 +212,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id"
 
     # What found no match there against all earlier classes.
     others = met.select(F.col("_token").alias("_same"), *(F.col(a).alias(b) for a, b in fields.items()))
-    left = met.join(gone, LATER, "left_anti")
+    left = keyed_join(met, gone, LATER, "left_anti", ["_token"])
     more = _closer(left.join(others, (F.col("_token") == F.col("_same")) & near), lines, percent)
     more = materialized(more.join(pairs, [*LATER, *EARLIER], "left_anti"), "pairs")
     discard(met)
