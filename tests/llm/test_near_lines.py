@@ -124,3 +124,13 @@ def test_lines_of_repeated_and_null_ids(make_docs):
     rows = [(1, "aa bb cc dd"), (1, "ee ff gg hh"), (None, "aa bb cc dd"), (2, "ee ff gg hh")]
     got = sorted((str(r.doc_id), r.line, r.kept) for r in repeated_lines(make_docs(rows)).collect())
     assert got == [("1", 0, False), ("1", 0, True), ("2", 0, False), ("None", 0, True)]
+
+
+def test_beyond_broadcast(make_docs, monkeypatch):
+    """The salted joins that take over where nothing is small give the same."""
+    monkeypatch.setattr("annolake.llm.common.BROADCAST_ROWS", 0)
+    rows = family(random.Random(14), 3, 8)
+    got = {(r.doc_id, r.line): r.kept for r in repeated_lines(make_docs(rows)).collect()}
+    assert got == brute_lines(rows)
+    want = brute_components(rows, 4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(make_docs(rows), words=4).collect()} == want
