@@ -12,13 +12,13 @@ def scores(spark, values, targets, **extra):
 
 
 def test_four_scores(spark):
-    r = m.presence_metrics(scores(spark, (0.9, 0.7, 0.4, 0.1), (1, 1, 0, 0))).first()
-    assert abs(r.gap - 0.3) < 1e-12 and r.roc_auc == 1 and r.best_f1 == 1 and r.zero_error_threshold_exists == 1
-    assert (r.min_positive_score, r.max_negative_score, r.best_f1_threshold) == (0.7, 0.4, 0.7)
+    r = m.presence_metrics(scores(spark, (0.95, 0.65, 0.25, 0.2), (1, 1, 0, 0))).first()
+    assert abs(r.gap - 0.4) < 1e-12 and r.roc_auc == 1 and r.best_f1 == 1 and r.zero_error_threshold_exists == 1
+    assert (r.min_positive_score, r.max_negative_score, r.best_f1_threshold) == (0.65, 0.25, 0.65)
 
 
 def test_fixed_threshold_misses(spark):
-    r = m.presence_metrics(scores(spark, (0.49, 0.48, 0.2, 0.1), (1, 1, 0, 0))).first()
+    r = m.presence_metrics(scores(spark, (0.45, 0.41, 0.3, 0.05), (1, 1, 0, 0))).first()
     assert r.roc_auc == 1 and r.fn == 2 and r.positive_lower_tail_mean_1pct < 0.5
 
 

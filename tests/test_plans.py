@@ -7,14 +7,14 @@ from annolake.plans.prepare_roi import prepare_roi
 
 
 def test_prepare_roi(spark):
-    images = spark.createDataFrame([(n, 100, 80, n == "gone") for n in ("a", "b", "empty", "gone")], "image_id string, width int, height int, drop_image boolean")
-    labels = spark.createDataFrame([("a", 0, 0.20, 0.25, 0.10, 0.10), ("b", 0, 0.60, 0.75, 0.20, 0.10), ("gone", 0, 0.9, 0.9, 0.1, 0.1), ("b", 1, 0.9, 0.9, 0.1, 0.1)], "image_id string, line_index long, cx double, cy double, w double, h double")
+    images = spark.createDataFrame([(n, 200, 100, n == "gone") for n in ("a", "b", "empty", "gone")], "image_id string, width int, height int, drop_image boolean")
+    labels = spark.createDataFrame([("a", 0, 0.30, 0.40, 0.10, 0.20), ("b", 0, 0.55, 0.60, 0.20, 0.10), ("gone", 0, 0.9, 0.9, 0.1, 0.1), ("b", 1, 0.9, 0.9, 0.1, 0.1)], "image_id string, line_index long, cx double, cy double, w double, h double")
     masked = spark.createDataFrame([("b", 1)], "image_id string, line_index long")
     out = prepare_roi(images, labels, masked, keep_empty=True)
     rows = {r.image_id: r for r in out["samples"].collect()}
     assert set(rows) == {"a", "b", "empty"}
-    assert all((r.roi_width, r.roi_height) == (55, 48) and tuple(r.crop) == (15, 16, 70, 64) for r in rows.values())
-    assert rows["a"].label_lines == ["0 0.090909 0.083333 0.181818 0.166667"] and rows["empty"].label_lines == []
+    assert all((r.roi_width, r.roi_height) == (80, 35) and tuple(r.crop) == (50, 30, 130, 65) for r in rows.values())
+    assert rows["a"].label_lines == ["0 0.125000 0.285714 0.250000 0.571429"] and rows["empty"].label_lines == []
     s = out["summary"].first()
     assert (s.samples, s.positive, s.empty) == (3, 2, 1)
     texts = spark.createDataFrame([("a", " "), ("empty", "Ab c")], "image_id string, ocr_text string")
