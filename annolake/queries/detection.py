@@ -237,16 +237,16 @@ def _(t):
     return build_samples(*_frames_and_detections(t), **_ARGS)["stats"]
 
 
-def _roi_inputs(t):
+def _roi_inputs(t, boxes):
     images = t.table("orders").select(
         F.col("o_orderkey").alias("image_id"), F.lit(1280).alias("width"), F.lit(720).alias("height"), (F.col("o_orderstatus") == "P").alias("drop_image"))
-    small = t.boxes.filter("cx > 0.2 and cx < 0.7 and cy > 0.3 and cy < 0.8").withColumn("w", F.col("w") / 4)
+    small = boxes.withColumn("w", F.col("w") / 4)
     return images, small.select("image_id", "line_index", "cx", "cy", "w", "h"), t.boxes.filter("status = 'F'").select("image_id", "line_index")
 
 
 @query("prepare_roi", "GM-18")
 def _(t):
-    samples = prepare_roi(*_roi_inputs(t), keep_empty=True)["samples"]
+    samples = prepare_roi(*_roi_inputs(t, t.boxes), keep_empty=True)["samples"]
     return samples.select("image_id", "roi_width", "roi_height", "crop.*", "has_subtitle", F.array_join("label_lines", "|").alias("labels"))
 
 
@@ -260,4 +260,5 @@ _ROI = """with {boxes}, small as (select * replace (w / 4 as w) from boxes where
  (select count(distinct image_id) from small join orders on o_orderkey = image_id where o_orderstatus <> 'P') as positive,
  (select count(*) from orders where o_orderstatus <> 'P') - (select count(distinct image_id) from small join orders on o_orderkey = image_id where o_orderstatus <> 'P') as empty from roi""")
 def _(t):
-    return prepare_roi(*_roi_inputs(t), keep_empty=True)["summary"]
+    within = t.boxes.filter("cx > 0.2 and cx < 0.7 and cy > 0.3 and cy < 0.8")  # as its SQL has it
+    return prepare_roi(*_roi_inputs(t, within), keep_empty=True)["summary"]

@@ -115,18 +115,16 @@ def _(t):
 
 @query("similar_candidates", "WN-03")
 def _(t):
-    items = t.frames.withColumn("norm_text", F.substring(tx.strip_casefold(F.col("ocr_text")), 1, 3))
-    return sg.similar_candidates(items, 0.6, 3)
+    return sg.similar_candidates(_with_text(t), 0.6, 3)
 
 
-def _repeated_text(t):
-    """Frames whose text is cut to its first letter, so that neighbours often agree."""
-    return t.frames.withColumn("norm_text", F.substring(tx.strip_casefold(F.col("ocr_text")), 1, 1))
+def _with_text(t):
+    return t.frames.withColumn("norm_text", tx.strip_casefold(F.col("ocr_text")))
 
 
 @query("merge_exact_text", "WN-04")
 def _(t):
-    return sg.merge_exact_text(_repeated_text(t)).select("root", "sample_id", "segment_id")
+    return sg.merge_exact_text(_with_text(t)).select("root", "sample_id", "segment_id")
 
 
 @query("merge_to_previous", "WN-06")
@@ -143,7 +141,7 @@ def _(t):
 
 
 def _text_pairs(t):
-    """Texts of consecutive benchmark items and frames, shortened to stay comparable by every measure."""
+    """Whole normalised texts of consecutive frames."""
     f = t.frames.withColumn("norm_text", tx.normalize_text(F.col("ocr_text"))).select("root", "sample_idx", "sample_id", "norm_text", "has_subtitle", "segment_id", "ocr_text")
     return sg.neighbours(f).select("sample_id", F.col("prev_norm_text").alias("a"), F.col("norm_text").alias("b"))
 
@@ -183,7 +181,7 @@ def _(t):
 
 @query("near_duplicates", "TX-07")
 def _(t):
-    return _text_pairs(t).select("sample_id", tx.is_near_duplicate(F.substring("a", 1, 4), F.substring("b", 1, 4), 0.5).alias("near"))
+    return _text_pairs(t).select("sample_id", tx.is_near_duplicate(F.col("a"), F.col("b"), 0.5).alias("near"))
 
 
 @query("strip_casefold", "TX-02", "with {frames} select sample_id, regexp_replace(replace(lower(ocr_text), 'ß', 'ss'), '\\s', '', 'g') as text from frames")
@@ -253,13 +251,15 @@ def _(t):
 
 
 def _geometry_items(t, views=1):
-    """Label boxes as full frames, ROI samples (order keys divisible by three) and crop views of the full frames."""
+    """Label boxes (status F; the others are ignored boxes, so images without a label are negatives) as full frames, ROI samples (order keys divisible by three) and crop views of the full frames."""
     box = yolo_to_box(*BOX)
-    kept = t.flat_boxes.withColumn("box", box).filter(usable_box(F.col("box")) & (F.col("cx") > 0.25))
-    images = kept.filter("status = 'F'").groupBy("root", "image_id").agg(F.array_sort(F.collect_list("box")).alias("boxes"))
+    kept = t.flat_boxes.withColumn("box", box).filter(usable_box(F.col("box")))
+    of = lambda status: F.array_sort(F.collect_list(F.when(status, F.col("box"))))
+    labelled = F.coalesce(F.col("status") == "F", F.lit(False))
+    images = kept.groupBy("root", "image_id").agg(of(labelled).alias("boxes"), of(~labelled).alias("ignored_boxes"))
     every = t.flat_boxes.select("root", "image_id", "width", "height").distinct().join(images, ["root", "image_id"], "left")
     none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
-    every = every.withColumn("boxes", F.coalesce("boxes", none)).withColumn("ignored_boxes", none)
+    every = every.withColumns({c: F.coalesce(c, none) for c in ("boxes", "ignored_boxes")})
     kinds = F.when(F.col("image_id") % 3 == 0, F.array(F.lit("roi"))).otherwise(F.array(*[F.lit("full_frame")] + [F.lit("random_crop")] * views))
     out = every.select("*", F.posexplode(kinds).alias("crop_view", "sample_type"))
     return out.withColumn("sample_id", F.col("image_id").cast("string")).withColumn("image_path", F.concat(F.lit("images/"), "image_id", F.lit(".jpg")))
