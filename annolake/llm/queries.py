@@ -73,7 +73,8 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/annolake-token-file-{uuid.uuid4().hex}"
-    write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    library = public_tokenizers.path("byte_bpe_50k.json")
+    write_tokens(_table(spark, sf_dir, "documents"), path, library, end_id=2, encode_special_tokens=False)
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -26,15 +26,19 @@ CACHE_PIECES = 400_000
 
 
 class Pieces(dict):
-    """Pre-tokens to their ids by the tokenizers library, as native 32-bit integers. Every piece is its own pre-token for the library too."""
+    """Pre-tokens to their ids by the tokenizers library, as native 32-bit integers. Every piece is its own pre-token for the library too,
+    unless its text holds an added token: such texts are encoded whole."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, encode_special_tokens: bool) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = encode_special_tokens
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: What the library finds in a text before it looks for pre-tokens.
+        self.added = [t.content.encode() for t in added if not (t.special and encode_special_tokens)]
         self.vocabulary = self.tokenizer.get_vocab_size()
         self[b""] = b""
 
@@ -47,10 +51,23 @@ class Pieces(dict):
         found = self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False)
         self.update((p, np.array(f.ids, np.uint32).tobytes()) for p, f in zip(new, found, strict=True))
 
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        whole = {k: t.decode("utf-8", "replace") for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        pieces, stops = split_pieces([b"" if k in whole else t for k, t in enumerate(texts)] if whole else texts)
+        self.learn(pieces)
+        encoded, first, out = list(map(self.__getitem__, pieces)), 0, []
+        for stop in stops.tolist():
+            out.append(b"".join(encoded[first:stop]))
+            first = stop + 1
+        for k, text in whole.items():
+            out[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        return out
+
 
 @cache
-def _pieces(path: str) -> Pieces:
-    return Pieces(path)
+def _pieces(path: str, encode_special_tokens: bool) -> Pieces:
+    return Pieces(path, encode_special_tokens)
 
 
 def pack(names: list[bytes], lengths: list[int], ids: np.ndarray, vocabulary: int) -> bytes:
@@ -72,20 +89,25 @@ def unpack(block: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return [table[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], sizes[:, 1], expand(block[12 + size :])
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> None:
+def write_tokens(
+    docs: DataFrame, path: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", encode_special_tokens: bool = True
+) -> None:
     """Encode every text with the tokenizers library, append ``end_id``, and write blocks to ``path``.
 
     Rows are dealt out by ranges of the id and sorted, so part after part and block after block they ascend; repeated ids are ordered by
     their text's hash, null ids come first. A row of the Parquet table at ``path`` is one block: ``part, block, start`` (ids of the
     part before it), ``n_tokens, data``. Spark's committer sees to it that a task that runs again leaves no double. Null and
     empty texts are the end id alone; other columns are not written; an empty table gives files without blocks.
+
+    ``encode_special_tokens`` is the library's flag of that name: if true, special tokens in a text are ordinary text; if false
+    (as the library loads), each is its own id.
     """
     ordered = docs.select(F.col(id_column).cast("string").alias("_name"), F.col(id_column).alias("_id"), text_of(text_column).alias("_text"))
     ordered = ordered.repartitionByRange("_id").sortWithinPartitions("_id", F.xxhash64("_text")).select("_name", "_text")
     end = np.array([end_id], np.uint32).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, part, block, start = _pieces(tokenizer), TaskContext.get().partitionId(), 0, 0
+        table, part, block, start = _pieces(tokenizer, encode_special_tokens), TaskContext.get().partitionId(), 0, 0
         names: list[bytes] = []
         lengths: list[int] = []
         held: list[bytes] = []
@@ -98,13 +120,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 
         for batch in batches:
             for rows, texts in slices(batch, "_text"):
-                pieces, stops = split_pieces(texts)
-                table.learn(pieces)
-                encoded, first = list(map(table.__getitem__, pieces)), 0
                 # A null id has no name: it is written as empty, which no id is.
-                for name, stop in zip(rows.column("_name").to_pylist(), stops.tolist(), strict=True):
-                    ids = b"".join(encoded[first:stop]) + end
-                    first = stop + 1
+                for name, ids in zip(rows.column("_name").to_pylist(), table.encode(texts), strict=True):
+                    ids += end
                     names.append(b"" if name is None else name.encode())
                     lengths.append(len(ids) // 4)
                     held.append(ids)

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from annolake.llm import bpe, coder, tokenfile
 from annolake.llm.pretokens import pretoken_begins
+from annolake.llm.queries import QUERIES
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 LIBRARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -110,3 +111,15 @@ def test_token_file_edges(spark, make_docs, tmp_path):
     tokenfile.write_tokens(make_docs([(3, "b"), (None, "a"), (3, "c")]), f"file://{tmp_path}/few", LIBRARY, 2)
     got = sorted((str(r.doc_id), r.start, r.n_tokens) for r in tokenfile.read_tokens(spark, f"file://{tmp_path}/few").collect())
     assert got == [("3", 2, 2), ("3", 4, 2), ("None", 0, 2)]
+
+
+def test_op9_equals_the_library_as_loaded(spark, make_docs, tmp_path):
+    texts = ["a <|endoftext|> b", "plain 'll do", "<|endoftext|><|endoftext|>", "<|endoftext", None, "", " <|endoftext|>\n\n x", *odd_texts(100)]
+    make_docs(list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    library, start = Tokenizer.from_file(LIBRARY), 0
+    got = {r.doc_id: r for r in QUERIES["op9_token_file"](spark, str(tmp_path)).collect()}
+    for k, text in enumerate(texts):
+        want = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (start, len(want), zlib.crc32(want.tobytes()))
+        start += len(want)
+    assert any(50256 in library.encode(t or "", add_special_tokens=False).ids for t in texts)
