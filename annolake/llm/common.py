@@ -23,6 +23,11 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def row_key(text_column: str) -> Column:
+    """With an id, what tells a row: the hash of its text, for rows that share an id or have none."""
+    return F.xxhash64(text_of(text_column))
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, WORD_BREAK), lambda w: w != "")).cast("long")
 

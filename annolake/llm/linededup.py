@@ -9,13 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolake.llm.common import discard, keyed_join, materialized, salted_join, text_of
+from annolake.llm.common import discard, keyed_join, materialized, row_key, salted_join, text_of
 from annolake.llm.setjoin import SKETCH_BITS, buckets_of, can_match, similar, sketch_of
 from annolake.llm.words import Words, mix64, slices
 
 NEWLINE = 10
-#: A line is told by its document and its number with so many bits of its set's hash, for documents that share an id.
-REF_BITS = 20
 #: What a null id counts as: it comes before all others.
 NULL_ID = -(1 << 63)
 
@@ -60,10 +58,6 @@ class LineSets:
         first = np.searchsorted(self.text, np.arange(len(texts)))
         self.number = np.arange(self.count) - first[self.text]
 
-    def refs(self, rows: np.ndarray) -> np.ndarray:
-        """Line number and some bits of the key, in the order of the lines."""
-        return self.number[rows] << REF_BITS | (self.keys[rows, 0] >> np.uint64(64 - REF_BITS)).astype(np.int64)
-
     def parity(self, rows: np.ndarray) -> np.ndarray:
         bits = np.uint64(1) << (self.tokens & np.uint64(63))
         until = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)))
@@ -73,8 +67,20 @@ class LineSets:
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(rows), [None, pa.py_buffer(np.ascontiguousarray(self.keys[rows]))]).cast(pa.binary())
 
 
+#: What tells a line, in the order of lines: its document, its number, and the hash of the whole text.
+LATER, EARLIER = ["_doc", "_ref", "_row"], ["_other_doc", "_other_ref", "_other_row"]
+LINE = ", ".join(f"{name} long" for name in LATER)
+
+
+def _home(part: pa.RecordBatch, sets: LineSets, rows: np.ndarray) -> list[pa.Array]:
+    """The columns ``LATER`` of some lines."""
+    text = pa.array(sets.text[rows])
+    return [part.column("_doc").take(text), pa.array(sets.number[rows]), part.column("_row").take(text)]
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """A row per line with tokens: ``_doc, _ref, _key`` (a 128-bit hash of its token set), ``_size``, ``_parity``.
+    """A row per line with tokens: ``_doc, _ref, _row`` (its document, number and the hash of its text, for documents that share
+    an id), ``_key`` (a 128-bit hash of its token set), ``_size``, ``_parity``.
 
     Bit k of the parity says whether an odd number of tokens end in k (of 64). Two sets differ in at least as many tokens as
     their parities differ in bits.
@@ -86,16 +92,16 @@ def _lines(docs: DataFrame) -> DataFrame:
                 sets = LineSets(texts, None)
                 rows = np.flatnonzero(sets.size)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_doc").take(pa.array(sets.text[rows])), pa.array(sets.refs(rows)), sets.key_column(rows),
+                    [*_home(part, sets, rows), sets.key_column(rows),
                      pa.array(sets.size[rows].astype(np.int32)), pa.array(sets.parity(rows))],
-                    names=["_doc", "_ref", "_key", "_size", "_parity"],
+                    names=[*LATER, "_key", "_size", "_parity"],
                 )
 
-    return docs.mapInArrow(run, "_doc long, _ref long, _key binary, _size int, _parity long")
+    return docs.mapInArrow(run, f"{LINE}, _key binary, _size int, _parity long")
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """The lines that can have similar ones: ``_doc, _ref, _key, _size, _prefix``.
+    """The lines that can have similar ones: ``_doc, _ref, _row, _key, _size, _prefix``.
 
     Lines of up to three tokens are only similar to equal sets, which share their key.
     """
@@ -111,41 +117,37 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], take)
                 prefix = sets.tokens[np.repeat(sets.start[rows], take) + place].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_doc").take(pa.array(sets.text[rows])), pa.array(sets.refs(rows)), sets.key_column(rows),
+                    [*_home(part, sets, rows), sets.key_column(rows),
                      pa.array(sets.size[rows].astype(np.int32)), pa.ListArray.from_arrays(offsets.astype(np.int32), prefix)],
-                    names=["_doc", "_ref", "_key", "_size", "_prefix"],
+                    names=[*LATER, "_key", "_size", "_prefix"],
                 )
 
-    return docs.mapInArrow(run, "_doc long, _ref long, _key binary, _size int, _prefix array<long>")
+    return docs.mapInArrow(run, f"{LINE}, _key binary, _size int, _prefix array<long>")
 
 
 def _line_sets(docs: DataFrame) -> DataFrame:
-    """``_doc, _ref, _set`` of the lines that each document's ``_refs`` ask for."""
+    """``_doc, _ref, _row, _set`` of the lines that each document's ``_refs`` ask for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "_text"):
                 sets = LineSets(texts, None)
                 rows = np.flatnonzero(sets.size)
-                refs, edges = sets.refs(rows), np.searchsorted(sets.text[rows], np.arange(len(texts) + 1))
+                refs, edges = sets.number[rows], np.searchsorted(sets.text[rows], np.arange(len(texts) + 1))
                 asked = zip(part.column("_refs").to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)
                 chosen = np.concatenate([np.isin(refs[a:b], own) for own, a, b in asked] or [np.zeros(0, bool)])
-                rows, refs = rows[chosen], refs[chosen]
+                rows = rows[chosen]
                 own = [sets.tokens[a : a + n].tobytes() for a, n in zip(sets.start[rows].tolist(), sets.size[rows].tolist(), strict=True)]
-                columns = [part.column("_doc").take(pa.array(sets.text[rows])), pa.array(refs), pa.array(own, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["_doc", "_ref", "_set"])
-
-    return docs.select("_doc", "_text", "_refs").mapInArrow(run, "_doc long, _ref long, _set binary")
+                yield pa.RecordBatch.from_arrays([*_home(part, sets, rows), pa.array(own, pa.binary())], names=[*LATER, "_set"])
 
-
-LATER, EARLIER = ["_doc", "_ref"], ["_other_doc", "_other_ref"]
+    return docs.select("_doc", "_row", "_text", "_refs").mapInArrow(run, f"{LINE}, _set binary")
 
 
 def _closer(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs whose parities do not differ in more bits than similar sets may differ in tokens."""
     pairs = materialized(pairs.select(*LATER, *EARLIER).distinct(), "pairs")
     side = lambda names, end: lines.select(
-        F.col("_doc").alias(names[0]), F.col("_ref").alias(names[1]), F.col("_size").alias(f"_size_{end}"), F.col("_parity").alias(f"_parity_{end}")
+        *(F.col(a).alias(b) for a, b in zip(LATER, names, strict=True)), F.col("_size").alias(f"_size_{end}"), F.col("_parity").alias(f"_parity_{end}")
     )
     both = pairs.join(side(LATER, "x"), LATER).join(side(EARLIER, "y"), EARLIER)
     differ = F.bit_count(F.col("_parity_x").bitwiseXOR(F.col("_parity_y")))
@@ -154,10 +156,10 @@ def _closer(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The later lines (``_doc, _ref``) that are similar to the earlier line of their pair, by full token sets."""
+    """The later lines (``LATER``) that are similar to the earlier line of their pair, by full token sets."""
     wanted = materialized(pairs.select(*LATER).union(pairs.select(*EARLIER)).distinct(), "wanted")
-    homes = materialized(wanted.groupBy("_doc").agg(F.collect_list("_ref").alias("_refs")), "homes")  # no more than a text has lines
-    sets = materialized(_line_sets(keyed_join(docs, homes, ["_doc"], "inner", ["_text"])).dropDuplicates(LATER), "sets")
+    homes = materialized(wanted.groupBy("_doc", "_row").agg(F.collect_list("_ref").alias("_refs")), "homes")  # no more than a text has lines
+    sets = materialized(_line_sets(keyed_join(docs, homes, ["_doc", "_row"], "inner", ["_text"])).dropDuplicates(LATER), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,7 +168,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield batch.select(LATER).filter(keep)
 
     both = pairs.join(sets, LATER).join(sets.toDF(*EARLIER, "_other_set"), EARLIER)
-    found = both.select(*LATER, "_set", "_other_set").mapInArrow(run, "_doc long, _ref long").distinct()
+    found = both.select(*LATER, "_set", "_other_set").mapInArrow(run, LINE).distinct()
     found = materialized(found, "gone")
     for table in (wanted, homes, sets):
         discard(table)
@@ -183,23 +185,32 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id"
     that find no match there are then compared with all earlier ones that pass the filters. Matches are verified on full sets.
 
     Ids are integers. Blank lines, and so null and empty texts, have no rows. Rows that repeat an id and text share their fate; null
-    ids come first and are one. Other columns are ignored; an empty table gives an empty result.
+    ids come first and are one id. Texts that share an id are told apart: equal line numbers are ordered by the hash of the text.
+    Other columns are ignored; an empty table gives an empty result.
     """
-    source = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("_doc"), text_of(text_column).alias("_text"))
+    name = F.when(F.col("_doc") != NULL_ID, F.col("_doc")).alias(id_column)
+    return _decided(docs, percent, id_column, text_column).select(name, "line", "kept")
+
+
+def _decided(docs: DataFrame, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """``repeated_lines`` with ``_doc, _row`` instead of the id."""
+    source = docs.select(
+        F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("_doc"), row_key(text_column).alias("_row"), text_of(text_column).alias("_text")
+    )
     lines = materialized(_lines(source), "lines")
-    first = F.min(F.struct("_doc", "_ref")).alias("_first")
+    first = F.min(F.struct(*LATER)).alias("_first")
     prefixed = _prefixes(source, _token_counts(source), percent)
     classes = prefixed.groupBy("_key").agg(first, F.first("_size").alias("_size"), F.first("_prefix").alias("_prefix"))
     classes = materialized(classes.select("_first.*", "_size", "_prefix"), "classes")
     mark = F.shiftleft(F.col("_at").cast("long"), 32).bitwiseOR(F.col("_size").cast("long")).alias("_mark")
-    rows = classes.select(F.posexplode("_prefix").alias("_at", "_token"), "_size", "_doc", "_ref")
-    rows = rows.select("_token", mark, "_doc", "_ref").repartition("_token")
+    rows = classes.select(F.posexplode("_prefix").alias("_at", "_token"), "_size", *LATER)
+    rows = rows.select("_token", mark, *LATER).repartition("_token")
     met = rows.groupBy("_token").agg(F.count("*").alias("_n")).where("_n > 1").select("_token")
     met = materialized(rows.join(met, "_token"), "met")
     discard(classes)
 
-    fields = {"_doc": "_other_doc", "_ref": "_other_ref", "_mark": "_other_mark"}
-    later = (F.col("_doc") > F.col("_other_doc")) | ((F.col("_doc") == F.col("_other_doc")) & (F.col("_ref") > F.col("_other_ref")))
+    fields = {**dict(zip(LATER, EARLIER, strict=True)), "_mark": "_other_mark"}
+    later = F.struct(*LATER) > F.struct(*(F.col(b).alias(a) for a, b in zip(LATER, EARLIER, strict=True)))
     at, size = (lambda m: F.shiftright(m, 32)), (lambda m: m.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
     own, other = F.col("_mark"), F.col("_other_mark")
     near = later & can_match(size(own), at(own), size(other), at(other), percent)
@@ -218,12 +229,11 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id"
     discard(met)
     gone = gone.union(_confirmed(more, source, percent)).distinct()
 
-    firsts = lines.groupBy("_key").agg(first).select("_key", F.col("_first._doc").alias("_doc"), F.col("_first._ref").alias("_ref"))
-    firsts = firsts.join(gone.withColumn("_gone", F.lit(True)), LATER, "left").withColumnRenamed("_doc", "_first_doc").withColumnRenamed("_ref", "_first_ref")
-    placed = salted_join(lines.select("_doc", "_ref", "_key"), firsts, ["_key"], "left", ["_doc", "_ref"])
-    kept = F.col("_gone").isNull() & (F.col("_doc") == F.col("_first_doc")) & (F.col("_ref") == F.col("_first_ref"))
-    name = F.when(F.col("_doc") != NULL_ID, F.col("_doc")).alias(id_column)
-    return placed.select(name, F.shiftright("_ref", REF_BITS).cast("int").alias("line"), kept.alias("kept"))
+    firsts = lines.groupBy("_key").agg(first).select("_key", "_first.*")
+    firsts = firsts.join(gone.withColumn("_gone", F.lit(True)), LATER, "left").select("_key", "_gone", F.struct(*LATER).alias("_first"))
+    placed = salted_join(lines.select(*LATER, "_key"), firsts, ["_key"], "left", LATER)
+    kept = F.col("_gone").isNull() & (F.struct(*LATER) == F.col("_first"))
+    return placed.select("_doc", "_row", F.col("_ref").cast("int").alias("line"), kept.alias("kept"))
 
 
 def without_repeats(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -231,13 +241,14 @@ def without_repeats(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
 
     Blank lines stay. Texts that lose nothing are unchanged. Columns of the input that are called like the two new ones are replaced.
     """
-    found = repeated_lines(docs, percent, id_column, text_column)
+    found = _decided(docs, percent, id_column, text_column)
     lost = F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line")))).alias("_lost")
-    counts = found.groupBy(id_column).agg(F.count_distinct("line").alias("n_lines"), lost).withColumnRenamed(id_column, "_doc")
+    counts = found.groupBy("_doc", "_row").agg(F.count_distinct("line").alias("n_lines"), lost)
     counts = materialized(counts, "lost")
-    joined = docs.drop("n_lines", "n_removed").join(counts, F.col(id_column).eqNullSafe(F.col("_doc")), "left")
+    own = (F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)) == F.col("_doc")) & (row_key(text_column) == F.col("_row"))
+    joined = docs.drop("n_lines", "n_removed").join(counts, own, "left")
     left = F.filter(F.split(F.col(text_column), "\n"), lambda line, k: ~F.array_contains("_lost", k))
     text = F.when(F.size("_lost") > 0, F.array_join(left, "\n")).otherwise(F.col(text_column))
     return joined.withColumns({
         text_column: text, "n_removed": F.coalesce(F.size("_lost"), F.lit(0)).cast("long"), "n_lines": F.coalesce("n_lines", F.lit(0)).cast("long"),
-    }).drop("_doc", "_lost")
+    }).drop("_doc", "_row", "_lost")

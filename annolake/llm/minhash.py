@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolake.llm.common import discard, keyed_join, materialized, salted_join, text_of
+from annolake.llm.common import discard, keyed_join, materialized, row_key, salted_join, text_of
 from annolake.llm.components import connected_components
 from annolake.llm.setjoin import can_match, prefixes, rarity, similar
 from annolake.llm.words import mix64, shingle_sets, slices
@@ -38,10 +38,10 @@ def minima(hashes: np.ndarray, count: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``_id, n_shingles, _key`` (a 128-bit hash of the set), ``_signature`` (a byte per minimum), ``_bands``."""
+    """``_id, _row`` (``row_key``), ``n_shingles, _key`` (a 128-bit hash of the set), ``_signature`` (a byte per minimum), ``_bands``."""
     factors = mix64(np.arange(1, BAND_ROWS + 1, dtype=np.uint64)) | np.uint64(1)
     band = np.arange(1, BANDS + 1, dtype=np.uint64)
-    kind = pa.schema([("_id", pa.int64()), ("n_shingles", pa.int64()), ("_key", pa.binary()), ("_signature", pa.binary()), ("_bands", pa.list_(pa.int64()))])
+    kind = pa.schema([("_id", pa.int64()), ("_row", pa.int64()), ("n_shingles", pa.int64()), ("_key", pa.binary()), ("_signature", pa.binary()), ("_bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,12 +55,12 @@ def signatures(docs: DataFrame, words: int, id_column: str = "doc_id", text_colu
                     joined = (least.reshape(BANDS, BAND_ROWS).astype(np.uint64) * factors).sum(axis=1)
                     bands.append(mix64(joined * np.uint64(BANDS + 1) + band).view(np.int64) if len(own) else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    [part.column("_id"), part.column("_row"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
                     schema=kind,
                 )
 
-    rows = docs.select(F.col(id_column).cast("long").alias("_id"), text_of(text_column).alias("_text"))
-    return rows.mapInArrow(run, "_id long, n_shingles long, _key binary, _signature binary, _bands array<long>")
+    rows = docs.select(F.col(id_column).cast("long").alias("_id"), row_key(text_column).alias("_row"), text_of(text_column).alias("_text"))
+    return rows.mapInArrow(run, "_id long, _row long, n_shingles long, _key binary, _signature binary, _bands array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -113,8 +113,8 @@ def _pairs_apart(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select(F.col("x._class").alias("a"), F.col("y._class").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: id, ``n_shingles``, ``component_id`` and ``kept`` (the id is its component's smallest).
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", rows_told: bool = False) -> DataFrame:
+    """Per row: id, ``_row`` (``row_key``, if ``rows_told``), ``n_shingles``, ``component_id`` and ``kept`` (the id is its component's smallest).
 
     A text's set holds its distinct runs of ``words`` lower-cased words; two texts are linked if their intersection is at least
     ``percent`` hundredths of their union, and components are what links reach. Equal sets are one class from the start.
@@ -173,6 +173,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     placed = classes.select("_key", F.col("_class").alias("_node"))
     placed = placed.join(component.withColumnRenamed("node", "_node"), "_node", "left")
     placed = placed.select("_key", F.coalesce("component", "_node").alias("component_id"))
-    joined = salted_join(marks.select("_id", "n_shingles", "_key"), placed, ["_key"], "left", ["_id"])
+    joined = salted_join(marks.select("_id", "_row", "n_shingles", "_key"), placed, ["_key"], "left", ["_id"])
     component_id = F.coalesce("component_id", "_id")
-    return joined.select(F.col("_id").alias(id_column), "n_shingles", component_id.alias("component_id"), F.col("_id").eqNullSafe(component_id).alias("kept"))
+    return joined.select(F.col("_id").alias(id_column), *["_row"] * rows_told, "n_shingles", component_id.alias("component_id"), F.col("_id").eqNullSafe(component_id).alias("kept"))

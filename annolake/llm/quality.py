@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annolake.llm.common import row_key
 from annolake.llm.labelled import SAMPLE_ROWS, sample
 from annolake.llm.words import Words, mix64, slices
 
@@ -67,9 +68,9 @@ def gumbel(id_column: str) -> Column:
     return -F.log(-F.log(uniform))
 
 
-def weigh(docs: DataFrame, ratios: np.ndarray, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: id, ``n_grams``, ``log_weight`` (sum of log ratios) and ``key`` (tempered by length, with Gumbel noise)."""
-    kind = dict(docs.dtypes)[id_column]
+def weigh(docs: DataFrame, ratios: np.ndarray, id_column: str = "doc_id", text_column: str = "text", rows_told: bool = False) -> DataFrame:
+    """Per row: id, ``_row`` (``row_key``, if ``rows_told``), ``n_grams``, ``log_weight`` (sum of log ratios) and ``key`` (tempered by length, with Gumbel noise)."""
+    kind, told = dict(docs.dtypes)[id_column], ["_id", *["_row"] * rows_told]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,10 +78,10 @@ def weigh(docs: DataFrame, ratios: np.ndarray, id_column: str = "doc_id", text_c
                 buckets, owner = grams(texts)
                 weight = np.bincount(owner, ratios[buckets], len(texts))
                 number = np.bincount(owner, minlength=len(texts))
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(number, pa.int64()), pa.array(weight, pa.float64())], names=["_id", "n_grams", "log_weight"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in told), pa.array(number, pa.int64()), pa.array(weight, pa.float64())], names=[*told, "n_grams", "log_weight"])
 
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"))
-    found = rows.mapInArrow(run, f"_id {kind}, n_grams long, log_weight double")
+    rows = docs.select(F.col(id_column).alias("_id"), *[row_key(text_column).alias("_row")] * rows_told, F.col(text_column).alias("_text"))
+    found = rows.mapInArrow(run, f"_id {kind}, {'_row long, ' * rows_told}n_grams long, log_weight double")
     tempered = F.col("log_weight") * F.least(F.lit(1.0), F.lit(float(LENGTH)) / F.greatest("n_grams", F.lit(1)))
     return found.withColumn("key", tempered + gumbel("_id")).withColumnRenamed("_id", id_column)
 
@@ -102,9 +103,9 @@ def best_cut(keys: np.ndarray, good: np.ndarray) -> float:
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", id_column: str = "doc_id", text_column: str = "text", rows: int = SAMPLE_ROWS
+    docs: DataFrame, labels: DataFrame, label: str = "quality", id_column: str = "doc_id", text_column: str = "text", rows: int = SAMPLE_ROWS, rows_told: bool = False
 ) -> DataFrame:
-    """Per row: id, ``n_grams``, ``log_weight``, ``key`` and ``kept``.
+    """Per row: id, ``_row`` (``row_key``, if ``rows_told``), ``n_grams``, ``log_weight``, ``key`` and ``kept``.
 
     The weight of a document is the ratio of its probability under the n-gram model of good labelled documents to that
     under the model of all documents. Adding Gumbel noise to log weights and taking the k highest keys samples k documents
@@ -122,4 +123,4 @@ def resample(
     judged = weigh(docs.join(judging, id_column, "left_semi"), ratios, id_column, text_column).join(judging, id_column)
     judged = judged.where("n_grams > 0").select("key", "_label").toPandas()
     cut = best_cut(judged["key"].to_numpy(np.float64), judged["_label"].to_numpy() == 1)
-    return weigh(docs, ratios, id_column, text_column).withColumn("kept", F.col("key") >= F.lit(cut))
+    return weigh(docs, ratios, id_column, text_column, rows_told).withColumn("kept", F.col("key") >= F.lit(cut))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolake.llm import bpe, linededup, minhash, mixing, quality
-from annolake.llm.common import keyed_join, materialized
+from annolake.llm.common import keyed_join, materialized, row_key
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Words of a shingle, and hundredths of the union that near-duplicates and repeated lines share.
@@ -21,7 +21,7 @@ WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2.0
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling takes; the labels are those beside the documents."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    kept = quality.resample(docs, labels).where("kept").select("doc_id").distinct()
+    kept = quality.resample(docs, labels, rows_told=True).where("kept")
     return _semi(docs, kept)
 
 
@@ -34,15 +34,17 @@ def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs, SHINGLE_WORDS, SIMILAR).where("kept").select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs, SHINGLE_WORDS, SIMILAR, rows_told=True).where("kept")
     return _semi(docs, kept)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     plan = mixing.mix_sources(docs, WEIGHTS, SHARE, CAP).where("copies > 0")
-    plan = _named(plan).select("_name", F.col("copies").alias("_copies")).distinct()
-    taken = _named(docs).join(plan, "_name").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    # Documents that share an id or have none are taken by their own source's share.
+    plan = _named(plan).select("_name", F.col("source").alias("_source"), F.col("copies").alias("_copies")).distinct()
+    own = _named(docs).withColumnRenamed("_name", "_own")
+    taken = own.join(plan, (F.col("_own") == F.col("_name")) & own["source"].eqNullSafe(F.col("_source"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     return taken.select(*docs.columns)
 
 
@@ -60,8 +62,9 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def _semi(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    names = materialized(_named(kept).select("_name"), "kept")
-    return keyed_join(_named(docs), names, ["_name"], "left_semi", ["_name"]).select(*docs.columns)
+    """The rows of ``docs`` whose id and text are among ``kept`` (id and ``_row``)."""
+    names = materialized(_named(kept).select("_name", "_row").distinct(), "kept")
+    return keyed_join(_named(docs).withColumn("_row", row_key("text")), names, ["_name", "_row"], "left_semi", ["_name"]).select(*docs.columns)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

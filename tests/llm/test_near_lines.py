@@ -134,3 +134,22 @@ def test_beyond_broadcast(make_docs, monkeypatch):
     assert got == brute_lines(rows)
     want = brute_components(rows, 4)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(make_docs(rows), words=4).collect()} == want
+
+
+def test_decisions_reach_only_their_text(make_docs):
+    """Texts that share an id, or have none, do not decide for each other."""
+    rows = [
+        (None, "aa bb cc dd\nsecond line of one"), (None, "ee ff gg hh\naa bb cc dd"),
+        (7, "ee ff gg hh\nown words stand here"), (7, "new words come first\nstays as well too"),
+    ]
+    got = sorted((str(r.doc_id), r.text, r.n_lines, r.n_removed) for r in without_repeats(make_docs(rows)).collect())
+    assert got == sorted([
+        ("None", rows[0][1], 2, 0), ("None", "ee ff gg hh", 2, 1), ("7", "own words stand here", 2, 1), ("7", rows[3][1], 2, 0),
+    ])
+
+
+def test_equal_lines_of_texts_without_id(make_docs):
+    """One of the equal lines at the same number stays."""
+    rows = [(None, "aa bb cc dd\none text of two"), (None, "aa bb cc dd\nother words than those")]
+    got = sorted((r.line, r.kept) for r in repeated_lines(make_docs(rows)).collect())
+    assert got == [(0, False), (0, True), (1, True), (1, True)]

@@ -7,9 +7,12 @@ from collections import Counter
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from test_near_lines import brute_components, brute_lines
 
 import corpus_pipeline
+from annolake.llm import minhash, quality
+from annolake.llm.common import row_key
 from annolake.llm.mixing import mix_sources
 
 
@@ -89,3 +92,27 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_decisions_reach_only_their_row(spark, monkeypatch, tmp_path):
+    """Two rows without id and two texts of one id: each is kept or dropped, and copied, by itself."""
+    rows = [(None, "kept one", "en", "a", 8), (None, "dropped one", "en", "b", 11), (7, "dropped two", "en", "a", 11), (7, "kept two", "en", "b", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    decided = lambda docs, *_, **__: docs.select("doc_id", row_key("text").alias("_row"), docs.text.startswith("kept").alias("kept"))
+    spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(corpus_pipeline.quality, "resample", decided)
+    monkeypatch.setattr(corpus_pipeline.minhash, "near_duplicates", decided)
+    for stage in (corpus_pipeline.good_quality, corpus_pipeline.one_of_each):
+        assert sorted(r.text for r in stage(spark, docs, str(tmp_path)).collect()) == ["kept one", "kept two"]
+    plan = docs.select("doc_id", "source", F.when(F.col("source") == "a", 1).otherwise(2).alias("copies"))
+    monkeypatch.setattr(corpus_pipeline.mixing, "mix_sources", lambda *_: plan)
+    assert Counter(r.text for r in corpus_pipeline.mixed(spark, docs, "").collect()) == {"kept one": 1, "dropped one": 2, "dropped two": 1, "kept two": 2}
+
+
+def test_operators_tell_rows(spark):
+    """The two operators give each row its own key."""
+    docs = spark.createDataFrame([(None, "aa bb"), (7, "cc dd"), (7, "ee ff")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    want = sorted(tuple(map(str, r)) for r in docs.select("doc_id", row_key("text")).collect())
+    for found in (quality.resample(docs, labels, rows_told=True), minhash.near_duplicates(docs, rows_told=True)):
+        assert sorted((str(r.doc_id), str(r._row)) for r in found.collect()) == want
