@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from annolake.llm import bpe, langid, quality, sql, toxicity
+from annolake.llm import bpe, fim, langid, quality, repair, sharding, sql, toxicity
 from annolake.llm.common import text_of
 from annolake.llm.exact import exact_duplicates
 from annolake.llm.labelled import remainder
@@ -82,6 +82,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"), carry={"text_sha256": F.sha2(text_of("text"), 256)})
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(_table(spark, sf_dir, "documents"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    counts, rows = repair.repaired(repair.damaged(conversations))
+    every = conversations.select(F.col("conv_id").alias("_of")).distinct()
+    same = F.col("_of").eqNullSafe(F.col("conv_id"))
+    told = every.join(counts, same, "left").drop("conv_id").join(repair.digests(rows), same, "left")
+    numbers = (F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))
+    digest = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return told.select(F.col("_of").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), digest)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded(_table(spark, sf_dir, "documents"), carry={"text_crc32": F.crc32(text_of("text").cast("binary"))})
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_near_dedup": op2_near_dedup,
@@ -93,6 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_token_file": op9_token_file,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_sharding": op13_sharding,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -100,4 +126,5 @@ ORACLES: dict[str, str] = {
     "op2_near_dedup": sql.NEAR_DEDUP,
     "op7_top_k": sql.TOP_K,
     "op10_exact_dedup": sql.EXACT_DEDUP,
+    "op11_fill_in_middle": sql.FILL_IN_MIDDLE,
 }

@@ -73,6 +73,6 @@ def test_queries_are_registered():
     import __spark_entry__ as contract
 
     names = contract.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert any(name.startswith(f"op{n}_") for name in names)
     assert "pipeline" in names
