@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annolake.operators.ordered import with_rank
-from annolake.operators.pairs import hash_block, hash_key, sample_with_refill
+from annolake.operators.ordered import hash_block, with_rank
+from annolake.operators.pairs import hash_key, sample_with_refill
 from annolake.session import checkpointed
 
 REQUIRED_TYPES = ("full_frame", "roi", "random_crop")

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolake.functions import text as tx
-from annolake.operators.ordered import exploded_range, index_block, running_sums, with_rank
+from annolake.operators.ordered import Few, exploded_range, hash_block, index_block, running_sums, with_rank
+from annolake.operators.pool import TextNegatives, text_negatives
 from annolake.operators.segments import adjacency_edges, adjacent_segments
 from annolake.session import checkpointed
 
@@ -293,10 +294,6 @@ def hash_key(seed: int, epoch: int, *columns: str | Column) -> Column:
     return F.xxhash64(F.lit(seed), F.lit(epoch), *columns)
 
 
-def hash_block(key: Column) -> Column:
-    return F.shiftright(key, 52)
-
-
 def text_overlap(left: Column, right: Column) -> Column:
     some = (left != "") & (right != "")
     return F.when(some, F.greatest(tx.matching_ratio(left, right, some), tx.jaccard(left, right))).otherwise(0.0)
@@ -316,7 +313,7 @@ def rank_local_negatives(pairs: DataFrame, samples: DataFrame, seed: int, epoch:
 
 
 def top_local_negatives(ranked: DataFrame, count: int | Column) -> DataFrame:
-    block = F.floor((1.0 - F.col("overlap")) * 256).cast("long")
+    block = Few(F.floor((1.0 - F.col("overlap")) * 256).cast("long"))
     placed = with_rank(ranked, [F.col("overlap").desc(), F.col("span"), F.col("tie"), F.col("i"), F.col("j")], block, (), "priority")
     return placed.filter(F.col("priority") < count)
 
@@ -334,42 +331,18 @@ def sample_with_refill(pool: DataFrame, keys: list[str], count: int, seed: int,
     return ranked.filter(F.col("pass") * size + F.col("_at") < count).drop("_h", "_at")
 
 
-def ocr_negative_sample(
-    samples: DataFrame, count: int, maximum: float, seed: int, epoch: int
-) -> DataFrame:
-    """``count`` text negatives from the virtual pool, in a seeded order: distinct ones while there are any.
+def ocr_negative_pool(samples: DataFrame, maximum: float) -> TextNegatives:
+    """The text negatives as a virtual pool: counted exactly, read by rank."""
+    return text_negatives(_comparable(samples), samples, maximum)
+
 
-    Each root gets draws in proportion to its number of pairs; a draw is a pair of hashed positions. Rejected and
-    repeated draws are made up by more draws until there are enough; once they would exceed the pool it is read
-    whole. A pool smaller than ``count`` is taken whole and then refilled in shuffled passes.
+def ocr_negative_sample(samples: DataFrame, count: int, maximum: float, seed: int, epoch: int) -> DataFrame:
+    """``count`` text negatives from the virtual pool, in a seeded choice: distinct ones while there are any.
+
+    Ranks are drawn by a seeded permutation, so none is drawn twice and none is rejected, and each is unfolded by itself. A
+    pool smaller than ``count`` is taken in whole passes and a last one of the rest.
     """
-    empty = samples.sparkSession.createDataFrame([], "i long, j long, same boolean, source string")
-    if count <= 0:
-        return empty
-    ranked = checkpointed(with_member(_comparable(samples), ["root"]))
-    roots = ranked.groupBy("root").agg(F.max("members").cast("double").alias("n")).withColumn("w", F.col("n") * (F.col("n") - 1) / 2)
-    total = roots.agg(F.sum("w")).first()[0] or 0.0
-    adjacency = checkpointed(adjacency_edges(samples))
-    draws = max(256, 2 * count)
-    while True:
-        if draws * 2 >= total:
-            pool = checkpointed(ocr_negatives_in_order(samples, UNLIMITED, maximum))
-            return sample_with_refill(pool, ["i", "j"], count, seed, epoch).drop("pass")
-        wanted = roots.withColumn("draws", F.ceil(F.lit(float(draws)) * F.col("w") / F.lit(total)))
-        flat = exploded_range(wanted, F.col("draws"), "draw", ["root"])
-        spot = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.lit(salt), "root", "draw"), F.col("n").cast("long"))
-        flat = flat.withColumn("a", spot(1)).withColumn("b", spot(2)).filter("a <> b")
-        spots = flat.select("root", F.least("a", "b").alias("l_member"), F.greatest("a", "b").alias("r_member")).distinct()
-        left = ranked.select("root", F.col("member").alias("l_member"), *_side("l"))
-        right = ranked.select("root", F.col("member").alias("r_member"), *_side("r"))
-        both = spots.join(left, ["root", "l_member"]).join(right, ["root", "r_member"])
-        hits = checkpointed(_qualifying(both, adjacency, maximum).select(*_pair_columns("l_idx", "r_idx", False, "ocr")))
-        if hits.count() >= count:
-            break
-        draws *= 4
-    shuffled = hits.withColumn("_h", hash_key(seed, epoch, "i", "j"))
-    placed = with_rank(shuffled, ["_h", "i", "j"], hash_block(F.col("_h")), (), "_at")
-    return placed.filter(F.col("_at") < count).drop("_h", "_at")
+    return ocr_negative_pool(samples, maximum).draw(count, seed, epoch)
 
 
 def balance_pairs(scored: DataFrame, ratio: float) -> DataFrame:
@@ -377,7 +350,7 @@ def balance_pairs(scored: DataFrame, ratio: float) -> DataFrame:
     if not 0.0 <= ratio <= 1.0:
         raise ValueError("negative_ratio outside [0, 1]")
     n_pos = scored.agg(F.count_if("same").alias("n")).scalar()
-    block = F.floor((1.0 - F.col("similarity")) * 2048).cast("long")
+    block = Few(F.floor((1.0 - F.col("similarity")) * 2048).cast("long"))
     ranked = with_rank(
         scored, [F.col("similarity").desc(), F.col("left_id"), F.col("right_id")], block, ["same"], "hardness"
     ).withColumn("_p", n_pos)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolake.functions.geometry import clamp, rect_to_yolo
-from annolake.operators.ordered import crc_block, index_block, running_sums, with_rank
+from annolake.operators.ordered import crc_block, dense_block, index_block, running_sums, with_rank
 
 
 def crc_hash(text: Column) -> Column:
@@ -77,7 +77,7 @@ def limit_root_balanced(
     first, second = quotas(maximum, empty_ratio)
     hashed = spread(samples, hash_fn)
     ranked = with_rank(hashed, ["spread", "sample_idx"], crc_block(F.col("spread")), ["root", flag], "_rn")
-    placed = with_rank(ranked, ["_rn", "root"], index_block(F.col("_rn"), 1024), [flag], "turn")
+    placed = with_rank(ranked, ["_rn", "root"], dense_block(F.col("_rn"), 1024), [flag], "turn")
     sized = placed.withColumn("_s", _class_sizes(samples, flag).scalar())
     a, b = _refilled(F.col("_s.a"), F.col("_s.b"), first, second, maximum)
     return sized.filter(F.col("turn") < F.when(F.col(flag), a).otherwise(b)).drop("_s", "_rn", "spread")
@@ -93,7 +93,7 @@ def interleave_classes(chosen: DataFrame, flag: str = "has_label") -> DataFrame:
     first = F.when(F.col(flag), turn).when(late, labelled + turn).otherwise(slot).cast("long")
     second = F.when(~F.col(flag) & ~late, 1).otherwise(0)
     keyed = sized.withColumn("_k", first).withColumn("_e", second)
-    return with_rank(keyed, ["_k", "_e"], index_block(F.col("_k"), 4096), (), "position").drop("_k", "_e", "_s")
+    return with_rank(keyed, ["_k", "_e"], dense_block(F.col("_k"), 4096), (), "position").drop("_k", "_e", "_s")
 
 
 def limit_segment_aware(samples: DataFrame, maximum: int, empty_ratio: float | None, hash_fn=crc_hash) -> DataFrame:
@@ -136,7 +136,7 @@ def domain_interleave(frames: DataFrame, views: int, maximum: int | None = None)
     full = F.concat(F.array(own), crops) if views > 0 else F.array(own)
     items = F.explode(F.when(F.col("sample_type") == "full_frame", full).otherwise(F.array(own)))
     out = turns.withColumn("_i", items).drop("sample_type").select("*", "_i.*").drop("_i")
-    placed = with_rank(out, ["turn", "kind", "crop_view"], index_block(F.col("turn"), 4096), (), "position")
+    placed = with_rank(out, ["turn", "kind", "crop_view"], dense_block(F.col("turn"), 4096), (), "position")
     return (placed if maximum is None else placed.filter(F.col("position") < maximum)).drop("kind", "turn")
 
 

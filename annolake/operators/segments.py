@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annolake.functions import text as tx
-from annolake.operators.ordered import index_block, running_sums, with_previous
+from annolake.operators.ordered import dense_block, index_block, running_sums, with_previous
 from annolake.session import checkpointed
 
 POSITIVE = "has_subtitle"
@@ -19,7 +19,7 @@ def adjacent_segments(samples: DataFrame) -> DataFrame:
     # Copies of one (frame, segment) change nothing; drop them before the ordered pass.
     points = timeline.select("root", "video_id", "frame_index", "segment_id").distinct()
     moves = with_previous(
-        points, ["frame_index", "segment_id"], ["segment_id"], ["root", "video_id"], index_block(F.col("frame_index"))
+        points, ["frame_index", "segment_id"], ["segment_id"], ["root", "video_id"], dense_block(F.col("frame_index"))
     ).filter(F.col("prev_segment_id").isNotNull() & (F.col("prev_segment_id") != F.col("segment_id")))
     return moves.select(
         "root", "video_id",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from annolake.functions.geometry import bbox_to_yolo, make_box, rect_to_yolo, sample_stem
 from annolake.operators.filters import passes_score, region_filter, select_frames
-from annolake.operators.ordered import index_block, running_sums
+from annolake.operators.ordered import dense_block, running_sums
 
 KEY = ["video_id", "frame_index"]
 
@@ -33,7 +33,7 @@ def build_samples(
     counted = counted.withColumn("kept", kept)
     if max_frames:
         counted = running_sums(
-            counted, ["frame_index"], {"kept_before": F.col("kept").cast("long")}, ["video_id"], index_block(F.col("frame_index"))
+            counted, ["frame_index"], {"kept_before": F.col("kept").cast("long")}, ["video_id"], dense_block(F.col("frame_index"))
         ).filter(F.col("kept_before") < max_frames).drop("kept_before")
     stems = sample_stem("video_id", "frame_index")
     samples = counted.filter("kept").drop("kept").withColumn("sample_id", stems)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolake.functions.geometry import aligned_resize_size, crop_boxes, make_box, protection_geometry
-from annolake.operators.ordered import index_block, with_rank
+from annolake.operators.ordered import hash_block, index_block, with_rank
 
 SMALL_EDGE = 8.0  # fixed value
 
@@ -74,7 +74,7 @@ def epoch_geometry_plan(
     keys = ["root", "sample_id", "crop_view"]
     if protect:
         donors = plan.filter("has_subtitle").select(*keys, "_own", F.xxhash64(*keys).alias("_h"))
-        ranked = with_rank(donors, ["_h", *keys], F.shiftright("_h", 52), (), "_at").select("_at", F.col("_own").alias("_donor"))
+        ranked = with_rank(donors, ["_h", *keys], hash_block(F.col("_h")), (), "_at").select("_at", F.col("_own").alias("_donor"))
         total = donors.agg(F.count(F.lit(1)).alias("n")).scalar()
         draw = F.floor(_uniform(seed, epoch, 9, *keys) * F.col("_n")).cast("long")
         plan = plan.withColumn("_n", total).withColumn("_at", F.when(~F.col("has_subtitle"), draw))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from annolake.operators.ordered import with_rank
+from annolake.operators.ordered import Few, with_rank
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -133,7 +133,7 @@ class Tables:
     def frame_events(self) -> DataFrame:
         c = F.col
         day = F.floor(F.unix_seconds(c("ts").cast("timestamp")) / 86_400)
-        ranked = with_rank(self.table("events"), ["ts", "event_id"], day, ["user_id"], "at")
+        ranked = with_rank(self.table("events"), ["ts", "event_id"], Few(day), ["user_id"], "at")
         return ranked.select(
             F.concat(F.lit("u"), c("user_id") % 4).alias("root"),
             c("user_id").cast("string").alias("video_id"),

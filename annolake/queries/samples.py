@@ -8,7 +8,7 @@ from annolake.operators import overlay as ov
 from annolake.operators import sampling as sp
 from annolake.operators import segments as sg
 from annolake.operators.maps import map_stats
-from annolake.operators.ordered import index_block, with_rank
+from annolake.operators.ordered import dense_block, index_block, with_rank
 from annolake.plans import geometry_plan as gp
 from annolake.queries.registry import query
 
@@ -359,7 +359,7 @@ def _(t):
 @query("cap_kept_per_video", "SL-01", """with {frame_events}, r as (select *, row_number() over (partition by video_id order by frame_index) as rn
  from frame_events where has_subtitle) select video_id, frame_index, sample_id from r where rn <= 20""")
 def _(t):
-    ranked = with_rank(t.frame_events.filter("has_subtitle"), ["frame_index"], index_block(F.col("frame_index")), ["video_id"], "kept_before")
+    ranked = with_rank(t.frame_events.filter("has_subtitle"), ["frame_index"], dense_block(F.col("frame_index")), ["video_id"], "kept_before")
     return ranked.filter("kept_before < 20").select("video_id", "frame_index", "sample_id")
 
 

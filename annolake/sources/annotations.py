@@ -22,10 +22,10 @@ REVIEW = "version int, items map<string,struct<has_subtitle:boolean,segment_id:s
 
 def parse_annotations(lines: DataFrame) -> DataFrame:
     """Lines (root, line_index, value) to typed rows; blank lines are skipped, ids count the kept ones."""
-    from annolake.operators.ordered import index_block, with_rank
+    from annolake.operators.ordered import dense_block, with_rank
 
     kept = lines.filter(strip("value") != "")
-    numbered = with_rank(kept, ["line_index"], index_block(F.col("line_index")), ["root"], "item_index")
+    numbered = with_rank(kept, ["line_index"], dense_block(F.col("line_index")), ["root"], "item_index")
     rows = numbered.select("root", "line_index", "item_index", F.from_json("value", ANNOTATION).alias("a")).select(
         "root", "line_index", "item_index", "a.*"
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from annolake.functions.geometry import bound, rect_to_yolo, yolo_to_box, yolo_to_rect
 from annolake.operators.filters import usable_box
-from annolake.operators.ordered import index_block, with_rank
+from annolake.operators.ordered import dense_block, with_rank
 from annolake.sources.lines import read_lines, root_of, stem, strip
 
 _RECORD = (
@@ -35,7 +35,7 @@ def parse_labels_lenient(lines: DataFrame, sizes: DataFrame, by: list[str]) -> D
     rows = lines.select(*by, "line_index", numbers.alias("_v")).filter(F.col("_v").isNotNull() & ~F.exists("_v", lambda v: v.isNull()))
     box = yolo_to_box(*[F.col("_v")[i] for i in range(1, 5)], "width", "height")
     usable = rows.join(sizes, by).select(*by, "line_index", box.alias("box")).filter(usable_box(F.col("box")))
-    return with_rank(usable, ["line_index"], index_block(F.col("line_index"), 4096), by, "valid_index")
+    return with_rank(usable, ["line_index"], dense_block(F.col("line_index"), 4096), by, "valid_index")
 
 
 def parse_labels_strict(lines: DataFrame, by: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolake.operators.ordered import with_rank
+from annolake.operators.ordered import Few, with_rank
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
@@ -16,7 +16,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], glob: str | None = N
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    return with_rank(raw, ["_split", "_seq"], F.col("_split"), ["path"], "line_index").drop("_split", "_seq")
+    return with_rank(raw, ["_split", "_seq"], Few(F.col("_split")), ["path"], "line_index").drop("_split", "_seq")
 
 
 def strip(text: Column | str) -> Column:

@@ -15,22 +15,28 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def seven(spark):
-    rows = [
-        (0, 1, "seg-a", "root-a", "video-1", "alpha"), (1, 1, "seg-a", "root-a", "video-1", "alpha"), (2, 1, "seg-b", "root-a", "video-1", "bravo"),
-        (3, 1, "seg-c", "root-b", "video-1", "charlie"), (4, 0, "empty", "root-a", "video-1", ""), (5, 1, "seg-d", "root-a", "video-2", "delta"),
-        (6, 1, "seg-a", "root-a", "video-1", "alpha"),
-    ]
-    at = {0: 0, 1: 1, 6: 2, 2: 3, 3: 0, 4: 9, 5: 0}
-    return frame(spark, [(r, f"s{i}", i, bool(p), s, v, at[i], x) for i, p, s, r, v, x in rows])
-
-
-def test_selection_of_seven(spark):
-    pairs, counts = pr.select_pairs(seven(spark), ocr_enabled=False)
-    got = sorted((r.i, r.j, r.same) for r in pairs.collect())
-    assert got == [(0, 1, True), (0, 2, False), (0, 6, True), (1, 2, False), (1, 6, True), (2, 6, False)]
+def three_scenes(spark):
+    """One harbour film of three scenes (two, four and one frames), a second film, and a frame without a caption between."""
+    scenes = [("quay", 2, "ferry to the island"), ("deck", 4, "mind the ropes"), ("bridge", 1, "captain only")]
+    rows, at = [], 0
+    for name, frames, caption in scenes:
+        for _ in range(frames):
+            rows.append(("port", f"p{at}", at, True, name, "harbour", at * 5, caption))
+            at += 1
+    rows.append(("port", f"p{at}", at, False, "none", "harbour", at * 5, ""))
+    rows.append(("port", f"p{at + 1}", at + 1, True, "deck", "storm", 0, "mind the waves"))
+    return frame(spark, rows)
+
+
+def test_selection_of_three_scenes(spark):
+    pairs, counts = pr.select_pairs(three_scenes(spark), ocr_enabled=False)
+    got = {(r.i, r.j, r.same) for r in pairs.collect()}
+    deck = [2, 3, 4, 5, 8]  # a segment's frames are pairs across films too
+    want = {(0, 1, True), *((i, j, True) for i, j in itertools.combinations(deck, 2))}
+    want |= {(i, j, False) for i in (0, 1) for j in deck[:4]} | {(j, 6, False) for j in deck[:4]}
+    assert got == want
     c = counts.first()
-    assert (c.local_positive_pairs, c.local_negative_pairs, c.ocr_negative_pairs, c.skipped_pairs) == (3, 3, 0, 15)
+    assert (c.local_positive_pairs, c.local_negative_pairs, c.ocr_negative_pairs, c.skipped_pairs) == (11, 12, 0, 13)
 
 
 def random_samples(n=70, seed=11):
