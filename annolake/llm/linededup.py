@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from annolake.llm.common import discard, keyed_join, materialized, row_key, salted_join, text_of
+from annolake.llm.common import discard, materialized, row_key, text_of
 from annolake.llm.setjoin import SKETCH_BITS, buckets_of, can_match, similar, sketch_of
 from annolake.llm.words import Words, mix64, slices
 
 NEWLINE = 10
+#: A token of so many lines at most (as counted by hash bucket) is rare; so many rows of a key are compared with each other.
+RARE = 128
+#: Lines over so many tokens meet over single tokens only.
+LONG = 256
+#: Shares that the keys are dealt with in, at most, and rows of a share where fewer do.
+SHARES, SHARE_ROWS = 6, 4_000_000
+#: Size of the filter that lines of candidate pairs are looked up by.
+FILTER_BITS = 24
 #: What a null id counts as: it comes before all others.
 NULL_ID = -(1 << 63)
 
@@ -59,6 +70,7 @@ class LineSets:
         self.number = np.arange(self.count) - first[self.text]
 
     def parity(self, rows: np.ndarray) -> np.ndarray:
+        """Bit k says whether an odd number of a line's tokens end in k (of 64). Sets differ in as many tokens as parities do in bits, at least."""
         bits = np.uint64(1) << (self.tokens & np.uint64(63))
         until = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits)))
         return (until[(self.start + self.size)[rows]] ^ until[self.start[rows]]).view(np.int64)
@@ -68,7 +80,7 @@ class LineSets:
 
 
 #: What tells a line, in the order of lines: its document, its number, and the hash of the whole text.
-LATER, EARLIER = ["_doc", "_ref", "_row"], ["_other_doc", "_other_ref", "_other_row"]
+LATER = ["_doc", "_ref", "_row"]
 LINE = ", ".join(f"{name} long" for name in LATER)
 
 
@@ -80,29 +92,22 @@ def _home(part: pa.RecordBatch, sets: LineSets, rows: np.ndarray) -> list[pa.Arr
 
 def _lines(docs: DataFrame) -> DataFrame:
     """A row per line with tokens: ``_doc, _ref, _row`` (its document, number and the hash of its text, for documents that share
-    an id), ``_key`` (a 128-bit hash of its token set), ``_size``, ``_parity``.
-
-    Bit k of the parity says whether an odd number of tokens end in k (of 64). Two sets differ in at least as many tokens as
-    their parities differ in bits.
-    """
+    an id), ``_key`` (a 128-bit hash of its token set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "_text"):
                 sets = LineSets(texts, None)
                 rows = np.flatnonzero(sets.size)
-                yield pa.RecordBatch.from_arrays(
-                    [*_home(part, sets, rows), sets.key_column(rows),
-                     pa.array(sets.size[rows].astype(np.int32)), pa.array(sets.parity(rows))],
-                    names=[*LATER, "_key", "_size", "_parity"],
-                )
+                yield pa.RecordBatch.from_arrays([*_home(part, sets, rows), sets.key_column(rows)], names=[*LATER, "_key"])
 
-    return docs.mapInArrow(run, f"{LINE}, _key binary, _size int, _parity long")
+    return docs.mapInArrow(run, f"{LINE}, _key binary")
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
-    """The lines that can have similar ones: ``_doc, _ref, _row, _key, _size, _prefix``.
+    """The lines that can have similar ones: ``_doc, _ref, _row, _key, _size, _parity, _prefix, _rare``.
 
+    The prefix has one token more than similar sets cannot do without, so that they share two. The first ``_rare`` of it are rare.
     Lines of up to three tokens are only similar to equal sets, which share their key.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2^SKETCH_BITS numbers of four bytes, always
@@ -112,65 +117,147 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
             for part, texts in slices(batch, "_text"):
                 sets = LineSets(texts, shared.value)
                 rows = np.flatnonzero(sets.size > 3)
-                take = sets.size[rows] - -(-sets.size[rows] * percent // 100) + 1
+                take = sets.size[rows] - -(-sets.size[rows] * percent // 100) + 2
                 offsets = np.concatenate(([0], np.cumsum(take)))
                 place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], take)
-                prefix = sets.tokens[np.repeat(sets.start[rows], take) + place].view(np.int64)
+                prefix = sets.tokens[np.repeat(sets.start[rows], take) + place]
+                rare = np.concatenate(([0], np.cumsum(shared.value[buckets_of(prefix)] <= RARE)))
                 yield pa.RecordBatch.from_arrays(
-                    [*_home(part, sets, rows), sets.key_column(rows),
-                     pa.array(sets.size[rows].astype(np.int32)), pa.ListArray.from_arrays(offsets.astype(np.int32), prefix)],
-                    names=[*LATER, "_key", "_size", "_prefix"],
+                    [*_home(part, sets, rows), sets.key_column(rows), pa.array(sets.size[rows].astype(np.int32)), pa.array(sets.parity(rows)),
+                     pa.ListArray.from_arrays(offsets.astype(np.int32), prefix.view(np.int64)), pa.array((rare[offsets[1:]] - rare[offsets[:-1]]).astype(np.int32))],
+                    names=[*LATER, "_key", "_size", "_parity", "_prefix", "_rare"],
                 )
 
-    return docs.mapInArrow(run, f"{LINE}, _key binary, _size int, _prefix array<long>")
+    return docs.mapInArrow(run, f"{LINE}, _key binary, _size int, _parity long, _prefix array<long>, _rare int")
+
+
+def _classes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """One row for all lines of one set, the first of them, with ``_line``: a number that grows in the order of lines."""
+    first = F.min(F.struct(*LATER)).alias("_first")
+    fields = ["_size", "_parity", "_prefix", "_rare"]
+    grouped = _prefixes(docs, counts, percent).groupBy("_key").agg(first, *(F.first(c).alias(c) for c in fields))
+    grouped = materialized(grouped.select("_first.*", *fields), "grouped")
+    ordered = grouped.repartitionByRange(*LATER).sortWithinPartitions(*LATER)
+    classes = materialized(ordered.withColumn("_line", F.monotonically_increasing_id()), "classes")
+    discard(grouped)
+    return classes
+
+
+def _keys(classes: DataFrame, part: int, parts: int) -> DataFrame:
+    """``_token, _line, _mark, _parity``: what classes meet over, in one of ``parts`` shares. The mark holds place and size.
 
+    The first token that two similar sets share is in both prefixes. If it is rare, it is a key by itself. If not, no token
+    that they share is rare, and the first two of them are: those pairs are keys (placed so that the position filter counts both).
+    Lines over ``LONG`` tokens would have too many pairs; there each token is a key. Lines near that length have both kinds.
+    """
 
-def _line_sets(docs: DataFrame) -> DataFrame:
-    """``_doc, _ref, _row, _set`` of the lines that each document's ``_refs`` ask for."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, rare = batch.column("_size").to_numpy().astype(np.int64), batch.column("_rare").to_numpy().astype(np.int64)
+            prefix = batch.column("_prefix")
+            tokens, offsets = prefix.flatten().to_numpy().view(np.uint64), prefix.offsets.to_numpy().astype(np.int64)
+            offsets = offsets - offsets[0]
+            length = np.diff(offsets)
+            # Single tokens: the rare ones of the prefix proper, all of a long line's.
+            single = np.where(size * 5 >= LONG * 4, length - 1, np.minimum(rare, length - 1))
+            rows = np.repeat(np.arange(len(size)), single)
+            at = np.arange(len(rows)) - np.repeat(np.cumsum(single) - single, single)
+            yield from emit(batch, rows, tokens[offsets[rows] + at], at, size)
+            # Pairs of others, for all lines with equally many of them at a time.
+            others = np.where(size * 4 <= LONG * 5, length - rare, 0)
+            for many in np.unique(others[others > 1]).tolist():
+                left, right = np.triu_indices(many, 1)
+                every = np.flatnonzero(others == many)
+                step = max(1, (1 << 19) // len(left))
+                for own in (every[k : k + step] for k in range(0, len(every), step)):
+                    start = (offsets[own] + rare[own])[:, None]
+                    x, y = tokens[start + left], tokens[start + right]
+                    key = mix64(x * np.uint64(0x9E3779B97F4A7C15) + (y << np.uint64(1) | np.uint64(1)))
+                    yield from emit(batch, np.repeat(own, len(left)), key.ravel(), (rare[own][:, None] + right - 1).ravel(), size)
+
+    def emit(batch: pa.RecordBatch, rows: np.ndarray, keys: np.ndarray, at: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if parts > 1:
+            mine = keys % np.uint64(parts) == np.uint64(part)
+            rows, keys, at = rows[mine], keys[mine], at[mine]
+        if len(rows):
+            where = pa.array(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.view(np.int64)), batch.column("_line").take(where), pa.array(at << 32 | size[rows]), batch.column("_parity").take(where)],
+                names=["_token", "_line", "_mark", "_parity"],
+            )
+
+    return classes.select("_line", "_size", "_parity", "_prefix", "_rare").mapInArrow(run, "_token long, _line long, _mark long, _parity long")
+
+
+def _shares(classes: DataFrame) -> int:
+    """How many shares the keys are dealt with in, so that not all of them lie on disk at once."""
+    size, length, rare = F.col("_size"), F.size("_prefix"), F.col("_rare")
+    single = F.when(size * 5 >= LONG * 4, length - 1).otherwise(F.least(rare, length - 1))
+    others = F.when(size * 4 <= LONG * 5, length - rare).otherwise(0).cast("long")
+    rows = classes.agg(F.sum(single + others * (others - 1) / 2)).first()[0] or 0
+    return int(min(SHARES, rows // SHARE_ROWS + 1))
+
+
+def _near(x: str, y: str, percent: int) -> Column:
+    """What two rows of one key must hold: order, size, place, and parities that do not differ in more bits than similar sets may in tokens."""
+    size = lambda t: F.col(f"{t}._mark").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    at = lambda t: F.shiftright(F.col(f"{t}._mark"), 32)
+    differ = F.bit_count(F.col(f"{x}._parity").bitwiseXOR(F.col(f"{y}._parity")))
+    close = (100 + percent) * differ <= (100 - percent) * (size(x) + size(y))
+    return (F.col(f"{x}._line") > F.col(f"{y}._line")) & can_match(size(x), at(x), size(y), at(y), percent) & close
+
+
+def _within(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """``_line, _other``: each row with the earlier ones of its key that it may be similar to."""
+    joined = rows.alias("x").join(others.alias("y"), (F.col("x._token") == F.col("y._token")) & _near("x", "y", percent))
+    return joined.select(F.col("x._line").alias("_line"), F.col("y._line").alias("_other")).distinct()
+
+
+def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``_line, _set`` of the wanted lines (``_line`` and ``LATER``).
+
+    A filter of fixed size spares most other lines the way to the join; texts are not moved.
+    """
+    bucket = F.pmod(F.xxhash64(*LATER), F.lit(1 << FILTER_BITS))
+    words = wanted.groupBy(F.shiftright(bucket, 5).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bucket % 32).cast("int"))).alias("bits"))
+    found = words.toArrow()  # 2^(FILTER_BITS - 5) rows, always
+    flags = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    flags[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(flags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "_text"):
                 sets = LineSets(texts, None)
-                rows = np.flatnonzero(sets.size)
-                refs, edges = sets.number[rows], np.searchsorted(sets.text[rows], np.arange(len(texts) + 1))
-                asked = zip(part.column("_refs").to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)
-                chosen = np.concatenate([np.isin(refs[a:b], own) for own, a, b in asked] or [np.zeros(0, bool)])
-                rows = rows[chosen]
+                rows = np.flatnonzero(sets.size > 3)
+                home = _home(part, sets, rows)
                 own = [sets.tokens[a : a + n].tobytes() for a, n in zip(sets.start[rows].tolist(), sets.size[rows].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*_home(part, sets, rows), pa.array(own, pa.binary())], names=[*LATER, "_set"])
+                yield pa.RecordBatch.from_arrays([*home, pa.array(own, pa.binary())], names=[*LATER, "_set"])
 
-    return docs.select("_doc", "_row", "_text", "_refs").mapInArrow(run, f"{LINE}, _set binary")
+    @F.pandas_udf("boolean")
+    def asked(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
 
-
-def _closer(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs whose parities do not differ in more bits than similar sets may differ in tokens."""
-    pairs = materialized(pairs.select(*LATER, *EARLIER).distinct(), "pairs")
-    side = lambda names, end: lines.select(
-        *(F.col(a).alias(b) for a, b in zip(LATER, names, strict=True)), F.col("_size").alias(f"_size_{end}"), F.col("_parity").alias(f"_parity_{end}")
-    )
-    both = pairs.join(side(LATER, "x"), LATER).join(side(EARLIER, "y"), EARLIER)
-    differ = F.bit_count(F.col("_parity_x").bitwiseXOR(F.col("_parity_y")))
-    close = both.where((100 + percent) * differ <= (100 - percent) * (F.col("_size_x") + F.col("_size_y")))
-    return materialized(close.select(*LATER, *EARLIER).distinct(), "close")
+    sets = docs.mapInArrow(run, f"{LINE}, _set binary").where(asked(bucket))
+    return sets.join(wanted, LATER, "inner").select("_line", "_set")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The later lines (``LATER``) that are similar to the earlier line of their pair, by full token sets."""
-    wanted = materialized(pairs.select(*LATER).union(pairs.select(*EARLIER)).distinct(), "wanted")
-    homes = materialized(wanted.groupBy("_doc", "_row").agg(F.collect_list("_ref").alias("_refs")), "homes")  # no more than a text has lines
-    sets = materialized(_line_sets(keyed_join(docs, homes, ["_doc", "_row"], "inner", ["_text"])).dropDuplicates(LATER), "sets")
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``_line`` of the later lines that are similar to the earlier one of a pair, by full token sets."""
+    ids = pairs.select("_line").union(pairs.select("_other")).distinct()
+    wanted = materialized(classes.select("_line", *LATER).join(ids, "_line", "left_semi"), "wanted")
+    sets = materialized(_line_sets(docs, wanted).dropDuplicates(["_line"]), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             mine, other = batch.column("_set").to_pylist(), batch.column("_other_set").to_pylist()
             keep = pa.array([similar(x, y, percent) for x, y in zip(mine, other, strict=True)], pa.bool_())
-            yield batch.select(LATER).filter(keep)
+            yield batch.select(["_line"]).filter(keep)
 
-    both = pairs.join(sets, LATER).join(sets.toDF(*EARLIER, "_other_set"), EARLIER)
-    found = both.select(*LATER, "_set", "_other_set").mapInArrow(run, LINE).distinct()
-    found = materialized(found, "gone")
-    for table in (wanted, homes, sets):
+    both = pairs.join(sets, "_line").join(sets.toDF("_other", "_other_set"), "_other")
+    found = materialized(both.select("_line", "_set", "_other_set").mapInArrow(run, "_line long").distinct(), "gone")
+    for table in (wanted, sets):
         discard(table)
     return found
 
@@ -181,8 +268,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id"
     A line's set holds its distinct lower-cased words. A line goes if an earlier line (by id, then line number; whether that one stays or not)
     has a set whose intersection with its own is at least ``percent`` hundredths of their union. Equal sets are one class whose
     first line stands for all, so a very common line is counted and not compared. Classes meet over the rarest tokens of
-    their prefixes, filtered by length and position. A token's classes are first compared with its earliest one only; classes
-    that find no match there are then compared with all earlier ones that pass the filters. Matches are verified on full sets.
+    their prefixes, or two of them where none is rare, filtered by length, position and parity. Keys with up to ``RARE`` classes are compared
+    within. The classes of others are first compared with the earliest one only; classes that find no match there are then compared with
+    all earlier ones that pass the filters. Matches are verified on full sets.
 
     Ids are integers. Blank lines, and so null and empty texts, have no rows. Rows that repeat an id and text share their fate; null
     ids come first and are one id. Texts that share an id are told apart: equal line numbers are ordered by the hash of the text.
@@ -197,43 +285,43 @@ def _decided(docs: DataFrame, percent: int, id_column: str, text_column: str) ->
     source = docs.select(
         F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("_doc"), row_key(text_column).alias("_row"), text_of(text_column).alias("_text")
     )
-    lines = materialized(_lines(source), "lines")
-    first = F.min(F.struct(*LATER)).alias("_first")
-    prefixed = _prefixes(source, _token_counts(source), percent)
-    classes = prefixed.groupBy("_key").agg(first, F.first("_size").alias("_size"), F.first("_prefix").alias("_prefix"))
-    classes = materialized(classes.select("_first.*", "_size", "_prefix"), "classes")
-    mark = F.shiftleft(F.col("_at").cast("long"), 32).bitwiseOR(F.col("_size").cast("long")).alias("_mark")
-    rows = classes.select(F.posexplode("_prefix").alias("_at", "_token"), "_size", *LATER)
-    rows = rows.select("_token", mark, *LATER).repartition("_token")
-    met = rows.groupBy("_token").agg(F.count("*").alias("_n")).where("_n > 1").select("_token")
-    met = materialized(rows.join(met, "_token"), "met")
-    discard(classes)
-
-    fields = {**dict(zip(LATER, EARLIER, strict=True)), "_mark": "_other_mark"}
-    later = F.struct(*LATER) > F.struct(*(F.col(b).alias(a) for a, b in zip(LATER, EARLIER, strict=True)))
-    at, size = (lambda m: F.shiftright(m, 32)), (lambda m: m.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
-    own, other = F.col("_mark"), F.col("_other_mark")
-    near = later & can_match(size(own), at(own), size(other), at(other), percent)
-
-    # The earliest class of each token against the others.
-    hub = F.min(F.struct(*(F.col(a).alias(b) for a, b in fields.items()))).alias("_hub")
-    hubs = met.groupBy("_token").agg(hub).select("_token", "_hub.*")
-    pairs = _closer(met.join(hubs, "_token").where(near), lines, percent)
-    gone = _confirmed(pairs, source, percent)
+    classes = _classes(source, _token_counts(source), percent)
+    pairs, large = [], []
+    shares = _shares(classes)
+    for part in range(shares):
+        rows = materialized(_keys(classes, part, shares), "keys")
+        counts = rows.groupBy("_token").agg(F.count("*").alias("_n")).where("_n > 1")
+        met = materialized(rows.join(counts, "_token"), "met")
+        discard(rows)
+        few = met.where(F.col("_n") <= RARE)
+        pairs.append(materialized(_within(few, few, percent), "pairs"))
+        large.append(materialized(met.where(F.col("_n") > RARE).drop("_n"), "large"))
+        discard(met)
+    many = reduce(DataFrame.union, large)
+
+    # The earliest class of each large key against the others.
+    hub = F.min(F.struct("_line", "_mark", "_parity")).alias("_hub")
+    hubs = many.groupBy("_token").agg(hub).select("_token", "_hub.*")
+    tested = materialized(reduce(DataFrame.union, [*pairs, _within(many, hubs, percent)]).distinct(), "tested")
+    for table in pairs:
+        discard(table)
+    gone = _confirmed(tested, classes, source, percent)
 
     # What found no match there against all earlier classes.
-    others = met.select(F.col("_token").alias("_same"), *(F.col(a).alias(b) for a, b in fields.items()))
-    left = keyed_join(met, gone, LATER, "left_anti", ["_token"])
-    more = _closer(left.join(others, (F.col("_token") == F.col("_same")) & near), lines, percent)
-    more = materialized(more.join(pairs, [*LATER, *EARLIER], "left_anti"), "pairs")
-    discard(met)
-    gone = gone.union(_confirmed(more, source, percent)).distinct()
+    left = many.join(gone, "_line", "left_anti")
+    more = materialized(_within(left, many, percent).join(tested, ["_line", "_other"], "left_anti"), "pairs")
+    more_gone = _confirmed(more, classes, source, percent)
+    for table in (tested, more, *large):
+        discard(table)
+    lost = materialized(classes.select("_line", *LATER).join(gone.union(more_gone).distinct(), "_line", "left_semi").select(*LATER), "lost")
+    for table in (classes, gone, more_gone):
+        discard(table)
 
-    firsts = lines.groupBy("_key").agg(first).select("_key", "_first.*")
-    firsts = firsts.join(gone.withColumn("_gone", F.lit(True)), LATER, "left").select("_key", "_gone", F.struct(*LATER).alias("_first"))
-    placed = salted_join(lines.select(*LATER, "_key"), firsts, ["_key"], "left", LATER)
-    kept = F.col("_gone").isNull() & (F.struct(*LATER) == F.col("_first"))
-    return placed.select("_doc", "_row", F.col("_ref").cast("int").alias("line"), kept.alias("kept"))
+    lines = materialized(_lines(source), "lines")
+    first = F.min(F.struct(*LATER)).alias("_first")
+    stay = lines.groupBy("_key").agg(first).select("_first.*").join(lost, LATER, "left_anti").withColumn("_stays", F.lit(True))
+    placed = lines.select(*LATER).join(stay, LATER, "left")
+    return placed.select("_doc", "_row", F.col("_ref").cast("int").alias("line"), F.coalesce("_stays", F.lit(False)).alias("kept"))
 
 
 def without_repeats(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -242,13 +330,26 @@ def without_repeats(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     Blank lines stay. Texts that lose nothing are unchanged. Columns of the input that are called like the two new ones are replaced.
     """
     found = _decided(docs, percent, id_column, text_column)
-    lost = F.array_sort(F.collect_set(F.when(~F.col("kept"), F.col("line")))).alias("_lost")
-    counts = found.groupBy("_doc", "_row").agg(F.count_distinct("line").alias("n_lines"), lost)
-    counts = materialized(counts, "lost")
-    own = (F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)) == F.col("_doc")) & (row_key(text_column) == F.col("_row"))
-    joined = docs.drop("n_lines", "n_removed").join(counts, own, "left")
-    left = F.filter(F.split(F.col(text_column), "\n"), lambda line, k: ~F.array_contains("_lost", k))
-    text = F.when(F.size("_lost") > 0, F.array_join(left, "\n")).otherwise(F.col(text_column))
-    return joined.withColumns({
-        text_column: text, "n_removed": F.coalesce(F.size("_lost"), F.lit(0)).cast("long"), "n_lines": F.coalesce("n_lines", F.lit(0)).cast("long"),
-    }).drop("_doc", "_row", "_lost")
+    lost = F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias("_lost")
+    counts = materialized(found.groupBy("_doc", "_row").agg(F.count_distinct("line").alias("_lines"), lost), "lost")
+    name = F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("_doc")
+    whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_whole"), name, row_key(text_column).alias("_row"), F.col(text_column).alias("_text"))
+    joined = whole.join(counts, ["_doc", "_row"], "left")
+    loses = F.size("_lost") > 0
+    text = F.when(loses, _without(F.when(loses, F.col("_text")), F.when(loses, F.col("_lost")))).otherwise(F.col("_text"))
+    columns = [text.alias(c) if c == text_column else F.col("_whole")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    counted = F.coalesce("_lines", F.lit(0)).cast("long").alias("n_lines"), F.when(loses, F.size("_lost")).otherwise(0).cast("long").alias("n_removed")
+    return joined.select(*columns, *counted)
+
+
+@F.pandas_udf(T.StringType())
+def _without(texts: pd.Series, lost: pd.Series) -> pd.Series:
+    """Texts without the lines of these numbers."""
+
+    def one(text: str | None, numbers: np.ndarray | None) -> str | None:
+        if text is None or numbers is None:
+            return None
+        gone = set(numbers.tolist())
+        return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone)
+
+    return pd.Series([one(text, numbers) for text, numbers in zip(texts, lost, strict=True)], dtype=object)

@@ -153,3 +153,35 @@ def test_equal_lines_of_texts_without_id(make_docs):
     rows = [(None, "aa bb cc dd\none text of two"), (None, "aa bb cc dd\nother words than those")]
     got = sorted((r.line, r.kept) for r in repeated_lines(make_docs(rows)).collect())
     assert got == [(0, False), (0, True), (1, True), (1, True)]
+
+
+def _long_and_common_lines(draw):
+    """Lines of few frequent words, of very many words around the length where keys change, and near copies of one line."""
+    few = [" ".join(draw.choice("abcdefghijklmnop") * 2 for _ in range(draw.randint(4, 24))) for _ in range(60)]
+    base = [f"w{draw.randint(0, 3000)}" for _ in range(40)]
+    long = []
+    for n in (28, 32, 36, 40):
+        own = base[:n]
+        long += [" ".join(own), " ".join(own[1:]), " ".join([*own[:-2], "x1", "x2"]), " ".join([*own[5:], "y"])]
+    return few + long + [f"one line that all have with a small change {k}" for k in range(40)]
+
+
+def test_keys_of_rare_and_frequent_tokens(make_docs, monkeypatch):
+    """Every kind of key, in several shares, gives what all pairs give."""
+    from annolake.llm import linededup
+
+    lines = _long_and_common_lines(random.Random(8))
+    rows = [(k, "\n".join(lines[k * 4 : k * 4 + 4])) for k in range(len(lines) // 4 + 1)]
+    want = brute_lines(rows)
+    for rare, long, share_rows in ((2, 32, 300), (0, 1000, 10**6), (10**6, 1000, 10**6)):
+        monkeypatch.setattr(linededup, "RARE", rare)
+        monkeypatch.setattr(linededup, "LONG", long)
+        monkeypatch.setattr(linededup, "SHARE_ROWS", share_rows)
+        got = {(r.doc_id, r.line): r.kept for r in repeated_lines(make_docs(rows)).collect()}
+        assert got == want
+
+
+def test_lines_beside_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "aa bb cc dd\nnew one", "p", 1, [2]), (2, "aa bb cc dd", "q", 3, [4])], "doc_id long, text string, _doc string, _row int, _lost array<int>")
+    got = sorted(tuple(r) for r in without_repeats(docs).collect())
+    assert got == [(1, "aa bb cc dd\nnew one", "p", 1, [2], 2, 0), (2, "", "q", 3, [4], 1, 1)]
