@@ -120,15 +120,15 @@ def split_pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return pieces, stops
 
 
-def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", offsets: bool = True, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text", offsets: bool = True, decoded: bool = False, checked: bool = False) -> DataFrame:
     """Per row: id, ``ids``, if wanted ``ends``, the byte offset in the text where each token ends, and ``decoded``, the bytes
-    that the ids give back (as ``decode`` would, without a second pass).
+    that the ids give back (as ``decode`` would, without a second pass). With ``checked``, ``exact`` says that those are the text's own bytes.
 
     ``vocabulary`` is the path of a rank file that every executor has. Pre-tokens are merged apart from each other, special
     tokens are ordinary text. Null and empty texts give empty arrays; a text of any length is encoded whole. Other columns are ignored,
     repeated rows stay, an empty table gives an empty result.
     """
-    names = ["ids", *["ends"] * offsets, *["decoded"] * decoded]
+    names = ["ids", *["ends"] * offsets, *["decoded"] * decoded, *["exact"] * checked]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = merges(vocabulary)
@@ -145,13 +145,16 @@ def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_col
                     base = np.concatenate(([0], ends))[rows[:-1]]
                     ends = (ends - np.repeat(base, np.diff(rows))).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(rows, ends))
+                back = table.text_of(ids, rows) if decoded or checked else None
                 if decoded:
-                    columns.append(table.text_of(ids, rows))
+                    columns.append(back)
+                if checked:
+                    columns.append(pa.array([a == b for a, b in zip(back.to_pylist(), texts, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(columns, names=["_id", *names])
 
     kind = dict(docs.dtypes)[id_column]
     rows = docs.selectExpr(f"`{id_column}` as _id", f"coalesce(`{text_column}`, '') as _text")
-    kinds = {"ids": "array<int>", "ends": "array<int>", "decoded": "binary"}
+    kinds = {"ids": "array<int>", "ends": "array<int>", "decoded": "binary", "exact": "boolean"}
     found = rows.mapInArrow(run, ", ".join([f"_id {kind}", *(f"{name} {kinds[name]}" for name in names)]))
     return found.withColumnRenamed("_id", id_column)
 

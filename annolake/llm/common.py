@@ -6,6 +6,8 @@ import gc
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: A side of a join is broadcast only if it has at most so many (narrow) rows; beyond that the join is salted.
 BROADCAST_ROWS = 100_000
 SALTS = 16
+#: Bits of ``may_hold``.
+FILTER_BITS = 24
 
 
 def text_of(column: str) -> Column:
@@ -76,3 +80,24 @@ def keyed_join(rows: DataFrame, keyed: DataFrame, on: Sequence[str], how: str, s
     if keyed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(keyed), list(on), how)
     return salted_join(rows, keyed, on, how, spread)
+
+
+def may_hold(wanted: DataFrame, keys: Sequence[str]) -> Column:
+    """Whether the ``keys`` of a row may be among those of ``wanted``, by one hash into a filter of ``2 ** FILTER_BITS`` bits.
+
+    The filter has one size whatever ``wanted`` holds. It spares most other rows the way to a join on ``keys``, which has to follow, and
+    rows that are long need not be moved to find out; with very many keys it lets everything pass.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(1 << FILTER_BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (bucket % 32).cast("int"))
+    found = wanted.groupBy(F.shiftright(bucket, 5).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2^19 rows at most
+    flags = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    flags[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    shared = wanted.sparkSession.sparkContext.broadcast(flags)
+
+    @F.pandas_udf("boolean")
+    def asked(place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
+
+    return asked(bucket)

@@ -45,7 +45,7 @@ class Lexicon:
                 self.room[node] = max(self.room[node], allowed)
             self.term_at[node] = index
         self.longest = max((len(t) + edits_allowed(t) for t in terms), default=0)
-        self.codes = np.zeros(0x110000, np.uint8)
+        self.codes = np.zeros(0x110000, np.int32)
         for c, k in self.letter.items():
             self.codes[ord(c)] = k
         self._reset()

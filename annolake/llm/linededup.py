@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annolake.llm.common import discard, materialized, row_key, text_of
+from annolake.llm.common import discard, materialized, may_hold, row_key, text_of
 from annolake.llm.setjoin import SKETCH_BITS, buckets_of, can_match, similar, sketch_of
 from annolake.llm.words import Words, mix64, slices
 
@@ -23,8 +23,6 @@ RARE = 128
 LONG = 256
 #: Shares that the keys are dealt with in, at most, and rows of a share where fewer do.
 SHARES, SHARE_ROWS = 6, 4_000_000
-#: Size of the filter that lines of candidate pairs are looked up by.
-FILTER_BITS = 24
 #: What a null id counts as: it comes before all others.
 NULL_ID = -(1 << 63)
 
@@ -214,17 +212,7 @@ def _within(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
 
 
 def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``_line, _set`` of the wanted lines (``_line`` and ``LATER``).
-
-    A filter of fixed size spares most other lines the way to the join; texts are not moved.
-    """
-    bucket = F.pmod(F.xxhash64(*LATER), F.lit(1 << FILTER_BITS))
-    words = wanted.groupBy(F.shiftright(bucket, 5).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (bucket % 32).cast("int"))).alias("bits"))
-    found = words.toArrow()  # 2^(FILTER_BITS - 5) rows, always
-    flags = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    flags[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(flags)
-
+    """``_line, _set`` of the wanted lines (``_line`` and ``LATER``). Texts are not moved."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "_text"):
@@ -234,12 +222,7 @@ def _line_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 own = [sets.tokens[a : a + n].tobytes() for a, n in zip(sets.start[rows].tolist(), sets.size[rows].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*home, pa.array(own, pa.binary())], names=[*LATER, "_set"])
 
-    @F.pandas_udf("boolean")
-    def asked(place: pd.Series) -> pd.Series:
-        at = place.to_numpy()
-        return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
-
-    sets = docs.mapInArrow(run, f"{LINE}, _set binary").where(asked(bucket))
+    sets = docs.mapInArrow(run, f"{LINE}, _set binary").where(may_hold(wanted, LATER))
     return sets.join(wanted, LATER, "inner").select("_line", "_set")
 
 

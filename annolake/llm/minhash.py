@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolake.llm.common import discard, keyed_join, materialized, row_key, salted_join, text_of
+from annolake.llm.common import discard, materialized, may_hold, row_key, salted_join, text_of
 from annolake.llm.components import connected_components
 from annolake.llm.setjoin import can_match, prefixes, rarity, similar
 from annolake.llm.words import mix64, shingle_sets, slices
@@ -19,6 +19,8 @@ from annolake.llm.words import mix64, shingle_sets, slices
 BANDS, BAND_ROWS = 64, 6
 #: A pair goes on to its sets if so large a share of the minima agree; 0.8 lies six standard deviations above.
 AGREEMENT = 0.68
+#: What a null id counts as where a row is looked up by its id and text.
+NULL_ID = -(1 << 63)
 #: Rounds in which each bucket is compared with one member only; what is then still apart goes through an exact join.
 HUB_ROUNDS = 2
 
@@ -63,17 +65,20 @@ def signatures(docs: DataFrame, words: int, id_column: str = "doc_id", text_colu
     return rows.mapInArrow(run, "_id long, _row long, n_shingles long, _key binary, _signature binary, _bands array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """``_id, _set``: the shingle hashes of each text as bytes."""
-    kind = pa.schema([("_id", pa.int64()), ("_set", pa.binary())])
+def _sets(source: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``_id`` (the class), ``_set``: the shingle hashes of the texts that stand for the classes of ``nodes``. Texts are not moved."""
+    home = ["_name", "_row"]
+    kind = pa.schema([("_name", pa.int64()), ("_row", pa.int64()), ("_set", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "_text"):
                 own = [s.tobytes() for s in shingle_sets(texts, words)]
-                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(own, pa.binary())], schema=kind)
+                yield pa.RecordBatch.from_arrays([part.column("_name"), part.column("_row"), pa.array(own, pa.binary())], schema=kind)
 
-    return docs.mapInArrow(run, "_id long, _set binary")
+    named = source.select(F.coalesce("_id", F.lit(NULL_ID)).alias("_name"), row_key("_text").alias("_row"), "_text")
+    made = named.where(may_hold(nodes, home)).mapInArrow(run, "_name long, _row long, _set binary")
+    return made.join(nodes, home).select(F.col("_class").alias("_id"), "_set").dropDuplicates(["_id"])
 
 
 def _filtered(pairs: DataFrame, left: str, right: str, similar) -> DataFrame:
@@ -113,6 +118,15 @@ def _pairs_apart(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select(F.col("x._class").alias("a"), F.col("y._class").alias("b")).distinct()
 
 
+def _same_id(marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links ``a, b`` between the classes of one id, each with the first of them."""
+    own = marks.where("n_shingles > 0 and _id is not null").select("_id", "_key").distinct()
+    several = own.groupBy("_id").count().where("count > 1").select("_id")
+    of = own.join(several, "_id").join(classes.select("_key", "_class"), "_key").select("_id", "_class")
+    first = of.groupBy("_id").agg(F.min("_class").alias("a"))
+    return of.join(first, "_id").where("a < _class").select("a", F.col("_class").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", rows_told: bool = False) -> DataFrame:
     """Per row: id, ``_row`` (``row_key``, if ``rows_told``), ``n_shingles``, ``component_id`` and ``kept`` (the id is its component's smallest).
 
@@ -124,27 +138,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     prefix join of their sets, so no link between components is lost and no bucket is ever unfolded into its pairs. Every
     link is confirmed on full sets.
 
-    Null, empty and blank texts have no shingles and are linked with nothing. Equal texts are always linked. Rows that repeat an id are one node.
-    Rows with a null id join only the component of their equal sets. Other columns are ignored; an empty table gives an empty result.
+    Null, empty and blank texts have no shingles and are linked with nothing. Equal texts are always linked. Rows that repeat an id are one
+    node: what one of its texts is linked with, all are. Rows with a null id are nodes of their own; a component without any id has a null
+    ``component_id``. Other columns are ignored; an empty table gives an empty result.
     """
     source = docs.select(F.col(id_column).cast("long").alias("_id"), text_of(text_column).alias("_text"))
     marks = materialized(signatures(source, words, "_id", "_text"), "signatures")
-    classes = (
-        marks.where("n_shingles > 0").groupBy("_key")
-        .agg(F.min("_id").alias("_class"), F.first("_signature").alias("_signature"), F.first("_bands").alias("_bands"))
-    )
-    classes = materialized(classes, "classes")
-    rows = classes.where("_class is not null").select(F.explode("_bands").alias("_bucket"), F.col("_class"))
+    home = F.min(F.struct(F.coalesce("_id", F.lit(NULL_ID)).alias("_name"), "_row")).alias("_home")
+    classes = marks.where("n_shingles > 0").groupBy("_key").agg(home, F.min("_id").alias("_low"), F.first("_signature").alias("_signature"), F.first("_bands").alias("_bands"))
+    classes = materialized(classes.select("*", F.monotonically_increasing_id().alias("_class")), "classes")
+    rows = classes.select(F.explode("_bands").alias("_bucket"), "_class")
     shared = rows.groupBy("_bucket").agg(F.min("_class").alias("_low"), F.max("_class").alias("_high")).where("_low < _high")
-    members = materialized(rows.join(shared.select("_bucket"), "_bucket", "left_semi").distinct(), "members")
-    sizes = members.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    degrees = members.join(sizes, "_bucket").groupBy("_class").agg(F.sum("_n").alias("_degree"))
-    members = materialized(members.join(degrees, "_class"), "members")
-    nodes = materialized(members.select(F.col("_class").alias("_id")).distinct(), "nodes")
-    sets = materialized(_sets(keyed_join(source, nodes, ["_id"], "left_semi", ["_id"]).dropDuplicates(["_id"]), words), "sets")
+    placed = materialized(rows.join(shared.select("_bucket"), "_bucket", "left_semi").distinct(), "placed")
+    sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    degrees = placed.join(sizes, "_bucket").groupBy("_class").agg(F.sum("_n").alias("_degree"))
+    members = materialized(placed.join(degrees, "_class"), "members")
+    nodes = materialized(classes.join(placed.select("_class").distinct(), "_class", "left_semi").select("_home.*", "_class"), "nodes")
+    sets = materialized(_sets(source, nodes, words), "sets")
+    scratch = [placed, members, nodes, sets]
     marks_of = classes.select(F.col("_class").alias("_id"), "_signature")
 
-    links, component, tested = None, None, None
+    links, component, tested = materialized(_same_id(marks, classes), "links"), None, None
+    scratch.append(links)
     for turn in range(HUB_ROUNDS + 1):
         placed = members.withColumn("_part", F.col("_class"))
         if component is not None:
@@ -154,6 +169,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
         apart = placed.groupBy("_bucket").agg(hub, F.min("_part").alias("_low"), F.max("_part").alias("_high")).where("_low < _high")
         apart = apart.select("_bucket", F.negative("_hub._other").alias("_other"), F.col("_hub._part").alias("_there"))
         joined = materialized(placed.join(apart, "_bucket").where("_class <> _other"), "apart")
+        scratch.append(joined)
         if turn < HUB_ROUNDS:
             pairs = joined.where("_part <> _there").select(F.least("_class", "_other").alias("a"), F.greatest("_class", "_other").alias("b")).distinct()
         else:
@@ -164,15 +180,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
         pairs = materialized(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         found = materialized(_confirmed(pairs, marks_of, sets, percent), "found")
-        links = found if links is None else links.union(found)
+        scratch += [pairs, found]
+        links = links.union(found)
         if component is not None:
             discard(component)
         component = connected_components(links)
         members = joined.select("_bucket", "_class", "_degree")
 
-    placed = classes.select("_key", F.col("_class").alias("_node"))
-    placed = placed.join(component.withColumnRenamed("node", "_node"), "_node", "left")
-    placed = placed.select("_key", F.coalesce("component", "_node").alias("component_id"))
+    part = F.coalesce("component", "_class").alias("_part")
+    placed = classes.select("_key", "_class", "_low").join(component.withColumnRenamed("node", "_class"), "_class", "left").select("_key", "_low", part)
+    least = placed.groupBy("_part").agg(F.min("_low").alias("component_id"))
+    placed = materialized(placed.join(least, "_part").select("_key", "component_id"), "components")
+    for table in (*scratch, classes, component):
+        discard(table)
     joined = salted_join(marks.select("_id", "_row", "n_shingles", "_key"), placed, ["_key"], "left", ["_id"])
     component_id = F.coalesce("component_id", "_id")
     return joined.select(F.col("_id").alias(id_column), *["_row"] * rows_told, "n_shingles", component_id.alias("component_id"), F.col("_id").eqNullSafe(component_id).alias("kept"))

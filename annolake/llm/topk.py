@@ -18,6 +18,8 @@ DEPTHS = (1 / 32, 1 / 8, 1 / 3)
 def _number_type(a: np.ndarray, b: np.ndarray) -> type:
     """The fastest type in which all inner products of the rows are exact."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
+    if most >= 2**63:
+        raise ValueError("inner products of these vectors do not fit into 64 bits")
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
 
 
@@ -70,7 +72,7 @@ def top_k_products(
     is one task's unit; every unit gives at most ``k`` rows per query, which are merged by query. Both numbers of blocks
     follow from counted rows. Ties go to smaller ids, fewer than ``k`` rows are given if there are no more, vectors
     of different lengths are never compared, null vectors or ids take no part, rows that repeat a query's id and vector ask
-    once, repeated candidates each count. Empty tables give an empty result.
+    once, repeated candidates each count. Vectors whose products may not fit into 64 bits raise. Empty tables give an empty result.
     """
     column = lambda df: df.select(
         F.col(id_column).cast("long").alias("_id"), F.col(vector_column).cast("array<long>").alias("_vector")
@@ -97,9 +99,12 @@ def top_k_products(
 
 
 def scaled_floor(vectors: DataFrame, id_column: str, vector_column: str, scale: int = 256) -> DataFrame:
-    """``vec_id, vector``: ``floor(scale * x)`` of each component; vectors that are null or hold null or non-finite parts go."""
+    """``vec_id, vector``: ``floor(scale * x)`` of each component; vectors that are null or hold null or non-finite parts go.
+
+    A component beyond 64 bits raises.
+    """
     x = F.col(vector_column).cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
-    return vectors.where(x.isNotNull() & finite).select(
-        F.col(id_column).alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("vector")
-    )
+    fits = lambda v: F.abs(v) < F.lit(float(2**63))
+    whole = lambda v: F.when(fits(v), F.floor(v).cast("long")).otherwise(F.raise_error(F.lit("a component does not fit into 64 bits")).cast("long"))
+    return vectors.where(x.isNotNull() & finite).select(F.col(id_column).alias("vec_id"), F.transform(x, lambda v: whole(v * scale)).alias("vector"))

@@ -170,3 +170,19 @@ def test_top_k_edges(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 50, product), (50, 1, 0, product), (50, 2, 0, product)]
     empty = topk.scaled_floor(spark.createDataFrame([], schema), "vec_id", "embedding")
     assert topk.top_k_products(empty, empty).count() == 0
+
+
+def test_lexicon_of_many_letters():
+    """More letters than fit into a byte."""
+    terms = ["".join(chr(0x4E00 + 4 * k + j) for j in range(4)) for k in range(90)]
+    points = np.frombuffer(" ".join(terms).encode("utf-32-le"), np.uint32)
+    starts, ends, _ = lexicon.lettered_words(points)
+    assert len(set(lexicon.Lexicon(terms).match(points, starts, ends).tolist())) == len(terms)
+
+
+def test_top_k_beyond_64_bits_raises(spark):
+    big = spark.createDataFrame([(1, [30_000_000, -1]), (2, [400_000_000_000_000, 400_000_000_000_000])], "vec_id long, vector array<long>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k_products(big, big, k=1).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        topk.scaled_floor(spark.createDataFrame([(1, [1e300])], "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()

@@ -82,6 +82,15 @@ def test_near_duplicates_edges(make_docs):
     assert got == {1: (1, True), 2: (1, False), 3: (3, True), None: (1, False)}
 
 
+def test_rows_of_one_id_are_one_node(make_docs):
+    """Two texts of an id carry the links of both; near texts without an id are linked too."""
+    a, b = ([f"{t}{k}" for k in range(60)] for t in "ab")
+    near = lambda words: " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (9, near(a)), (None, near(b)), (4, "c d e f g h"), (None, "x y z x y z"), (5, "")]
+    got = sorted(((str(r.doc_id), str(r.component_id), r.kept) for r in near_duplicates(make_docs(rows)).collect()))
+    assert got == sorted([("1", "1", True), ("1", "1", True), ("2", "1", False), ("3", "1", False), ("9", "1", False), ("None", "1", False), ("4", "4", True), ("None", "None", True), ("5", "5", True)])
+
+
 def test_components_paths_stars_and_repeats(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(7, k) for k in range(200, 260)] + [(7, 201), (201, 7), (3, 3)]
     found = connected_components(spark.createDataFrame(links, "u long, v long"))
