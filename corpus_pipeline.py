@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annolake.llm import bpe, linededup, minhash, mixing, quality
-from annolake.llm.common import keyed_join, materialized, row_key
+from annolake.llm.common import materialized, row_key
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Words of a shingle, and hundredths of the union that near-duplicates and repeated lines share.
@@ -42,29 +42,36 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     plan = mixing.mix_sources(docs, WEIGHTS, SHARE, CAP).where("copies > 0")
     # Documents that share an id or have none are taken by their own source's share.
-    plan = _named(plan).select("_name", F.col("source").alias("_source"), F.col("copies").alias("_copies")).distinct()
-    own = _named(docs).withColumnRenamed("_name", "_own")
-    taken = own.join(plan, (F.col("_own") == F.col("_name")) & own["source"].eqNullSafe(F.col("_source"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return taken.select(*docs.columns)
+    plan = plan.select(_name("doc_id").alias("_name"), F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"), F.col("copies").alias("_copies")).distinct()
+    own = docs.select(_whole(docs), _name("doc_id").alias("_name"), F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"))
+    taken = own.join(plan, KEY_OF_PLAN)
+    return taken.select("_whole", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select("_whole.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document; ``exact`` says that they decode to its text."""
-    encoded = bpe.encode(docs, VOCABULARY, decoded=True)
-    sizes = F.octet_length("decoded").alias("n_bytes")
-    exact = F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)) == F.octet_length("decoded")
-    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), sizes, exact.alias("exact"))
+    encoded = bpe.encode(docs, VOCABULARY, offsets=False, decoded=True, checked=True)
+    return encoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.octet_length("decoded").alias("n_bytes"), "exact")
 
 
-def _named(docs: DataFrame) -> DataFrame:
+KEY_OF_PLAN = ["_name", "_source", "_none"]
+
+
+def _name(column: str) -> Column:
     """The id as text, so that documents without one are found again too."""
-    return docs.withColumn("_name", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    return F.coalesce(F.col(column).cast("string"), F.lit("none"))
+
+
+def _whole(docs: DataFrame) -> Column:
+    """All columns of a document in one, so that none clashes with a helper's."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_whole")
 
 
 def _semi(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id and text are among ``kept`` (id and ``_row``)."""
-    names = materialized(_named(kept).select("_name", "_row").distinct(), "kept")
-    return keyed_join(_named(docs).withColumn("_row", row_key("text")), names, ["_name", "_row"], "left_semi", ["_name"]).select(*docs.columns)
+    names = kept.select(_name("doc_id").alias("_name"), "_row").distinct()
+    own = docs.select(_whole(docs), _name("doc_id").alias("_name"), row_key("text").alias("_row"))
+    return own.join(names, ["_name", "_row"], "left_semi").select("_whole.*")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
