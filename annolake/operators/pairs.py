@@ -102,24 +102,67 @@ def _local_group_pairs(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both, members
 
 
-def local_negative_pairs(samples: DataFrame) -> DataFrame:
-    """Pairs across neighbouring segments of one video, unless both show the same text.
+LOCAL_KEYS = ["root", "video_id", "segment_id", "norm_text"]
 
-    Texts are compared once per pair of distinct texts, then unfolded to samples.
-    """
+
+def local_groups(samples: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pool of local negatives as pairs of distinct texts of neighbouring segments (``pairs``: how many sample pairs), and the members."""
     both, members = _local_group_pairs(samples)
     differ = both.filter(~tx.is_same_text(F.col("l_norm_text"), F.col("r_norm_text")))
     differ = differ.select(
         F.col("root").alias("l_root"), F.col("root").alias("r_root"),
         F.col("video_id").alias("l_video_id"), F.col("video_id").alias("r_video_id"),
         F.col("left_segment").alias("l_segment_id"), F.col("right_segment").alias("r_segment_id"),
-        "l_norm_text", "r_norm_text", "l_members", "r_members",
+        "l_norm_text", "r_norm_text", "l_members", "r_members", (F.col("l_members") * F.col("r_members")).alias("pairs"),
     )
-    keys = ["root", "video_id", "segment_id", "norm_text"]
-    flat = expand_group_pairs(differ, members, keys, [])
+    return differ, members
+
+
+def local_negative_pairs(samples: DataFrame) -> DataFrame:
+    """Pairs across neighbouring segments of one video, unless both show the same text.
+
+    Texts are compared once per pair of distinct texts, then unfolded to samples.
+    """
+    differ, members = local_groups(samples)
+    flat = expand_group_pairs(differ, members, LOCAL_KEYS, [])
     return flat.select(*_pair_columns("l_idx", "r_idx", False, "local"))
 
 
+def _reached(groups: DataFrame, value: str, count: int) -> Column:
+    """The largest ``value`` (0 to 1) that ``count`` sample pairs have at least; 0 if there are fewer."""
+    seen = groups.groupBy(value).agg(F.sum("pairs").alias("pairs"))
+    above = running_sums(seen, [F.col(value).desc()], {"_above": F.col("pairs")}, (), Few(F.floor((1.0 - F.col(value)) * 1024).cast("long")))
+    return above.agg(F.coalesce(F.max(F.when(F.col("_above") + F.col("pairs") >= count, F.col(value))), F.lit(0.0)).alias("v")).scalar()
+
+
+def hardest_local_negatives(
+    samples: DataFrame, count: int, seed: int, epoch: int, groups: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
+    """The ``count`` local negatives whose texts overlap most (i, j, same, source, overlap): those with the smaller span first, then in a seeded order.
+
+    Branch and bound over pairs of distinct texts. The Jaccard of their letters is a lower bound of the overlap and the letters in common with
+    their counts an upper one: what ``count`` pairs reach by the lower bound, a pair has to reach by the upper one to get an exact
+    overlap. Only pairs of texts that are then among the best are unfolded to samples.
+    """
+    differ, members = groups or local_groups(samples)
+    left, right = F.col("l_norm_text"), F.col("r_norm_text")
+    some = (left != "") & (right != "")
+    low = F.when(some, tx.jaccard(left, right)).otherwise(0.0)
+    high = F.when(some, F.greatest(tx.jaccard(left, right), tx.multiset_bound(left, right))).otherwise(0.0)
+    bounded = checkpointed(differ.withColumns({"_low": low, "_high": high}))
+    open_ = checkpointed(bounded.withColumn("_bar", _reached(bounded, "_low", count)).filter(F.col("_high") >= F.col("_bar")))
+    texts = open_.select("l_norm_text", "r_norm_text").distinct()
+    exact = checkpointed(open_.join(texts.withColumn("overlap", text_overlap(left, right)), ["l_norm_text", "r_norm_text"]))
+    best = exact.withColumn("_bar", _reached(exact, "overlap", count)).filter(F.col("overlap") >= F.col("_bar"))
+    flat = expand_group_pairs(best, members, LOCAL_KEYS, ["overlap"])
+    frames = members.select("sample_idx", "frame_index")
+    for side in ("l", "r"):
+        flat = flat.join(frames.toDF(f"{side}_idx", f"{side}_frame"), f"{side}_idx")
+    pairs = flat.select(*_pair_columns("l_idx", "r_idx", False, "local"), "overlap", pair_frame_span(F.col("l_frame"), F.col("r_frame")).alias("span"))
+    pairs = pairs.withColumn("tie", hash_key(seed, epoch, "i", "j"))
+    return top_local_negatives(pairs, count).drop("priority")
+
+
 def max_ocr_negatives(local_negatives: Column, positive: Column, ratio: float) -> Column:
     """Budget of text negatives."""
     if not 0.0 <= ratio <= 1.0:

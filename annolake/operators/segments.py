@@ -113,65 +113,109 @@ def min_label_components(edges: DataFrame, vertices: DataFrame, by: list[str]) -
             return labels
 
 
-def merge_exact_text(items: DataFrame) -> DataFrame:
-    """Merge a segment into the one before it wherever consecutive positive items carry the same text.
+#: What a sample without a note gets when its segment is merged by text.
+MERGED_BY_TEXT = "merged by exact OCR text"
 
-    The reference walks the items in order and rewrites the whole later segment each time, so a later merge carries
-    everything merged before it. Only the (segment, segment) events matter; they are few and are replayed in order
-    per root, then joined back to all items.
-    """
+
+def _text_events(items: DataFrame) -> DataFrame:
+    """Consecutive positive items of different segments with one text, as events: the first of each pair of segments."""
     pairs = neighbours(items).filter(
-        (F.col("norm_text") != "") & (F.col("prev_norm_text") == F.col("norm_text"))
-        & (F.col("prev_segment_id") != F.col("segment_id"))
-    )
-    events = pairs.groupBy("root", F.col("prev_segment_id").alias("into"), F.col("segment_id").alias("source")).agg(
-        F.min("sample_idx").alias("at")
+        (F.col("norm_text") != "") & (F.col("prev_norm_text") == F.col("norm_text")) & (F.col("prev_segment_id") != F.col("segment_id"))
     )
-    return relabel(items, resolve_merges(events))
+    return pairs.groupBy("root", F.col("prev_segment_id").alias("into"), F.col("segment_id").alias("source")).agg(F.min("sample_idx").alias("at"))
 
 
-def resolve_merges(events: DataFrame) -> DataFrame:
-    """Ordered merge events (root, into, source, at) to final names: ``root, segment_id, merged``.
+def merge_exact_text(items: DataFrame) -> DataFrame:
+    """Merge a segment into the one before it wherever consecutive positive items carry the same text.
 
-    Merging unions two classes and names the union after the current name of the earlier side, so the final classes
-    are connected components, and the replay of one component never touches another one.
+    Items are walked in order and a merge renames the whole later segment, so it carries everything merged before it. Only the
+    (segment, segment) events matter; ``resolve_merges`` settles their order. Items with a ``note`` column get ``MERGED_BY_TEXT``
+    where the note is blank and their segment was renamed.
     """
-    events = checkpointed(events)
-    vertices = (
-        events.select("root", F.col("into").alias("id")).unionByName(events.select("root", F.col("source").alias("id")))
-        .distinct().withColumn("rank", F.col("id"))
-    )
-    edges = events.select("root", F.col("into").alias("a"), F.col("source").alias("b"))
-    component = min_label_components(edges, vertices, ["root"])
-    tagged = events.join(component.withColumnRenamed("id", "into"), ["root", "into"])
-    # The class name is always the name of one vertex, and it changes only when that class is the source of an event
-    # joining two different classes: the surviving name is the vertex never absorbed. Replaying needs order, so it
-    # runs per component on its spanning events.
+    names = resolve_merges(_text_events(items))
+    out = relabel(items, names)
+    if "note" not in items.columns:
+        return out
+    moved = names.filter("moved").select("root", F.col("segment_id").alias("_was"), F.lit(True).alias("_moved"))
+    own = items.select("root", "sample_idx", F.col("segment_id").alias("_was")).join(moved, ["root", "_was"]).select("root", "sample_idx", "_moved")
+    noted = out.join(own, ["root", "sample_idx"], "left")
+    blank = F.col(POSITIVE) & F.coalesce("_moved", F.lit(False)) & (F.coalesce("note", F.lit("")) == "")
+    return noted.withColumn("note", F.when(blank, F.lit(MERGED_BY_TEXT)).otherwise(F.col("note"))).drop("_moved").select(*out.columns)
 
-    def replay(pdf):
-        parent: dict[str, str] = {}
 
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+def merge_counts(names: DataFrame) -> DataFrame:
+    """``root, merges``: how many merges changed something. Each takes one name away for good."""
+    return names.groupBy("root").agg((F.count("segment_id") - F.count_distinct("merged")).alias("merges"))
 
-        for into, source in pdf.sort_values("at")[["into", "source"]].itertuples(index=False):
-            keep, gone = find(into), find(source)
-            if keep != gone:
-                parent[gone] = keep
-        names = sorted(parent)
-        import pandas as pd
 
-        return pd.DataFrame({"root": pdf["root"].iloc[0], "segment_id": names, "merged": [find(n) for n in names]})
+def exact_text_merges(items: DataFrame) -> DataFrame:
+    """``merge_counts`` of ``merge_exact_text``."""
+    return merge_counts(resolve_merges(_text_events(items)))
 
-    return tagged.groupBy("root", "label").applyInPandas(replay, "root string, segment_id string, merged string")
+
+def resolve_merges(events: DataFrame) -> DataFrame:
+    """Ordered merge events (root, into, source, at) to final names: ``root, segment_id, merged, moved``.
+
+    An event gives the class of ``source`` the name of the class of ``into``; events within one class do nothing. ``moved`` says that a
+    segment was in a class that was renamed. What events do is a minimum spanning forest by time, grown in rounds: each fragment hooks
+    itself to another one by its earliest event. A fragment is one growing class, joined by others at times, and keeps its renamings (time, name);
+    its own events are all later than the joining of the segment that they touch. A fragment that hooks itself as ``into``
+    renames the class that it joins to its own name of that time; its later renamings go on in that class. Fragments halve
+    in number each round at least, and chains of hooks are followed by pointer doubling, so no component meets in one task.
+    """
+    when = F.struct("at", "into", "source")
+    edges = checkpointed(events.filter("into <> source").select("root", F.col("into").alias("a"), F.col("source").alias("b"), when.alias("t")))
+    kind = edges.schema["t"].dataType
+    ends = edges.select("root", F.col("a").alias("id")).unionByName(edges.select("root", F.col("b").alias("id"))).distinct()
+    vertices = checkpointed(ends.select("root", "id", F.col("id").alias("f"), F.lit(None).cast(kind).alias("joined"), F.lit(False).alias("moved")))
+    renamed = edges.limit(0).select("root", F.col("a").alias("f"), "t", F.col("a").alias("name"))
+    later = lambda x, y: y.isNotNull() & (x.isNull() | (x < y))
+    while not edges.isEmpty():
+        sides = edges.select("root", F.col("a").alias("f"), F.struct("t", F.col("b").alias("g"), F.lit(True).alias("into")).alias("e"))
+        sides = sides.unionByName(edges.select("root", F.col("b").alias("f"), F.struct("t", F.col("a").alias("g"), F.lit(False).alias("into")).alias("e")))
+        hooks = checkpointed(sides.groupBy("root", "f").agg(F.min("e").alias("e")).select("root", "f", "e.*"))
+        # Two fragments with the same earliest event: the one that gives the name stays.
+        other = hooks.select("root", F.col("f").alias("g"), F.col("t").alias("_t"))
+        stays = F.col("into") & (F.col("t") == F.col("_t"))
+        hooks = checkpointed(hooks.join(other, ["root", "g"]).select("root", "f", "t", "into", F.when(stays, F.col("f")).otherwise(F.col("g")).alias("up")))
+        tops = _tops(hooks.select("root", "f", "up"))
+        moves = checkpointed(hooks.filter("up <> f").select("root", "f", F.col("t").alias("_t"), "into").join(tops, ["root", "f"]))
+        # The name of a fragment at its hook, and the renamings that end there.
+        old = renamed.join(moves.select("root", "f", "_t"), ["root", "f"]).filter(F.col("t") <= F.col("_t"))
+        past = checkpointed(old.groupBy("root", "f").agg(F.max_by("name", "t").alias("_name"), F.max("t").alias("_last")))
+        moves = moves.join(past, ["root", "f"], "left")
+        hooked = moves.filter("into").select("root", F.col("top").alias("f"), F.col("_t").alias("t"), F.coalesce("_name", "f").alias("name"))
+        kept = renamed.join(moves.select("root", "f", "_t", "top"), ["root", "f"], "left").filter(F.col("_t").isNull() | (F.col("t") > F.col("_t")))
+        renamed = checkpointed(kept.select("root", F.coalesce("top", "f").alias("f"), "t", "name").unionByName(hooked))
+        # Segments that were in a renamed class, or in a class that is renamed by its hook.
+        placed = vertices.join(moves.select("root", "f", "_t", "into", "top", "_last"), ["root", "f"], "left")
+        inside = F.col("_t").isNotNull() & ~later(F.col("_t"), F.col("joined"))
+        moved = F.col("moved") | later(F.col("joined"), F.col("_last")) | (inside & ~F.col("into"))
+        vertices = checkpointed(placed.select("root", "id", F.coalesce("top", "f").alias("f"), F.when(inside, F.col("_t")).otherwise(F.col("joined")).alias("joined"), moved.alias("moved")))
+        tops = moves.select("root", "f", "top")
+        for end in ("a", "b"):
+            edges = edges.join(tops.withColumnsRenamed({"f": end, "top": "_top"}), ["root", end], "left").withColumn(end, F.coalesce("_top", end)).drop("_top")
+        edges = checkpointed(edges.filter("a <> b").groupBy("root", "a", "b").agg(F.min("t").alias("t")))
+    last = renamed.groupBy("root", "f").agg(F.max_by("name", "t").alias("_name"), F.max("t").alias("_last"))
+    named = vertices.join(last, ["root", "f"], "left")
+    moved = F.col("moved") | later(F.col("joined"), F.col("_last"))
+    return named.select("root", F.col("id").alias("segment_id"), F.coalesce("_name", "f").alias("merged"), moved.alias("moved"))
+
+
+def _tops(hooks: DataFrame) -> DataFrame:
+    """``root, f, top``: where the chain of each ``up`` ends (a fragment that is its own), by pointer doubling."""
+    now = checkpointed(hooks)
+    while True:
+        ahead = now.select("root", F.col("f").alias("up"), F.col("up").alias("_next"))
+        after = checkpointed(now.join(ahead, ["root", "up"]).select("root", "f", F.col("_next").alias("up"), (F.col("up") != F.col("_next")).alias("_more")))
+        now = after.drop("_more")
+        if after.filter("_more").isEmpty():
+            return now.withColumnRenamed("up", "top")
 
 
 def relabel(items: DataFrame, names: DataFrame) -> DataFrame:
     """Rename the segments of positive items."""
-    renamed = items.join(names, ["root", "segment_id"], "left")
+    renamed = items.join(names.select("root", "segment_id", "merged"), ["root", "segment_id"], "left")
     target = F.when(F.col(POSITIVE), F.coalesce("merged", "segment_id")).otherwise(F.col("segment_id"))
     return renamed.withColumn("segment_id", target).drop("merged")
 
@@ -208,27 +252,35 @@ def split_segments(items: DataFrame, cuts: DataFrame) -> DataFrame:
     return cut.drop("_root", "_segment", "cut_idx", "next_idx", "fresh")
 
 
+def _segment_of(asked: DataFrame, items: DataFrame, id_column: str, into: str) -> DataFrame:
+    """The segment of each asked sample; a sample that is not there or has no subtitle is an error."""
+    known = items.select("root", F.col("sample_id").alias(id_column), F.col(POSITIVE).alias("_positive"), F.col("segment_id").alias(into), F.col("sample_idx").alias(f"{into}_idx"))
+    both = asked.join(known, ["root", id_column], "left")
+    fault = F.concat(F.lit("a sample without subtitle cannot be merged: "), F.col(id_column).cast("string"))
+    checked = F.when(F.coalesce("_positive", F.lit(False)), F.col(into)).otherwise(F.raise_error(fault).cast("string"))
+    return both.withColumn(into, checked).drop("_positive")
+
+
 def merge_to_previous(items: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Merge the segments of the chosen samples (root, sample_id) into the previous subtitle run's segment."""
+    """Merge the segments of the chosen samples (root, sample_id) into the previous subtitle run's segment.
+
+    A sample that is not there or without subtitle, or a segment with none before it, is an error.
+    """
     runs = segment_runs(items).filter("not no_subtitle")
     previous = with_previous(runs, ["first_idx"], ["segment_id"], ["root"], index_block(F.col("first_idx")))
     first = previous.groupBy("root", "segment_id").agg(F.min_by("prev_segment_id", "first_idx").alias("into"))
-    picks = chosen.join(items.filter(POSITIVE), ["root", "sample_id"]).select("root", "segment_id", "sample_idx")
-    events = picks.join(first, ["root", "segment_id"]).filter("into is not null and into <> segment_id").groupBy(
-        "root", "into", F.col("segment_id").alias("source")
-    ).agg(F.min("sample_idx").alias("at"))
+    picks = _segment_of(chosen.select("root", "sample_id"), items, "sample_id", "segment_id")
+    fault = F.raise_error(F.concat(F.lit("no segment before that of "), F.col("sample_id").cast("string"))).cast("string")
+    before = picks.join(first, ["root", "segment_id"], "left").withColumn("into", F.coalesce("into", fault))
+    events = before.filter("into <> segment_id").groupBy("root", "into", F.col("segment_id").alias("source")).agg(F.min("segment_id_idx").alias("at"))
     return relabel(items, resolve_merges(events))
 
 
 def merge_pairs(items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Merge the segments of (root, position, left_id, right_id) in position order."""
-    ids = items.filter(POSITIVE).select("root", "sample_id", "segment_id")
-    left = ids.select("root", F.col("sample_id").alias("left_id"), F.col("segment_id").alias("into"))
-    right = ids.select("root", F.col("sample_id").alias("right_id"), F.col("segment_id").alias("source"))
-    events = pairs.join(left, ["root", "left_id"]).join(right, ["root", "right_id"]).groupBy("root", "into", "source").agg(
-        F.min("position").alias("at")
-    )
-    return relabel(items, resolve_merges(events))
+    """Merge the segments of (root, position, left_id, right_id) in position order; a sample that is not there or without subtitle is an error."""
+    asked = pairs.select("root", "position", "left_id", "right_id")
+    both = _segment_of(_segment_of(asked, items, "left_id", "into"), items, "right_id", "source")
+    return relabel(items, resolve_merges(both.groupBy("root", "into", "source").agg(F.min("position").alias("at"))))
 
 
 def rename_segments(items: DataFrame, names: DataFrame) -> DataFrame:

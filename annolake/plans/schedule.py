@@ -10,10 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolake.operators.ordered import dense_block, exploded_range, hash_block, index_block, running_sums, with_rank
-from annolake.operators.pairs import (
-    hash_key, local_negative_pairs, ocr_negative_pool, positives_only, prepared,
-    rank_local_negatives, top_local_negatives,
-)
+from annolake.operators.pairs import hardest_local_negatives, hash_key, local_groups, ocr_negative_pool, positives_only, prepared
 from annolake.session import checkpointed
 
 SEGMENT = ["root", "segment_id"]
@@ -258,11 +255,11 @@ def local_negatives_suffice(positive: int, local: int, ratio: float | None) -> b
 
 def pair_epoch_schedule(
     samples: DataFrame, batch_size: int, seed: int, epoch: int, negative_ratio: float = 0.5, ocr_enabled: bool = True,
-    maximum: float = 0.2, ocr_ratio: float = 0.3, shards: int = 64, negative_source=local_negative_pairs, skip_ratio: float | None = None,
+    maximum: float = 0.2, ocr_ratio: float = 0.3, shards: int = 64, skip_ratio: float | None = None,
 ) -> DataFrame:
     """Pairs of one epoch with their batch: i, j, same, source, shard, batch_id.
 
-    The pool of text negatives is counted, and only the pairs that the budget asks of it are unfolded. Text negatives have their share of the
+    Both pools of negatives are counted and never listed: of the local ones the hardest are unfolded, of the text negatives only the pairs that the budget asks of it are unfolded. Text negatives have their share of the
     budget as far as there are any; local ones fill the rest, and text negatives again what is then missing. With ``skip_ratio``
     text negatives are left out when the local ones alone meet that ratio. ``shards`` is part of the plan: the same number gives
     the same batches on any cluster.
@@ -275,8 +272,9 @@ def pair_epoch_schedule(
         select_positive_pairs(samples, seed, epoch).select("i", "j", F.lit(True).alias("same"), F.lit("local").alias("source"))
     )
     n_pos = positive.count()
-    local = checkpointed(negative_source(samples))
-    n_local = local.count()
+    differ, members = local_groups(samples)
+    differ = checkpointed(differ)
+    n_local = int(differ.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0])
     pool = None
     if ocr_enabled and ocr_ratio > 0.0 and not local_negatives_suffice(n_pos, n_local, skip_ratio):
         pool = ocr_negative_pool(samples, maximum)
@@ -286,8 +284,8 @@ def pair_epoch_schedule(
     take_ocr = min(n_ocr, budget - take_local)
     parts = positive
     if take_local:
-        ranked = rank_local_negatives(local, samples, seed, epoch)
-        parts = parts.unionByName(top_local_negatives(ranked, take_local).select("i", "j", "same", "source"))
+        hardest = hardest_local_negatives(samples, take_local, seed, epoch, (differ, members))
+        parts = parts.unionByName(hardest.select("i", "j", "same", "source"))
     if take_ocr:
         parts = parts.unionByName(pool.draw(take_ocr, seed, epoch))
     return pack_pair_batches(parts, batch_size, shards, seed, epoch)

@@ -147,7 +147,7 @@ def _(t):
 def _prob_cells(t):
     """Dense 16 x 9 cell table: target from the box cover, probability from a fixed pattern."""
     images = t.flat_boxes.select("image_id").distinct()
-    cover = mp.rasterize_boxes(_detections(t)[1].filter("box_id < 2"), "image_id", (1280, 720), (16, 9))
+    cover = mp.rasterize_boxes(_detections(t)[1], "image_id", (1280, 720), (16, 9))
     hit = cover.groupBy("image_id").agg(F.collect_set(F.col("y") * 16 + F.col("x")).alias("hit"))
     grid = images.join(hit, "image_id", "left").select("image_id", "hit", F.explode(F.sequence(F.lit(0), F.lit(143))).alias("idx"))
     prob = ((F.col("idx") * 7 + F.col("image_id") * 13) % 101 / 100).alias("prob")
@@ -158,7 +158,7 @@ def _prob_cells(t):
 _PROB = """with {boxes}, {corners}, cover as (select distinct image_id, cast(least(greatest(floor(x1 * 16 / 1280), 0), 16) as int) as l, cast(least(greatest(floor(y1 * 9 / 720), 0), 9) as int) as t,
  cast(greatest(least(greatest(floor(x1 * 16 / 1280), 0), 16) + 1, least(16, ceil(x2 * 16 / 1280))) as int) as r,
  cast(greatest(least(greatest(floor(y1 * 9 / 720), 0), 9) + 1, least(9, ceil(y2 * 9 / 720))) as int) as b
- from corners where x2 - x1 > 0.5 and y2 - y1 > 0.5 and line_index < 2), hit as (select distinct image_id, y * 16 + x as idx from
+ from corners where x2 - x1 > 0.5 and y2 - y1 > 0.5), hit as (select distinct image_id, y * 16 + x as idx from
  (select image_id, x, unnest(range(t, b)) as y from (select image_id, unnest(range(l, r)) as x, t, b from cover)) where x < 16 and y < 9),
  cells as (select i.image_id, n as idx, h.idx is not null as target, ((n * 7 + i.image_id * 13) % 101) / 100 as prob, n % 17 <> 0 as ok from
  (select distinct l_orderkey as image_id from lineitem) i cross join (select unnest(range(144)) as n) k left join hit h on h.image_id = i.image_id and h.idx = n),
@@ -250,7 +250,7 @@ def _(t):
     return samples.select("image_id", "roi_width", "roi_height", "crop.*", "has_subtitle", F.array_join("label_lines", "|").alias("labels"))
 
 
-_ROI = """with {boxes}, small as (select * replace (w / 4 as w) from boxes where cx > 0.2 and cx < 0.7 and cy > 0.3 and cy < 0.8 and status <> 'F'),
+_ROI = """with {boxes}, small as (select * replace (w / 4 as w) from boxes where status <> 'F'),
  """ + "rects as (select *, [[2:cx * width - w * width / 2]] as x, [[2:cy * height - h * height / 2]] as y, [[2:w * width]] as rw, [[2:h * height]] as rh from small)," + """ {pixels},
  p as (select pixels.* from pixels join orders on o_orderkey = image_id where o_orderstatus <> 'P' and ix2 > ix1 and iy2 > iy1),
  roi as (select max(ix2) - min(ix1) as roi_width, max(iy2) - min(iy1) as roi_height from p)"""
@@ -260,5 +260,4 @@ _ROI = """with {boxes}, small as (select * replace (w / 4 as w) from boxes where
  (select count(distinct image_id) from small join orders on o_orderkey = image_id where o_orderstatus <> 'P') as positive,
  (select count(*) from orders where o_orderstatus <> 'P') - (select count(distinct image_id) from small join orders on o_orderkey = image_id where o_orderstatus <> 'P') as empty from roi""")
 def _(t):
-    within = t.boxes.filter("cx > 0.2 and cx < 0.7 and cy > 0.3 and cy < 0.8")  # as its SQL has it
-    return prepare_roi(*_roi_inputs(t, within), keep_empty=True)["summary"]
+    return prepare_roi(*_roi_inputs(t, t.boxes), keep_empty=True)["summary"]

@@ -113,13 +113,23 @@ def _(t):
     return pr.top_local_negatives(ranked, 200)
 
 
+@query("hardest_local_negatives", "WN-14")
+def _(t):
+    return pr.hardest_local_negatives(t.frames, 200, 7, 1).select("i", "j", F.round("overlap", 9).alias("overlap"), "span")
+
+
 @query("similar_candidates", "WN-03")
 def _(t):
     return sg.similar_candidates(_with_text(t), 0.6, 3)
 
 
 def _with_text(t):
-    return t.frames.withColumn("norm_text", tx.strip_casefold(F.col("ocr_text")))
+    """Frames that show the text of the odd frame before them, across the border of segments; some with a letter more."""
+    shown = F.when(F.col("frame_index") % 2 == 0, F.col("frame_index") - 1).otherwise(F.col("frame_index"))
+    texts = t.frames.select("root", "video_id", F.col("frame_index").alias("_shown"), F.col("ocr_text").alias("_text"))
+    frames = t.frames.withColumn("_shown", shown).join(texts, ["root", "video_id", "_shown"], "left")
+    text = F.concat(F.coalesce("_text", "ocr_text"), F.when(F.col("frame_index") % 4 == 0, "x").otherwise(""))
+    return frames.withColumn("ocr_text", text).withColumn("norm_text", tx.strip_casefold(F.col("ocr_text"))).drop("_shown", "_text")
 
 
 @query("merge_exact_text", "WN-04")
@@ -127,6 +137,16 @@ def _(t):
     return sg.merge_exact_text(_with_text(t)).select("root", "sample_id", "segment_id")
 
 
+@query("merge_exact_notes", "WN-04")
+def _(t):
+    return sg.merge_exact_text(_with_text(t).withColumn("note", F.lit(""))).select("root", "sample_id", "segment_id", "note")
+
+
+@query("exact_text_merges", "WN-04")
+def _(t):
+    return sg.exact_text_merges(_with_text(t))
+
+
 @query("merge_to_previous", "WN-06")
 def _(t):
     chosen = t.frames.filter("has_subtitle and frame_index = 4").select("root", "sample_id")
@@ -171,12 +191,9 @@ def _(t):
     return _text_pairs(t).select("sample_id", tx.is_same_text(F.col("a"), F.col("b")).alias("same"))
 
 
-@query("edit_distance", "TX-06", _TEXT_PAIRS + """ select sample_id, case when levenshtein(a[1:12], b[1:12]) > 9 then 9
- else levenshtein(a[1:12], b[1:12]) end as distance from text_pairs where not regexp_matches(a[1:12] || b[1:12], '[^a-z]')""")
+@query("edit_distance", "TX-06", _TEXT_PAIRS + """ select sample_id, least(9, levenshtein(a, b)) as distance from text_pairs""")
 def _(t):
-    cut = lambda c: F.substring(c, 1, 12)
-    return _text_pairs(t).filter(~F.concat(cut("a"), cut("b")).rlike("[^a-z]")).select(
-        "sample_id", tx.capped_edit_distance(cut("a"), cut("b"), 9).cast("long").alias("distance"))
+    return _text_pairs(t).select("sample_id", tx.capped_edit_distance(F.col("a"), F.col("b"), 9).cast("long").alias("distance"))
 
 
 @query("near_duplicates", "TX-07")

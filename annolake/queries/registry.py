@@ -97,7 +97,7 @@ class Tables:
     @cached_property
     def scores(self) -> DataFrame:
         c = F.col
-        text = F.expr("substr(text, 1, cast(doc_id % 5 as int))")
+        text = F.when(c("doc_id") % 5 < 3, c("lang")).otherwise(c("source"))
         unit = lambda v: (v.cast("double") * 2 + 1) / F.lit(1994.0)
         joined = self.table("documents").join(self.table("labels"), "doc_id")
         return joined.select(
@@ -174,7 +174,7 @@ VIEWS = {
  lang as sample_type, quality = 1 as target, toxic = 1 as has_candidate,
  (cast(n_chars % 997 as double) * 2 + 1) / cast(1994 as double) as score,
  (cast((n_chars * 7) % 997 as double) * 2 + 1) / cast(1994 as double) as prev_score,
- regexp_replace(lower(substr(text, 1, d.doc_id % 5)), '[^a-z0-9]', '', 'g') as norm_text
+ regexp_replace(lower(case when d.doc_id % 5 < 3 then lang else source end), '[^a-z0-9]', '', 'g') as norm_text
  from documents d join labels l on d.doc_id = l.doc_id)""",
     "pairs": """pairs as (select a.vec_id as left_id, b.vec_id as right_id, a.embedding as left_vector,
  b.embedding as right_vector, a.label = b.label as same,

@@ -74,9 +74,9 @@ def _(t):
 
 
 @query("label_masks_round_trip", "IO-04, IO-17", """with {boxes} select 'p' || (image_id % 1000) as root, image_id::varchar as sample_id, line_index::varchar as key,
- status = 'F' as masked, round(jitter_px, 6) as first_x, jitter_px > 15 as drop_image from boxes where line_index < 3""")
+ status = 'F' as masked, round(jitter_px, 6) as first_x, jitter_px > 15 as drop_image from boxes""")
 def _(t):
-    records = t.boxes.filter("line_index < 3").select(
+    records = t.boxes.select(
         F.concat(F.lit("p"), F.col("image_id") % 1000).alias("root"), F.col("image_id").cast("string").alias("sample_id"),
         F.col("line_index").alias("record_order"), F.col("line_index").cast("string").alias("key"), (F.col("status") == "F").alias("masked"),
         (F.col("jitter_px") > 15).alias("drop_image"), F.array("jitter_px", F.lit(1.0), F.lit(2.0), F.lit(3.0)).alias("bbox"))
@@ -134,12 +134,12 @@ def _(t):
     return lb.via_to_labels(lb.labels_to_via(files, labels))
 
 
-@query("label_texts", "IO-13", """with {boxes}, l as (select image_id, string_agg('0 ' || format('{:.6f}', cx) || ' ' || format('{:.6f}', h), chr(10) order by line_index) || chr(10) as text from boxes group by image_id)
+@query("label_texts", "IO-13", """with {boxes}, l as (select image_id, string_agg('0 ' || format('{:.6f}', cx) || ' ' || format('{:.6f}', cy) || ' ' || format('{:.6f}', w) || ' ' || format('{:.6f}', h), chr(10) order by line_index) || chr(10) as text from boxes group by image_id)
  select o_orderkey as sample_id, coalesce(text, '') as text from orders left join l on image_id = o_orderkey""")
 def _(t):
     samples = t.table("orders").select(F.col("o_orderkey").alias("sample_id"))
     six = lambda c: F.format_string("%.6f", g.decimal_round(c, 6))
-    lines = t.boxes.select(F.col("image_id").alias("sample_id"), "line_index", F.concat(F.lit("0 "), six("cx"), F.lit(" "), six("h")).alias("line"))
+    lines = t.boxes.select(F.col("image_id").alias("sample_id"), "line_index", F.concat_ws(" ", F.lit("0"), six("cx"), six("cy"), six("w"), six("h")).alias("line"))
     return sinks.label_texts(samples, lines, ["sample_id"])
 
 

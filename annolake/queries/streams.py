@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from annolake.functions import text as tx
 from annolake.operators.segments import adjacency_edges
 from annolake.queries.registry import query
-from annolake.session import checkpointed, shared_folder
-from annolake.streaming.bank import bank_step
+from annolake.session import shared_folder
+from annolake.streaming.bank import PAIR_ROWS, run_bank
 from annolake.streaming.ingest import append_to, ingest_annotations
 from annolake.streaming.segments import stream_segment_changes
 
@@ -58,7 +58,11 @@ def _(t):
     rows = rows.join(vectors, "vec_id").join(edges, ["root", "video_id", "segment_id"], "left").select(
         "root", "video_id", "segment_id", tx.normalize_text(F.col("ocr_text")).alias("norm_text"), F.col("sample_idx").alias("order_idx"), "vector",
         F.coalesce("adjacent", F.array().cast("array<string>")).alias("adjacent"))
-    rows = checkpointed(rows)
-    none = rows.limit(0)
-    first = bank_step(rows.filter("order_idx % 2 = 0"), none, none, maximum=0.6)
-    return bank_step(rows.filter("order_idx % 2 = 1"), checkpointed(first["bank"]), checkpointed(first["latest"]), maximum=0.6)["pairs"]
+    folder = _folder(t)
+    # Every root in eight files, in the order of its samples: eight micro-batches.
+    part = F.pmod(F.floor(F.col("order_idx") / 1_048_576 / 4), F.lit(8))
+    rows.withColumn("part", part.cast("int")).repartition(1, "part").write.partitionBy("part").parquet(f"{folder}/in")
+    schema = t.spark.read.parquet(f"{folder}/in").drop("part").schema
+    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    run_bank(stream, folder, f"{folder}/checkpoint", maximum=0.6).awaitTermination()
+    return t.spark.read.schema(PAIR_ROWS).parquet(f"{folder}/pairs")

@@ -1,23 +1,35 @@
 """Rolling bank of earlier vectors that new rows are paired with.
 
-State is two small tables, rewritten per micro-batch in a shared folder: the latest vector of each (root, segment) and
-the last ``capacity`` vectors of each root. Rows of one batch never meet each other, so a batch is one distributed join
-against bounded state; a hot root is salted.
+State is the latest vector of each (root, segment) and the last ``capacity`` rows of each root. Rows of one batch never meet each
+other. ``rolling_pairs`` keeps it in the state store of a stream; ``bank_step`` is the same for one batch of tables, as a join
+against bounded state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from annolake.functions import text as tx
+from annolake.functions.unlike import unlike
 from annolake.operators.ordered import index_block, with_rank
-from annolake.operators.pairs import max_ocr_negatives
+from annolake.operators.pairs import UNLIMITED, max_ocr_negatives
 from annolake.operators.similarity import dot_similarity
 
 CAPACITY = 512  # fixed value
+SALTS = 8
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PAIR_ROWS = T.StructType([
+    T.StructField("root", T.StringType()), T.StructField("order_idx", T.LongType()), T.StructField("old_order_idx", T.LongType()),
+    T.StructField("same", T.BooleanType()), T.StructField("source", T.StringType()), T.StructField("similarity", T.DoubleType()),
+])
 COLUMNS = "root string, video_id string, segment_id string, norm_text string, order_idx long, vector array<double>"
 
 
@@ -61,19 +73,101 @@ def bank_step(
     }
 
 
+class RollingBank(StatefulProcessor):
+    """State of one (root, salt): the last ``capacity`` rows of the root, and the latest vector of each segment that is dealt to the salt.
+
+    Rows of one micro-batch meet the state before it, never each other. Every salt keeps the whole bank of its root, which is bounded; the rows
+    that are paired, and their segments' vectors, are dealt over the salts.
+    """
+
+    def __init__(self, maximum: float, ratio: float, capacity: int) -> None:
+        self.maximum, self.ratio, self.capacity = maximum, ratio, capacity
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        vector = T.ArrayType(T.DoubleType())
+        row = T.StructType([T.StructField("order_idx", T.LongType()), T.StructField("vector", vector)])
+        entry = T.StructType([
+            T.StructField("video_id", T.StringType()), T.StructField("segment_id", T.StringType()), T.StructField("norm_text", T.StringType()), *row.fields,
+        ])
+        self.latest = handle.getMapState("latest", T.StructType([T.StructField("segment_id", T.StringType())]), row)
+        self.bank = handle.getListState("bank", entry)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        bank = [tuple(entry) for entry in self.bank.get()] if self.bank.exists() else []
+        vectors = np.array([entry[4] for entry in bank], np.float64)
+        newest = [(entry[3], entry) for entry in bank]
+        latest: dict[str, tuple] = {}
+        for frame in rows:
+            out = []
+            for row in frame.itertuples(index=False):
+                own = (row.video_id, row.segment_id, row.norm_text, int(row.order_idx), [float(v) for v in row.vector])
+                newest.append((own[3], own))
+                if row.own:
+                    out += self._pairs(key[0], own, set(row.adjacent), bank, vectors)
+                    if row.segment_id not in latest or latest[row.segment_id][0] < own[3]:
+                        latest[row.segment_id] = (own[3], own[4])
+            # No more than the bank holds is carried from one piece of a batch to the next.
+            newest = sorted(newest, key=lambda e: e[0])[-self.capacity :]
+            yield pd.DataFrame(out, columns=[f.name for f in PAIR_ROWS.fields]).astype({"order_idx": "int64", "old_order_idx": "int64", "same": "bool", "similarity": "float64"})
+        self.bank.put([entry for _, entry in newest])
+        for segment, value in latest.items():
+            known = self.latest.getValue((segment,)) if self.latest.containsKey((segment,)) else None
+            if known is None or known[0] < value[0]:
+                self.latest.updateValue((segment,), value)
+
+    def _pairs(self, root: str, own: tuple, adjacent: set, bank: list[tuple], vectors: np.ndarray) -> list[tuple]:
+        video, segment, text, order, vector = own
+        out = []
+        if self.latest.containsKey((segment,)):
+            old = self.latest.getValue((segment,))
+            out.append((root, order, int(old[0]), True, "local", float(np.dot(vector, old[1]))))
+        if not bank:
+            return out
+        other = np.array([entry[1] != segment for entry in bank])
+        near = other & np.array([video is not None and entry[0] == video and entry[1] in adjacent for entry in bank])
+        local = [k for k in np.flatnonzero(near) if not same_text(text, bank[k][2])]
+        far = other & ~near & np.array([len(text) >= tx.MIN_COMPARED_CHARS and len(entry[2]) >= tx.MIN_COMPARED_CHARS for entry in bank])
+        far = np.flatnonzero(unlike([text], [entry[2] for entry in bank], self.maximum, far[None])[0] if far.any() else far)
+        far = sorted(far, key=lambda k: bank[k][3])[: text_negatives_wanted(len(local), self.ratio)]
+        scores = vectors @ np.array(vector, np.float64)
+        out += [(root, order, bank[k][3], False, "local", float(scores[k])) for k in local]
+        return out + [(root, order, bank[k][3], False, "ocr", float(scores[k])) for k in far]
+
+    def close(self) -> None:
+        pass
+
+
+def same_text(left: str, right: str) -> bool:
+    """``functions.text.is_same_text`` of two strings."""
+    if not left or not right or left == right:
+        return bool(left) and left == right
+    if min(len(left), len(right)) < tx.MIN_COMPARED_CHARS:
+        return False
+    return not unlike([left], [right], np.nextafter(tx.SAME_TEXT_SIMILARITY, 0), np.ones((1, 1), bool))[0, 0]
+
+
+def text_negatives_wanted(local: int, ratio: float) -> int:
+    """``max_ocr_negatives`` of one row."""
+    if ratio <= 0.0:
+        return 0
+    if ratio >= 1.0:
+        return UNLIMITED
+    return max(1, round(local * ratio / (1.0 - ratio))) if local else max(1, round(ratio))
+
+
+def rolling_pairs(stream: DataFrame, maximum: float = 0.2, ratio: float = 0.3, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+    """Pairs (``PAIR_ROWS``) of each row of a stream (``COLUMNS`` and adjacent) with the bank before its micro-batch.
+
+    State lives in the stream's state store (RocksDB has to be its provider) and survives a lost executor and a restart with it. A hot
+    root is dealt over ``salts`` keys: each sees all rows for its bank, and pairs those of its segments.
+    """
+    home = F.pmod(F.xxhash64("segment_id"), F.lit(salts)).cast("int")
+    spread = stream.withColumn("_home", home).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn("own", F.col("salt") == F.col("_home")).drop("_home")
+    return spread.groupBy("root", "salt").transformWithStateInPandas(RollingBank(maximum, ratio, capacity), PAIR_ROWS, "Append", "None")
+
+
 def run_bank(stream: DataFrame, folder: str, checkpoint: str, **settings) -> StreamingQuery:
-    """Drive ``bank_step`` over a stream; pairs go to ``folder/pairs``. A retried batch rewrites its own output."""
-    spark = stream.sparkSession
-
-    def each(batch: DataFrame, number: int) -> None:
-        empty = spark.createDataFrame([], COLUMNS)
-        before = f"{folder}/state={number - 1}"
-        bank, latest = empty, empty
-        if number > 0:
-            bank, latest = spark.read.schema(COLUMNS).parquet(f"{before}/bank"), spark.read.schema(COLUMNS).parquet(f"{before}/latest")
-        parts = bank_step(batch, bank, latest, **settings)
-        parts["pairs"].write.mode("overwrite").parquet(f"{folder}/pairs/batch={number}")
-        for name in ("bank", "latest"):
-            parts[name].write.mode("overwrite").parquet(f"{folder}/state={number}/{name}")
-
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Drive ``rolling_pairs`` over what is there; pairs go to ``folder/pairs``, each once."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    pairs = rolling_pairs(stream, **settings)
+    return pairs.writeStream.format("parquet").option("path", f"{folder}/pairs").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -152,6 +152,21 @@ def test_adjacent_priority(spark):
     assert [(r.i, r.j) for r in top] == [(0, 1)]
 
 
+def test_hardest_negatives_are_the_ranked_ones(spark):
+    """The same pairs as ranking the whole pool gives."""
+    draw = random.Random(9)
+    words = ["harbour", "window", "lantern", "ticket", "orchard", "kitchen", "marble", "velvet"]
+    rows = [
+        ("r", f"s{i}", i, True, f"g{i // 3}", "v", i, " ".join(draw.choice(words) for _ in range(draw.randint(0, 4))) + draw.choice(["", "字幕"])) for i in range(240)
+    ]
+    samples = frame(spark, rows)
+    ranked = pr.rank_local_negatives(pr.local_negative_pairs(samples), samples, 3, 1).cache()
+    for count in (1, 25, 100_000):
+        want = {(r.i, r.j, round(r.overlap, 9), r.span) for r in pr.top_local_negatives(ranked, count).collect()}
+        got = {(r.i, r.j, round(r.overlap, 9), r.span) for r in pr.hardest_local_negatives(samples, count, 3, 1).collect()}
+        assert got == want and len(got) == min(count, ranked.count())
+
+
 def test_positive_selection_takes_widest(spark):
     random.seed(2)
     rows, spans = [], {}

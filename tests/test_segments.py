@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from annolake.operators import segments as sg
@@ -50,6 +51,64 @@ def test_exact_merge_is_transitive(spark):
         assert names(sg.merge_exact_text(items(spark, rows))) == brute_merge(rows)
 
 
+def brute_replay(events):
+    """Final name of each segment, those that were ever renamed, and how many events changed something."""
+    label = {x: x for into, source, _ in events for x in (into, source)}
+    moved, changed = set(), 0
+    for into, source, _ in sorted(events, key=lambda e: e[2]):
+        keep, gone = label[into], label[source]
+        if keep != gone:
+            changed += 1
+            moved |= {x for x, v in label.items() if v == gone}
+            label = {x: keep if v == gone else v for x, v in label.items()}
+    return label, moved, changed
+
+
+def test_merge_events_in_any_order(spark):
+    """Chains forwards and backwards, stars, repeated and reversed events, times that grow or fall along a chain."""
+    draw = random.Random(6)
+    cases = {
+        "up": [(f"n{k}", f"n{k + 1}", k) for k in range(40)],
+        "down": [(f"n{k}", f"n{k + 1}", 40 - k) for k in range(40)],
+        "back": [(f"n{k + 1}", f"n{k}", k) for k in range(40)],
+        "star": [("hub" if k % 3 else f"n{k}", f"n{k}" if k % 3 else "hub", k) for k in range(30)],
+        **{f"random{j}": [(f"n{draw.randrange(14)}", f"n{draw.randrange(14)}", k) for k in draw.sample(range(99), 18)] for j in range(25)},
+    }
+    rows = [(root, into, source, at) for root, events in cases.items() for into, source, at in events]
+    names = sg.resolve_merges(spark.createDataFrame(rows, "root string, into string, source string, at long"))
+    got, changed = names.collect(), {r.root: r.merges for r in sg.merge_counts(names).collect()}
+    for root, events in cases.items():
+        events = [e for e in events if e[0] != e[1]]
+        label, moved, merges = brute_replay(events)
+        assert {r.segment_id: r.merged for r in got if r.root == root} == label, root
+        assert {r.segment_id for r in got if r.root == root and r.moved} == moved and changed[root] == merges, root
+
+
+def test_one_text_everywhere(spark):
+    """All texts of a root equal: 3,000 segments become the first one, each of its items with a note but for the first."""
+    n = 3000
+    rows = spark.range(n).selectExpr(
+        "'r' as root", "concat('s', id) as sample_id", "id as sample_idx", "true as has_subtitle", "concat('g', id) as segment_id",
+        "'x' as ocr_text", "'x' as norm_text", "case when id = 5 then 'own' else '' end as note",
+    )
+    out = sg.merge_exact_text(rows).collect()
+    assert {r.segment_id for r in out} == {"g0"} and len(out) == n
+    notes = {r.sample_idx: r.note for r in out}
+    assert notes[0] == "" and notes[5] == "own" and {v for k, v in notes.items() if k not in (0, 5)} == {sg.MERGED_BY_TEXT}
+    assert [r.merges for r in sg.exact_text_merges(rows).collect()] == [n - 1]
+
+
+def test_invalid_merges_raise(spark):
+    df = items(spark, [(1, "a", ""), (0, "", ""), (1, "b", "")])
+    ask = lambda *ids: spark.createDataFrame([("r", i) for i in ids], "root string, sample_id string")
+    for wrong, fault in (("s1", "without subtitle"), ("nobody", "without subtitle"), ("s0", "no segment before")):
+        with pytest.raises(Exception, match=fault):
+            sg.merge_to_previous(df, ask("s2", wrong)).collect()
+    pairs = spark.createDataFrame([("r", 0, "s0", "s1")], "root string, position int, left_id string, right_id string")
+    with pytest.raises(Exception, match="without subtitle"):
+        sg.merge_pairs(df, pairs).collect()
+
+
 def test_split(spark):
     df = items(spark, [(1, "a", ""), (1, "a", ""), (0, "a", ""), (1, "a", ""), (1, "b", "")])
     cut = spark.createDataFrame([("r", "s1")], "root string, sample_id string")

@@ -1,8 +1,9 @@
 import json
+import random
 
 import pyspark.sql.functions as F
 
-from annolake.streaming.bank import COLUMNS, bank_step, run_bank
+from annolake.streaming.bank import COLUMNS, bank_step, run_bank, same_text
 from annolake.streaming.ingest import annotation_stream, append_to, ingest_annotations
 
 
@@ -42,11 +43,36 @@ def test_bank_evicts(spark):
     assert sorted(r.order_idx for r in step["bank"].collect()) == list(range(2900, 3000)) and step["latest"].count() == 3000
 
 
-def test_bank_stream(spark, tmp_path):
+def test_bank_stream_equals_steps(spark, tmp_path):
+    """A real stream of several micro-batches gives what the batch form gives step by step; the bank evicts on the way."""
+    draw = random.Random(4)
+    texts = ["alpha caption", "bravo message", "zzzz qqqq", "mnop rstu", "xyz", "这个放在这里", ""]
+    batches, number = [], 0
+    for _ in range(4):
+        batch = []
+        for _ in range(25):
+            segment = draw.choice("abcdef")
+            near = [s for s in "abcdef" if abs(ord(s) - ord(segment)) == 1]
+            batch.append((draw.choice(["r", "q"]), draw.choice(["v", "w", None]), segment, draw.choice(texts), number, [draw.random(), draw.random()], near))
+            number += 1
+        batches.append(batch)
     source = tmp_path / "in"
-    for k in range(2):
-        rows(spark, [("r", "v", "a", "alpha caption", k, [1.0, 0.0], [])]).coalesce(1).write.parquet(str(source / f"part{k}"))
+    for k, batch in enumerate(batches):
+        rows(spark, batch).coalesce(1).write.parquet(str(source / f"part{k}"))
+    settings = {"maximum": 0.5, "ratio": 0.6, "capacity": 30}
     stream = spark.readStream.schema(COLUMNS + ", adjacent array<string>").option("maxFilesPerTrigger", 1).parquet(str(source) + "/*")
-    run_bank(stream, str(tmp_path / "bank"), str(tmp_path / "ckpt")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "bank" / "pairs"))
-    assert [(r.same, r.similarity) for r in got.select("same", "similarity").collect()] == [(True, 1.0)]
+    run_bank(stream, str(tmp_path / "bank"), str(tmp_path / "ckpt"), salts=3, **settings).awaitTermination()
+    tell = lambda df: sorted((r.root, r.order_idx, r.old_order_idx, r.same, r.source, round(r.similarity, 9)) for r in df.collect())
+    got = tell(spark.read.parquet(str(tmp_path / "bank" / "pairs")))
+    bank = latest = spark.createDataFrame([], COLUMNS)
+    want = []
+    for batch in batches:
+        step = bank_step(rows(spark, batch), bank, latest, **settings)
+        want += tell(step["pairs"])
+        bank, latest = (spark.createDataFrame(step[name].collect(), COLUMNS) for name in ("bank", "latest"))
+    assert got == sorted(want) and any(r[4] == "ocr" for r in got) and any(r[3] for r in got)
+
+
+def test_same_text_of_strings():
+    assert same_text("alpha", "alpha") and not same_text("", "") and not same_text("ab", "abc") and same_text("abcdefghij", "abcdefghijj")
+    assert not same_text("alpha caption", "bravo message")
