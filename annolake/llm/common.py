@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,9 +95,9 @@ def may_hold(wanted: DataFrame, keys: Sequence[str]) -> Column:
     flags[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
     shared = wanted.sparkSession.sparkContext.broadcast(flags)
 
-    @F.pandas_udf("boolean")
-    def asked(place: pd.Series) -> pd.Series:
-        at = place.to_numpy()
-        return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
+    @F.arrow_udf("boolean")
+    def asked(place: pa.Array) -> pa.Array:
+        at = place.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
 
     return asked(bucket)

@@ -6,19 +6,20 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annolake.llm.common import discard, materialized, may_hold, row_key, text_of
-from annolake.llm.setjoin import SKETCH_BITS, buckets_of, can_match, similar, sketch_of
+from annolake.llm.setjoin import buckets_of, can_match, similar, sketch_of
 from annolake.llm.words import Words, mix64, slices
 
 NEWLINE = 10
 #: A token of so many lines at most (as counted by hash bucket) is rare; so many rows of a key are compared with each other.
-RARE = 128
+RARE = 512
+#: Tokens are counted in so many hash buckets, whatever the corpus holds.
+COUNT_BITS = 22
 #: Lines over so many tokens meet over single tokens only.
 LONG = 256
 #: Shares that the keys are dealt with in, at most, and rows of a share where fewer do.
@@ -31,14 +32,14 @@ def _token_counts(docs: DataFrame) -> np.ndarray:
     """Sketch of how often each token occurs in all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << COUNT_BITS, np.int64)
         for batch in batches:
             for _, texts in slices(batch, "_text"):
-                total += np.bincount(buckets_of(Words(texts, True).hashes()), minlength=len(total))
+                np.add.at(total, buckets_of(Words(texts, True).hashes(), COUNT_BITS), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
-    return sketch_of(docs.select("_text").mapInArrow(count, "bucket long, n long"))
+    return sketch_of(docs.select("_text").mapInArrow(count, "bucket long, n long"), COUNT_BITS)
 
 
 class LineSets:
@@ -49,7 +50,7 @@ class LineSets:
         tokens = spans.hashes()
         breaks = np.flatnonzero(spans.data == NEWLINE)  # one ends each line; the text's own end is one too
         line = np.searchsorted(breaks, spans.starts)
-        order = np.lexsort((tokens, line) if counts is None else (tokens, counts[buckets_of(tokens)], line))
+        order = np.lexsort((tokens, line) if counts is None else (tokens, counts[buckets_of(tokens, COUNT_BITS)], line))
         line, tokens = line[order], tokens[order]
         new = np.ones(len(tokens), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
@@ -108,7 +109,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
     The prefix has one token more than similar sets cannot do without, so that they share two. The first ``_rare`` of it are rare.
     Lines of up to three tokens are only similar to equal sets, which share their key.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2^SKETCH_BITS numbers of four bytes, always
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2^COUNT_BITS numbers of four bytes, always
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +120,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum(take)))
                 place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], take)
                 prefix = sets.tokens[np.repeat(sets.start[rows], take) + place]
-                rare = np.concatenate(([0], np.cumsum(shared.value[buckets_of(prefix)] <= RARE)))
+                rare = np.concatenate(([0], np.cumsum(shared.value[buckets_of(prefix, COUNT_BITS)] <= RARE)))
                 yield pa.RecordBatch.from_arrays(
                     [*_home(part, sets, rows), sets.key_column(rows), pa.array(sets.size[rows].astype(np.int32)), pa.array(sets.parity(rows)),
                      pa.ListArray.from_arrays(offsets.astype(np.int32), prefix.view(np.int64)), pa.array((rare[offsets[1:]] - rare[offsets[:-1]]).astype(np.int32))],
@@ -325,14 +326,14 @@ def without_repeats(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     return joined.select(*columns, *counted)
 
 
-@F.pandas_udf(T.StringType())
-def _without(texts: pd.Series, lost: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def _without(texts: pa.Array, lost: pa.Array) -> pa.Array:
     """Texts without the lines of these numbers."""
 
-    def one(text: str | None, numbers: np.ndarray | None) -> str | None:
+    def one(text: str | None, numbers: list[int] | None) -> str | None:
         if text is None or numbers is None:
             return None
-        gone = set(numbers.tolist())
+        gone = set(numbers)
         return "\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone)
 
-    return pd.Series([one(text, numbers) for text, numbers in zip(texts, lost, strict=True)], dtype=object)
+    return pa.array([one(text.as_py(), numbers.as_py()) for text, numbers in zip(texts, lost, strict=True)], pa.string())

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 SKETCH_BITS = 20
 
 
-def buckets_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def buckets_of(tokens: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def rarity(sets: DataFrame, column: str = "_set") -> np.ndarray:
@@ -32,10 +32,10 @@ def rarity(sets: DataFrame, column: str = "_set") -> np.ndarray:
     return sketch_of(sets.select(column).mapInArrow(count, "bucket long, n long"))
 
 
-def sketch_of(counts: DataFrame) -> np.ndarray:
+def sketch_of(counts: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     """Sum rows ``bucket, n`` into one array."""
     rows = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(1 << SKETCH_BITS, np.uint32)
+    total = np.zeros(1 << bits, np.uint32)
     total[rows["bucket"].to_numpy()] = np.minimum(rows["n"].to_numpy(), 0xFFFFFFFF)
     return total
 
