@@ -69,7 +69,8 @@ def _whole(docs: DataFrame) -> Column:
 
 def _semi(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id and text are among ``kept`` (id and ``_row``)."""
-    names = kept.select(_name("doc_id").alias("_name"), "_row").distinct()
+    # Written first, so that no task scores texts and sorts them at the same time.
+    names = materialized(kept.select(_name("doc_id").alias("_name"), "_row").distinct(), "kept")
     own = docs.select(_whole(docs), _name("doc_id").alias("_name"), row_key("text").alias("_row"))
     return own.join(names, ["_name", "_row"], "left_semi").select("_whole.*")
 
