@@ -195,31 +195,41 @@ def _widest_others(members: DataFrame, cover: DataFrame, extra: int, seed: int,
 
 
 def pack_pair_batches(pairs: DataFrame, batch_size: int, shards: int, seed: int, epoch: int) -> DataFrame:
-    """Consecutive pairs share a batch while their distinct members fit. Packing runs per shard of the shuffle."""
+    """Consecutive pairs share a batch while their distinct members fit. Packing runs per shard of the shuffle.
+
+    ``i_at`` and ``j_at`` are the places of both members in their batch, in the order in which its pairs bring them in (see ``batch_members``).
+    """
     if batch_size < 2:
         raise ValueError("a batch must hold at least one pair")
     keyed = pairs.withColumn("_h", hash_key(seed, epoch, "i", "j", "source"))
     sharded = keyed.withColumn("shard", F.pmod(F.col("_h"), F.lit(shards)).cast("int"))
-    schema = sharded.drop("_h").schema.add("batch_id", "string")
+    schema = sharded.drop("_h").schema.add("batch_id", "string").add("i_at", "integer").add("j_at", "integer")
     names = [f.name for f in schema.fields]
 
     def pack(batches):
-        shard, members, number = None, set(), -1
+        shard, members, number = None, {}, -1
         for pdf in batches:
-            ids = []
-            for row in zip(pdf["shard"], pdf["i"], pdf["j"]):
-                pair = set(row[1:])
-                if row[0] != shard or len(members | pair) > batch_size:
-                    number = 0 if row[0] != shard else number + 1
-                    shard, members = row[0], set()
-                members |= pair
+            ids, places = [], []
+            for own, *pair in zip(pdf["shard"], pdf["i"], pdf["j"]):
+                if own != shard or len(members.keys() | set(pair)) > batch_size:
+                    number = 0 if own != shard else number + 1
+                    shard, members = own, {}
+                places.append([members.setdefault(x, len(members)) for x in pair])
                 ids.append(f"{shard}:{number}")
-            yield pdf.assign(batch_id=pd.Series(ids, dtype="object", index=pdf.index))[names]
+            at = np.array(places, np.int32).reshape(-1, 2)
+            yield pdf.assign(batch_id=pd.Series(ids, dtype="object", index=pdf.index), i_at=at[:, 0], j_at=at[:, 1])[names]
 
     ordered = sharded.repartition(shards, "shard").sortWithinPartitions("shard", "_h", "i", "j").drop("_h")
     return ordered.mapInPandas(pack, schema)
 
 
+def batch_members(packed: DataFrame) -> DataFrame:
+    """``batch_id, members``: the distinct samples of each batch, at the places that its pairs name."""
+    ends = packed.select("batch_id", F.explode(F.array(F.struct(F.col("i_at").alias("at"), F.col("i").alias("s")), F.struct(F.col("j_at").alias("at"), F.col("j").alias("s")))).alias("m"))
+    listed = ends.distinct().groupBy("batch_id").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    return listed.select("batch_id", F.transform("m", lambda m: m["s"]).alias("members"))
+
+
 def schedule_stats(schedule: DataFrame, samples: DataFrame) -> DataFrame:
     """Counts, repeat rates and sample coverage of a schedule."""
     n = F.count(F.lit(1))

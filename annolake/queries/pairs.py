@@ -247,6 +247,12 @@ def _(t):
     return sc.pack_pair_batches(t.pairs.select(F.col("left_id").alias("i"), F.col("right_id").alias("j"), "same", "source"), 16, 8, 7, 1)
 
 
+@query("batch_members", "GM-09")
+def _(t):
+    pairs = t.pairs.select(F.col("left_id").alias("i"), F.col("right_id").alias("j"), "same", "source")
+    return sc.batch_members(sc.pack_pair_batches(pairs, 16, 8, 7, 1)).select("batch_id", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
+
+
 @query("pair_epoch_schedule", "GM-10")
 def _(t):
     return sc.pair_epoch_schedule(t.frames, 32, 7, 1, maximum=0.6)

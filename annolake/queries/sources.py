@@ -1,9 +1,12 @@
 """File-format operators, run on text that Spark derives from the tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from annolake.functions import geometry as g
 from annolake.queries.registry import query
+from annolake.session import shared_folder
 from annolake.sources import annotations as an
 from annolake.sources import images as im
 from annolake.sources import labels as lb
@@ -149,6 +152,38 @@ def _(t):
     return sinks.score_rows(t.scores).withColumn("score", F.round("score", 6))
 
 
+def _written(t) -> str:
+    """A fresh path below the session's shared folder."""
+    return f"{shared_folder(t.spark)}/sink-{uuid.uuid4().hex}"
+
+
+@query("write_annotations", "IO-12", """with {frames} select 'images/' || sample_id || '.jpg' as image, has_subtitle, segment_id, ocr_text,
+ case when frame_index % 2 = 0 then frame_index end as frame_index from frames""")
+def _(t):
+    rows = t.frames.select(
+        F.concat(F.lit("images/"), "sample_id", F.lit(".jpg")).alias("image"), "has_subtitle", "segment_id", "ocr_text",
+        F.when(F.col("frame_index") % 2 == 0, F.col("frame_index")).alias("frame_index"))
+    path = _written(t)
+    sinks.write_annotations(rows, path)
+    return t.spark.read.schema(rows.schema).json(path)
+
+
+@query("read_scores", "IO-11", "with {scores} select root || '::' || sample_id as sample_key, round(score, 9) as score from scores")
+def _(t):
+    path = _written(t)
+    sinks.write_scores(sinks.score_rows(t.scores), path)
+    return an.read_scores(t.spark, path).select("sample_key", F.round("score", 9).alias("score"))
+
+
+@query("append_metrics", "IO-15", "select user_id % 3 as epoch, count(*) as frames, count(distinct event_type) as kinds from events group by user_id % 3")
+def _(t):
+    path = _written(t)
+    for epoch in range(3):
+        own = t.table("events").where(F.col("user_id") % 3 == epoch)
+        sinks.append_metrics(own.agg(F.lit(epoch).cast("long").alias("epoch"), F.count(F.lit(1)).alias("frames"), F.count_distinct("event_type").alias("kinds")), path)
+    return t.spark.read.schema("epoch long, frames long, kinds long").json(path)
+
+
 def _quad_json(x):
     x = x.cast("string")
     return F.concat(F.lit("[["), x, F.lit(",1],["), x, F.lit("5,2],["), x, F.lit("6,9],["), x, F.lit(",8]]"))

@@ -131,6 +131,9 @@ def test_schedule_covers_and_fits(spark):
     for r in plan:
         members.setdefault(r.batch_id, set()).update((r.i, r.j))
     assert max(map(len, members.values())) <= 4
+    listed = {r.batch_id: r.members for r in sc.batch_members(sc.pair_epoch_schedule(samples, 4, seed=1, epoch=0, ocr_enabled=False)).collect()}
+    assert {b: set(m) for b, m in listed.items()} == members and all(len(set(m)) == len(m) for m in listed.values())
+    assert all((listed[r.batch_id][r.i_at], listed[r.batch_id][r.j_at]) == (r.i, r.j) for r in plan)
     stats = sc.schedule_stats(sc.pair_epoch_schedule(samples, 4, seed=1, epoch=0, ocr_enabled=False), samples).first()
     assert (stats.positive_pairs, stats.negative_pairs, stats.covered_rois, stats.total_rois) == (12, 12, 12, 12)
 
