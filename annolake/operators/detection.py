@@ -7,8 +7,6 @@ never change a merge result and are dropped before the shuffle.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from annolake.functions.geometry import box_iou, decimal_round
-from annolake.operators.segments import min_label_components
+from annolake.operators.sweep import swept_groups
 
 # Fixed values.
 ROW_OVERLAP, ROW_GAP_HEIGHTS, ROW_GAP_PIXELS = 0.5, 1.5, 48.0
@@ -148,50 +146,11 @@ def merge_candidate_groups(
 ) -> DataFrame:
     """Connected groups of alike, neighbouring boxes (image_id, line_index, x, y, width, height; unmasked rows).
 
-    Copies of a rectangle always belong together, so edges are looked for between distinct rectangles only. Boxes meet
-    in cells of (height band, centre row, column), which hold everything the tolerances allow.
+    Copies of a rectangle always belong together and are folded first; ``swept_groups`` says what nulls give.
     """
-    shape = ["x", "y", "width", "height"]
-    unit = rects.filter("height > 0").groupBy("image_id", *shape).agg(F.min("line_index").alias("id"), F.count(F.lit(1)).alias("copies"))
-    spread = (1 + height_tolerance / 2) / (1 - height_tolerance / 2) * (1 + 1e-9)
-    band = F.floor(F.log("height") / math.log(spread))
-    reach = lambda b: F.pow(F.lit(spread), b + 2)
-    center = F.col("y") + F.col("height") / 2
-    row = lambda b: F.floor(center / (reach(b) * center_tolerance + 1e-9))
-    pitch = lambda b: reach(b) * (gap_ratio + 4)
-
-    def placed(df: DataFrame, p: str, bands: list[int], rows: list[int], margin: bool) -> DataFrame:
-        b = F.explode(F.array(*[band + d for d in bands])).alias("band")
-        out = df.select("image_id", F.col("id").alias(f"{p}_id"), *shape, b)
-        r = F.explode(F.array(*[row(F.col("band")) + d for d in rows])).alias("row")
-        out = out.select("*", r)
-        slack = reach(F.col("band")) * gap_ratio if margin else F.lit(0.0)
-        x1, x2 = F.floor((F.col("x") - slack) / pitch(F.col("band"))), F.floor((F.col("x") + F.col("width") + slack) / pitch(F.col("band")))
-        out = out.withColumn(f"{p}_c", x1).withColumn("col", F.explode(F.sequence(x1, x2)))
-        return out.select("image_id", "band", "row", "col", f"{p}_id", f"{p}_c", *[F.col(c).alias(f"{p}_{c}") for c in shape])
-
-    # The left side looks at its own band and the one below; the right side stays at home. Each pair meets in the
-    # lower band of the two, so both bands look up through the lower one.
-    left = placed(unit, "a", [0, -1], [-1, 0, 1], True)
-    right = placed(unit, "b", [0, -1], [0], False)
-    met = left.join(right, ["image_id", "band", "row", "col"]).filter("a_id <> b_id")
-    met = met.filter(F.col("col") == F.greatest("a_c", "b_c"))
-    avg = (F.col("a_height") + F.col("b_height")) / 2
-    gap = F.greatest(F.lit(0.0), F.greatest("a_x", "b_x") - F.least(F.col("a_x") + F.col("a_width"), F.col("b_x") + F.col("b_width")))
-    centers = F.abs((F.col("a_y") + F.col("a_height") / 2) - (F.col("b_y") + F.col("b_height") / 2))
-    close = (
-        (F.abs(F.col("a_height") - F.col("b_height")) / avg <= height_tolerance)
-        & (centers / avg <= center_tolerance) & (gap <= avg * gap_ratio)
-    )
-    edges = met.filter(close).select("image_id", F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
-    vertices = edges.select("image_id", F.col("a").alias("id")).unionByName(edges.select("image_id", F.col("b").alias("id"))).distinct()
-    labels = min_label_components(edges, vertices.withColumn("rank", F.col("id")), ["image_id"])
-    seats = unit.join(labels, ["image_id", "id"], "left").withColumn("group", F.coalesce("label", "id"))
-    x2, y2 = F.max(F.col("x") + F.col("width")), F.max(F.col("y") + F.col("height"))
-    groups = seats.groupBy("image_id", "group").agg(
-        F.sum("copies").alias("members"), decimal_round(F.min("x"), 2).alias("x"), decimal_round(F.min("y"), 2).alias("y"),
-        decimal_round(x2 - F.min("x"), 2).alias("width"), decimal_round(y2 - F.min("y"), 2).alias("height"),
-    ).filter("members > 1")
+    found = swept_groups(rects, gap_ratio, height_tolerance, center_tolerance)
+    size = {"x": F.col("left"), "y": F.col("top"), "width": F.col("right") - F.col("left"), "height": F.col("bottom") - F.col("top")}
+    groups = found.select("image_id", "group", "members", *[decimal_round(c, 2).alias(k) for k, c in size.items()])
     return groups.withColumn("area", decimal_round(F.col("width") * F.col("height"), 2))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from annolake.functions.geometry import make_box
 from annolake.operators import detection as dt
+from annolake.operators.sweep import Sweep
 
 
 def boxes(spark, rows):
@@ -123,3 +124,51 @@ def test_reading_order():
     assert list(dt.reading_positions(np.array([(71, 20, 95, 31), (15, 21, 44, 33)]))) == [1, 0]
     assert list(dt.reading_positions(np.array([(3, 80, 19, 91), (55, 31, 80, 41), (12, 30, 40, 42), (70, 81, 88, 90)]))) == [2, 1, 0, 3]
     assert len(dt.reading_positions(np.empty((0, 4)))) == 0
+
+
+def swept(rows, gap=0.65, tall=0.22, center=0.45):
+    """Groups by ``Sweep`` as (id, members), and the most boxes that were open at once."""
+    sweep, found, most = Sweep(gap, tall, center), [], 0
+    for row in sorted(rows, key=lambda r: r[2]):
+        found += sweep.close_before(row[2])
+        sweep.add(*row)
+        most = max(most, len(sweep.ends))
+    found += sweep.close_before(float("inf"))
+    return sorted((g.id, g.members) for g in found), most
+
+
+def test_sweep_equals_all_pairs():
+    draw = random.Random(7)
+    for _ in range(60):
+        rows = [(k, draw.choice([1, 1, 3]), draw.uniform(-300, 900), draw.uniform(0, 120), draw.uniform(0, 90), draw.choice([10, 10.7, 12.4, 12.5, 30, 0.3])) for k in range(40)]
+        label = list(range(40))
+
+        def close(a, b):
+            avg = (a[5] + b[5]) / 2
+            gap = max(0.0, max(a[2], b[2]) - min(a[2] + a[4], b[2] + b[4]))
+            return abs(a[5] - b[5]) / avg <= 0.22 and abs(a[3] + a[5] / 2 - b[3] - b[5] / 2) / avg <= 0.45 and gap <= avg * 0.65
+
+        for a in rows:
+            for b in rows:
+                if close(a, b):
+                    low, high = sorted((label[a[0]], label[b[0]]))
+                    label = [low if v == high else v for v in label]
+        want = sorted((name, sum(r[1] for r in rows if label[r[0]] == name)) for name in set(label))
+        assert swept(rows)[0] == want
+
+
+def test_sweep_holds_only_what_is_open():
+    """A chain of 20,000 boxes is one group, and few of them are open at a time."""
+    found, most = swept([(k, 1, 30.0 * k, 5.0, 28.0, 20.0) for k in range(20_000)])
+    assert found == [(0, 20_000)] and most < 5
+
+
+def test_groups_with_nulls_and_copies(spark):
+    rows = [
+        (None, 0, 0.0, 0.0, 10.0, 10.0), (None, 1, 11.0, 0.0, 10.0, 10.0), (1, 0, 0.0, 0.0, 10.0, 10.0), (1, 1, None, 0.0, 10.0, 10.0), (1, 2, None, 0.0, 10.0, 10.0),
+        (1, 3, 0.0, 0.0, 10.0, 0.0), (1, 4, 0.0, 0.0, 10.0, None), (2, 7, 5.0, 5.0, 1.0, 10.0), (2, 3, 5.0, 5.0, 1.0, 10.0), (2, 5, 500.0, 5.0, 1.0, 10.0), (3, 1, float("nan"), 0.0, 1.0, 1.0),
+    ]
+    df = spark.createDataFrame(rows, "image_id long, line_index int, x double, y double, width double, height double").withColumn("group", F.lit("x"))
+    got = {(r.image_id, r.group): (r.members, r.x, r.width) for r in dt.merge_candidate_groups(df).collect()}
+    assert got == {(None, 0): (2, 0.0, 21.0), (1, 1): (2, None, None), (2, 3): (2, 5.0, 1.0)}
+    assert dt.merge_candidate_groups(df.limit(0)).count() == 0
