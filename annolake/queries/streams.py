@@ -11,7 +11,7 @@ from annolake.queries.registry import query
 from annolake.session import shared_folder
 from annolake.streaming.bank import PAIR_ROWS, run_bank
 from annolake.streaming.ingest import append_to, ingest_annotations
-from annolake.streaming.segments import stream_segment_changes
+from annolake.streaming.segments import CHANGE, EVENTS, last_segment_events, run_segment_events, stream_segment_changes
 
 
 def _folder(t) -> str:
@@ -38,15 +38,31 @@ def _(t):
     return _drain(t, ingest_annotations(twice, start=100)).select("source_video", "frame_index", "event_type")
 
 
+def _frame_stream(t) -> DataFrame:
+    """Events as frames of a video for each user."""
+    return _event_stream(t).select(
+        F.concat(F.lit("u"), F.col("user_id") % 4).alias("root"), F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("frame_index"),
+        F.col("event_type").alias("segment_id"), (F.col("event_type") != "error").alias("has_subtitle"), F.col("ts").cast("timestamp").alias("ts"))
+
+
 @query("stream_segment_changes", "SS-02", """with m as (select max(ts) - interval 10 minutes as mark from events where event_type <> 'error'),
  e as (select 'u' || (user_id % 4) as root, user_id::varchar as video_id, event_id as frame_index, event_type as segment_id from events, m where event_type <> 'error' and
  epoch_ms(ts) <= epoch_ms(mark)), l as (select *, lag(segment_id) over (partition by root, video_id order by frame_index) as prev_segment from e)
  select root, video_id, frame_index, prev_segment, segment_id from l where prev_segment <> segment_id""")
 def _(t):
-    frames = _event_stream(t).select(
-        F.concat(F.lit("u"), F.col("user_id") % 4).alias("root"), F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("frame_index"),
-        F.col("event_type").alias("segment_id"), (F.col("event_type") != "error").alias("has_subtitle"), F.col("ts").cast("timestamp").alias("ts"))
-    return _drain(t, stream_segment_changes(frames)).drop("late")
+    return _drain(t, stream_segment_changes(_frame_stream(t))).drop("late")
+
+
+@query("segment_changes_to_the_end", "SS-02", """with e as (select 'u' || (user_id % 4) as root, user_id::varchar as video_id, event_id as frame_index, event_type as segment_id from events where event_type <> 'error'),
+ l as (select *, lag(segment_id) over (partition by root, video_id order by frame_index) as prev_segment from e)
+ select root, video_id, frame_index, prev_segment, segment_id from l where prev_segment <> segment_id""")
+def _(t):
+    # The changes that the watermark let through, and those of the frames that still waited when the stream ended.
+    folder = _folder(t)
+    run_segment_events(_frame_stream(t), folder, f"{folder}/checkpoint").awaitTermination()
+    seen = t.spark.read.schema(EVENTS).option("basePath", f"{folder}/events").parquet(f"{folder}/events")
+    both = seen.unionByName(last_segment_events(t.spark, f"{folder}/checkpoint"))
+    return both.filter(F.col("kind") == CHANGE).drop("kind", "late")
 
 
 @query("rolling_negative_bank", "SS-03")

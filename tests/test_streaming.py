@@ -1,10 +1,12 @@
 import json
 import random
+from datetime import datetime, timedelta
 
 import pyspark.sql.functions as F
 
 from annolake.streaming.bank import COLUMNS, bank_step, run_bank, same_text
 from annolake.streaming.ingest import annotation_stream, append_to, ingest_annotations
+from annolake.streaming.segments import EVENTS, last_segment_events, run_segment_events
 
 
 def test_ingest_resumes_without_copies(spark, tmp_path):
@@ -76,3 +78,60 @@ def test_bank_stream_equals_steps(spark, tmp_path):
 def test_same_text_of_strings():
     assert same_text("alpha", "alpha") and not same_text("", "") and not same_text("ab", "abc") and same_text("abcdefghij", "abcdefghijj")
     assert not same_text("alpha caption", "bravo message")
+
+
+FRAMES = "root string, video_id string, frame_index long, segment_id string, has_subtitle boolean, ts timestamp"
+
+
+def replayed(batches, delay):
+    """Changes, late frames and frames left waiting, taken batch by batch with the watermark that each batch leaves."""
+    last, held, changes, late, newest = {}, [], set(), set(), None
+    for batch in batches:
+        floor = None if newest is None else newest - delay
+        new = [r for r in batch if r[4] and r[1] is not None and r[2] is not None and r[5] is not None]
+        # The engine drops rows behind the watermark before they reach the state.
+        held += [r for r in new if floor is None or r[5] > floor]
+        newest = max([r[5] for r in new] + ([newest] if newest else []))
+        for r in sorted((r for r in held if r[5] <= newest - delay), key=lambda r: (r[2], r[3] is not None, r[3] or "", r[5])):
+            take(r, last, changes, late)
+        held = [r for r in held if r[5] > newest - delay]
+    return last, held, changes, late
+
+
+def take(row, last, changes, late):
+    frame, segment = last.get(row[:2], (None, None))
+    if frame is not None and row[2] < frame:
+        late.add((*row[:3], row[3]))
+        return
+    if segment is not None and row[3] is not None and segment != row[3]:
+        changes.add((*row[:3], segment, row[3]))
+    last[row[:2]] = (row[2], row[3])
+
+
+def test_segment_events_and_the_end(spark, tmp_path):
+    """Several micro-batches with frames that come too late, and the frames that wait when the stream ends."""
+    draw, start, batches = random.Random(11), datetime(2024, 1, 1), []
+    for k in range(4):
+        batch = []
+        for j in range(60):
+            frame = k * 60 + j
+            video = draw.choice(["v", "w", "x", None])
+            number = None if draw.random() < 0.03 else max(0, frame - draw.choice([0, 0, 0, 90]))
+            batch.append((draw.choice(["r", None]), video, number, draw.choice(["a", "b", "c", None]), draw.random() < 0.9, start + timedelta(seconds=10 * frame)))
+        batches.append(batch)
+    batches.append([("r", "y", 1, "a", True, None), ("r", "y", 2, "a", True, start + timedelta(seconds=2405)), ("r", "y", 3, "b", True, start + timedelta(seconds=2406))])
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, FRAMES).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+    stream = spark.readStream.schema(FRAMES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in") + "/*")
+    folder, checkpoint = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    run_segment_events(stream, folder, checkpoint, delay="5 minutes").awaitTermination()
+    last, held, changes, late = replayed(batches, timedelta(minutes=5))
+    tell = lambda df, kind: {tuple(r) for r in df.filter(F.col("kind") == kind).select("root", "video_id", "frame_index", *["prev_segment"] * (kind == "change"), "segment_id").collect()}
+    seen = spark.read.schema(EVENTS).parquet(f"{folder}/events")
+    assert changes and late and held
+    assert tell(seen, "change") == changes and tell(seen, "late") == late
+    end, end_late = set(), set()
+    for row in sorted(held, key=lambda r: (r[2], r[3] is not None, r[3] or "", r[5])):
+        take(row, last, end, end_late)
+    tail = last_segment_events(spark, checkpoint)
+    assert end and tell(tail, "change") == end and tell(tail, "late") == end_late
