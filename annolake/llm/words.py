@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import cache
 
@@ -17,6 +18,16 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
+#: glibc keeps what is freed in a worker that waits for its next task, unless it is told to give it back.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda kept: 0)
+
+
+def give_back() -> None:
+    """Return memory that nothing uses to the system: workers outlive their tasks, and many may wait beside those that run."""
+    pa.default_memory_pool().release_unused()
+    _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows with at most ``limit`` bytes of text (one row at least), and their texts as bytes; null is empty."""
     texts = batch.column(column)
@@ -30,6 +41,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         stop = max(start + 1, int(np.searchsorted(until, before + limit, side="right")))
         yield batch.slice(start, stop - start), [t or b"" for t in texts.slice(start, stop - start).to_pylist()]
         start = stop
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
