@@ -29,3 +29,10 @@ def test_segments_of_one_side(spark, tmp_path, quality):
     assert difference(spark, connected(home), "segment_presence_metrics", home) is None
     row = contract.queries()["segment_presence_metrics"](spark, home).first()
     assert (row.tail_gap_1pct is None) == (len(set(quality)) == 1) and row.segment_count == 3
+
+
+def test_short_lines_of_whole_texts(spark, tmp_path):
+    home = tables(spark, str(tmp_path), ["A long line\n...\nOh!\nno\r\n", "I\nwe", "", "Ab"], (1, 0, 1, 1))
+    assert difference(spark, connected(home), "short_positive", home) is None
+    found = {(r.sample_id, r.norm_text) for r in contract.queries()["short_positive"](spark, home).collect()}
+    assert found == {("1_l2", "oh"), ("1_l3", "no"), ("4_l0", "ab")}
