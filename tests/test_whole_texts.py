@@ -36,3 +36,11 @@ def test_short_lines_of_whole_texts(spark, tmp_path):
     assert difference(spark, connected(home), "short_positive", home) is None
     found = {(r.sample_id, r.norm_text) for r in contract.queries()["short_positive"](spark, home).collect()}
     assert found == {("1_l2", "oh"), ("1_l3", "no"), ("4_l0", "ab")}
+
+
+def test_drift_of_every_line(spark, tmp_path):
+    home = tables(spark, str(tmp_path), ["A long line\nOh!\nno", "I\nwe", "xx", "Ab", "", "b", "of\ndocument seven"], (1, 0, 1, 1, 1, 0, 1))
+    assert difference(spark, connected(home), "drift_metrics", home) is None
+    row = contract.queries()["drift_metrics"](spark, home).first()
+    # Eleven lines; the two of document 7 have no earlier score.
+    assert row.drift_evaluable_count == 9 and row.short_drift_upper_tail_mean_1pct > 0
