@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from annolake.functions.geometry import box_height, box_width, clamp, make_box
 
@@ -172,57 +174,106 @@ def map_stats(values: Column) -> Column:
     )
 
 
-def _grow(open_cells: np.ndarray, owner: np.ndarray, frontier: np.ndarray, width: int) -> None:
-    """First-come growth of owners through open cells, in queue order, one generation at a time."""
-    height = len(owner) // width
-    while len(frontier):
-        x, y = frontier % width, frontier // width
-        steps = np.stack([
-            np.where(x > 0, frontier - 1, -1), np.where(x + 1 < width, frontier + 1, -1),
-            np.where(y > 0, frontier - width, -1), np.where(y + 1 < height, frontier + width, -1),
+#: Maps that are decoded side by side.
+MAPS = 512
+
+
+class _Sheet:
+    """Cells of many maps in one row: the place in its map (row-major), the map and the height of it for each."""
+
+    def __init__(self, sizes: np.ndarray, width: int) -> None:
+        starts = np.cumsum(sizes) - sizes
+        self.map = np.repeat(np.arange(len(sizes)), sizes)
+        self.at = np.arange(len(self.map)) - starts[self.map]
+        self.x, self.y = self.at % width, self.at // width
+        self.heights, self.width, last = sizes // width, width, sizes[self.map] - 1
+        # Whether there is a cell left, right, above and below.
+        self.sides = np.stack([
+            self.x > 0, (self.x + 1 < width) & (self.at < last), self.y > 0, (self.y + 1 < self.heights[self.map]),
         ], axis=1)
-        source, reached = np.repeat(frontier, 4), steps.ravel()
-        usable = reached >= 0
-        usable[usable] = open_cells[reached[usable]] & (owner[reached[usable]] < 0)
-        source, reached = source[usable], reached[usable]
+        self.steps = np.array([-1, 1, -width, width])
+
+
+def _first_cells(open_cells: np.ndarray, sheet: _Sheet) -> np.ndarray:
+    """The first cell of the connected part that each open cell belongs to."""
+    here = [np.flatnonzero(open_cells & sheet.sides[:, k]) for k in (1, 3)]
+    pairs = np.concatenate([np.stack([h, h + s], axis=1) for h, s in zip(here, (1, sheet.width))])
+    pairs = pairs[open_cells[pairs[:, 1]]]
+    label = np.arange(len(open_cells))
+    while True:
+        a, b = label[pairs[:, 0]], label[pairs[:, 1]]
+        apart = a != b
+        if not apart.any():
+            return label
+        pairs, a, b = pairs[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            jumped = label[label]
+            if (jumped == label).all():
+                break
+            label = jumped
+
+
+def _grow(open_cells: np.ndarray, owner: np.ndarray, frontier: np.ndarray, sheet: _Sheet) -> None:
+    """First-come growth of owners through open cells, in queue order, one generation of all maps at a time."""
+    while len(frontier):
+        usable = sheet.sides[frontier]
+        reached = (frontier[:, None] + sheet.steps[None])[usable]
+        source = np.repeat(frontier, usable.sum(axis=1))
+        free = open_cells[reached] & (owner[reached] < 0)
+        source, reached = source[free], reached[free]
         _, first = np.unique(reached, return_index=True)
         first.sort()
         owner[reached[first]] = owner[source[first]]
         frontier = reached[first]
 
 
-def decode_map(region_prob, kernel_prob, width, region_threshold, kernel_threshold, min_size, max_width_ratio):
-    """Boxes (x1, y1, x2, y2, score) of one flat probability map pair."""
+def decode_maps(region_prob, kernel_prob, sizes, width, region_threshold, kernel_threshold, min_size, max_width_ratio):
+    """Boxes of flat probability map pairs that lie one behind the other: ``map, seed, x1, y1, x2, y2, score`` as arrays."""
+    sheet = _Sheet(np.asarray(sizes, np.int64), width)
     region = region_prob >= region_threshold
     core = (kernel_prob >= kernel_threshold) & region
-    height = len(region_prob) // width
-    owner = np.full(len(region_prob), -1, dtype="int64")
-    seeds = 0
-    for cell in np.flatnonzero(core):
-        if owner[cell] < 0:
-            owner[cell] = seeds
-            _grow(core, owner, np.array([cell]), width)
-            seeds += 1
-    _grow(region, owner, np.flatnonzero(owner >= 0), width)
-    boxes = []
-    for seed in range(seeds):
-        at = np.flatnonzero(owner == seed)
-        probs, kernels = region_prob[at], kernel_prob[at]
-        tight = at[probs >= max(probs.max() * CORE_SHARE, 0.5)]
-        used = tight if len(tight) else at
-        x, y = used % width, used // width
-        x1, y1, x2, y2 = float(x.min()), float(y.min()), float(x.max() + 1), float(y.max() + 1)
-        limit = width * max_width_ratio
-        if 0.0 < max_width_ratio < 1.0 and x2 - x1 > limit:
-            weight = kernels.sum()
-            middle = (kernels * (at % width + 0.5)).sum() / weight if weight > 0 else (x1 + x2) / 2
-            x1 = min(max(min(max(middle, 0.0), float(width)) - limit / 2, 0.0), width - limit)
-            x2 = x1 + limit
-        score = float((REGION_WEIGHT * probs + KERNEL_WEIGHT * kernels).mean())
-        if x2 - x1 >= min_size and y2 - y1 >= min_size:
-            boxes.append((x1, y1, x2, y2, score))
-    low = [b for b in boxes if (b[1] + b[3]) / 2 >= height * BOTTOM_SHARE]
-    return low if len(boxes) > 1 and low else boxes
+    owner = np.full(len(region), -1, np.int64)
+    label, inside = _first_cells(core, sheet), np.flatnonzero(core)
+    roots, owner[inside] = np.unique(label[inside], return_inverse=True)
+    _grow(region, owner, inside, sheet)
+    # Cells by seed, ascending inside each.
+    cells = np.flatnonzero(owner >= 0)
+    cells = cells[np.argsort(owner[cells], kind="stable")]
+    seed = owner[cells]
+    starts = np.searchsorted(seed, np.arange(len(roots)))
+    if not len(roots):
+        none = np.zeros(0)
+        return none.astype(np.int64), none.astype(np.int64), none, none, none, none, none
+    probs, kernels = region_prob[cells], kernel_prob[cells]
+    most = np.maximum.reduceat(probs, starts)
+    tight = probs >= np.maximum(most * CORE_SHARE, 0.5)[seed]
+    used = tight | ~np.logical_or.reduceat(tight, starts)[seed]
+    x, y, far = sheet.x[cells], sheet.y[cells], len(region) + 1
+    least = lambda v: np.minimum.reduceat(np.where(used, v, far), starts).astype(np.float64)
+    past = lambda v: np.maximum.reduceat(np.where(used, v, -1), starts).astype(np.float64) + 1.0
+    x1, y1, x2, y2 = least(x), least(y), past(x), past(y)
+    ends = np.append(starts[1:], len(cells))
+    limit = width * max_width_ratio
+    if 0.0 < max_width_ratio < 1.0:
+        for k in np.flatnonzero(x2 - x1 > limit):
+            own = slice(starts[k], ends[k])
+            weight = kernels[own].sum()
+            middle = (kernels[own] * (x[own] + 0.5)).sum() / weight if weight > 0 else (x1[k] + x2[k]) / 2
+            x1[k] = min(max(min(max(middle, 0.0), float(width)) - limit / 2, 0.0), width - limit)
+            x2[k] = x1[k] + limit
+    values = REGION_WEIGHT * probs + KERNEL_WEIGHT * kernels
+    score = np.array([np.add.reduce(values[i:j]) for i, j in zip(starts, ends)]) / (ends - starts)
+    kept = np.flatnonzero((x2 - x1 >= min_size) & (y2 - y1 >= min_size))
+    at = sheet.map[roots[kept]]
+    # Of several boxes in a map those at the bottom stay, if there are any.
+    bottom = (y1[kept] + y2[kept]) / 2 >= sheet.heights[at] * BOTTOM_SHARE
+    many, low = np.bincount(at, minlength=len(sheet.heights)) > 1, np.zeros(len(sheet.heights), bool)
+    low[at[bottom]] = True
+    stays = bottom | ~(many & low)[at]
+    kept, at = kept[stays], at[stays]
+    number = np.arange(len(at)) - np.searchsorted(at, at)
+    return at, number, x1[kept], y1[kept], x2[kept], y2[kept], score[kept]
 
 
 def maps_to_boxes(
@@ -230,14 +281,20 @@ def maps_to_boxes(
     min_size: float = 3.0, max_width_ratio: float = 1.0,
 ) -> DataFrame:
     """Decode maps (key, region and kernel logits as row-major arrays); each map is one row."""
-
-    @F.pandas_udf("array<array<double>>")
-    def decode(region: pd.Series, kernel: pd.Series) -> pd.Series:
-        prob = lambda v: 1.0 / (1.0 + np.exp(-np.asarray(v, dtype="float64")))
-        return pd.Series([
-            [list(b) for b in decode_map(prob(r), prob(k), width, region_threshold, kernel_threshold, min_size, max_width_ratio)]
-            for r, k in zip(region, kernel)
-        ])
-
-    found = maps.select(key, F.posexplode(decode("region", "kernel")).alias("seed", "b"))
-    return found.select(key, "seed", *[F.col("b")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2", "score"))])
+    sides = ["x1", "y1", "x2", "y2", "score"]
+    logits = F.transform("region", lambda v: v.cast("double")), F.transform("kernel", lambda v: v.cast("double"))
+    inputs = maps.select(key, *(maps[c] if maps.schema[c].dataType.simpleString() == "array<double>" else v.alias(c) for c, v in zip(("region", "kernel"), logits)))
+    schema = T.StructType([maps.schema[key], T.StructField("seed", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in sides)])
+
+    def decoded(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, MAPS):
+                batch = whole.slice(at, MAPS)
+                region, kernel = batch.column("region"), batch.column("kernel")
+                sizes = np.asarray(pc.fill_null(pc.list_value_length(region), 0))
+                prob = lambda v: 1.0 / (1.0 + np.exp(-v.flatten().to_numpy(zero_copy_only=False)))
+                found = decode_maps(prob(region), prob(kernel), sizes, width, region_threshold, kernel_threshold, min_size, max_width_ratio)
+                columns = [batch.column(key).take(pa.array(found[0])), pa.array(found[1].astype(np.int32)), *map(pa.array, found[2:])]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "seed", *sides])
+
+    return inputs.mapInArrow(decoded, schema)

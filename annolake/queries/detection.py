@@ -125,18 +125,26 @@ def _(t):
 
 
 def _maps(t):
-    """Logit maps of 32 x 18 cells: high inside the boxes, highest in their middle."""
-    lists = _detections(t)[1].groupBy("image_id").agg(F.collect_list(g.transform_box(F.col("box"), 0.025, 0.025)).alias("boxes"))
-    cell = lambda i: ((i % 32).cast("double") + 0.5, F.floor(i / 32).cast("double") + 0.5)
-
-    def logit(shrink):
-        def at(i):
-            x, y = cell(i)
-            inside = lambda b: (x >= b["x1"] + shrink) & (x <= b["x2"] - shrink) & (y >= b["y1"] + shrink / 2) & (y <= b["y2"] - shrink / 2)
-            return F.when(F.exists("boxes", inside), 4.0).otherwise(-4.0)
-        return F.transform(F.sequence(F.lit(0), F.lit(32 * 18 - 1)), at)
-
-    return lists.select("image_id", logit(0.0).alias("region"), logit(1.0).alias("kernel"))
+    """Logit maps of 32 x 18 cells: high inside the boxes, highest in their middle.
+
+    Rows of cells are joined as words of 32 bits; no list of boxes is searched for each cell.
+    """
+    boxes, b = _detections(t)[1].select("image_id", g.transform_box(F.col("box"), 0.025, 0.025).alias("b")), F.col("b")
+    kinds = {"region": 0.0, "kernel": 1.0}
+    ends = {}
+    for name, shrink in kinds.items():
+        # Columns whose middle is inside, and rows.
+        ends[f"{name}_first"] = F.greatest(F.ceil(b["x1"] + shrink - 0.5), F.lit(0)).cast("int")
+        ends[f"{name}_last"] = F.least(F.floor(b["x2"] - shrink - 0.5), F.lit(31)).cast("int")
+        ends[f"{name}_top"], ends[f"{name}_bottom"] = b["y1"] + shrink / 2, b["y2"] - shrink / 2
+    spans = boxes.withColumns(ends).withColumns({
+        f"{n}_word": F.expr(f"if({n}_last >= {n}_first, shiftleft(1L, {n}_last + 1) - shiftleft(1L, {n}_first), 0L)") for n in kinds})
+    inside = lambda n, row: (F.col(f"{n}_top") <= row + 0.5) & (F.col(f"{n}_bottom") >= row + 0.5)
+    joined = spans.groupBy("image_id").agg(*(
+        F.bit_or(F.when(inside(n, row), F.col(f"{n}_word"))).alias(f"{n}_{row}") for n in kinds for row in range(18)))
+    cells = F.sequence(F.lit(0), F.lit(31))
+    row_of = lambda c: F.transform(cells, lambda i: F.when(F.getbit(F.coalesce(c, F.lit(0).cast("long")), i) == 1, 4.0).otherwise(-4.0))
+    return joined.select("image_id", *(F.concat(*(row_of(F.col(f"{n}_{row}")) for row in range(18))).alias(n) for n in kinds))
 
 
 @query("maps_to_boxes", "GM-07")

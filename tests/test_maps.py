@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from annolake.functions.geometry import make_box
@@ -71,3 +72,17 @@ def test_rasterize_covers_at_least_one_cell(spark):
     assert mp.rasterize_boxes(df, "s", (32, 16), (32, 16)).count() == 48
     tiny = boxes(spark, [(5.2, 5.2, 5.3, 5.3)])
     assert [(r.x, r.y) for r in mp.rasterize_boxes(tiny, "s", (32, 16), (32, 16)).collect()] == [(5, 5)]
+
+
+def test_maps_are_decoded_side_by_side():
+    rng = np.random.default_rng(5)
+    sizes = [16 * h for h in rng.integers(1, 40, 300)]
+    region, kernel = rng.random(sum(sizes)), rng.random(sum(sizes))
+    decode = lambda r, k, n: mp.decode_maps(r, k, n, 16, 0.35, 0.9, 1.0, 1.0)
+    together = decode(region, kernel, sizes)
+    at = 0
+    for k, size in enumerate(sizes[:50]):
+        alone = decode(region[at : at + size], kernel[at : at + size], [size])
+        here = together[0] == k
+        assert all((one == many[here]).all() for one, many in zip(alone[1:], together[1:]))
+        at += size
