@@ -6,7 +6,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,15 +13,8 @@ from annolake.functions.geometry import box_height, box_width, clamp, make_box
 
 # Fixed values.
 REGION_WEIGHT, KERNEL_WEIGHT, CORE_SHARE, BOTTOM_SHARE = 0.8, 0.2, 0.95, 0.75
-
-
-def _cells(df: DataFrame, keys: list[Column], left, top, right, bottom) -> DataFrame:
-    """Explode integer cell spans [left, right) x [top, bottom)."""
-    span = lambda a, b: F.sequence(a.cast("int"), b.cast("int") - 1)
-    alive = df.filter((right > left) & (bottom > top))
-    rows = alive.select(*keys, F.explode(span(top, bottom)).alias("y"), left.alias("_l"), right.alias("_r"))
-    names = [c for c in rows.columns if c not in ("_l", "_r")]
-    return rows.select(*names, F.explode(span(F.col("_l"), F.col("_r"))).alias("x"))
+#: Cells of maps that a task paints at a time (at least one map).
+PAINTED = 1 << 20
 
 
 def rasterize_boxes(boxes: DataFrame, key: str, in_size: tuple[int, int], out_size: tuple[int, int]) -> DataFrame:
@@ -78,6 +70,21 @@ def shrink_box(b: Column, scale: float, min_width: float, min_height: float) ->
     return make_box(cx - w * 0.5, cy - h * 0.5, cx + w * 0.5, cy + h * 0.5)
 
 
+def _interior(owners: np.ndarray, radius: int) -> np.ndarray:
+    """Cells of many maps (map, y, x; 0: no owner) whose window, as far as it lies in the map, has one owner: first along x, then along y."""
+    one = owners > 0
+    for d in range(1, min(radius, owners.shape[2] - 1) + 1):
+        same = owners[:, :, d:] == owners[:, :, :-d]
+        one[:, :, d:] &= same
+        one[:, :, :-d] &= same
+    both = one.copy()
+    for d in range(1, min(radius, owners.shape[1] - 1) + 1):
+        same = owners[:, d:] == owners[:, :-d]
+        both[:, d:] &= same & one[:, :-d]
+        both[:, :-d] &= same & one[:, d:]
+    return both
+
+
 def region_kernel_targets(
     boxes: DataFrame, ignores: DataFrame, key: str, width: int, height: int, pooling: int = 9,
     kernel_scale: float = 0.1, min_width: float = 3.0, min_height: float = 3.0,
@@ -86,45 +93,66 @@ def region_kernel_targets(
 
     ``boxes``: key, instance (1-based, later wins a cell), box already clipped. The kernel is the interior that a
     square window erosion leaves to one owner, united with the shrunk boxes; cells in two shrunk boxes are cleared.
+
+    Boxes are shuffled, not cells: those of a sample arrive in the order of their instances and are painted on its map one after the other, so
+    a task holds ``PAINTED`` cells of maps, however many boxes there are.
     """
     if pooling > 1 and pooling % 2 == 0:
         raise ValueError("pooling must be odd")
+    radius, ends = pooling // 2, ["l", "t", "r", "b"]
     usable = boxes.filter((box_width(F.col("box")) > 0.5) & (box_height(F.col("box")) > 0.5))
-    own = _cells(usable, [F.col(key), F.col("instance")], *_order(_cover(F.col("box"), width, height)))
-    owners = own.groupBy(key, "x", "y").agg(F.max("instance").alias("owner"))
-    radius = pooling // 2
-    near = lambda axis, other: W.partitionBy(key, other).orderBy(axis).rangeBetween(-radius, radius)
-    seen = lambda axis, size: F.least(F.col(axis) + radius, F.lit(size - 1)) - F.greatest(F.col(axis) - radius, F.lit(0)) + 1
-
-    def solid(df: DataFrame, axis: str, other: str, size: int) -> DataFrame:
-        w = near(axis, other)
-        marked = df.select(
-            "*", F.min("owner").over(w).alias("_lo"), F.max("owner").over(w).alias("_hi"), F.count(F.lit(1)).over(w).alias("_n")
-        )
-        return marked.filter((F.col("_lo") == F.col("_hi")) & (F.col("_n") == seen(axis, size))).drop("_lo", "_hi", "_n")
-
-    interior = solid(solid(owners, "x", "y", width), "y", "x", height) if radius else owners
-    small = usable.withColumn("box", shrink_box(F.col("box"), kernel_scale, min_width, min_height))
-    shrunk = _cells(small, [F.col(key)], *_order(_cover(F.col("box"), width, height))).groupBy(key, "x", "y").agg(
-        F.count(F.lit(1)).alias("cover")
-    )
-    ignored = _cells(ignores, [F.col(key)], *_order(_cover(F.col("box"), width, height))).distinct()
-    flag = lambda df, name: df.select(key, "x", "y", F.lit(1).alias(name))
-    cells = (
-        flag(owners, "region").join(flag(interior, "inside"), [key, "x", "y"], "left")
-        .join(shrunk, [key, "x", "y"], "full").join(flag(ignored, "ignored"), [key, "x", "y"], "full")
-    )
-    cover = F.coalesce("cover", F.lit(0))
-    kernel = F.when(cover == 0, F.coalesce("inside", F.lit(0))).when(cover == 1, 1).otherwise(0)
-    return cells.select(
-        key, "x", "y", F.coalesce("region", F.lit(0)).alias("region"), kernel.alias("kernel"),
-        F.when(F.col("ignored") == 1, 0).otherwise(1).alias("training_mask"),
-    )
-
-
-def _order(cover: list[Column]) -> list[Column]:
-    left, top, right, bottom = cover
-    return [left, top, right, bottom]
+    span = lambda box, prefix: [c.cast("int").alias(prefix + n) for n, c in zip(ends, _cover(box, width, height))]
+    small = shrink_box(F.col("box"), kernel_scale, min_width, min_height)
+    own = usable.select(key, F.col("instance").alias("_i"), *span(F.col("box"), "_o"), *span(small, "_s"))
+    empty = [F.lit(None).cast("int").alias("_s" + n) for n in ends]
+    marked = ignores.select(key, F.lit(None).cast(own.schema["_i"].dataType).alias("_i"), *span(F.col("box"), "_o"), *empty)
+    rows = own.withColumn("_kind", F.lit(0)).unionByName(marked.withColumn("_kind", F.lit(1)))
+    # The owner of a row is the place of its instance among those of the sample.
+    rows = rows.repartition(F.col(key)).sortWithinPartitions(key, "_kind", "_i")
+    values = ["x", "y", "region", "kernel", "training_mask"]
+    schema = T.StructType([rows.schema[key], *(T.StructField(c, T.IntegerType()) for c in values)])
+    spans, limit = ["_o" + n for n in ends] + ["_s" + n for n in ends], max(1, PAINTED // (width * height))
+
+    def painted(batches):
+        names, open_key, instance, number = [], None, None, 0
+        owners, cover, ignored = (np.zeros((limit, height, width), np.int32) for _ in range(3))
+
+        def cells(kind):
+            n = len(names)
+            own_, cover_, ignored_ = owners[:n], cover[:n], ignored[:n]
+            inside = _interior(own_, radius)
+            at = np.nonzero((own_ > 0) | (cover_ > 0) | (ignored_ > 0))
+            kernel = np.where(cover_[at] == 0, inside[at], cover_[at] == 1)
+            columns = [at[2], at[1], own_[at] > 0, kernel, ignored_[at] == 0]
+            keys = pa.array(names, kind).take(pa.array(at[0]))
+            for grid in (own_, cover_, ignored_):
+                grid[:] = 0
+            names.clear()
+            return pa.RecordBatch.from_arrays([keys, *(pa.array(c.astype(np.int32)) for c in columns)], names=[key, *values])
+
+        for batch in batches:
+            kind = batch.column(key).type
+            places = np.stack([np.asarray(pc.fill_null(batch.column(c), 0)) for c in spans], axis=1).tolist()
+            for name, mark, place, (l, t, r, b, sl, st, sr, sb) in zip(
+                batch.column(key).to_pylist(), batch.column("_kind").to_pylist(), batch.column("_i").to_pylist(), places,
+            ):
+                if not names or name != open_key:
+                    if len(names) == limit:
+                        yield cells(kind)
+                    names.append(name)
+                    open_key, instance, number = name, None, 0
+                at = len(names) - 1
+                if mark:
+                    ignored[at, t:b, l:r] = 1
+                    continue
+                if number == 0 or place != instance:
+                    instance, number = place, number + 1
+                owners[at, t:b, l:r] = number
+                cover[at, st:sb, sl:sr] += 1
+        if names:
+            yield cells(kind)
+
+    return rows.mapInArrow(painted, schema)
 
 
 def region_localization(cells: DataFrame, key: str) -> DataFrame:

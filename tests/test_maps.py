@@ -1,3 +1,6 @@
+import math
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -86,3 +89,41 @@ def test_maps_are_decoded_side_by_side():
         here = together[0] == k
         assert all((one == many[here]).all() for one, many in zip(alone[1:], together[1:]))
         at += size
+
+
+def test_targets_shuffle_boxes_only(spark, monkeypatch):
+    # One map at a time, samples with more boxes than an Arrow batch, and a plain loop over cells.
+    rng, width, height = random.Random(4), 12, 8
+    rows, drawn = [], {}
+    for s in range(6):
+        for k in range(1, 30 if s == 3 else 5):
+            x, y = rng.uniform(0, 10), rng.uniform(0, 6)
+            rows.append((s, k, x, y, min(12.0, x + rng.uniform(0.2, 7)), min(8.0, y + rng.uniform(0.2, 6))))
+    df = spark.createDataFrame(rows, "s long, instance long, x1 double, y1 double, x2 double, y2 double").select("s", "instance", make_box("x1", "y1", "x2", "y2").alias("box"))
+    monkeypatch.setattr(mp, "PAINTED", 1)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = mp.region_kernel_targets(df, df.filter("instance = 2"), "s", width, height, pooling=3)
+        plan = got._jdf.queryExecution().toString()
+        found = {(r.s, r.x, r.y): (r.region, r.kernel, r.training_mask) for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert "Window" not in plan and "Generate" not in plan
+    owner, cover, ignored = {}, {}, set()
+    clip = lambda v, top: min(max(v, 0.0), float(top))
+    for s, k, x1, y1, x2, y2 in rows:
+        over = lambda a, b, c, d: [(s, x, y) for x in range(math.floor(clip(a, width)), math.ceil(clip(c, width))) for y in range(math.floor(clip(b, height)), math.ceil(clip(d, height)))]  # noqa: B023, E731
+        if k == 2:
+            ignored.update(over(x1, y1, x2, y2))
+        if x2 - x1 > 0.5 and y2 - y1 > 0.5:
+            owner.update(dict.fromkeys(over(x1, y1, x2, y2), k))
+            w, h = (v if v <= 3 else min(max(v * 0.1, 3.0), v) for v in (x2 - x1, y2 - y1))
+            mx, my = (x1 + x2) * 0.5, (y1 + y2) * 0.5
+            for c in over(mx - w * 0.5, my - h * 0.5, mx + w * 0.5, my + h * 0.5):
+                cover[c] = cover.get(c, 0) + 1
+    one = {(s, x, y) for (s, x, y), k in owner.items() if all(owner.get((s, i, y)) == k for i in (x - 1, x, x + 1) if 0 <= i < width)}
+    one = {(s, x, y) for s, x, y in one if all((s, x, j) in one and owner[s, x, j] == owner[s, x, y] for j in (y - 1, y, y + 1) if 0 <= j < height)}
+    for c in {*owner, *cover, *ignored}:
+        drawn[c] = (int(c in owner), int(c in one) if c not in cover else int(cover[c] == 1), int(c not in ignored))
+    assert found == drawn
