@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annolake.functions.geometry import aligned_resize_size, crop_boxes, make_box, protection_geometry
 from annolake.operators.ordered import hash_block, index_block, with_rank
+from annolake.session import checkpointed
 
 SMALL_EDGE = 8.0  # fixed value
 
@@ -73,7 +74,10 @@ def epoch_geometry_plan(
     plan = plan.withColumn("_own", own)
     keys = ["root", "sample_id", "crop_view"]
     if protect:
-        donors = plan.filter("has_subtitle").select(*keys, "_own", F.xxhash64(*keys).alias("_h"))
+        # Ranking reads the donors three times. A filter on the plan itself would be pushed down to the items, and with it, many times over,
+        # all that crops and cut boxes are computed from; on written rows it is one comparison.
+        scales = checkpointed(plan.select(*keys, "has_subtitle", "_own", F.xxhash64(*keys).alias("_h")))
+        donors = scales.filter("has_subtitle").drop("has_subtitle")
         ranked = with_rank(donors, ["_h", *keys], hash_block(F.col("_h")), (), "_at").select("_at", F.col("_own").alias("_donor"))
         total = donors.agg(F.count(F.lit(1)).alias("n")).scalar()
         draw = F.floor(_uniform(seed, epoch, 9, *keys) * F.col("_n")).cast("long")

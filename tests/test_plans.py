@@ -55,3 +55,19 @@ def test_geometry_plan(spark):
     assert {r.resize_scale for r in first if not r.has_subtitle} <= scales
     key = lambda rows: sorted((r.item_id, tuple(r.crop), r.resize_scale) for r in rows)
     assert key(plan(0)) == key(first) != key(plan(1))
+
+
+def test_scales_are_ranked_from_written_rows(spark, monkeypatch):
+    from annolake.plans import geometry_plan as gp
+
+    box = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
+    rows = [("r", str(k), kind, 0, 640, 360, [(10.0, 300.0, 200.0, 304.0 + k)] if k % 2 else [], []) for k in range(6) for kind in ("full_frame", "random_crop")]
+    df = spark.createDataFrame(rows, f"root string, sample_id string, sample_type string, crop_view int, width int, height int, boxes {box}, ignored_boxes {box}")
+    written = []
+    monkeypatch.setattr(gp, "checkpointed", lambda frame: written.append(frame) or frame.localCheckpoint())
+    plan = gp.epoch_geometry_plan(df, 0.25, 8.0, True, 1, 0)
+    # The rule that pushes filters down would copy each random number of a crop into every corner of every box.
+    (scales,) = written
+    assert scales._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") <= 4
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") <= 5
+    assert plan.count() == len(rows)
