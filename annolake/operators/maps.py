@@ -19,17 +19,42 @@ PAINTED = 1 << 20
 
 def rasterize_boxes(boxes: DataFrame, key: str, in_size: tuple[int, int], out_size: tuple[int, int]) -> DataFrame:
     """Covered cells of each sample: floor/ceil cover after scaling, at least one cell per box."""
+    return _distinct_cells(boxes.select(key, *_cell_spans(in_size, out_size)).filter("l < r and t < b"), key)
+
+
+def _cell_spans(in_size: tuple[int, int], out_size: tuple[int, int]) -> list[Column]:
+    """Integer spans (l, t, r, b) of the cells that ``box`` covers; empty for a start beyond the map."""
     (iw, ih), (ow, oh) = in_size, out_size
     b = F.col("box")
     left = clamp(F.floor(b["x1"] * ow / iw), F.lit(0), F.lit(ow))
     top = clamp(F.floor(b["y1"] * oh / ih), F.lit(0), F.lit(oh))
-    right = F.greatest(left + 1, F.least(F.lit(ow), F.ceil(b["x2"] * ow / iw)))
-    bottom = F.greatest(top + 1, F.least(F.lit(oh), F.ceil(b["y2"] * oh / ih)))
-    # Right and bottom always pass left and top, so only a start beyond the map leaves nothing.
-    spans = boxes.filter((left < ow) & (top < oh)).select(
-        key, left.alias("l"), top.alias("t"), F.least(right, F.lit(ow)).alias("r"), F.least(bottom, F.lit(oh)).alias("b")
-    )
-    return _distinct_cells(spans, key)
+    right = F.least(F.greatest(left + 1, F.least(F.lit(ow), F.ceil(b["x2"] * ow / iw))), F.lit(ow))
+    bottom = F.least(F.greatest(top + 1, F.least(F.lit(oh), F.ceil(b["y2"] * oh / ih))), F.lit(oh))
+    return [c.alias(n) for c, n in ((left, "l"), (top, "t"), (right, "r"), (bottom, "b"))]
+
+
+def covered_words(boxes: DataFrame, key: str, in_size: tuple[int, int], out_size: tuple[int, int]) -> DataFrame:
+    """The cells of ``rasterize_boxes`` as one row per key, for small maps: ``words``, row-major, of 32 cells each.
+
+    What is shuffled is a row of words for each key. Null boxes cover nothing, but their key has its row.
+    """
+    width, height = out_size
+    here = F.col("box").isNotNull()
+    spans = boxes.select(key, *(F.when(here, c).alias(n) for c, n in zip(_cell_spans(in_size, out_size), "ltrb")))
+    per_row = -(-width // _WORD)
+    for w in range(per_row):
+        ends = (F.when(F.col(n).isNotNull(), F.least(F.greatest(F.col(n) - w * _WORD, F.lit(0)), F.lit(_WORD))).cast("int").alias(f"_{n}") for n in ("l", "r"))
+        spans = spans.select("*", *ends).withColumn(f"_{w}", F.expr("shiftleft(1L, _r) - shiftleft(1L, _l)")).drop("_l", "_r")
+    word = lambda y, w: F.coalesce(F.bit_or(F.when((F.col("t") <= y) & (F.col("b") > y), F.col(f"_{w}"))), F.lit(0).cast("long"))
+    names = [(y, w, f"_{y}_{w}") for y in range(height) for w in range(per_row)]
+    joined = spans.groupBy(key).agg(*(word(y, w).alias(n) for y, w, n in names))
+    return joined.select(key, F.array(*(n for _, _, n in names)).alias("words"))
+
+
+def is_covered(words: Column, idx: Column, width: int) -> Column:
+    """Whether the cell ``idx`` (row-major) of ``covered_words`` is covered."""
+    x, y = idx % width, F.floor(idx / width)
+    return F.getbit(F.get(words, (y * -(-width // _WORD) + F.floor(x / _WORD)).cast("int")), (x % _WORD).cast("int")) == 1
 
 
 _WORD = 32
@@ -158,16 +183,21 @@ def region_kernel_targets(
 def region_localization(cells: DataFrame, key: str) -> DataFrame:
     """Per sample with a usable target: IoU, Dice, inside/outside means, contrast and pointing.
 
-    ``cells``: key, idx (row-major), target, prob, valid.
+    ``cells``: key (not null), idx (row-major), target, prob, valid. Cells that are partitioned by their key are not moved.
     """
     ok = F.col("valid") > 0.5
     target, hit = ok & (F.col("target") > 0.25), ok & (F.col("prob") >= 0.5)
-    # Highest valid probability, first index on ties.
-    peak = F.max_by(target, F.struct(F.when(ok, F.col("prob")).otherwise(-1.0), -F.col("idx")))
-    flat = cells.groupBy(key).agg(
+    # Highest valid probability, first index on ties: found first, then read. A maximum of structs would sort all cells of a task.
+    shown = F.when(ok, F.col("prob")).otherwise(-1.0)
+    top = cells.groupBy(key).agg(F.max(shown).alias("_top"))
+    code = F.col("idx") * 3 + F.when(target, 0).when(~target, 1).otherwise(2)
+    both = cells.join(top.hint("shuffle_hash"), key, "left")
+    first = F.min(F.when(shown.eqNullSafe(F.col("_top")), code)) % 3
+    peak = F.when(first == 0, 1.0).when(first == 1, 0.0)
+    flat = both.groupBy(key).agg(
         F.count_if(target & hit).alias("inter"), F.count_if(target | hit).alias("union"), F.count_if(hit).alias("n_hit"),
         F.count_if(target).alias("n_target"), F.avg(F.when(target, F.col("prob"))).alias("inside"),
-        F.coalesce(F.avg(F.when(ok & ~target, F.col("prob"))), F.lit(0.0)).alias("outside"), peak.cast("double").alias("pointing"),
+        F.coalesce(F.avg(F.when(ok & ~target, F.col("prob"))), F.lit(0.0)).alias("outside"), peak.alias("pointing"),
     ).filter("n_target > 0")
     return flat.select(
         key, F.when(F.col("union") > 0, F.col("inter") / F.col("union")).otherwise(0.0).alias("iou"),

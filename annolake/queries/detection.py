@@ -154,12 +154,12 @@ def _(t):
 
 def _prob_cells(t):
     """Dense 16 x 9 cell table: target from the box cover, probability from a fixed pattern."""
-    images = t.flat_boxes.select("image_id").distinct()
-    cover = mp.rasterize_boxes(_detections(t)[1], "image_id", (1280, 720), (16, 9))
-    hit = cover.groupBy("image_id").agg(F.collect_set(F.col("y") * 16 + F.col("x")).alias("hit"))
-    grid = images.join(hit, "image_id", "left").select("image_id", "hit", F.explode(F.sequence(F.lit(0), F.lit(143))).alias("idx"))
+    box = g.yolo_to_box(*BOX)
+    boxes = t.flat_boxes.select("image_id", F.when(usable_box(box), box).alias("box"))
+    cover = mp.covered_words(boxes, "image_id", (1280, 720), (16, 9))
+    grid = cover.select("image_id", "words", F.explode(F.sequence(F.lit(0), F.lit(143))).alias("idx"))
     prob = ((F.col("idx") * 7 + F.col("image_id") * 13) % 101 / 100).alias("prob")
-    target = F.coalesce(F.array_contains("hit", F.col("idx")), F.lit(False)).cast("double").alias("target")
+    target = F.coalesce(mp.is_covered(F.col("words"), F.col("idx"), 16), F.lit(False)).cast("double").alias("target")
     return grid.select("image_id", "idx", target, prob, F.when(F.col("idx") % 17 == 0, 0.0).otherwise(1.0).alias("valid"))
 
 

@@ -127,3 +127,22 @@ def test_targets_shuffle_boxes_only(spark, monkeypatch):
     for c in {*owner, *cover, *ignored}:
         drawn[c] = (int(c in owner), int(c in one) if c not in cover else int(cover[c] == 1), int(c not in ignored))
     assert found == drawn
+
+
+def test_localization_sorts_no_cells(spark):
+    rows = [(1, 0, 0.0, 0.9, 1.0), (1, 1, 1.0, 0.9, 1.0), (1, 2, 1.0, 0.95, 0.0), (2, 5, 1.0, 0.4, 1.0), (2, 6, 0.0, 0.4, 1.0), (3, 0, 0.0, 0.9, 1.0)]
+    out = mp.region_localization(spark.createDataFrame(rows, "s long, idx int, target double, prob double, valid double"), "s")
+    # Of equal probabilities the first cell decides, and no invalid one; sample 3 has no target.
+    assert {r.s: r.pointing for r in out.collect()} == {1: 0.0, 2: 1.0}
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_covered_words_are_rasterized_cells(spark):
+    rng = random.Random(9)
+    corners = lambda: (x := rng.uniform(-5, 100), y := rng.uniform(-5, 50), x + rng.uniform(0, 60), y + rng.uniform(0, 30))
+    df = boxes(spark, [corners() for _ in range(12)] + [(120, 0, 130, 4)]).withColumn("s", F.col("instance") % 4)
+    cells = {(r.s, r.y * 70 + r.x) for r in mp.rasterize_boxes(df, "s", (100, 50), (70, 9)).collect()}
+    none = spark.range(9, 10).select(F.col("id").alias("s"), F.lit(None).cast(df.schema["box"].dataType).alias("box"))
+    words = mp.covered_words(df.select("s", "box").unionByName(none), "s", (100, 50), (70, 9))
+    every = words.select("s", "words", F.explode(F.sequence(F.lit(0), F.lit(70 * 9 - 1))).alias("i"))
+    assert {(r.s, r.i) for r in every.filter(mp.is_covered(F.col("words"), F.col("i"), 70)).collect()} == cells and words.count() == 5
