@@ -54,8 +54,8 @@ def shuffled_ranks(ranks: np.ndarray, total: int, seeds: np.ndarray) -> np.ndarr
     return out.astype(np.int64)
 
 
-def drawn_ranks(spark: SparkSession, total: int, count: int, seed: int, epoch: int) -> DataFrame:
-    """``pass, rank``: ``count`` ranks below ``total`` in a seeded order. Each pass has every rank at most once; there are as few as possible."""
+def _places(total: int, seed: int, epoch: int):
+    """The rank at each place of a seeded order of ``range(total)``; places from ``total`` on are further passes, each in an order of its own."""
 
     @F.pandas_udf(T.LongType())
     def place(number: pd.Series) -> pd.Series:
@@ -64,7 +64,17 @@ def drawn_ranks(spark: SparkSession, total: int, count: int, seed: int, epoch: i
         seeds = mixed(base + (n // total).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
         return pd.Series(shuffled_ranks(n % total, total, seeds))
 
-    return spark.range(count).select(F.expr(f"id div {total}L").alias("pass"), place("id").alias("rank"))
+    return place
+
+
+def drawn_ranks(spark: SparkSession, total: int, count: int, seed: int, epoch: int) -> DataFrame:
+    """``pass, rank``: ``count`` ranks below ``total`` in a seeded order. Each pass has every rank at most once; there are as few as possible."""
+    return spark.range(count).select(F.expr(f"id div {total}L").alias("pass"), _places(total, seed, epoch)("id").alias("rank"))
+
+
+def ranks_between(spark: SparkSession, total: int, first: int, last: int, seed: int, epoch: int) -> DataFrame:
+    """``place, rank``: the ranks at the places ``[first, last)`` of that order."""
+    return spark.range(first, last).select(F.col("id").alias("place"), _places(total, seed, epoch)("id").alias("rank"))
 
 
 @dataclass

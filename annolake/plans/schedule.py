@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annolake.operators.ordered import dense_block, exploded_range, hash_block, index_block, running_sums, with_rank
-from annolake.operators.pairs import hardest_local_negatives, hash_key, local_groups, ocr_negative_pool, positives_only, prepared
+from annolake.operators.pairs import hardest_local_negatives, hash_key, local_groups, ocr_negative_pool, ocr_negatives_drawn, positives_only, prepared
 from annolake.session import checkpointed
 
 SEGMENT = ["root", "segment_id"]
@@ -269,7 +269,7 @@ def pair_epoch_schedule(
 ) -> DataFrame:
     """Pairs of one epoch with their batch: i, j, same, source, shard, batch_id.
 
-    Both pools of negatives are counted and never listed: of the local ones the hardest are unfolded, of the text negatives only the pairs that the budget asks of it are unfolded. Text negatives have their share of the
+    Neither pool of negatives is listed: of the local ones, which are counted, the hardest are unfolded, of the text negatives only the pairs that the budget asks for are drawn. Text negatives have their share of the
     budget as far as there are any; local ones fill the rest, and text negatives again what is then missing. With ``skip_ratio``
     text negatives are left out when the local ones alone meet that ratio. ``shards`` is part of the plan: the same number gives
     the same batches on any cluster.
@@ -285,10 +285,16 @@ def pair_epoch_schedule(
     differ, members = local_groups(samples)
     differ = checkpointed(differ)
     n_local = int(differ.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0])
-    pool = None
+    pool, drawn, n_ocr = None, None, 0
     if ocr_enabled and ocr_ratio > 0.0 and not local_negatives_suffice(n_pos, n_local, skip_ratio):
-        pool = ocr_negative_pool(samples, maximum)
-    n_ocr = pool.total if pool else 0
+        # Whether there are more text negatives than their share, or than local ones leave, changes nothing: these are drawn, the pool is not counted.
+        most = negative_pairs_wanted(n_pos, negative_ratio, 1)
+        most = max(round(most * ocr_ratio), most - n_local)
+        if negative_ratio < 1.0:
+            drawn = ocr_negatives_drawn(samples, most, maximum, seed, epoch)
+        if drawn is None:
+            pool = ocr_negative_pool(samples, maximum)
+        n_ocr = pool.total if pool else drawn[1]
     budget = negative_pairs_wanted(n_pos, negative_ratio, n_local + n_ocr)
     take_local = min(n_local, budget - min(n_ocr, round(budget * ocr_ratio)))
     take_ocr = min(n_ocr, budget - take_local)
@@ -297,5 +303,6 @@ def pair_epoch_schedule(
         hardest = hardest_local_negatives(samples, take_local, seed, epoch, (differ, members))
         parts = parts.unionByName(hardest.select("i", "j", "same", "source"))
     if take_ocr:
-        parts = parts.unionByName(pool.draw(take_ocr, seed, epoch))
+        text = pool.draw(take_ocr, seed, epoch) if pool else drawn[0].select("i", "j", F.lit(False).alias("same"), F.lit("ocr").alias("source"))
+        parts = parts.unionByName(text)
     return pack_pair_batches(parts, batch_size, shards, seed, epoch)

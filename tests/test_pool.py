@@ -9,6 +9,7 @@ import numpy as np
 from annolake.functions import unlike as un
 from annolake.operators import pairs as pr
 from annolake.operators import pool as pl
+from annolake.plans import schedule as sc
 
 from test_pairs import brute_selection, frame, random_samples
 from test_text import brute_similarity
@@ -92,3 +93,36 @@ def test_large_root_unfolds_what_is_drawn(spark):
     for r in drawn:
         (s, a), (u, b) = names[r.i], names[r.j]
         assert abs(int(s[1:]) - int(u[1:])) > 1 and brute_similarity(a.replace(" ", ""), b.replace(" ", "")) <= 0.5
+
+
+def test_draws_without_counting_the_pool(spark, monkeypatch):
+    """Text negatives come from a seeded order of all pairs, whole and each once; the pool is not counted for them."""
+    rows = random_samples(90, 4)
+    samples, (_, local, far) = frame(spark, rows).repartition(5), brute_selection(rows, 0.4)
+    monkeypatch.setattr(pr, "text_negatives", None)
+    found, have = pr.ocr_negatives_drawn(samples, len(far) + 1, 0.4, 3, 1, first_window=64)
+    assert have == len(far) and sorted((r.i, r.j) for r in found.collect()) == sorted(far)
+    some, have = pr.ocr_negatives_drawn(samples, 30, 0.4, 3, 1, first_window=64)
+    some = {(r.i, r.j) for r in some.collect()}
+    assert have == len(some) == 30 and some <= set(far)
+    # A smaller draw is the beginning of a larger one, whatever its windows.
+    few, _ = pr.ocr_negatives_drawn(samples, 10, 0.4, 3, 1, first_window=7)
+    assert {(r.i, r.j) for r in few.collect()} < some
+    plan = sc.pair_epoch_schedule(samples, 16, seed=3, epoch=1, maximum=0.4).collect()
+    negatives = {s: [(r.i, r.j) for r in plan if not r.same and r.source == s] for s in ("local", "ocr")}
+    assert negatives["ocr"] and set(negatives["ocr"]) <= set(far) and set(negatives["local"]) <= set(local)
+    budget = sum(r.same for r in plan)
+    share = min(len(far), round(budget * 0.3))
+    taken = min(len(local), budget - share)
+    assert {s: len(set(p)) for s, p in negatives.items()} == {"local": taken, "ocr": min(len(far), budget - taken)}
+
+
+def test_rare_text_negatives_are_counted(spark, monkeypatch):
+    rows = random_samples(60, 4)
+    _, _, far = brute_selection(rows, 0.1)
+    samples = frame(spark, rows)
+    monkeypatch.setattr(pr, "COMPARED_ALL", 0)
+    monkeypatch.setattr(pr, "COMPARED_EACH", 0)
+    assert pr.ocr_negatives_drawn(samples, len(far), 0.1, 3, 1) is None
+    got = [(r.i, r.j) for r in pr.ocr_negative_sample(samples, len(far), 0.1, 3, 1).collect()]
+    assert sorted(got) == sorted(far)
