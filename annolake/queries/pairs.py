@@ -109,7 +109,7 @@ def _(t):
 
 @query("rank_local_negatives", "WN-14")
 def _(t):
-    ranked = pr.rank_local_negatives(pr.local_negative_pairs(t.frames), t.frames, 7, 1)
+    ranked = pr.rank_local_negatives(pr.local_negative_pairs(t.frames), t.frames, 7, 1, 200)
     return pr.top_local_negatives(ranked, 200)
 
 
