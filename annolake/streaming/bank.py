@@ -73,6 +73,34 @@ def bank_step(
     }
 
 
+class Seen:
+    """The bank before a batch, laid out for its rows: what each row asks of all entries is read from arrays."""
+
+    def __init__(self, bank: list[tuple]) -> None:
+        self.bank = bank
+        self.vectors = np.array([entry[4] for entry in bank], np.float64)
+        column = lambda k: np.array([*(entry[k] for entry in bank), None], dtype=object)[:-1]
+        self.videos, self.segments = column(0), column(1)
+        self.long = np.array([len(entry[2]) >= tx.MIN_COMPARED_CHARS for entry in bank], bool)
+        self.in_order = np.argsort(np.array([entry[3] for entry in bank], np.int64), kind="stable")
+
+
+def _entry(row) -> tuple[tuple, set]:
+    """A row as it stands in the bank, and its neighbour segments."""
+    return (row.video_id, row.segment_id, row.norm_text, int(row.order_idx), [float(v) for v in row.vector]), set(row.adjacent)
+
+
+def first_unlike(text: str, others: list[str], maximum: float, wanted: int, names) -> list:
+    """The first ``wanted`` of ``names`` whose texts are unlike ``text``. Texts are compared a few at a time, and no more than that takes."""
+    found, at, step = [], 0, 8
+    while at < len(others) and len(found) < wanted:
+        part = others[at : at + step]
+        hit = unlike([text], part, maximum, np.ones((1, len(part)), bool))[0]
+        found += [names[at + k] for k in np.flatnonzero(hit)]
+        at, step = at + step, 2 * step
+    return found[:wanted]
+
+
 class RollingBank(StatefulProcessor):
     """State of one (root, salt): the last ``capacity`` rows of the root, and the latest vector of each segment that is dealt to the salt.
 
@@ -94,20 +122,19 @@ class RollingBank(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         bank = [tuple(entry) for entry in self.bank.get()] if self.bank.exists() else []
-        vectors = np.array([entry[4] for entry in bank], np.float64)
+        seen = Seen(bank)
         newest = [(entry[3], entry) for entry in bank]
         latest: dict[str, tuple] = {}
         for frame in rows:
-            out = []
-            for row in frame.itertuples(index=False):
-                own = (row.video_id, row.segment_id, row.norm_text, int(row.order_idx), [float(v) for v in row.vector])
-                newest.append((own[3], own))
-                if row.own:
-                    out += self._pairs(key[0], own, set(row.adjacent), bank, vectors)
-                    if row.segment_id not in latest or latest[row.segment_id][0] < own[3]:
-                        latest[row.segment_id] = (own[3], own[4])
-            # No more than the bank holds is carried from one piece of a batch to the next.
+            # No more than the bank holds is read from one piece of a batch, or carried to the next.
+            last = np.argsort(frame["order_idx"].to_numpy(), kind="stable")[-self.capacity :]
+            newest += [(own[3], own) for own, _ in map(_entry, frame.iloc[last].itertuples(index=False))]
             newest = sorted(newest, key=lambda e: e[0])[-self.capacity :]
+            out = []
+            for own, adjacent in map(_entry, frame[frame["own"].to_numpy(bool)].itertuples(index=False)):
+                out += self._pairs(key[0], own, adjacent, seen)
+                if own[1] not in latest or latest[own[1]][0] < own[3]:
+                    latest[own[1]] = (own[3], own[4])
             yield pd.DataFrame(out, columns=[f.name for f in PAIR_ROWS.fields]).astype({"order_idx": "int64", "old_order_idx": "int64", "same": "bool", "similarity": "float64"})
         self.bank.put([entry for _, entry in newest])
         for segment, value in latest.items():
@@ -115,21 +142,22 @@ class RollingBank(StatefulProcessor):
             if known is None or known[0] < value[0]:
                 self.latest.updateValue((segment,), value)
 
-    def _pairs(self, root: str, own: tuple, adjacent: set, bank: list[tuple], vectors: np.ndarray) -> list[tuple]:
+    def _pairs(self, root: str, own: tuple, adjacent: set, seen: Seen) -> list[tuple]:
         video, segment, text, order, vector = own
         out = []
         if self.latest.containsKey((segment,)):
             old = self.latest.getValue((segment,))
             out.append((root, order, int(old[0]), True, "local", float(np.dot(vector, old[1]))))
+        bank = seen.bank
         if not bank:
             return out
-        other = np.array([entry[1] != segment for entry in bank])
-        near = other & np.array([video is not None and entry[0] == video and entry[1] in adjacent for entry in bank])
+        other = seen.segments != segment
+        near = other & (seen.videos == video) if video is not None else np.zeros(len(bank), bool)
+        near[near] = [s in adjacent for s in seen.segments[near]]
         local = [k for k in np.flatnonzero(near) if not same_text(text, bank[k][2])]
-        far = other & ~near & np.array([len(text) >= tx.MIN_COMPARED_CHARS and len(entry[2]) >= tx.MIN_COMPARED_CHARS for entry in bank])
-        far = np.flatnonzero(unlike([text], [entry[2] for entry in bank], self.maximum, far[None])[0] if far.any() else far)
-        far = sorted(far, key=lambda k: bank[k][3])[: text_negatives_wanted(len(local), self.ratio)]
-        scores = vectors @ np.array(vector, np.float64)
+        far = seen.in_order[(other & ~near & seen.long)[seen.in_order]] if len(text) >= tx.MIN_COMPARED_CHARS else ()
+        far = first_unlike(text, [bank[k][2] for k in far], self.maximum, text_negatives_wanted(len(local), self.ratio), far)
+        scores = seen.vectors @ np.array(vector, np.float64)
         out += [(root, order, bank[k][3], False, "local", float(scores[k])) for k in local]
         return out + [(root, order, bank[k][3], False, "ocr", float(scores[k])) for k in far]
 

@@ -5,11 +5,13 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from annolake.functions import unlike as un
 from annolake.operators import pairs as pr
 from annolake.operators import pool as pl
 from annolake.plans import schedule as sc
+from annolake.streaming import bank
 
 from test_pairs import brute_selection, frame, random_samples
 from test_text import brute_similarity
@@ -126,3 +128,40 @@ def test_rare_text_negatives_are_counted(spark, monkeypatch):
     assert pr.ocr_negatives_drawn(samples, len(far), 0.1, 3, 1) is None
     got = [(r.i, r.j) for r in pr.ocr_negative_sample(samples, len(far), 0.1, 3, 1).collect()]
     assert sorted(got) == sorted(far)
+
+
+def test_first_unlike_stops_when_it_has_enough(monkeypatch):
+    """A row of the bank compares its text with as many earlier ones as it takes, in their order."""
+    draw = random.Random(5)
+    texts = ["".join(draw.choice(draw.choice(["abc", "defgh"])) for _ in range(12)) for _ in range(400)]
+    far = [k for k, t in enumerate(texts) if brute_similarity("abcabdabcabe", t) <= 0.4]
+    compared = []
+    monkeypatch.setattr(bank, "unlike", lambda left, right, *rest: compared.extend(right) or un.unlike(left, right, *rest))
+    for wanted in (1, 3, 20, len(far), 1 << 60):
+        assert bank.first_unlike("abcabdabcabe", texts, 0.4, wanted, range(400)) == far[:wanted]
+    compared.clear()
+    bank.first_unlike("abcabdabcabe", texts, 0.4, 1, range(400))
+    assert len(far) > 20 and len(compared) < 200
+
+
+def test_ranked_local_negatives_by_bounds(spark):
+    """With a count the same rows are on top, and others are left out before their overlap is worked out."""
+    samples = frame(spark, random_samples(110, 6))
+    pairs = pr.local_negative_pairs(samples)
+    whole = pr.rank_local_negatives(pairs, samples, 7, 1)
+    some = pr.rank_local_negatives(pairs, samples, 7, 1, 3)
+    tell = lambda ranked: sorted(map(str, pr.top_local_negatives(ranked, 3).collect()))
+    assert tell(some) == tell(whole) and some.count() < whole.count()
+
+
+def test_windows_follow_the_hits(spark, monkeypatch):
+    """The first text negatives, exactly, without unfolding many times the ranks that hold them."""
+    rows = random_samples(110, 6)
+    _, _, far = brute_selection(rows, 0.4)
+    asked = []
+    real = pr.exploded_range
+    monkeypatch.setattr(pr, "exploded_range", lambda df, n, *rest: asked.append(df.agg(F.sum(n)).first()[0]) or real(df, n, *rest))
+    got = pr.ocr_negatives_in_order(frame(spark, rows), 30, 0.4, first_window=8)
+    assert sorted((r.i, r.j) for r in got.collect()) == sorted(far)[:30]
+    ranks = [(a[2], b[2]) for a, b in itertools.combinations([r for r in rows if r[3]], 2)]
+    assert sum(asked) < len(ranks)
