@@ -2,6 +2,7 @@
 
 import base64
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -105,6 +106,28 @@ def test_token_file(spark, make_docs, tmp_path, monkeypatch):
         start += len(want)
 
 
+def test_pieces_are_learned_in_one_text(monkeypatch):
+    """Distinct pieces go to the library together, and those that are used stay when the cache is full."""
+    monkeypatch.setattr(tokenfile, "CACHE_PIECES", 60)
+    library, pieces, calls = Tokenizer.from_file(LIBRARY), tokenfile.Pieces(LIBRARY, False), []
+    own = pieces._ids
+    monkeypatch.setattr(pieces, "_ids", lambda text: calls.append(text) or own(text))
+    texts = [*odd_texts(60), "'ll 's' \n\n\t x \u00a0\u2003y\u0085 z'", *(f"many other words{k} come" for k in range(100)), *odd_texts(60)]
+    for text in texts:
+        assert np.frombuffer(pieces.encode([text.encode()])[0], np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+    calls.clear()
+    pieces.encode([" ".join(f"fresh{k:c}" for k in range(97, 122)).encode()])
+    assert len(calls) == 1
+
+
+def test_blocks_share_their_cases():
+    """A step of all lanes costs much less than one by one: 8192 lanes at a time."""
+    ids = np.random.default_rng(4).zipf(1.3, 1 << 20) % 50257
+    block = coder.compress(ids, 50257)
+    assert struct.unpack("<I", block[12:16])[0] == 8192
+    assert (coder.expand(block) == ids).all()
+
+
 def test_token_file_edges(spark, make_docs, tmp_path):
     tokenfile.write_tokens(make_docs([]), f"file://{tmp_path}/none", LIBRARY, 2)
     assert tokenfile.read_tokens(spark, f"file://{tmp_path}/none").count() == 0
