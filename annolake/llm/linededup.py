@@ -16,7 +16,7 @@ from annolake.llm.setjoin import buckets_of, can_match, similar, sketch_of
 from annolake.llm.words import Words, mix64, slices
 
 NEWLINE = 10
-#: A token of so many lines at most (as counted by hash bucket) is rare; so many rows of a key are compared with each other.
+#: A token of so many lines at most (as counted by hash bucket) is rare.
 RARE = 512
 #: Tokens are counted in so many hash buckets, whatever the corpus holds.
 COUNT_BITS = 22
@@ -206,6 +206,14 @@ def _near(x: str, y: str, percent: int) -> Column:
     return (F.col(f"{x}._line") > F.col(f"{y}._line")) & can_match(size(x), at(x), size(y), at(y), percent) & close
 
 
+def _with_first(rows: DataFrame, percent: int) -> DataFrame:
+    """``_line, _other``: each row with the earliest one of its key, if it may be similar to that."""
+    own = [F.min_by(c, "_line").alias(c) for c in ("_mark", "_parity")]
+    first = rows.groupBy("_token").agg(F.count("*").alias("_n"), F.min("_line").alias("_line"), *own).where("_n > 1")
+    joined = rows.alias("x").join(first.alias("y"), (F.col("x._token") == F.col("y._token")) & _near("x", "y", percent))
+    return joined.select(F.col("x._line").alias("_line"), F.col("y._line").alias("_other")).distinct()
+
+
 def _within(rows: DataFrame, others: DataFrame, percent: int) -> DataFrame:
     """``_line, _other``: each row with the earlier ones of its key that it may be similar to."""
     joined = rows.alias("x").join(others.alias("y"), (F.col("x._token") == F.col("y._token")) & _near("x", "y", percent))
@@ -252,9 +260,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80, id_column: str = "doc_id"
     A line's set holds its distinct lower-cased words. A line goes if an earlier line (by id, then line number; whether that one stays or not)
     has a set whose intersection with its own is at least ``percent`` hundredths of their union. Equal sets are one class whose
     first line stands for all, so a very common line is counted and not compared. Classes meet over the rarest tokens of
-    their prefixes, or two of them where none is rare, filtered by length, position and parity. Keys with up to ``RARE`` classes are compared
-    within. The classes of others are first compared with the earliest one only; classes that find no match there are then compared with
-    all earlier ones that pass the filters. Matches are verified on full sets.
+    their prefixes, or two of them where none is rare, filtered by length, position and parity. A class is first compared with the
+    earliest one of each of its keys only, so that many alike cost no more each than few; classes that find no match there are then
+    compared with all earlier ones that pass the filters. Matches are verified on full sets.
 
     Ids are integers. Blank lines, and so null and empty texts, have no rows. Rows that repeat an id and text share their fate; null
     ids come first and are one id. Texts that share an id are told apart: equal line numbers are ordered by the hash of the text.
@@ -270,32 +278,26 @@ def _decided(docs: DataFrame, percent: int, id_column: str, text_column: str) ->
         F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("_doc"), row_key(text_column).alias("_row"), text_of(text_column).alias("_text")
     )
     classes = _classes(source, _token_counts(source), percent)
-    pairs, large = [], []
-    shares = _shares(classes)
+    pairs, shares = [], _shares(classes)
     for part in range(shares):
         rows = materialized(_keys(classes, part, shares), "keys")
-        counts = rows.groupBy("_token").agg(F.count("*").alias("_n")).where("_n > 1")
-        met = materialized(rows.join(counts, "_token"), "met")
+        pairs.append(materialized(_with_first(rows, percent), "pairs"))
         discard(rows)
-        few = met.where(F.col("_n") <= RARE)
-        pairs.append(materialized(_within(few, few, percent), "pairs"))
-        large.append(materialized(met.where(F.col("_n") > RARE).drop("_n"), "large"))
-        discard(met)
-    many = reduce(DataFrame.union, large)
-
-    # The earliest class of each large key against the others.
-    hub = F.min(F.struct("_line", "_mark", "_parity")).alias("_hub")
-    hubs = many.groupBy("_token").agg(hub).select("_token", "_hub.*")
-    tested = materialized(reduce(DataFrame.union, [*pairs, _within(many, hubs, percent)]).distinct(), "tested")
+    tested = materialized(reduce(DataFrame.union, pairs).distinct(), "tested")
     for table in pairs:
         discard(table)
     gone = _confirmed(tested, classes, source, percent)
 
     # What found no match there against all earlier classes.
-    left = many.join(gone, "_line", "left_anti")
-    more = materialized(_within(left, many, percent).join(tested, ["_line", "_other"], "left_anti"), "pairs")
+    pairs = []
+    for part in range(shares):
+        rows = materialized(_keys(classes, part, shares), "keys")
+        found = _within(rows.join(gone, "_line", "left_anti"), rows, percent)
+        pairs.append(materialized(found.join(tested, ["_line", "_other"], "left_anti"), "pairs"))
+        discard(rows)
+    more = materialized(reduce(DataFrame.union, pairs).distinct(), "more")
     more_gone = _confirmed(more, classes, source, percent)
-    for table in (tested, more, *large):
+    for table in (tested, more, *pairs):
         discard(table)
     lost = materialized(classes.select("_line", *LATER).join(gone.union(more_gone).distinct(), "_line", "left_semi").select(*LATER), "lost")
     for table in (classes, gone, more_gone):

@@ -194,3 +194,19 @@ def test_lines_beside_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "aa bb cc dd\nnew one", "p", 1, [2]), (2, "aa bb cc dd", "q", 3, [4])], "doc_id long, text string, _doc string, _row int, _lost array<int>")
     got = sorted(tuple(r) for r in without_repeats(docs).collect())
     assert got == [(1, "aa bb cc dd\nnew one", "p", 1, [2], 2, 0), (2, "", "q", 3, [4], 1, 1)]
+
+
+def test_many_alike_make_few_candidates(make_docs):
+    """Twice the near copies of a line make twice the candidates: each is compared with the first one, and all match there."""
+    from annolake.llm import linededup
+
+    def candidates(n):
+        words = [f"w{k}" for k in range(20)]
+        rows = [(k, " ".join([*words[:19], f"x{k}"])) for k in range(n)] + [(1000, "other words stand here")]
+        docs = make_docs(rows).selectExpr("doc_id as _doc", "xxhash64(text) as _row", "text as _text")
+        classes = linededup._classes(docs, linededup._token_counts(docs), 80)
+        return linededup._with_first(linededup._keys(classes, 0, 1), 80).count(), {(r.doc_id, r.line): r.kept for r in repeated_lines(make_docs(rows)).collect()}
+
+    (few, _), (many, got) = candidates(40), candidates(80)
+    assert 39 <= few and 79 <= many <= 2.2 * few
+    assert [k for k, kept in sorted(got.items()) if kept] == [(0, 0), (1000, 0)]
