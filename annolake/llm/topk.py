@@ -107,4 +107,6 @@ def scaled_floor(vectors: DataFrame, id_column: str, vector_column: str, scale:
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
     fits = lambda v: F.abs(v) < F.lit(float(2**63))
     whole = lambda v: F.when(fits(v), F.floor(v).cast("long")).otherwise(F.raise_error(F.lit("a component does not fit into 64 bits")).cast("long"))
-    return vectors.where(x.isNotNull() & finite).select(F.col(id_column).alias("vec_id"), F.transform(x, lambda v: whole(v * scale)).alias("vector"))
+    # Guarded where it is computed too: later filters on the result may be evaluated before this one.
+    floors = F.when(x.isNotNull() & finite, F.transform(x, lambda v: whole(v * scale)))
+    return vectors.where(x.isNotNull() & finite).select(F.col(id_column).alias("vec_id"), floors.alias("vector"))
