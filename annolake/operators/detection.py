@@ -21,6 +21,8 @@ ROW_OVERLAP, ROW_GAP_HEIGHTS, ROW_GAP_PIXELS = 0.5, 1.5, 48.0
 STACK_OVERLAP, STACK_GAP_HEIGHTS = 0.45, 0.75
 LINE_OVERLAP, LINE_CENTER, LINE_CENTER_PIXELS = 0.45, 0.35, 4.0
 MERGE_GAP, MERGE_HEIGHT, MERGE_CENTER = 0.65, 0.22, 0.45
+#: Targets up to which an image's boxes are compared without a grid.
+FEW_TARGETS = 64
 
 
 def _overlap(a0, a1, b0, b1):
@@ -122,23 +124,37 @@ def evaluate_images(predictions: DataFrame, targets: DataFrame, by: list[str], t
     return both.select(*by, score("_p", "_t").alias("s")).select(*by, "s.*")
 
 
-def match_candidates(predictions: DataFrame, targets: DataFrame, threshold: float, cell: float = 256.0) -> DataFrame:
+def match_candidates(predictions: DataFrame, targets: DataFrame, threshold: float, cell: float = 256.0, few: int = FEW_TARGETS) -> DataFrame:
     """Prediction-target pairs of one image at or above the overlap threshold.
 
-    Both sides are laid on a grid, so only boxes that share a cell meet; a pair counts in its first shared cell only.
+    Images of up to ``few`` targets are compared whole, by a join on the image alone: where both sides are dealt by image already, no box is
+    moved. Only the boxes of crowded images are laid on a grid, so that those that share a cell meet; a pair counts in its first shared cell only.
     """
+    corners = [F.col(f"box.{k}").isNotNull() for k in ("x1", "y1", "x2", "y2")]
+    side = lambda df, p: df.filter(corners[0] & corners[1] & corners[2] & corners[3]).select(
+        "image_id", F.col("box_id").alias(f"{p}_id"), F.col("box").alias(f"{p}_box"))
+    own, other = side(predictions, "pred"), side(targets, "target")
 
-    def gridded(df: DataFrame, p: str) -> DataFrame:
-        steps = lambda a, b: F.sequence(F.floor(F.col(f"box.{a}") / cell), F.floor(F.col(f"box.{b}") / cell))
-        out = df.select("image_id", F.col("box_id").alias(f"{p}_id"), F.col("box").alias(f"{p}_box"),
-                        F.explode(steps("x1", "x2")).alias("gx"), F.col("box"))
-        return out.select("image_id", f"{p}_id", f"{p}_box", "gx", F.explode(steps("y1", "y2")).alias("gy"))
+    def scored(met: DataFrame) -> DataFrame:
+        overlap = met.withColumn("iou", box_iou(F.col("pred_box"), F.col("target_box")))
+        return overlap.filter(F.col("iou") >= threshold).select("image_id", "pred_id", "target_id", "iou")
+
+    # At 0 every pair of an image is asked for, those that share no cell too.
+    if threshold <= 0:
+        return scored(own.join(other, "image_id"))
 
-    met = gridded(predictions, "pred").join(gridded(targets, "target"), ["image_id", "gx", "gy"])
-    first = lambda k: F.floor(F.greatest(F.col(f"pred_box.{k}"), F.col(f"target_box.{k}")) / cell)
+    def gridded(df: DataFrame, p: str) -> DataFrame:
+        steps = lambda a, b: F.sequence(F.floor(F.col(f"{p}_box.{a}") / cell), F.floor(F.col(f"{p}_box.{b}") / cell))
+        return df.join(crowded, "image_id", "left_semi").withColumn("gx", F.explode(steps("x1", "x2"))).withColumn("gy", F.explode(steps("y1", "y2")))
+
+    counted = other.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
+    # The few that are crowded are dealt out on their own: where there are none, that is known before any box is laid on the grid.
+    crowded = counted.filter(F.col("_n") > few).select("image_id").hint("rebalance")
+    met = gridded(own, "pred").join(gridded(other, "target"), ["image_id", "gx", "gy"])
+    first = lambda k: F.floor(F.greatest(F.col(f"pred_box.{k}"), F.col(f"target_box.{k}")) / cell)
     once = met.filter((F.col("gx") == first("x1")) & (F.col("gy") == first("y1")))
-    scored = once.withColumn("iou", box_iou(F.col("pred_box"), F.col("target_box")))
-    return scored.filter(F.col("iou") >= threshold).select("image_id", "pred_id", "target_id", "iou")
+    whole = own.join(other.join(crowded, "image_id", "left_anti"), "image_id")
+    return scored(whole).unionByName(scored(once))
 
 
 def merge_candidate_groups(

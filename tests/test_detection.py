@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from annolake.functions.geometry import make_box
 from annolake.operators import detection as dt
 from annolake.operators.sweep import Sweep
@@ -86,6 +87,46 @@ def test_candidate_pairs_meet_on_the_grid(spark):
     assert got == pytest.approx(want)
 
 
+def test_candidate_pairs_of_crowded_and_other_images(spark):
+    draw = random.Random(5)
+
+    def make(image, count):
+        at = [(draw.choice([0.0, 30.0, 250.0, 700.0]), draw.choice([0.0, 20.0, 300.0])) for _ in range(count)]
+        return [(image, k, x, y, x + draw.choice([40.0, 60.0, 300.0]), y + draw.choice([40.0, 300.0])) for k, (x, y) in enumerate(at)]
+
+    # Images of no, few, exactly `few` and more targets; more of them on one side than on the other; boxes without a corner or an image.
+    targets = make(1, 3) + make(2, 4) + make(3, 5) + make(4, 40) + [(2, 90, None, 0.0, 40.0, 40.0), (None, 0, 0.0, 0.0, 40.0, 40.0)]
+    predictions = make(1, 30) + make(2, 9) + make(3, 25) + make(4, 40) + make(5, 6) + [(3, 90, 0.0, 0.0, None, 40.0), (None, 0, 0.0, 0.0, 40.0, 40.0)]
+    want = {}
+    for p in predictions:
+        for t in targets:
+            if p[0] == t[0] is not None and None not in p + t:
+                inter = max(0, min(p[4], t[4]) - max(p[2], t[2])) * max(0, min(p[5], t[5]) - max(p[3], t[3]))
+                want[p[0], p[1], t[1]] = inter / ((p[4] - p[2]) * (p[5] - p[3]) + (t[4] - t[2]) * (t[5] - t[3]) - inter)
+    both = boxes(spark, predictions), boxes(spark, targets)
+    for threshold in (0.4, 0.0):
+        found = dt.match_candidates(*both, threshold, few=4).collect()
+        got = {(r.image_id, r.pred_id, r.target_id): r.iou for r in found}
+        assert len(found) == len(got) and got == pytest.approx({k: v for k, v in want.items() if v >= threshold})
+    assert {k[0] for k, v in want.items() if v >= 0.4} == {1, 2, 3, 4}
+
+
+def test_boxes_are_moved_once(spark, tmp_path):
+    """Where no image is crowded, both sides of the query read one exchange of the table, and none is laid on the grid."""
+    rows = [(k % 90, k % 7, k, k * 3, float(k), 20.0 + k % 30, 0.0, 0.0, "N", "O", None) for k in range(400)]
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double, l_tax double, "
+    spark.createDataFrame(rows, columns + "l_returnflag string, l_linestatus string, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = contract.queries()["match_candidates"](spark, str(tmp_path))
+        assert found.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("+- Exchange") == 1 and "ReusedExchange" in plan
+
+
 def test_candidate_groups(spark):
     random.seed(6)
     rows = []
