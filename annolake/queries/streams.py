@@ -65,20 +65,28 @@ def _(t):
     return both.filter(F.col("kind") == CHANGE).drop("kind", "late")
 
 
+#: Micro-batches of the bank's stream, and what the places of one are behind those of the one before; no sample has an index of half that.
+PARTS, PART = 8, 1 << 59
+
+
 @query("rolling_negative_bank", "SS-03")
 def _(t):
     edges = adjacency_edges(t.frames).groupBy("root", "video_id", "segment_id").agg(F.collect_set("neighbour").alias("adjacent"))
     vectors = t.table("embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
     size = vectors.agg(F.max("vec_id").alias("m")).scalar()
-    rows = t.frames.filter("has_subtitle").withColumn("_m", size).withColumn("vec_id", F.pmod(F.xxhash64("sample_idx"), F.col("_m") + 1))
+    # Rows of one micro-batch never meet, so the frames that a frame is to meet, its segment's and the neighbour segments', have to be in others: each
+    # takes every eighth frame of all videos.
+    rows = t.frames.filter("has_subtitle").withColumn("part", F.pmod("frame_index", F.lit(PARTS)).cast("int"))
+    rows = rows.withColumn("_m", size).withColumn("vec_id", F.pmod(F.xxhash64("sample_idx"), F.col("_m") + 1))
     rows = rows.join(vectors, "vec_id").join(edges, ["root", "video_id", "segment_id"], "left").select(
-        "root", "video_id", "segment_id", tx.normalize_text(F.col("ocr_text")).alias("norm_text"), F.col("sample_idx").alias("order_idx"), "vector",
-        F.coalesce("adjacent", F.array().cast("array<string>")).alias("adjacent"))
+        "root", "video_id", "segment_id", tx.normalize_text(F.col("ocr_text")).alias("norm_text"), (F.col("part").cast("long") * PART + F.col("sample_idx")).alias("order_idx"), "vector",
+        F.coalesce("adjacent", F.array().cast("array<string>")).alias("adjacent"), "part")
     folder = _folder(t)
-    # Every root in eight files, in the order of its samples: eight micro-batches.
-    part = F.pmod(F.floor(F.col("order_idx") / 1_048_576 / 4), F.lit(8))
-    rows.withColumn("part", part.cast("int")).repartition(1, "part").write.partitionBy("part").parquet(f"{folder}/in")
+    # One file for each, written one after the other.
+    rows.repartition(1, "part").write.partitionBy("part").parquet(f"{folder}/in")
     schema = t.spark.read.parquet(f"{folder}/in").drop("part").schema
     stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     run_bank(stream, folder, f"{folder}/checkpoint", maximum=0.6).awaitTermination()
-    return t.spark.read.schema(PAIR_ROWS).parquet(f"{folder}/pairs")
+    pairs = t.spark.read.schema(PAIR_ROWS).parquet(f"{folder}/pairs")
+    sample = lambda place: place - F.shiftright(place + PART // 2, 59) * PART
+    return pairs.withColumns({c: sample(F.col(c)) for c in ("order_idx", "old_order_idx")})

@@ -125,6 +125,8 @@ class RollingBank(StatefulProcessor):
         seen = Seen(bank)
         newest = [(entry[3], entry) for entry in bank]
         latest: dict[str, tuple] = {}
+        # Each segment is asked of the store once a batch.
+        known: dict[str, tuple | None] = {}
         for frame in rows:
             # No more than the bank holds is read from one piece of a batch, or carried to the next.
             last = np.argsort(frame["order_idx"].to_numpy(), kind="stable")[-self.capacity :]
@@ -132,21 +134,21 @@ class RollingBank(StatefulProcessor):
             newest = sorted(newest, key=lambda e: e[0])[-self.capacity :]
             out = []
             for own, adjacent in map(_entry, frame[frame["own"].to_numpy(bool)].itertuples(index=False)):
-                out += self._pairs(key[0], own, adjacent, seen)
+                if own[1] not in known:
+                    known[own[1]] = self.latest.getValue((own[1],)) if self.latest.containsKey((own[1],)) else None
+                out += self._pairs(key[0], own, adjacent, seen, known[own[1]])
                 if own[1] not in latest or latest[own[1]][0] < own[3]:
                     latest[own[1]] = (own[3], own[4])
             yield pd.DataFrame(out, columns=[f.name for f in PAIR_ROWS.fields]).astype({"order_idx": "int64", "old_order_idx": "int64", "same": "bool", "similarity": "float64"})
         self.bank.put([entry for _, entry in newest])
         for segment, value in latest.items():
-            known = self.latest.getValue((segment,)) if self.latest.containsKey((segment,)) else None
-            if known is None or known[0] < value[0]:
+            if known[segment] is None or known[segment][0] < value[0]:
                 self.latest.updateValue((segment,), value)
 
-    def _pairs(self, root: str, own: tuple, adjacent: set, seen: Seen) -> list[tuple]:
+    def _pairs(self, root: str, own: tuple, adjacent: set, seen: Seen, old: tuple | None) -> list[tuple]:
         video, segment, text, order, vector = own
         out = []
-        if self.latest.containsKey((segment,)):
-            old = self.latest.getValue((segment,))
+        if old is not None:
             out.append((root, order, int(old[0]), True, "local", float(np.dot(vector, old[1]))))
         bank = seen.bank
         if not bank:

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 import pyspark.sql.functions as F
 
+import __spark_entry__ as contract
 from annolake.streaming.bank import COLUMNS, bank_step, run_bank, same_text
 from annolake.streaming.ingest import annotation_stream, append_to, ingest_annotations
 from annolake.streaming.segments import EVENTS, last_segment_events, run_segment_events
@@ -75,6 +76,26 @@ def test_bank_stream_equals_steps(spark, tmp_path):
     assert got == sorted(want) and any(r[4] == "ocr" for r in got) and any(r[3] for r in got)
 
 
+def test_bank_query_meets_neighbour_segments(spark, tmp_path):
+    """Frames of one video come in several micro-batches, so its own and its neighbour segments are in the state when they are asked for."""
+    draw, frame = random.Random(9), lambda video, number: video * 1_048_576 + number
+    words = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(24))
+    length = {0: 8, 1: 8, 2: 11, 3: 1, 4: 8, 5: 3, -4: 6}
+    talk = [(video, turn, "user", words()) for video, n in length.items() for turn in range(n)] + [(8, 0, "system", words()), (8, 1, "user", words())]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    vectors = [(k, [draw.random() for _ in range(3)]) for k in range(5)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = contract.queries()["rolling_negative_bank"](spark, str(tmp_path)).collect()
+    pairs = lambda same, source: {(r.order_idx, r.old_order_idx) for r in found if (r.same, r.source) == (same, source)}
+    # Two frames are a segment; a frame meets those whose number has a smaller rest by eight.
+    met = [(v, k, j) for v, n in length.items() for k in range(n) for j in range(n) if j % 8 < k % 8]
+    assert pairs(True, "local") == {(frame(v, k), frame(v, j)) for v, k, j in met if k // 2 == j // 2}
+    assert pairs(False, "local") == {(frame(v, k), frame(v, j)) for v, k, j in met if abs(k // 2 - j // 2) == 1}
+    assert (frame(2, 7), frame(2, 8)) in pairs(False, "local") and (frame(-4, 1), frame(-4, 0)) in pairs(True, "local")
+    far = [(new >> 20, new % (1 << 20), old >> 20, old % (1 << 20)) for new, old in pairs(False, "ocr")]
+    assert far and all(j % 8 < k % 8 and v % 4 == w % 4 and (v != w or abs(k // 2 - j // 2) > 1) for v, k, w, j in far)
+
+
 def test_same_text_of_strings():
     assert same_text("alpha", "alpha") and not same_text("", "") and not same_text("ab", "abc") and same_text("abcdefghij", "abcdefghijj")
     assert not same_text("alpha caption", "bravo message")
